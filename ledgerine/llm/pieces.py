@@ -47,6 +47,18 @@ class Lattices:
         ranked = sorted(plain, key=lambda i: (-model.get_score(i), i))
         self.pieces = {model.id_to_piece(i): (i, -power * math.log(r + 1.0)) for r, i in enumerate(ranked)}
         self.longest = max(map(len, self.pieces))
+        h = np.array([self._hash(np.array([[ord(c) for c in p]], np.uint64))[0] for p in self.pieces], np.uint64)
+        order = np.argsort(h)
+        self.hashes = h[order]
+        first, left = (self.hashes >> np.uint64(46)).astype(np.int64), np.arange(len(h))
+        self.slots, self.more = np.zeros(2**18, np.int32), np.zeros(2**18, np.int32)
+        self.slots[first] = left  # of pieces that share a slot the last one stays; the others go to the second table
+        left = left[self.slots[first] != left]
+        self.more[(self.hashes[left] >> np.uint64(20)).astype(np.int64) & 0x3FFFF] = left
+        if (self._found(self.hashes) < 0).any():
+            raise ValueError("pieces share both slots")
+        self.hash_ids = np.append(np.array([x[0] for x in self.pieces.values()], np.int32)[order], np.int32(0))
+        self.hash_logs = np.append(np.array([x[1] for x in self.pieces.values()])[order], -np.inf)  # the last is for no piece
         own = set(plain)
         self.raw = [model.id_to_piece(i).replace(MARK, " ").encode() if i in own else bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else b"" for i in range(size)]
         inside = {c for p in self.pieces if len(p) > 1 for c in p}
@@ -63,6 +75,77 @@ class Lattices:
         self.ends: dict[str, int] = {}
         self.bound, self.back, self.piece, self.places = array("d"), array("q"), array("i"), 0
 
+    @staticmethod
+    def _hash(codes: np.ndarray) -> np.ndarray:
+        h = np.zeros(len(codes), np.uint64)
+        for i in range(codes.shape[1]):
+            h = (h ^ codes[:, i]) * np.uint64(0x9FB21C651E98DF25)
+            h ^= h >> np.uint64(29)
+        return h
+
+    def _found(self, h: np.ndarray) -> np.ndarray:
+        """Number of the piece with each hash, -1 without."""
+        at = self.slots[(h >> np.uint64(46)).astype(np.int64)]
+        out = np.where(self.hashes[at] == h, at, -1)
+        second = self.more[(h >> np.uint64(20)).astype(np.int64) & 0x3FFFF]
+        i = np.flatnonzero(second)
+        i = i[self.hashes[second[i]] == h[i]]
+        out[i] = second[i]
+        return out
+
+    def add_many(self, parts: list[str]) -> None:
+        """All parts of one length at once; long ones and those with characters outside the vocabulary one by one."""
+        by_size: dict[int, list[str]] = {}
+        for part in parts:
+            if part not in self.ends:
+                self.ends[part] = -2
+                by_size.setdefault(len(part), []).append(part)
+        for n, own in by_size.items():
+            step = len(own) if n == 1 else max(1, 2_000_000 // (n * n))
+            for lo in range(0, len(own), step):
+                some = own[lo : lo + step]
+                if n > 24 or len(some) < 8:
+                    for part in some:
+                        self.add(part)
+                else:
+                    self._add_block(some, n)
+
+    def _add_block(self, parts: list[str], n: int) -> None:
+        codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n).astype(np.uint64)
+        score = np.full((len(parts), n + 1, n), -np.inf)  # of the piece from start (last axis) to end
+        piece = np.zeros((len(parts), n + 1, n), np.int32)
+        for start in range(n):
+            h = np.zeros(len(parts), np.uint64)
+            for end in range(start + 1, min(n, start + self.longest) + 1):
+                h = (h ^ codes[:, end - 1]) * np.uint64(0x9FB21C651E98DF25)
+                h ^= h >> np.uint64(29)
+                at = self._found(h)
+                score[:, end, start] = self.hash_logs[at]
+                piece[:, end, start] = self.hash_ids[at]
+        whole = np.isfinite(score[:, np.arange(1, n + 1), np.arange(n)]).all(1)
+        for i in np.flatnonzero(~whole).tolist():
+            self.add(parts[i])
+        if not whole.any():
+            return
+        keep = np.flatnonzero(whole)
+        score, piece = score[keep], piece[keep]
+        total = np.zeros((len(keep), n + 1))
+        for end in range(1, n + 1):
+            score[:, end, :end] += total[:, :end]
+            top = score[:, end, :end].max(1)
+            total[:, end] = top + np.log(np.exp(score[:, end, :end] - top[:, None]).sum(1))
+        used = np.isfinite(score[:, 1:])
+        up = np.cumsum(np.exp(score[:, 1:] - total[:, 1:, None]), axis=2)
+        last = n - 1 - used[:, :, ::-1].argmax(2)
+        np.put_along_axis(up, last[:, :, None], 1.0, 2)
+        own = self.places + np.arange(len(keep) * n).reshape(len(keep), n)  # place of each end
+        back = np.broadcast_to(np.concatenate([np.full((len(keep), 1), -1), own[:, :-1]], axis=1)[:, None, :], used.shape)
+        self.bound.frombytes((own[:, :, None] + np.minimum(up, 1.0))[used].tobytes())
+        self.back.frombytes(back[used].astype(np.int64).tobytes())
+        self.piece.frombytes(piece[:, 1:][used].tobytes())
+        self.places += len(keep) * n
+        self.ends.update(zip([parts[i] for i in keep.tolist()], own[:, -1].tolist(), strict=True))
+
     def add(self, part: str) -> int:
         """The place at the end of a part."""
         n, get, longest = len(part), self.pieces.get, self.longest
@@ -111,17 +194,14 @@ class Lattices:
         """Piece ids of each text."""
         if len(self.bound) > self.most_edges:
             self.clear()
-        ends, owner, number = [], [], []
-        for i, text in enumerate(texts):
-            if text:
-                parts = self.split(text)
-                get = self.ends.get
-                own = [get(p, -2) for p in parts]
-                if -2 in own:
-                    own = [e if e != -2 else (get(p, -2) if get(p, -2) != -2 else self.add(p)) for e, p in zip(own, parts, strict=True)]
-                ends.append(np.array(own, np.int64))
-                owner.append(np.full(len(own), i))
-                number.append(np.arange(len(own), dtype=np.uint64))
+        ends, owner, number, split = [], [], [], [self.split(text) if text else [] for text in texts]
+        get = self.ends.get
+        self.add_many([p for parts in split for p in parts if p not in self.ends])
+        for i, parts in enumerate(split):
+            if parts:
+                ends.append(np.array([get(p) for p in parts], np.int64))
+                owner.append(np.full(len(parts), i))
+                number.append(np.arange(len(parts), dtype=np.uint64))
         if not ends:
             return [np.zeros(0, np.int32) for _ in texts]
         bound, back, piece = self.tables()
@@ -166,7 +246,7 @@ def _encode(path: str, power: float, seed: int):
             first, held = 0, 0
             for i, text in enumerate(texts):
                 held += len(text)
-                if held > 1_000_000 or i == len(texts) - 1:
+                if held > 4_000_000 or i == len(texts) - 1:
                     ids = own.sample(texts[first : i + 1], keys[first : i + 1])
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, i + 1 - first), pa.array(ids, pa.list_(pa.int32()))], ["key", "ids"])
                     first, held = i + 1, 0
