@@ -36,7 +36,7 @@ LITERAL = "\udc00"
 class Lattices:
     """The vocabulary, and the places and edges of the parts seen so far. Place p's edges lie at key p .. p + 1 in ``bound``."""
 
-    def __init__(self, path: str, power: float, most_edges: int = 4_000_000):
+    def __init__(self, path: str, power: float, most_edges: int = 8_000_000):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
@@ -50,13 +50,16 @@ class Lattices:
         h = np.array([self._hash(np.array([[ord(c) for c in p]], np.uint64))[0] for p in self.pieces], np.uint64)
         order = np.argsort(h)
         self.hashes = h[order]
-        first, left = (self.hashes >> np.uint64(46)).astype(np.int64), np.arange(len(h))
-        self.slots, self.more = np.zeros(2**18, np.int32), np.zeros(2**18, np.int32)
-        self.slots[first] = left  # of pieces that share a slot the last one stays; the others go to the second table
-        left = left[self.slots[first] != left]
-        self.more[(self.hashes[left] >> np.uint64(20)).astype(np.int64) & 0x3FFFF] = left
-        if (self._found(self.hashes) < 0).any():
-            raise ValueError("pieces share both slots")
+        self.slots, left = [], np.arange(len(h))
+        for shift in (46, 20, 33, 8):  # of pieces that share a slot one stays; the others go to the next table
+            slot, table = self._slot(self.hashes[left], shift), np.full(2**18, -1, np.int32)
+            table[slot] = left
+            self.slots.append((shift, table))
+            left = left[table[slot] != left]
+            if not len(left):
+                break
+        else:
+            raise ValueError("pieces share all slots")
         self.hash_ids = np.append(np.array([x[0] for x in self.pieces.values()], np.int32)[order], np.int32(0))
         self.hash_logs = np.append(np.array([x[1] for x in self.pieces.values()])[order], -np.inf)  # the last is for no piece
         own = set(plain)
@@ -73,7 +76,7 @@ class Lattices:
 
     def clear(self) -> None:
         self.ends: dict[str, int] = {}
-        self.bound, self.back, self.piece, self.places = array("d"), array("q"), array("i"), 0
+        self.bound, self.back, self.piece, self.first, self.places = array("d"), array("q"), array("i"), array("i"), 0
 
     @staticmethod
     def _hash(codes: np.ndarray) -> np.ndarray:
@@ -83,14 +86,20 @@ class Lattices:
             h ^= h >> np.uint64(29)
         return h
 
+    @staticmethod
+    def _slot(h: np.ndarray, shift: int) -> np.ndarray:
+        return (h >> np.uint64(shift)).astype(np.int64) & 0x3FFFF
+
     def _found(self, h: np.ndarray) -> np.ndarray:
         """Number of the piece with each hash, -1 without."""
-        at = self.slots[(h >> np.uint64(46)).astype(np.int64)]
+        shift, table = self.slots[0]
+        at = table[self._slot(h, shift)]
         out = np.where(self.hashes[at] == h, at, -1)
-        second = self.more[(h >> np.uint64(20)).astype(np.int64) & 0x3FFFF]
-        i = np.flatnonzero(second)
-        i = i[self.hashes[second[i]] == h[i]]
-        out[i] = second[i]
+        for shift, table in self.slots[1:]:
+            at = table[self._slot(h, shift)]
+            i = np.flatnonzero(at >= 0)
+            i = i[self.hashes[at[i]] == h[i]]
+            out[i] = at[i]
         return out
 
     def add_many(self, parts: list[str]) -> None:
@@ -140,6 +149,8 @@ class Lattices:
         np.put_along_axis(up, last[:, :, None], 1.0, 2)
         own = self.places + np.arange(len(keep) * n).reshape(len(keep), n)  # place of each end
         back = np.broadcast_to(np.concatenate([np.full((len(keep), 1), -1), own[:, :-1]], axis=1)[:, None, :], used.shape)
+        number = used.sum(2).ravel()
+        self.first.frombytes((len(self.bound) + np.cumsum(number) - number).astype(np.int32).tobytes())
         self.bound.frombytes((own[:, :, None] + np.minimum(up, 1.0))[used].tobytes())
         self.back.frombytes(back[used].astype(np.int64).tobytes())
         self.piece.frombytes(piece[:, 1:][used].tobytes())
@@ -172,6 +183,7 @@ class Lattices:
 
     def _place(self, options: list, total: float) -> int:
         at, up = self.places, 0.0
+        self.first.append(len(self.bound))
         for back, piece, x in options[:-1]:
             up += math.exp(x - total)
             self.bound.append(at + up if up < 1 else at + 1.0)
@@ -185,7 +197,7 @@ class Lattices:
 
     def tables(self):
         """Views that must be gone before the next part is added."""
-        return np.frombuffer(self.bound), np.frombuffer(self.back, np.int64), np.frombuffer(self.piece, np.int32)
+        return np.frombuffer(self.bound), np.frombuffer(self.back, np.int64), np.frombuffer(self.piece, np.int32), np.frombuffer(self.first, np.int32)
 
     def split(self, text: str) -> list[str]:
         return self.parts.findall(MARK + text.replace(MARK, LITERAL).replace(" ", MARK))
@@ -204,14 +216,18 @@ class Lattices:
                 number.append(np.arange(len(parts), dtype=np.uint64))
         if not ends:
             return [np.zeros(0, np.int32) for _ in texts]
-        bound, back, piece = self.tables()
+        bound, back, piece, first = self.tables()
         at, owner, number = np.concatenate(ends), np.concatenate(owner), np.concatenate(number)
         seed = mixed(keys.astype(np.int64).view(np.uint64)[owner] + mixed(number) * GOLD)
         live, steps = np.arange(len(at)), []
         size = np.zeros(len(at), np.int64)
         while len(live):
             u = (mixed(seed[live] + np.uint64((len(steps) + 1) * int(GOLD) % 2**64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge = np.minimum(np.searchsorted(bound, at[live] + u, "right"), len(bound) - 1)
+            edge, u = first[at[live]], u + at[live]
+            late = np.flatnonzero(bound[edge] <= u)
+            while len(late):  # an edge further for those whose number lies beyond; the last edge's bound is beyond all
+                edge[late] += 1
+                late = late[bound[edge[late]] <= u[late]]
             steps.append((live, piece[edge]))
             size[live] += 1
             at[live] = back[edge]
@@ -220,7 +236,7 @@ class Lattices:
         out = np.zeros(int(last[-1]), np.int32)
         for step, (which, ids) in enumerate(steps):
             out[last[which] - 1 - step] = ids
-        del bound, back, piece
+        del bound, back, piece, first
         cut = np.concatenate([[0], np.cumsum(np.bincount(owner, size, len(texts)).astype(np.int64))])
         return [out[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 

@@ -35,10 +35,7 @@ from .common import flat_texts, known_id, mixed, written
 GRAM = 48
 SLICE = 1_000_000
 #: Kinds of one string up to which a task orders them together.
-MANY = 256
-#: Bytes of lists that may be broadcast to spare the texts an exchange; beyond it both sides are exchanged.
-SMALL = 48_000_000
-
+MANY = 20_000
 BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 STEPS = [0x5851F42D4C957F2D]
 while len(STEPS) < 31:
@@ -179,7 +176,7 @@ def _settle(window: int):
             left = table if left is None else pa.concat_tables([left, table])
             string = left["string"].to_numpy()
             end = int(np.searchsorted(string, string[-1])) if len(string) else 0
-            if end and left.num_rows > 2 * MANY:
+            if end and left.num_rows > 1024:
                 yield from done(left.slice(0, end))
                 left = left.slice(end)
         if left is not None and left.num_rows:
@@ -243,13 +240,7 @@ def merged(spans: list[int] | None) -> list[tuple[int, int]]:
     return out
 
 
-def _sized(df: DataFrame, bytes_of) -> DataFrame:
-    """``df`` (written), marked for broadcast only if its measured bytes stay below SMALL."""
-    total = df.agg(F.sum(bytes_of).alias("b")).first()["b"] or 0
-    return F.broadcast(df) if total <= SMALL else df
-
-
-def repeated_spans(keyed: DataFrame, window: int) -> DataFrame:
+def repeated_spans(keyed: DataFrame, window: int, many: int = MANY) -> DataFrame:
     """(key, tag, spans) for (key, tag, text): the bytes that repeated windows cover."""
     if not GRAM < window <= GRAM + 254:
         raise ValueError(f"window must lie between {GRAM + 1} and {GRAM + 254}")
@@ -258,33 +249,32 @@ def repeated_spans(keyed: DataFrame, window: int) -> DataFrame:
     blocks = keyed.mapInArrow(_blocks(window, False), "string long, content long, key long, place long")
     rows = written(blocks.join(again, "string"))
     kinds = rows.groupBy("string", "content").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min_by("place", "key").alias("place"))
-    many = kinds.groupBy("string").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    kinds = written(kinds.join(many, "string", "left").where("n > 1 or kinds > 1"))
+    several = kinds.groupBy("string").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    kinds = written(kinds.join(several, "string", "left").where("n > 1 or kinds > 1"))
     first, n = F.col("place").bitwiseAND(0x7FFFFFFF0000), F.col("place").bitwiseAND(255)
     tag = F.shiftright("place", 47).cast("int").alias("tag")
     settled = rows.join(kinds.where("n > 1").select("string", "content"), ["string", "content"])
     settled = settled.select("key", tag, (F.shiftleft(first, 16) + F.shiftright(first, 16) + n + (window - 1)).alias("span"))
     wanted = kinds.where("kinds > 1").select("key", tag, F.struct("string", "place", "n", "kinds").alias("x")).groupBy("key", "tag").agg(F.collect_list("x").alias("wanted"))
-    wanted = written(wanted)
-    shown = keyed.join(_sized(wanted, F.size("wanted") * 40 + 64), ["key", "tag"]).select("key", "tag", "text", "wanted")
+    shown = keyed.join(wanted, ["key", "tag"]).select("key", "tag", "text", "wanted")
     shown = written(shown.mapInArrow(_shown(window), "string long, n long, kinds long, key long, place long, body binary"))
-    few = shown.where(F.col("kinds") <= MANY).repartition("string").sortWithinPartitions("string")
+    few = shown.where(F.col("kinds") <= many).repartition("string").sortWithinPartitions("string")
     few = few.mapInArrow(_settle(window), "key long, tag int, span long")
-    spread = shown.where(F.col("kinds") > MANY).mapInArrow(_spread(window), "string long, off long, hash long, n long, key long, tag int, span long")
+    spread = shown.where(F.col("kinds") > many).mapInArrow(_spread(window), "string long, off long, hash long, n long, key long, tag int, span long")
     twice = written(spread.groupBy("string", "off", "hash").agg(F.sum("n").alias("c")).where("c > 1").drop("c"))
     big = spread.where("n = 1").join(twice, ["string", "off", "hash"]).select("key", "tag", "span")
     return settled.unionByName(few).unionByName(big).groupBy("key", "tag").agg(F.collect_set("span").alias("spans"))
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, as_text: bool = False) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, as_text: bool = False, many: int = MANY) -> DataFrame:
     """The columns of ``docs`` but the text, and n_bytes, n_removed, n_spans, kept_sha256, kept: binary, as a cut may split a character, or ``as_text`` without split characters."""
     names = [n for n in docs.columns if n not in (text_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")]
     text = F.encode(F.col(text_col), "UTF-8")
     key, tag = F.xxhash64(known_id(id_col), F.col(text_col)).alias("key"), F.pmod(F.hash(F.col(text_col), known_id(id_col)), F.lit(65536)).alias("tag")
     keyed = docs.select(key, tag, text.alias("text")).where(F.octet_length("text") >= window)
-    spans = written(repeated_spans(keyed, window))
+    spans = repeated_spans(keyed, window, many)
     full = docs.select(key, tag, *[F.col(f"`{n}`").alias(f"_c{i}") for i, n in enumerate(names)], text.alias("text"))
-    full = full.join(_sized(spans, F.size("spans") * 8 + 64), ["key", "tag"], "left").drop("key", "tag")
+    full = full.join(spans, ["key", "tag"], "left").drop("key", "tag")
     out = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     fields = ", ".join([*(f"_c{i} {docs.schema[n].dataType.simpleString()}" for i, n in enumerate(names)), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", "kept string" if as_text else "kept binary"])
     cut = full.mapInArrow(_cut([*(f"_c{i}" for i in range(len(names))), *out], len(names), as_text), fields)
