@@ -146,10 +146,14 @@ class Forest:
         return True
 
 
-def spanning(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Of the links i-j over 0 .. n-1 as many as connect the same nodes, without circles."""
-    f = Forest(n)
-    return [(x, y) for x, y in zip(i.tolist(), j.tolist(), strict=True) if f.union(x, y)]
+def stars(forest: Forest, names: list) -> list[tuple]:
+    """A link from each name to the smallest one of its tree: the same links whatever the order, so equal ones from other tasks fall together."""
+    low: dict[int, object] = {}
+    roots = [forest.find(i) for i in range(len(names))]
+    for r, x in zip(roots, names, strict=True):
+        if r not in low or x < low[r]:
+            low[r] = x
+    return list({(x, low[r]) for r, x in zip(roots, names, strict=True) if x != low[r]})
 
 
 def paired_blocks(df: DataFrame, group: str, size: Column, member: Column, block: int) -> DataFrame:

@@ -8,7 +8,7 @@
 3. In each coarse group, again in cells, full sets are compared exactly, leaving out pairs that are connected already.
 
 Lists of any length are cut into blocks that meet pair by pair, so no bucket, group or pair list is capped and none is bound to one task.
-Only spanning links are emitted, never all pairs.
+Only a link to the smallest member of each tree is emitted, never all pairs.
 
 Edge cases: a null text or one without words has no shingles, stands alone and is linked with nothing; fewer words than a shingle
 are one shingle; a null id is one document, smaller than all others; rows that repeat an id are each returned; very long texts are
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Forest, components, known_id, mixed, paired_blocks, shown_id, written
+from .common import NULL_ID, Forest, components, known_id, mixed, paired_blocks, shown_id, stars, written
 
 MINIMA, BITS = 128, 4
 A = mixed(np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
@@ -146,7 +146,7 @@ def _screen(least: float):
             cell, size = np.repeat(np.arange(len(start) - 1), np.diff(start)), int(np.diff(start).max(initial=0))
             signs = np.frombuffer(b"".join(table["sign"].to_pylist()), np.uint64).reshape(len(cell), -1)
             names, side, whole = table["digest"].to_pylist(), table["side"].to_numpy(), table["whole"].to_numpy(zero_copy_only=False)
-            forest, out = Forest(len(cell)), []
+            forest = Forest(len(cell))
             first = {}
             for i, x in enumerate(names):  # one class in several cells is one node
                 forest.union(first.setdefault(x, i), i)
@@ -155,9 +155,8 @@ def _screen(least: float):
                 i = i[whole[i] | (side[i] != side[i + step])]
                 if len(i):
                     for x in i[similarity(signs[i], signs[i + step]) >= least].tolist():
-                        if forest.union(x, x + step):
-                            out.append((names[x], names[x + step]))
-            yield _links(out)
+                        forest.union(x, x + step)
+            yield _links(stars(forest, names))
 
     return run
 
@@ -191,15 +190,15 @@ def _confirm(percent: int):
             for lo, hi in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
                 if hi - lo > 1:
                     sets = [np.frombuffer(held[i].as_buffer(), np.uint64) for i in range(lo, hi)]
-                    out += [(names[lo + x], names[lo + y]) for x, y in confirmed(sets, side[lo:hi], bool(whole[lo]), percent)]
+                    out += stars(confirmed(sets, side[lo:hi], bool(whole[lo]), percent), names[lo:hi])
             yield _links(out)
 
     return run
 
 
-def confirmed(sets: list[np.ndarray], side: np.ndarray, whole: bool, percent: int) -> list[tuple[int, int]]:
-    """Spanning links among sets (between the two sides unless ``whole``) with 100 * intersection >= percent * union."""
-    m, forest, out = len(sets), Forest(len(sets)), []
+def confirmed(sets: list[np.ndarray], side: np.ndarray, whole: bool, percent: int) -> Forest:
+    """Trees of the links among sets (between the two sides unless ``whole``) with 100 * intersection >= percent * union."""
+    m, forest = len(sets), Forest(len(sets))
     size = np.array([len(x) for x in sets], np.int64)
     flat, ends = np.concatenate(sets), np.cumsum(size)
     for i in range(m - 1):
@@ -220,9 +219,8 @@ def confirmed(sets: list[np.ndarray], side: np.ndarray, whole: bool, percent: in
         else:
             both = np.array([np.count_nonzero(sets[i][np.minimum(np.searchsorted(sets[i], sets[x]), size[i] - 1)] == sets[x]) for x in j.tolist()])
         for x in j[100 * both >= percent * (size[i] + size[j] - both)].tolist():
-            if forest.union(i, x):
-                out.append((i, x))
-    return out
+            forest.union(i, x)
+    return forest
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 85, block: int = 128) -> DataFrame:

@@ -36,7 +36,7 @@ LITERAL = "\udc00"
 class Lattices:
     """The vocabulary, and the places and edges of the parts seen so far. Place p's edges lie at key p .. p + 1 in ``bound``."""
 
-    def __init__(self, path: str, power: float, most_edges: int = 8_000_000):
+    def __init__(self, path: str, power: float, most_edges: int = 5_000_000):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
@@ -110,7 +110,7 @@ class Lattices:
                 self.ends[part] = -2
                 by_size.setdefault(len(part), []).append(part)
         for n, own in by_size.items():
-            step = len(own) if n == 1 else max(1, 2_000_000 // (n * n))
+            step = len(own) if n == 1 else max(1, 500_000 // (n * n))
             for lo in range(0, len(own), step):
                 some = own[lo : lo + step]
                 if n > 24 or len(some) < 8:
@@ -262,7 +262,7 @@ def _encode(path: str, power: float, seed: int):
             first, held = 0, 0
             for i, text in enumerate(texts):
                 held += len(text)
-                if held > 4_000_000 or i == len(texts) - 1:
+                if held > 1_500_000 or i == len(texts) - 1:
                     ids = own.sample(texts[first : i + 1], keys[first : i + 1])
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, i + 1 - first), pa.array(ids, pa.list_(pa.int32()))], ["key", "ids"])
                     first, held = i + 1, 0

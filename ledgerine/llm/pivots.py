@@ -4,7 +4,7 @@ Every vector is described by its nearest pivots in order of nearness. The invert
 among a vector's ``nearest`` ones, the vectors that have them all; two vectors meet in a list exactly if at least ``shared`` of their
 pivots agree. Candidates are verified by cosine in double precision, and a pair that meets in several lists counts in one: that of
 its first shared pivots. Lists of any length are cut into blocks that meet pair by pair; links are counted inside a task and only a
-spanning forest is emitted. Equal vectors are one member with a multiplicity.
+link to the smallest member of each tree is emitted. Equal vectors are one member with a multiplicity.
 
 Pivots: ``pivots`` vectors spread by farthest-first choice over at most ``sample`` distinct ones (those of smallest hash); all
 vectors are indexed. Recall against brute force is measured in the tests.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, known_id, paired_blocks, shown_id, spanning, written
+from .common import Forest, components, known_id, paired_blocks, shown_id, stars, written
 from .minhash import bounds, by_cell, in_cells
 
 
@@ -115,8 +115,11 @@ def _verify(least: float, shared: int):
                 near &= canonical(perms, int(code[lo]), min(shared, perms.shape[1]))
                 count = near @ m[lo:hi]
                 i, j = np.nonzero(np.triu(near))
-                for x, y in spanning(i, j, hi - lo):
-                    for to, value in zip(out, (names[lo + x], names[lo + y], 0), strict=True):
+                forest = Forest(hi - lo)
+                for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                    forest.union(x, y)
+                for x, y in stars(forest, names[lo:hi]):
+                    for to, value in zip(out, (x, y, 0), strict=True):
                         to.append(value)
                 for x in np.flatnonzero(count).tolist():
                     for to, value in zip(out, (names[lo + x], None, int(count[x])), strict=True):
