@@ -36,7 +36,7 @@ LITERAL = "\udc00"
 class Lattices:
     """The vocabulary, and the places and edges of the parts seen so far. Place p's edges lie at key p .. p + 1 in ``bound``."""
 
-    def __init__(self, path: str, power: float, most_edges: int = 5_000_000):
+    def __init__(self, path: str, power: float, most_edges: int = 7_000_000):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
