@@ -237,7 +237,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cells = paired_blocks(meet, "key", F.col("c"), F.col("digest"), block).withColumn("whole", F.expr("cell.low = cell.high"))
     cells = in_cells(cells.select("cell", "side", "whole", "digest", "sign"))
     coarse = components(cells.mapInArrow(_screen(least), LINKS))
-    coarse = written(coarse.join(coarse.groupBy("root").agg(F.count("*").alias("c")), "root"))
+    coarse = written(coarse)
+    sizes = written(coarse.groupBy("root").agg(F.count("*").alias("c")))  # written, so that a join on a hot root can be broadcast or split
+    coarse = coarse.join(sizes, "root")
     wanted = written(coarse.withColumnRenamed("node", "digest").join(classes.select("digest", "doc"), "digest").select("doc", "digest", "root", "c"))
     few = wanted.count() <= SMALL
     sets = given.join(F.broadcast(wanted) if few else wanted, "doc").select("text", "digest", "root", "c")
@@ -247,7 +249,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = components(cells.mapInArrow(_confirm(percent), LINKS)).withColumnRenamed("node", "digest")
     named = classes.select("digest", "doc", "copies").join(linked, "digest", "left").where("copies > 1 or root is not null")
     named = written(named.withColumn("root", F.coalesce("root", "digest")))
-    lowest = named.groupBy("root").agg(F.min("doc").alias("component"))
+    lowest = written(named.groupBy("root").agg(F.min("doc").alias("component")))
     found = written(named.select("digest", "root").join(lowest, "root").select("digest", "component"))
     out = rows.select("doc", "n", "digest").join(found, "digest", "left").withColumn("component", F.coalesce("component", "doc"))
     return out.select(shown_id(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), shown_id(F.col("component")).alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))

@@ -154,7 +154,7 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     linked = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "digest")
     named = kinds.select("digest", "id", "m").join(linked, "digest", "left").join(counts, "digest", "left")
     named = written(named.withColumn("root", F.coalesce("root", "digest")))
-    lowest = named.groupBy("root").agg(F.min("id").alias("component"))
+    lowest = written(named.groupBy("root").agg(F.min("id").alias("component")))  # written, so that a join on a hot root can be broadcast or split
     named = written(named.join(lowest, "root").select("digest", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"), "component"))
     out = rows.select("id", "digest").join(named, "digest", "left").withColumn("component", F.coalesce("component", "id"))
     return out.select(shown_id(F.col("id")).alias("vec_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), shown_id(F.col("component")).alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
