@@ -1,9 +1,10 @@
 """SentencePiece encoding by forward filtering and backward sampling over the piece lattice; decoding is lossless.
 
 A text's lattice falls apart where no piece can cross: before a space mark that follows something else, and around characters that no
-longer piece holds. Each part is filtered forward once (log-sum of all segmentations up to each place) and kept; sampling runs backward
+longer piece holds. Each part is filtered forward once (sum over all segmentations up to each place) and kept; sampling runs backward
 for all parts of a batch at once, one edge a step, from the last place to the first. Random numbers are a hash of the row key, the
-part's number and the step: the same key and text give the same pieces in any batch, task or order.
+part's number and the step: the same key and text give the same pieces in any batch, task or order, to the last bit, for parts filtered
+one by one and in blocks go through the same sums in the same order.
 
 A BPE model has ranks, not probabilities; a piece of rank r has weight (r + 1) ^ -power (the law of Zipf), which needs no training.
 Characters without a piece are coded as UTF-8 byte pieces. So is the space mark itself where it stands in a text, which tells it from
@@ -20,6 +21,7 @@ import math
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ LITERAL = "\udc00"
 
 
 class Lattices:
-    """The vocabulary, and the places and edges of the parts seen so far. Place p's edges lie at key p .. p + 1 in ``bound``."""
+    """The vocabulary, and the places and edges of the parts seen so far. ``bound`` of a place's last edge is 1."""
 
     def __init__(self, path: str, power: float, most_edges: int = 7_000_000):
         from sentencepiece import SentencePieceProcessor
@@ -45,8 +47,11 @@ class Lattices:
         self.byte_ids = {int(model.id_to_piece(i)[3:5], 16): i for i in range(size) if model.is_byte(i)}
         plain = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         ranked = sorted(plain, key=lambda i: (-model.get_score(i), i))
-        self.pieces = {model.id_to_piece(i): (i, -power * math.log(r + 1.0)) for r, i in enumerate(ranked)}
+        self.pieces = {model.id_to_piece(i): (i, x, math.exp(x)) for r, i in enumerate(ranked) for x in [-power * math.log(r + 1.0)]}  # number, log-weight, weight
         self.longest = max(map(len, self.pieces))
+        self.spread = power * math.log(max(2, len(self.pieces)))  # of the logarithms of weights
+        if self.spread * self.longest > 600:
+            raise ValueError("weights lie too far apart")
         h = np.array([self._hash(np.array([[ord(c) for c in p]], np.uint64))[0] for p in self.pieces], np.uint64)
         order = np.argsort(h)
         self.hashes = h[order]
@@ -61,7 +66,7 @@ class Lattices:
         else:
             raise ValueError("pieces share all slots")
         self.hash_ids = np.append(np.array([x[0] for x in self.pieces.values()], np.int32)[order], np.int32(0))
-        self.hash_logs = np.append(np.array([x[1] for x in self.pieces.values()])[order], -np.inf)  # the last is for no piece
+        self.hash_weights = np.append(np.array([x[2] for x in self.pieces.values()])[order], 0.0)  # the last is for no piece
         own = set(plain)
         self.raw = [model.id_to_piece(i).replace(MARK, " ").encode() if i in own else bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else b"" for i in range(size)]
         inside = {c for p in self.pieces if len(p) > 1 for c in p}
@@ -76,7 +81,7 @@ class Lattices:
 
     def clear(self) -> None:
         self.ends: dict[str, int] = {}
-        self.bound, self.back, self.piece, self.first, self.places = array("d"), array("q"), array("i"), array("i"), 0
+        self.bound, self.back, self.piece, self.first, self.places = array("d"), array("i"), array("i"), array("i"), 0
 
     @staticmethod
     def _hash(codes: np.ndarray) -> np.ndarray:
@@ -93,13 +98,15 @@ class Lattices:
     def _found(self, h: np.ndarray) -> np.ndarray:
         """Number of the piece with each hash, -1 without."""
         shift, table = self.slots[0]
-        at = table[self._slot(h, shift)]
-        out = np.where(self.hashes[at] == h, at, -1)
+        out = table[self._slot(h, shift)]
+        left = np.flatnonzero(self.hashes[out] != h)
+        left = left[out[left] >= 0]  # a piece lies in a later table only where another has its slot here
+        out[self.hashes[out] != h] = -1
         for shift, table in self.slots[1:]:
-            at = table[self._slot(h, shift)]
-            i = np.flatnonzero(at >= 0)
-            i = i[self.hashes[at[i]] == h[i]]
-            out[i] = at[i]
+            at = table[self._slot(h[left], shift)]
+            hit = self.hashes[at] == h[left]
+            out[left[hit]] = at[hit]
+            left = left[~hit & (at >= 0)]
         return out
 
     def add_many(self, parts: list[str]) -> None:
@@ -113,91 +120,85 @@ class Lattices:
             step = len(own) if n == 1 else max(1, 500_000 // (n * n))
             for lo in range(0, len(own), step):
                 some = own[lo : lo + step]
-                if n > 24 or len(some) < 8:
+                if n > 24 or len(some) < 8 or n * self.spread > 400:
                     for part in some:
                         self.add(part)
                 else:
                     self._add_block(some, n)
 
     def _add_block(self, parts: list[str], n: int) -> None:
-        codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n).astype(np.uint64)
-        score = np.full((len(parts), n + 1, n), -np.inf)  # of the piece from start (last axis) to end
-        piece = np.zeros((len(parts), n + 1, n), np.int32)
+        codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n).T.astype(np.uint64, order="C")
+        at = np.full((n * (n + 1) // 2, len(parts)), -1, np.int32)  # piece from start to end, in row end * (end - 1) / 2 + start
         for start in range(n):
             h = np.zeros(len(parts), np.uint64)
             for end in range(start + 1, min(n, start + self.longest) + 1):
-                h = (h ^ codes[:, end - 1]) * np.uint64(0x9FB21C651E98DF25)
+                h = (h ^ codes[end - 1]) * np.uint64(0x9FB21C651E98DF25)
                 h ^= h >> np.uint64(29)
-                at = self._found(h)
-                score[:, end, start] = self.hash_logs[at]
-                piece[:, end, start] = self.hash_ids[at]
-        whole = np.isfinite(score[:, np.arange(1, n + 1), np.arange(n)]).all(1)
+                at[end * (end - 1) // 2 + start] = self._found(h)
+        whole = (at[[end * (end + 1) // 2 - 1 for end in range(1, n + 1)]] >= 0).all(0)
         for i in np.flatnonzero(~whole).tolist():
             self.add(parts[i])
-        if not whole.any():
-            return
         keep = np.flatnonzero(whole)
-        score, piece = score[keep], piece[keep]
-        total = np.zeros((len(keep), n + 1))
+        if not len(keep):
+            return
+        at = at[:, keep]
+        up, total = self.hash_weights[at], [np.ones(len(keep))]
         for end in range(1, n + 1):
-            score[:, end, :end] += total[:, :end]
-            top = score[:, end, :end].max(1)
-            total[:, end] = top + np.log(np.exp(score[:, end, :end] - top[:, None]).sum(1))
-        used = np.isfinite(score[:, 1:])
-        up = np.cumsum(np.exp(score[:, 1:] - total[:, 1:, None]), axis=2)
-        last = n - 1 - used[:, :, ::-1].argmax(2)
-        np.put_along_axis(up, last[:, :, None], 1.0, 2)
-        own = self.places + np.arange(len(keep) * n).reshape(len(keep), n)  # place of each end
-        back = np.broadcast_to(np.concatenate([np.full((len(keep), 1), -1), own[:, :-1]], axis=1)[:, None, :], used.shape)
-        number = used.sum(2).ravel()
+            here, sum_ = up[end * (end - 1) // 2 : end * (end + 1) // 2], np.zeros(len(keep))
+            for start in range(end):
+                here[start] *= total[start]
+                sum_ += here[start]
+                here[start] = sum_
+            here /= sum_
+            total.append(sum_)
+        at, up = np.ascontiguousarray(at.T), np.ascontiguousarray(up.T)  # a part's edges by end, then start
+        used = at >= 0
+        own = self.places + np.arange(len(keep) * n, dtype=np.int32).reshape(len(keep), n)  # place of each end
+        back = np.concatenate([np.full((len(keep), 1), -1, np.int32), own[:, :-1]], axis=1)[:, [start for end in range(1, n + 1) for start in range(end)]]
+        number = np.add.reduceat(used, [end * (end - 1) // 2 for end in range(1, n + 1)], axis=1, dtype=np.int64).ravel()
         self.first.frombytes((len(self.bound) + np.cumsum(number) - number).astype(np.int32).tobytes())
-        self.bound.frombytes((own[:, :, None] + np.minimum(up, 1.0))[used].tobytes())
-        self.back.frombytes(back[used].astype(np.int64).tobytes())
-        self.piece.frombytes(piece[:, 1:][used].tobytes())
+        self.bound.frombytes(up[used].tobytes())
+        self.back.frombytes(back[used].astype(np.int32).tobytes())
+        self.piece.frombytes(self.hash_ids[at[used]].tobytes())
         self.places += len(keep) * n
         self.ends.update(zip([parts[i] for i in keep.tolist()], own[:, -1].tolist(), strict=True))
 
     def add(self, part: str) -> int:
         """The place at the end of a part."""
         n, get, longest = len(part), self.pieces.get, self.longest
-        place, score = [-2] * (n + 1), [0.0] * (n + 1)
-        place[0] = -1
+        place, total = [-2] * (n + 1), [0.0] * (n + 1)
+        place[0], total[0] = -1, 1.0
         for end in range(1, n + 1):
-            options = []
+            options, up = [], 0.0
             for start in range(end - longest if end > longest else 0, end):
                 if place[start] != -2 and (p := get(part[start:end])) is not None:
-                    options.append((place[start], p[0], score[start] + p[1]))
-            if len(options) == 1:
-                place[end], score[end] = self._place(options, options[0][2]), options[0][2]
-            elif options:
-                top = max([x[2] for x in options])
-                total = top + math.log(sum([math.exp(x[2] - top) for x in options]))
-                place[end], score[end] = self._place(options, total), total
+                    up += total[start] * p[2]
+                    options.append((place[start], p[0], up))
+            if options:
+                place[end], total[end] = self._place(options, up), up
             elif place[end - 1] != -2 and part[end - 1] not in self.pieces:
                 at = place[end - 1]
                 for b in (MARK if part[end - 1] == LITERAL else part[end - 1]).encode():
-                    at = self._place([(at, self.byte_ids[b], 0.0)], 0.0)
-                place[end], score[end] = at, score[end - 1]
+                    at = self._place([(at, self.byte_ids[b], 1.0)], 1.0)
+                place[end], total[end] = at, total[end - 1]
+            if 0 < total[end] < 2.0**-600:  # a power of two, which changes no share
+                for i in range(max(0, end - longest), end + 1):
+                    total[i] *= 2.0**600
         self.ends[part] = place[n]
         return place[n]
 
     def _place(self, options: list, total: float) -> int:
-        at, up = self.places, 0.0
         self.first.append(len(self.bound))
-        for back, piece, x in options[:-1]:
-            up += math.exp(x - total)
-            self.bound.append(at + up if up < 1 else at + 1.0)
+        for back, piece, up in options:
+            self.bound.append(up / total)
             self.back.append(back)
             self.piece.append(piece)
-        self.bound.append(at + 1.0)
-        self.back.append(options[-1][0])
-        self.piece.append(options[-1][1])
-        self.places = at + 1
-        return at
+        self.places += 1
+        return self.places - 1
 
     def tables(self):
         """Views that must be gone before the next part is added."""
-        return np.frombuffer(self.bound), np.frombuffer(self.back, np.int64), np.frombuffer(self.piece, np.int32), np.frombuffer(self.first, np.int32)
+        return np.frombuffer(self.bound), np.frombuffer(self.back, np.int32), np.frombuffer(self.piece, np.int32), np.frombuffer(self.first, np.int32)
 
     def split(self, text: str) -> list[str]:
         return self.parts.findall(MARK + text.replace(MARK, LITERAL).replace(" ", MARK))
@@ -206,24 +207,24 @@ class Lattices:
         """Piece ids of each text."""
         if len(self.bound) > self.most_edges:
             self.clear()
-        ends, owner, number, split = [], [], [], [self.split(text) if text else [] for text in texts]
-        get = self.ends.get
-        self.add_many([p for parts in split for p in parts if p not in self.ends])
-        for i, parts in enumerate(split):
-            if parts:
-                ends.append(np.array([get(p) for p in parts], np.int64))
-                owner.append(np.full(len(parts), i))
-                number.append(np.arange(len(parts), dtype=np.uint64))
-        if not ends:
+        split = [self.split(text) if text else [] for text in texts]
+        parts = [p for own in split for p in own]
+        if not parts:
             return [np.zeros(0, np.int32) for _ in texts]
+        count = np.fromiter(map(len, split), np.int64, len(split))
+        owner = np.repeat(np.arange(len(texts)), count)
+        number = (np.arange(len(parts)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64)
+        at = np.fromiter(map(self.ends.get, parts, repeat(-3)), np.int64, len(parts))
+        new = np.flatnonzero(at == -3).tolist()
+        self.add_many([parts[i] for i in new])
+        at[new] = [self.ends[parts[i]] for i in new]
         bound, back, piece, first = self.tables()
-        at, owner, number = np.concatenate(ends), np.concatenate(owner), np.concatenate(number)
         seed = mixed(keys.astype(np.int64).view(np.uint64)[owner] + mixed(number) * GOLD)
         live, steps = np.arange(len(at)), []
         size = np.zeros(len(at), np.int64)
         while len(live):
             u = (mixed(seed[live] + np.uint64((len(steps) + 1) * int(GOLD) % 2**64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge, u = first[at[live]], u + at[live]
+            edge = first[at[live]]
             late = np.flatnonzero(bound[edge] <= u)
             while len(late):  # an edge further for those whose number lies beyond; the last edge's bound is beyond all
                 edge[late] += 1

@@ -279,6 +279,23 @@ def test_pieces(spark):
     assert [r["text"] for r in back] == [t or "" for t in texts]
 
 
+def test_piece_draws_do_not_depend_on_the_table():
+    path = tokenizer_path("piece_bpe_32k.model")
+    one, two = pieces.Lattices(path, 1.0), pieces.Lattices(path, 1.0)
+    texts = [prose(i, 60) for i in range(40)] + ["é日" * 30, "x" * 3000, "ab" * 9, ""]
+    for part in dict.fromkeys(p for t in reversed(texts) for p in one.split(t)):
+        one.add(part)  # one by one and in another order
+    keys = np.arange(len(texts))
+    a, b = one.sample(texts, keys), two.sample(texts, keys)
+    assert [x.tolist() for x in a] == [x.tolist() for x in b] and [two.decode(x) for x in b] == texts
+
+    def edges(own, part):
+        lo = own.first[own.ends[part]]
+        return own.bound[lo : own.bound.index(1.0, lo) + 1].tolist()
+
+    assert all(edges(one, p) == edges(two, p) for t in texts[:-1] for p in one.split(t))
+
+
 def test_piece_distribution():
     own = pieces.Lattices(tokenizer_path("piece_bpe_32k.model"), 1.0)
     word, n = "▁the", 20000
