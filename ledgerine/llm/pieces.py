@@ -25,6 +25,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +36,21 @@ MARK = "▁"
 LITERAL = "\udc00"
 
 
+def raw_pieces(model) -> list[bytes]:
+    """The bytes that each piece stands for; control pieces stand for none."""
+    size = model.get_piece_size()
+    return [bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) or model.is_unknown(i) or model.is_unused(i) else model.id_to_piece(i).replace(MARK, " ").encode() for i in range(size)]
+
+
+def spelled(raw: list[bytes], ids: np.ndarray) -> str:
+    out = b"".join(map(raw.__getitem__, ids.tolist()))
+    return (out[1:] if out[:1] == b" " else out).decode()
+
+
 class Lattices:
     """The vocabulary, and the places and edges of the parts seen so far. ``bound`` of a place's last edge is 1."""
 
-    def __init__(self, path: str, power: float, most_edges: int = 7_000_000):
+    def __init__(self, path: str, power: float, most_edges: int = 4_000_000):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
@@ -67,8 +79,7 @@ class Lattices:
             raise ValueError("pieces share all slots")
         self.hash_ids = np.append(np.array([x[0] for x in self.pieces.values()], np.int32)[order], np.int32(0))
         self.hash_weights = np.append(np.array([x[2] for x in self.pieces.values()])[order], 0.0)  # the last is for no piece
-        own = set(plain)
-        self.raw = [model.id_to_piece(i).replace(MARK, " ").encode() if i in own else bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else b"" for i in range(size)]
+        self.raw = raw_pieces(model)
         inside = {c for p in self.pieces if len(p) > 1 for c in p}
         if any(MARK in p.lstrip(MARK) for p in self.pieces):
             raise ValueError("a piece crosses a space")
@@ -242,8 +253,7 @@ class Lattices:
         return [out[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
     def decode(self, ids: np.ndarray) -> str:
-        raw = b"".join(map(self.raw.__getitem__, ids.tolist()))
-        return (raw[1:] if raw[:1] == b" " else raw).decode()
+        return spelled(self.raw, ids)
 
 
 @functools.cache
@@ -252,32 +262,52 @@ def lattices(path: str, power: float) -> Lattices:
     return Lattices(path, power)
 
 
+@functools.cache
+def spellings(path: str) -> list[bytes]:
+    """All that decoding needs; it runs in workers of its own, beside those that encode."""
+    from sentencepiece import SentencePieceProcessor
+
+    return raw_pieces(SentencePieceProcessor(model_file=path))
+
+
+#: Bytes of text, or of ids, of one run.
+RUN = 1_500_000
+
+
+def _runs(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first row, row after the last) of runs of whole rows."""
+    ends, first = np.cumsum(sizes), 0
+    while first < len(sizes):
+        before = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + RUN, "right")))
+        yield first, last
+        first = last
+
+
 def _encode(path: str, power: float, seed: int):
     salt = mixed_int(seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattices(path, power)
         for batch in batches:
-            texts = texts_of(batch.column(1))
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             keys = (mixed(batch.column(0).to_numpy().view(np.uint64)) ^ np.uint64(salt)).view(np.int64)
-            first, held = 0, 0
-            for i, text in enumerate(texts):
-                held += len(text)
-                if held > 1_500_000 or i == len(texts) - 1:
-                    ids = own.sample(texts[first : i + 1], keys[first : i + 1])
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, i + 1 - first), pa.array(ids, pa.list_(pa.int32()))], ["key", "ids"])
-                    first, held = i + 1, 0
+            for lo, hi in _runs(sizes):
+                ids = own.sample(texts_of(batch.column(1).slice(lo, hi - lo)), keys[lo:hi])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(ids, pa.list_(pa.int32()))], ["key", "ids"])
 
     return run
 
 
-def _decode(path: str, power: float):
+def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = lattices(path, power)
+        raw = spellings(path)
         for batch in batches:
-            ids = batch.column(batch.num_columns - 1)
-            texts = [own.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else "" for x in ids]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
+            sizes = 4 * pc.fill_null(pc.list_value_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for lo, hi in _runs(sizes):
+                part = batch.slice(lo, hi - lo)
+                texts = [spelled(raw, x.values.to_numpy(zero_copy_only=False)) if x.is_valid else "" for x in part.column(part.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
 
     return run
 
@@ -289,6 +319,6 @@ def encode_sampled(docs: DataFrame, model: str, id_col: str = "doc_id", text_col
     return out.select(F.when(F.col("key") != -(2**63), F.col("key")).alias("doc_id"), "ids")
 
 
-def decode_pieces(encoded: DataFrame, model: str, power: float = 1.0) -> DataFrame:
+def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
     """doc_id, ids and the ``text`` they spell."""
-    return encoded.select("doc_id", "ids").mapInArrow(_decode(model, power), "doc_id long, ids array<int>, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(_decode(model), "doc_id long, ids array<int>, text string")
