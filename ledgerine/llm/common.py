@@ -93,6 +93,7 @@ def components(edges: DataFrame, scratch=written, most_rounds: int = 60) -> Data
 
     Alternates large-star and small-star steps. Each step is a minimum per node, which is combined before the exchange, and
     an equi-join that the runtime may split when a node is hot, so no task ever holds the neighbours of one node together.
+    The minima of a round also show whether all links are stars by now, so links that come as stars cost no round.
     Self links and nulls are ignored; with no links the result is empty. Only DataFrame operations are used.
     """
     e = scratch(
@@ -100,29 +101,20 @@ def components(edges: DataFrame, scratch=written, most_rounds: int = 60) -> Data
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
-    state = _state(e)
     for _ in range(most_rounds):
-        if state[0] == 0:
+        both = e.withColumn("down", F.lit(1)).unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(0).alias("down")))
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.sum("down").alias("downs"), F.count("*").alias("n"))
+        low = scratch(low.select("a", F.least("a", "m").alias("m"), ((F.col("downs") > 0) & (F.col("n") > 1)).alias("open")))  # so that the runtime can split the join
+        if low.where("open").isEmpty():  # a node has either one smaller neighbour and no other, or larger ones alone
             break
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = scratch(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))  # so that the runtime can split the join
         large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        links = large.join(low, "a")
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        links = large.join(least, "a")
         small = links.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = scratch(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-        before, state = state, _state(e)
-        if before == state:
-            break
+        e = scratch(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
     else:
         raise RuntimeError("components did not settle")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-
-
-def _state(e: DataFrame) -> tuple:
-    """Count and an order-free digest of the links."""
-    x = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-    return x["n"], x["h"]
+    return low.select(F.col("a").alias("node"), F.col("m").alias("root"))
 
 
 class Forest:
