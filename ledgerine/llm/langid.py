@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import flat_texts
 
-SLICE = 2_000_000
+SLICE = 500_000
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:

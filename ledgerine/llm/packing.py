@@ -64,7 +64,7 @@ class ChunkIds(dict):
     stands. The newest ``most`` entries and the generation before them are kept, so frequent chunks stay and memory is bounded.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 150_000):
         import tiktoken
         from tokenizers import Tokenizer
 
