@@ -101,6 +101,12 @@ class ChunkIds(dict):
             self[chunk] = out
         return out
 
+    def forget(self) -> None:
+        """Gives the memory back; workers outlive tasks and go on with other stages."""
+        self.clear()
+        self.old, self.tails = {}, {}
+        pa.default_memory_pool().release_unused()
+
     def ids(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, split_ascii(text)))
 
@@ -111,7 +117,7 @@ PUNCTUATION = ".,!?;:|)]"
 
 @functools.cache
 def chunk_ids(path: str) -> ChunkIds:
-    """One table for each Python worker, kept from task to task."""
+    """The tokenizer of a Python worker, kept from task to task; the chunks are not."""
     return ChunkIds(path)
 
 
@@ -156,6 +162,7 @@ def _pack(tokenizer: str, end_id: int, most: int, keep_ids: bool):
                     yield _batch(rows)
                     rows, held = [[] for _ in rows], 0
             yield _batch(rows)
+        chunks.forget()
 
     return run
 
