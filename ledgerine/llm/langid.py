@@ -5,28 +5,34 @@ exclusion). The contexts of all languages form one tree; for each node the code
 once: from the longest context the language has seen, with its escape probabilities down to a uniform order -1. A text's
 code length is the sum over its bytes, so it is exact, does not depend on the batch, and takes one table look-up a byte.
 
-Training reads at most ``sample_rows`` labelled rows a language (about; chosen by the hash of the id), which bounds the model at
-any input size. Bytes that no sampled text holds share one symbol.
+Training reads at most ``sample_rows`` labelled rows a language (about; chosen by the hash of the id), which bounds the model of a
+language at any input size. Every language is learned. Languages are dealt to models of about ``MODEL_BYTES`` and ``TOGETHER``
+languages at most; with more than one model a task holds one at a time, so memory does not grow with the number of languages, but
+time and the disk for the models do. Bytes that no sampled text holds share one symbol.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; a null language is never learned; with nothing to learn
-from, all texts are ``und``; ids may be null or repeat (null ids hash as the empty string); extra columns are carried through
+from, all texts are ``und``; a language with empty texts only has nothing to learn; ids may be null or repeat (in the sample a null id is
+drawn by its text); extra columns are carried through
 where they do not clash; a table without rows gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_texts
+from .common import flat_texts, written
 
 SLICE = 500_000
+#: Languages of one model at most, and bytes of its costs (a language that needs more has a model of its own).
+TOGETHER = 16
+MODEL_BYTES = 32_000_000
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
@@ -92,18 +98,56 @@ def _count(order: int):
     return run
 
 
-def fit(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 600, order: int = 3, most_languages: int = 400) -> Model | None:
-    """Learns from rows of ``where`` with a language; None if there are none. The driver gets n-gram counts of the bounded sample only."""
+class Models:
+    """Models of all languages, each sent to the executors by itself. ``languages`` are in the order of the models."""
+
+    def __init__(self, languages: list[str], parts: list[Broadcast]):
+        self.languages, self.parts = languages, parts
+
+    def each(self) -> Iterator[Model]:
+        for part in self.parts:
+            yield part.value
+            if len(self.parts) > 1 and getattr(part, "_path", None):
+                part.__dict__.pop("_value", None)  # read again from the task's local file for the next batch
+
+
+def fit(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 600, order: int = 3) -> Models | None:
+    """Learns every language of rows of ``where``; None if there are none. The driver gets n-gram counts of the bounded sample only, of ``TOGETHER`` languages at a time."""
     if order != 3:
         raise ValueError("counts are kept in 32 bits: order must be 3")
-    given = docs.where(where & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    share = [(r["lang"], min(1.0, sample_rows / r["n"])) for r in given.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()]
+    spark = docs.sparkSession
+    given = docs.where(where & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).cast("string").alias("id"))
+    share = [(r["lang"], min(1.0, sample_rows / r["n"])) for r in given.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()]
     if not share:
         return None
-    spot = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(7)), F.lit(1_000_000)) / 1_000_000.0
-    chosen = reduce(lambda a, b: a | b, [(F.col(lang_col).cast("string") == lang) & (spot < part) for lang, part in share])
-    counts = given.where(chosen).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).mapInArrow(_count(order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    return build(counts, sorted(lang for lang, _ in share), order) if len(counts) else None
+    spot = F.pmod(F.xxhash64(F.coalesce("id", "text"), F.lit(7)), F.lit(1_000_000)) / 1_000_000.0
+    chosen = given.join(F.broadcast(spark.createDataFrame(share, "lang string, part double")), "lang").where(spot < F.col("part"))
+    counts = chosen.select("lang", "text").mapInArrow(_count(order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    languages = sorted(lang for lang, _ in share)
+    if len(languages) > TOGETHER:
+        counts = written(counts.repartitionByRange("lang").sortWithinPartitions("lang"))
+    names, parts = [], []
+    for i in range(0, len(languages), TOGETHER):
+        some = languages[i : i + TOGETHER]
+        found = (counts.where(F.col("lang").isin(some)) if len(languages) > TOGETHER else counts).toPandas()
+        for group in grouped(found, order):
+            names += group
+            parts.append(spark.sparkContext.broadcast(build(found[found["lang"].isin(group)], group, order)))
+    return Models(names, parts) if parts else None
+
+
+def grouped(counts: pd.DataFrame, order: int = 3) -> list[list[str]]:
+    """The languages of ``counts``, in order, in groups whose costs take about ``MODEL_BYTES`` at most."""
+    out, nodes, symbols = [], 0, set()
+    for lang, gram in counts.groupby("lang", sort=True)["gram"]:
+        own = sum(len(np.unique((gram.to_numpy() >> 8) & ((1 << 8 * k) - 1))) for k in range(order + 1))
+        used = set(np.unique(gram.to_numpy() & 255).tolist())
+        if not out or (nodes + own) * (len(symbols | used) + 1) * (len(out[-1]) + 1) * 4 > MODEL_BYTES:
+            out.append([])
+            nodes, symbols = 0, set()
+        out[-1].append(lang)
+        nodes, symbols = nodes + own, symbols | used
+    return out
 
 
 def build(counts: pd.DataFrame, languages: list[str], order: int = 3, most_symbols: int = 80) -> Model:
@@ -150,27 +194,32 @@ def build(counts: pd.DataFrame, languages: list[str], order: int = 3, most_symbo
     return Model(languages, symbol, node_of.astype(np.int32), cost.astype(np.float32), order)
 
 
-def _predict(model: Model | None):
+def _bits(model: Model, column: pa.Array) -> np.ndarray:
+    """(texts, languages) code lengths of a column of texts."""
+    out = [np.zeros((0, len(model.languages)))]
+    for _, _, data, offsets in flat_texts(column, SLICE):
+        out.append(_long(model, data) if len(data) > 4 * SLICE else model.bits(data, offsets))
+    return np.concatenate(out)
+
+
+def _predict(models: Models | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            texts = batch.column(0)
+            if models is None:
+                bits = np.zeros((len(texts), 1))
+            else:
+                bits = np.concatenate([_bits(m, texts) for m in models.each()], axis=1)
+            least = bits.min(1, keepdims=True)
+            share = 1 / np.exp2(np.clip(least - bits, -1000, 0)).sum(1)
+            best = bits.argmin(1)
             out_lang, out_score, out_bits = [], [], []
-            for first, last, data, offsets in flat_texts(batch.column(0), SLICE):
-                lengths = np.diff(offsets)
-                if model is None:
-                    bits = np.zeros((last - first, 1))
-                elif len(data) > 4 * SLICE:
-                    bits = _long(model, data)
-                else:
-                    bits = model.bits(data, offsets)
-                order = bits.min(1, keepdims=True)
-                share = 1 / np.exp2(np.clip(order - bits, -1000, 0)).sum(1)
-                best = bits.argmin(1)
-                for i in range(last - first):
-                    text = batch.column(0)[first + i].as_py() if model is not None and lengths[i] else None
-                    ok = text is not None and has_letter(text)
-                    out_lang.append(model.languages[best[i]] if ok else "und")
-                    out_score.append(float(share[i]) if ok else 0.0)
-                    out_bits.append(float(order[i, 0]) if ok else None)
+            for i in range(len(texts)):
+                text = texts[i].as_py() if models is not None else None
+                ok = text is not None and has_letter(text)
+                out_lang.append(models.languages[best[i]] if ok else "und")
+                out_score.append(float(share[i]) if ok else 0.0)
+                out_bits.append(float(least[i, 0]) if ok else None)
             own = pa.array(out_lang, pa.string()), pa.array(out_score, pa.float64()), pa.array(out_bits, pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *own], [*batch.schema.names[1:], "lang_pred", "score", "bits"])
 
@@ -194,15 +243,14 @@ def has_letter(text: str) -> bool:
     return any(c.isalpha() for c in text[:64]) or any(map(str.isalpha, text))
 
 
-def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``lang_pred``, ``score`` (share of the likelihood that the best language holds), ``bits``. Map-only; the model is a bounded table sent with the tasks."""
+def predict(docs: DataFrame, model: Models | None, text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` and ``lang_pred``, ``score`` (share of the likelihood that the best language holds), ``bits``. Map-only; the models are sent to the executors."""
     names = [n for n in docs.columns if n not in ("lang_pred", "score", "bits")]
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
     given = docs.select(F.col(text_col).alias("_text"), *[F.col(f"`{n}`").alias(f"_c{i}") for i, n in enumerate(names)])
     fields = ", ".join([*(f"_c{i} {docs.schema[n].dataType.simpleString()}" for i, n in enumerate(names)), "lang_pred string, score double, bits double"])
 
     def run(batches):
-        yield from _predict(shipped.value)(batches)
+        yield from _predict(model)(batches)
 
     out = given.mapInArrow(run, fields)
     return out.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)], "lang_pred", "score", "bits")

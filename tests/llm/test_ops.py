@@ -268,6 +268,32 @@ def test_language_accuracy(spark):
     assert langid.predict(docs(spark, ["a"]), langid.fit(d.limit(0), F.lit(True))).first()["lang_pred"] == "und"
 
 
+def test_all_languages_are_learned(spark):
+    names = [f"l{i:03d}" for i in range(403)]
+    rng = np.random.default_rng(8)
+    rows = []
+    for i, lang in enumerate(names):
+        own = [chr(0x4E00 + 8 * i + int(j)) for j in range(8)]
+        rows += [(2 * i + k, "".join(rng.choice(own, 12)), lang if k == 0 or i < 400 else None, "s", 0) for k in range(2)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    model = langid.fit(d, F.lit(True))
+    assert model.languages == names and len(model.parts) == 26
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(d, model).collect()}
+    assert {k: v[0] for k, v in found.items()} == {r[0]: names[r[0] // 2] for r in rows}
+
+
+def test_models_by_language_give_the_bits_of_one(spark, monkeypatch):
+    d = spark.createDataFrame([(i, prose(40, 900 + i) + " " + x * 20, x, "s", 0) for i, x in enumerate("pqrst" * 3)], SCHEMA)
+    one = langid.fit(d, F.lit(True))
+    whole = sorted(langid.predict(d, one).collect())
+    monkeypatch.setattr(langid, "MODEL_BYTES", 1)
+    monkeypatch.setattr(langid, "TOGETHER", 2)
+    each = langid.fit(d, F.lit(True))
+    assert len(one.parts) == 1 and len(each.parts) == 5
+    for a, b in zip(whole, sorted(langid.predict(d, each).collect()), strict=True):
+        assert a["lang_pred"] == b["lang_pred"] and a["bits"] == pytest.approx(b["bits"], rel=1e-5) and a["score"] == pytest.approx(b["score"], rel=1e-3)
+
+
 def test_pieces(spark):
     model = tokenizer_path("piece_bpe_32k.model")
     texts = [*ODD, prose(300, 40), "...a,b. .c", "▁▁ ▁", " lead", "two  spaces "]
