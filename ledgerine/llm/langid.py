@@ -11,9 +11,8 @@ languages at most; with more than one model a task holds one at a time, so memor
 time and the disk for the models do. Bytes that no sampled text holds share one symbol.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; a null language is never learned; with nothing to learn
-from, all texts are ``und``; a language with empty texts only has nothing to learn; ids may be null or repeat (in the sample a null id is
-drawn by its text); extra columns are carried through
-where they do not clash; a table without rows gives an empty result.
+from, all texts are ``und``; a language with empty texts only has nothing to learn; ids may be null or repeat (in the sample a
+null id is drawn by its text); extra columns are carried through where they do not clash; a table without rows gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +31,7 @@ from .common import flat_texts, written
 SLICE = 500_000
 #: Languages of one model at most, and bytes of its costs (a language that needs more has a model of its own).
 TOGETHER = 16
-MODEL_BYTES = 32_000_000
+MODEL_BYTES = 48_000_000
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
@@ -40,10 +39,13 @@ def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
 
 
 class Model:
-    """``symbol``: byte to symbol. ``node``: context of ``order`` symbols (as a number) to tree node. ``cost``: (node, symbol, language) bits."""
+    """``symbol``: byte to symbol. ``row``: the last ``order`` - 1 symbols (as a number) to a row of ``node``, which has the tree node for each symbol before them. ``cost``: (node, symbol, language) bits.
 
-    def __init__(self, languages: list[str], symbol: np.ndarray, node: np.ndarray, cost: np.ndarray, order: int):
-        self.languages, self.symbol, self.node, self.cost, self.order = languages, symbol, node, cost, order
+    Only contexts that a sampled text holds have rows of their own, so each byte can have its own symbol.
+    """
+
+    def __init__(self, languages: list[str], symbol: np.ndarray, row: np.ndarray, node: np.ndarray, cost: np.ndarray, order: int):
+        self.languages, self.symbol, self.row, self.node, self.cost, self.order = languages, symbol, row, node, cost, order
 
     def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """(texts, languages) code lengths. Each text starts after ``order`` line ends."""
@@ -60,8 +62,13 @@ class Model:
             shifted = np.empty(n, np.int32)
             shifted[back:] = s[: n - back]
             shifted[: min(back, n)] = edge
-            context = context * np.int32(size) + np.where(since < back, edge, shifted)
-        each = self.cost.reshape(-1, len(self.languages))[self.node[context].astype(np.int64) * size + s]
+            shifted = np.where(since < back, edge, shifted)
+            if back == self.order:
+                first = shifted
+            else:
+                context = context * np.int32(size) + shifted
+        node = self.node[self.row[context], first]
+        each = self.cost.reshape(-1, len(self.languages))[node.astype(np.int64) * size + s]
         out = np.zeros((len(lengths), len(self.languages)))
         out[lengths > 0] = np.add.reduceat(each, full, axis=0, dtype=np.float64)
         return out
@@ -150,15 +157,14 @@ def grouped(counts: pd.DataFrame, order: int = 3) -> list[list[str]]:
     return out
 
 
-def build(counts: pd.DataFrame, languages: list[str], order: int = 3, most_symbols: int = 80) -> Model:
+def build(counts: pd.DataFrame, languages: list[str], order: int = 3) -> Model:
     gram, n = counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.float64)
     lang = np.searchsorted(np.array(languages, dtype=object), counts["lang"].to_numpy(dtype=object))
-    seen = np.bincount(gram & 255, n, 256)
-    kept = [b for b in np.argsort(-seen, kind="stable")[: most_symbols - 1].tolist() if seen[b]]
+    kept = np.union1d(gram & 255, [10])  # line ends stand before each text
     size = len(kept) + 1
-    symbol = np.full(256, size - 1, np.uint8)
+    symbol = np.full(256, size - 1, np.int16)
     symbol[kept] = np.arange(size - 1)
-    shared = 256 - len(kept)
+    shared = max(1, 256 - len(kept))
     parts = [symbol[(gram >> (8 * back)) & 255].astype(np.int64) for back in range(order, -1, -1)]
     L = len(languages)
     # Order -1: uniform over the 256 bytes. Then order by order: p = (count + distinct * p of the shorter context) / (total + distinct).
@@ -182,6 +188,17 @@ def build(counts: pd.DataFrame, languages: list[str], order: int = 3, most_symbo
             probs.append(own)
             node_of = np.zeros(1, np.int64)
             all_probs = [own]
+        elif k == order:
+            first = sum(len(x) for x in all_probs)
+            all_probs.append(own)
+            probs.append(np.concatenate(all_probs))
+            suffix = found % size ** (k - 1)
+            own_rows = np.unique(suffix)
+            # A context whose suffix is not seen stands at the suffix's node, one of the shared rows.
+            shorter, row_of = np.unique(node_of, return_inverse=True)
+            row_of[own_rows] = len(shorter) + np.arange(len(own_rows))
+            node = np.repeat(np.concatenate([shorter, node_of[own_rows]])[:, None], size, axis=1)
+            node[row_of[suffix], found // size ** (k - 1)] = first + np.arange(len(found))
         else:
             first = sum(len(x) for x in all_probs)
             longer = np.tile(node_of, size)  # a context not seen stands at the node of its longest seen suffix
@@ -191,7 +208,7 @@ def build(counts: pd.DataFrame, languages: list[str], order: int = 3, most_symbo
             probs.append(np.concatenate(all_probs))
     cost = -np.log2(probs[-1])
     cost[:, -1, :] += np.log2(shared)
-    return Model(languages, symbol, node_of.astype(np.int32), cost.astype(np.float32), order)
+    return Model(languages, symbol, row_of.astype(np.int32), node.astype(np.int32), cost.astype(np.float32), order)
 
 
 def _bits(model: Model, column: pa.Array) -> np.ndarray:

@@ -268,6 +268,36 @@ def test_language_accuracy(spark):
     assert langid.predict(docs(spark, ["a"]), langid.fit(d.limit(0), F.lit(True))).first()["lang_pred"] == "und"
 
 
+def test_each_sampled_byte_has_its_symbol():
+    import pandas as pd
+
+    texts = {"x": ["".join(map(chr, range(32, 256))), "жзи漢字 кий"], "y": ["жзк字漢 123 789 éàü", "".join(map(chr, range(0x3040, 0x3100)))]}
+    frames, tables = [], {}
+    for lang, own in texts.items():
+        padded = [b"\n\n\n" + t.encode() for t in own]
+        data, offsets = np.frombuffer(b"".join(t.encode() for t in own), np.uint8), np.cumsum([0] + [len(t.encode()) for t in own])
+        frames.append(pd.DataFrame({"lang": lang, "gram": langid.grams(data, offsets, 3).astype(np.int64), "n": 1}))
+        tables[lang] = {}
+        for t in padded:
+            for i in range(3, len(t)):
+                for k in range(4):
+                    to = tables[lang].setdefault(t[i - k : i], {})
+                    to[t[i]] = to.get(t[i], 0) + 1
+
+    def p(lang, context, symbol):
+        low = p(lang, context[1:], symbol) if context else 1 / 256
+        counts = tables[lang].get(context)
+        return (counts.get(symbol, 0) + len(counts) * low) / (sum(counts.values()) + len(counts)) if counts else low
+
+    model = langid.build(pd.concat(frames), ["x", "y"])
+    for text in ("жзи 字漢 897 ÿéà ひら", "abc\n\x01漢", "Ωx"):
+        padded = b"\n\n\n" + text.encode()
+        exact = [-sum(np.log2(p(lang, padded[i - 3 : i], padded[i])) for i in range(3, len(padded))) for lang in ("x", "y")]
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert model.bits(data, np.array([0, len(data)]))[0].tolist() == pytest.approx(exact, rel=1e-5)
+    assert len(set(model.symbol.tolist())) > 150
+
+
 def test_all_languages_are_learned(spark):
     names = [f"l{i:03d}" for i in range(403)]
     rng = np.random.default_rng(8)
