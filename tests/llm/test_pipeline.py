@@ -28,3 +28,12 @@ def test_stages(spark, tmp_path):
             assert d.columns == corpus_pipeline.COLUMNS
     assert sum(r["length"] for r in rows if r["doc_id"] == 0) == rows[[r["doc_id"] for r in rows].index(0)]["doc_tokens"]
     assert suffix.GRAM == 48
+
+
+def test_text_of_no_learned_language_goes(spark):
+    from test_ops import prose
+
+    own = [(i, prose(120, 700 + i), "en", "s", 0) for i in range(8)] + [(8, prose(30, 708), None, "s", 0)]
+    other = ["Съешь же ещё этих мягких французских булок да выпей чаю", "これは日本語の文章です", "aGVsbG8gd29ybGQgdGhpcyBpcyBiYXNlNjQ=", "QUICK ZYX JUMPS OVER WV"]
+    d = spark.createDataFrame(own + [(20 + i, t, None, "s", 0) for i, t in enumerate(other)], SCHEMA)
+    assert {r["doc_id"]: r["lang"] for r in corpus_pipeline.keep_languages(spark, d, "").collect()} == {i: "en" for i in range(9)}
