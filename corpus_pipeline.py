@@ -15,13 +15,18 @@ from ledgerine.llm.queries import tokenizer_path
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document goes if no language is recognised or the best one holds less than this share of the likelihood.
 LEAST_SCORE = 0.5
-#: Or if its best language needs more bits a byte than bytes take without any model. Rows of sf0.1 need 2 at the median, 7.2 at most.
+#: Or if its best language needs more bits a byte than bytes take without any model. Rows of sf0.1 need 2 at the median, 7.1 at most.
 MOST_BITS = 8.0
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; a missing label is filled in. Text in no learned language goes, as its best one does not shorten it."""
+    """Documents whose language is recognised; a missing label is filled in. Text in no learned language goes, as its best one does not shorten it.
+
+    If no row has both a text and a label, nothing can be learned: documents with a letter stay, their label null.
+    """
     model = langid.fit(docs, F.lit(True))
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(COLUMNS)
     known = (F.col("score") >= LEAST_SCORE) & (F.col("bits") <= MOST_BITS * F.octet_length("text"))
     found = langid.predict(docs, model).where((F.col("lang_pred") != "und") & known)
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(COLUMNS)

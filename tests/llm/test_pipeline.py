@@ -37,3 +37,8 @@ def test_text_of_no_learned_language_goes(spark):
     other = ["Съешь же ещё этих мягких французских булок да выпей чаю", "これは日本語の文章です", "aGVsbG8gd29ybGQgdGhpcyBpcyBiYXNlNjQ=", "QUICK ZYX JUMPS OVER WV"]
     d = spark.createDataFrame(own + [(20 + i, t, None, "s", 0) for i, t in enumerate(other)], SCHEMA)
     assert {r["doc_id"]: r["lang"] for r in corpus_pipeline.keep_languages(spark, d, "").collect()} == {i: "en" for i in range(9)}
+
+
+def test_without_labels_documents_with_letters_stay(spark):
+    d = spark.createDataFrame([(1, "some text", None, "s", 9), (2, "漢字", None, "s", 2), (3, "123 !", None, "s", 5), (4, None, None, "s", 0), (5, None, "en", "s", 0)], SCHEMA)
+    assert {(r["doc_id"], r["lang"]) for r in corpus_pipeline.keep_languages(spark, d, "").collect()} == {(1, None), (2, None)}
