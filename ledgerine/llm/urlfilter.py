@@ -6,7 +6,8 @@ decisions to names without a rule of their own. In a component an explicit allow
 allowed. A page with a rule always keeps that rule's verdict.
 
 Links come from the pages (``<link rel=canonical>``, ``<meta http-equiv=refresh>``) and, if given, from a table of redirects
-(source, target). Names are URLs without their fragment.
+(source, target). All such tags of a page count. Names are URLs without their fragment, with scheme and host in lower case and dot
+segments collapsed.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path, fits no rule and is allowed; null html has no links; links to
 itself and null links are ignored; equal pages are separate rows; an empty table gives an empty result; extra columns are
@@ -61,7 +62,20 @@ def _joined(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
 
 
 def name_of(url: Column) -> Column:
-    return F.regexp_replace(url, r"(?s)#.*$", "")
+    """Without fragment, scheme and host in lower case, dot segments of the path collapsed."""
+    url = F.regexp_replace(url, r"(?s)#.*$", "")
+    origin = F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*", 0)
+    rest = F.substr(url, F.length(origin) + 1)
+    path = F.regexp_extract(rest, r"^[^?]*", 0)
+    parts = F.split(path, "/")
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.when(x == ".", acc).when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, x))
+
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array().cast("array<string>"), step)
+    kept = F.when(F.element_at(parts, -1).isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
+    flat = F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
+    return F.when(origin == "", url).otherwise(F.concat(F.translate(origin, UPPER, LOWER), flat, F.substr(rest, F.length(path) + 1)))
 
 
 def resolved(base: Column, link: Column) -> Column:
@@ -82,12 +96,12 @@ def resolved(base: Column, link: Column) -> Column:
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(a, b): names that a page declares to be the same resource."""
     value = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
-    tag = F.regexp_extract(html, r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?[^"'>]*\bcanonical\b)[^>]*>""", 0)
-    href = F.concat(*[F.regexp_extract(tag, rf"(?is)\bhref{value}", i) for i in (1, 2, 3)])
-    meta = F.regexp_extract(html, r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*>""", 0)
-    to = F.regexp_extract(meta, r"""(?is)\burl\s*=\s*["']?([^"'>]+)""", 1)
+    tags = F.regexp_extract_all(F.col(html), F.lit(r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?[^"'>]*\bcanonical\b)[^>]*>"""), F.lit(0))
+    hrefs = F.transform(tags, lambda tag: F.concat(*[F.regexp_extract(tag, rf"(?is)\bhref{value}", i) for i in (1, 2, 3)]))
+    metas = F.regexp_extract_all(F.col(html), F.lit(r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*>"""), F.lit(0))
+    targets = F.transform(metas, lambda meta: F.regexp_extract(meta, r"""(?is)\burl\s*=\s*["']?([^"'>]+)""", 1))
     seen = pages.where(F.col(url).isNotNull() & F.col(html).rlike(r"(?i)canonical|http-equiv"))
-    links = seen.select(F.col(url).alias("u"), F.explode(F.array(href, to)).alias("l")).where("l <> ''")
+    links = seen.select(F.col(url).alias("u"), F.explode(F.concat(hrefs, targets)).alias("l")).where("l <> ''")
     return links.select(name_of(F.col("u")).alias("a"), name_of(resolved(F.col("u"), F.col("l"))).alias("b")).where("b is not null")
 
 

@@ -224,6 +224,17 @@ def test_urls(spark):
     assert again == found
 
 
+def test_url_aliases(spark):
+    block = '<link rel="canonical" href="http://a.com/de/1">'
+    rows = [
+        (1, "http://q.net/1", f'<link rel=canonical href="http://q.net/x">{block}'), (2, "http://q.net/2", '<meta http-equiv=refresh content="9;url=/y"><meta http-equiv=refresh content="0; url=http://a.com/de/2">'),
+        (3, "HTTP://R.net/Up", block), (4, "http://r.NET/Up", ""), (5, "http://r.net/up", ""), (6, "http://s.net/a/b", '<link rel=canonical href="../c/./d?e=../f">'), (7, "http://s.net/c/d?e=../f", block),
+        (8, "http://s.net/w/../c", '<link rel=canonical href="http://s.net/a/..">'), (9, "http://s.net/", block), (10, "http://s.net/c", ""), (11, "http://s.net/..x", ""),
+    ]
+    found = {r["page_id"]: r["verdict"] for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: "allow" if i in (5, 11) else "block" for i in range(1, 12)}
+
+
 # Languages, pieces, media -------------------------------------------------------------------------------------------------
 
 
