@@ -1,12 +1,12 @@
-"""Suffix-array dedup: depth-limited most-significant-digit radix passes over suffixes; equal groups are the repeated windows.
+"""Suffix dedup by grouping windows, in place of a depth-limited radix sort: equal groups are the repeated windows.
 
-Suffixes are ordered only through ``window`` bytes, and only as far as needed to tell which windows repeat:
+No suffix is ordered by its digits. Windows of ``window`` bytes are grouped by hashes, only as far as needed to tell which repeat:
 
-1. First digit. A window's digit is the 48-byte string of smallest hash inside it (leftmost on ties) and where it stands. Equal windows
-   have equal digits, and neighbouring windows share one, so a run of them (a block) is a single row of about one per 64 bytes of
+1. Minimal string. A window's key is the 48-byte string of smallest hash inside it (leftmost on ties) and where it stands. Equal windows
+   have equal keys, and neighbouring windows share one, so a run of them (a block) is a single row of about one per 64 bytes of
    text. Only strings that occur twice go on.
-2. Second digit: the block's whole content. Blocks that occur twice are settled, all their windows repeat.
-3. Last digit, for blocks whose string occurs with other contents: one block of each kind shows its bytes and every window is
+2. Content: the block's whole content. Blocks that occur twice are settled, all their windows repeat.
+3. Windows, for blocks whose string occurs with other contents: one block of each kind shows its bytes and every window is
    ordered by offset and content. Kinds that are many are ordered window by window in an aggregation, so no group is bounded by
    a task.
 
