@@ -1,4 +1,4 @@
-"""Report rows: every section of a record as tall rows, empty sections left out."""
+"""Report rows: the given sections of a record as tall rows, empty sections left out. The registered query gives net revenues and worker pay only."""
 
 from __future__ import annotations
 
