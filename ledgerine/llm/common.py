@@ -8,7 +8,9 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import uuid
 
@@ -26,12 +28,18 @@ GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 @functools.cache
 def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="ledgerine-scratch-")
+    out = tempfile.mkdtemp(prefix="ledgerine-scratch-")
+    atexit.register(shutil.rmtree, out, ignore_errors=True)
+    return out
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where the setting is absent (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The shared folder that the cluster names. A temporary one, deleted at exit, only where the setting is absent and all tasks run on the driver's machine."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_folder()
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -88,6 +96,21 @@ def fields_of(df: DataFrame, *names: str) -> str:
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
 
 
+#: Keys that may be broadcast for holding many rows: at most this many hold a share of one in HOT or more.
+HOT = 4096
+
+
+def join_counted(rows: DataFrame, keys: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+    """``rows`` joined with ``keys``, in which ``on`` is unique and ``n`` is the number of its rows among the ``total`` ones.
+
+    Keys that hold one row in ``HOT`` or more are broadcast: there are ``HOT`` at most, so this has a bound at any size, and their
+    rows stay where they are. What is left is exchanged; none of its keys holds more than a share of one in ``HOT``.
+    """
+    hot = F.col(n) * F.lit(HOT) >= F.lit(total)
+    few = F.broadcast(keys.where(hot))
+    return rows.join(few, on).unionByName(rows.join(F.broadcast(keys.where(hot).select(*on)), on, "left_anti").join(keys.where(~hot), on))
+
+
 def components(edges: DataFrame, scratch=written, most_rounds: int = 60) -> DataFrame:
     """(node, root): for each node of ``edges`` (a, b) the smallest node that it can reach.
 

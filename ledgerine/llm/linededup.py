@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import known_id, texts_of
+from .common import join_counted, known_id, texts_of, written
 
 STRIPPED = "\x20\x09\x0a\x0b\x0c\x0d"
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -34,14 +34,14 @@ def line_key(line: str, least_chars: int) -> bytes | None:
 def _keys(least_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                if len(text) >= least_chars:
-                    found = {line_key(x, least_chars) for x in text.split("\n")}
-                    found.discard(None)
-                    ids += [doc] * len(found)
-                    keys += found
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["_doc", "_key"])
+            at, keys = [], []
+            for i, text in enumerate(texts_of(batch.column(2))):
+                found = {line_key(x, least_chars) for x in text.split("\n")}
+                found.discard(None)
+                at += [i] * len(found)
+                keys += found
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(keys, pa.binary())], ["_doc", "_row", "_key"])
 
     return run
 
@@ -56,7 +56,7 @@ def _rebuild(least_chars: int, text_at: int, names: list[str]):
                     lines.append((text or "").count("\n") + 1)
                     dropped.append(0)
                     continue
-                drop, parts = set(drop), text.split("\n")
+                drop, parts = set(drop), (text or "").split("\n")
                 left = [x for x in parts if line_key(x, least_chars) not in drop]
                 kept.append("\n".join(left))
                 lines.append(len(parts))
@@ -71,21 +71,22 @@ def _rebuild(least_chars: int, text_at: int, names: list[str]):
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 40, least_docs: int = 5) -> DataFrame:
     """All columns of ``docs`` with the lines dropped from the text, and ``n_lines`` (before) and ``n_dropped``.
 
-    Two exchanges carry 24 bytes per distinct long line of a document: the count, which is combined before it is sent, and
-    the join of the lines with the keys found too often, which the runtime may split for a hot key. The texts move once.
+    Lines are hashed once and written: 32 bytes per distinct long line of a row. The count is combined before it is sent. Keys that
+    hold a large share of all lines are broadcast, others joined by exchange. Decisions go back to rows by (document, hash of the
+    text), so rows that share an id, as null ids do, are not gathered; rows that agree in both have equal decisions line by line.
     """
-    keys = docs.select(known_id(id_col).alias("_doc"), F.col(text_col).alias("_text")).where(F.length("_text") >= least_chars)
-    keys = keys.mapInArrow(_keys(least_chars), "_doc long, _key binary")
+    row = F.xxhash64(F.col(text_col)).alias("_row")
+    keys = docs.select(known_id(id_col).alias("_doc"), row, F.col(text_col).alias("_text")).where(F.length("_text") >= least_chars)
+    keys = written(keys.mapInArrow(_keys(least_chars), "_doc long, _row long, _key binary"))
     # Equal ids may repeat, so documents are counted as (key, doc) pairs first; both steps combine on the map side.
-    often = (
-        keys.groupBy("_key", "_doc").agg(F.lit(1).alias("_one"))
-        .groupBy("_key").agg(F.count("*").alias("_n"), F.max("_doc").alias("_last"))
-        .where(F.col("_n") >= least_docs).select("_key", "_last")
-    )
-    drops = keys.join(often, "_key").where(F.col("_doc") != F.col("_last")).groupBy("_doc").agg(F.collect_set("_key").alias("_drop"))
+    counted = keys.groupBy("_key", "_doc").agg(F.count("*").alias("_rows"))
+    counted = counted.groupBy("_key").agg(F.count("*").alias("_n"), F.max("_doc").alias("_last"), F.sum("_rows").alias("_rows"))
+    often = written(counted.where(F.col("_n") >= least_docs).select("_key", "_last", "_rows"))
+    drops = join_counted(keys, often, ["_key"], "_rows", keys.count()).where(F.col("_doc") != F.col("_last"))
+    drops = drops.groupBy("_doc", "_row").agg(F.collect_set("_key").alias("_drop"))
     names = docs.columns
-    marked = docs.select(*[F.col(f"`{n}`").alias(f"_c{i}") for i, n in enumerate(names)], known_id(id_col).alias("_doc"))
-    marked = marked.join(drops, "_doc", "left").drop("_doc")
+    marked = docs.select(*[F.col(f"`{n}`").alias(f"_c{i}") for i, n in enumerate(names)], known_id(id_col).alias("_doc"), row)
+    marked = marked.join(drops, ["_doc", "_row"], "left").drop("_doc", "_row")
     schema = T.StructType([*[T.StructField(f"_c{i}", docs.schema[i].dataType) for i in range(len(names))], T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())])
     out = marked.mapInArrow(_rebuild(least_chars, names.index(text_col), schema.names), schema)
     own = [n for n in names if n not in ("n_lines", "n_dropped")]
