@@ -2,21 +2,28 @@
 
 Every vector is described by its nearest pivots in order of nearness. The inverted lists hold, for each label and each ``shared`` pivots
 among a vector's ``nearest`` ones, the vectors that have them all; two vectors meet in a list exactly if at least ``shared`` of their
-pivots agree. Candidates are verified by cosine in double precision, and a pair that meets in several lists counts in one: that of
-its first shared pivots. Lists of any length are cut into blocks that meet pair by pair; links are counted inside a task and only a
-link to the smallest member of each tree is emitted. Equal vectors are one member with a multiplicity.
+pivots agree, and a pair that meets in several lists counts in one: that of its first shared pivots.
 
-Pivots: ``pivots`` vectors spread by farthest-first choice over at most ``sample`` distinct ones (those of smallest hash); all
+Retrieval takes two passes. The first carries, instead of vectors, the permutation and a sketch of a few bytes: the angles to the
+first ``SKETCH`` pivots. Two angles to one point differ by no more than the angle between the vectors, so a pair whose sketches
+differ by more cannot link; this loses nothing. Entries of lists that keep a partner go on to the second pass, which verifies by
+cosine in double precision. Lists of any length are cut into blocks that meet pair by pair; links are counted inside a task and only
+a link to the smallest member of each tree is emitted. Equal vectors are one member with a multiplicity.
+
+Pivots: as many as the root of the number of vectors, from 128 to 4096, so that lists stay short as the table grows. They are
+spread by farthest-first choice over a sample (those of smallest hash) of four times as many and 2048 at least, of 64 MB at most; all
 vectors are indexed. Recall against brute force is measured in the tests.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components, and those with a null label, link with
-nothing; vectors of different lengths never link; null ids stand for one smallest id; rows that repeat an id are each
-returned; an empty table gives an empty result; other columns are ignored.
+nothing; others are scaled by a power of two, so that no norm over- or underflows; vectors of different lengths never link; null
+ids stand for one smallest id; rows that repeat an id are each returned; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -25,26 +32,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, known_id, paired_blocks, shown_id, stars, written
+from .common import Forest, components, join_counted, known_id, paired_blocks, shown_id, stars, written
 from .minhash import bounds, by_cell, in_cells
 
 
-def usable(x: list | None) -> np.ndarray | None:
-    """The vector in double precision, or None if it may not link."""
-    if not x or any(v is None for v in x):
-        return None
-    v = np.array(x, np.float64)
-    return v if np.isfinite(v).all() and 0 < np.linalg.norm(v) < np.inf else None
+#: Pivots whose angles make up the sketch, and the steps of an angle from 0 to pi.
+SKETCH, STEPS = 32, 255
+SAMPLE_BYTES = 64_000_000
+
+
+def pivot_count(vectors: int) -> int:
+    return min(4096, max(128, math.isqrt(vectors)))
+
+
+def usable(x: np.ndarray) -> np.ndarray | None:
+    """The vector with its largest component between 1/2 and 1, or None if it may not link."""
+    most = np.abs(x).max(initial=0.0)  # nan where a component is
+    return np.ldexp(x, -np.frexp(most)[1]) + 0.0 if 0 < most < np.inf else None
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         vectors, digests = [], []
-        for label, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            v = usable(x) if label is not None else None
-            raw = None if v is None else (v + 0.0).tobytes()
+        given = batch.column(2)
+        offsets, present, flat = given.offsets.to_numpy(), given.is_valid().to_numpy(zero_copy_only=False), given.values.fill_null(np.nan).to_numpy(zero_copy_only=False)
+        for i, label in enumerate(batch.column(1).to_pylist()):
+            v = usable(flat[offsets[i] : offsets[i + 1]]) if label is not None and present[i] else None
+            raw = None if v is None else v.tobytes()
             vectors.append(raw)
-            digests.append(None if raw is None else hashlib.blake2b(raw, digest_size=16, key=label.encode()[:64]).digest())
+            digests.append(None if raw is None else hashlib.blake2b(raw, digest_size=16, key=hashlib.blake2b(label.encode()).digest()).digest())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(vectors, pa.binary()), pa.array(digests, pa.binary())], ["id", "label", "vector", "digest"])
 
 
@@ -64,8 +80,8 @@ def spread(sample: np.ndarray, pivots: int) -> np.ndarray:
 def _permute(pivots: dict[int, np.ndarray], nearest: int, shared: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column(2).to_pylist()
-            perms, lists = [b""] * len(raw), [[] for _ in raw]
+            raw = batch.column(0).to_pylist()
+            perms, sketches, lists = [b""] * len(raw), [b""] * len(raw), [[] for _ in raw]
             for size in {len(x) for x in raw}:
                 own = [i for i, x in enumerate(raw) if len(x) == size]
                 v = np.frombuffer(b"".join(raw[i] for i in own), np.float64).reshape(len(own), -1)
@@ -73,13 +89,15 @@ def _permute(pivots: dict[int, np.ndarray], nearest: int, shared: int):
                 p = pivots.get(size // 8)
                 if p is None:  # a length that the sample does not hold: one list
                     p = np.zeros((1, size // 8))
-                order = np.argsort(-(v @ p.T), axis=1, kind="stable")[:, :nearest]
+                near = v @ p.T
+                order = np.argsort(-near, axis=1, kind="stable")[:, :nearest]
+                angles = (np.arccos(np.clip(near[:, :SKETCH], -1, 1)) * (STEPS / np.pi)).astype(np.uint8)
                 few = np.sort(order, axis=1)
                 k = min(shared, few.shape[1])
                 code = np.stack([sum(few[:, c].astype(np.int64) << (16 * i) for i, c in enumerate(cs)) for cs in combinations(range(few.shape[1]), k)], axis=1)
                 for row, i in enumerate(own):
-                    perms[i], lists[i] = order[row].astype(np.int16).tobytes(), code[row]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(perms, pa.binary()), pa.array(lists, pa.list_(pa.int64())), batch.column(3)], ["digest", "label", "vector", "perm", "lists", "m"])
+                    perms[i], sketches[i], lists[i] = order[row].astype(np.int16).tobytes(), angles[row].tobytes(), code[row]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(perms, pa.binary()), pa.array(sketches, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], [*batch.schema.names, "perm", "sketch", "lists"])
 
     return run
 
@@ -94,6 +112,40 @@ def canonical(perms: np.ndarray, key: int, k: int) -> np.ndarray:
     return has @ has.T == 0
 
 
+def candidates(sketches: np.ndarray, gap: int) -> np.ndarray:
+    """Pairs whose sketches differ by ``gap`` steps at most everywhere."""
+    near = np.ones((len(sketches), len(sketches)), bool)
+    for angle in sketches.T.astype(np.int16):
+        near &= np.abs(angle[:, None] - angle) <= gap
+    return near
+
+
+def _prune(gap: int, shared: int):
+    """The entries of lists that keep a partner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_cell(batches):
+            start, names, code, side, whole = bounds(table), table["digest"], table["code"].to_numpy(), table["side"].to_numpy(), table["whole"].to_numpy(zero_copy_only=False)
+            sketch, perm = table["sketch"].to_pylist(), table["perm"].to_pylist()
+            found = []
+            for lo, hi in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
+                if hi - lo < 2:
+                    continue
+                near = candidates(np.frombuffer(b"".join(sketch[lo:hi]), np.uint8).reshape(hi - lo, -1), gap)
+                np.fill_diagonal(near, False)
+                if not whole[lo]:
+                    near &= side[lo:hi, None] != side[None, lo:hi]
+                some = np.flatnonzero(near.any(0))
+                if len(some):  # the rest need not be looked at for the order of their pivots
+                    perms = np.frombuffer(b"".join(perm[lo + i] for i in some.tolist()), np.int16).reshape(len(some), -1)
+                    pairs = near[np.ix_(some, some)] & canonical(perms, int(code[lo]), min(shared, perms.shape[1]))
+                    found.append(lo + some[pairs.any(0)])
+            at = np.concatenate([np.zeros(0, np.int64), *found])
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(at)).combine_chunks().cast(pa.binary()), pa.array(code[at])], ["digest", "code"])
+
+    return run
+
+
 def _verify(least: float, shared: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_cell(batches):
@@ -129,26 +181,39 @@ def _verify(least: float, shared: int):
     return run
 
 
-def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, pivots: int = 128, nearest: int = 6, shared: int = 2, sample: int = 2048, block: int = 512) -> DataFrame:
+#: What a list belongs to: label (96 bits of it) and length of the vectors.
+OF = ["label_id", "label_tag", "size"]
+
+
+def listed(spots: DataFrame, block: int, *columns: str) -> DataFrame:
+    """Entries (``OF``, code, digest and ``columns``) of lists that hold two or more, in cells."""
+    spots = written(spots)
+    lengths = written(spots.groupBy(*OF, "code").agg(F.count("*").alias("c")).where("c > 1"))
+    met = join_counted(spots, lengths, [*OF, "code"], "c", spots.count()).withColumn("list", F.struct(*OF, "code"))
+    cells = paired_blocks(met, "list", F.col("c"), F.col("digest"), block).withColumn("whole", F.expr("cell.low = cell.high"))
+    return in_cells(cells.select("cell", "side", "whole", "digest", "code", *columns))
+
+
+def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, pivots: int | None = None, nearest: int = 6, shared: int = 2, block: int = 512) -> DataFrame:
     """vec_id, n_links, component_id, kept: a row for each row of ``table``."""
     given = table.select(known_id(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = written(given.mapInArrow(_clean, "id long, label string, vector binary, digest binary"))
-    usable_rows = rows.where("digest is not null")
-    kinds = usable_rows.groupBy("digest").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.count("*").alias("m"), F.min("id").alias("id"))
-    kinds = written(kinds)
-    chosen = kinds.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(sample).collect()
+    of = [F.xxhash64("label").alias("label_id"), F.hash("label").alias("label_tag"), F.octet_length("vector").alias("size")]
+    kinds = rows.where("digest is not null").select("id", "digest", "vector", *of)
+    kinds = written(kinds.groupBy("digest", *OF).agg(F.first("vector").alias("vector"), F.count("*").alias("m"), F.min("id").alias("id")))
+    wanted = pivots or pivot_count(kinds.count())
+    longest = kinds.agg(F.max("size")).first()[0] or 8
+    sample = max(1, min(max(2048, 4 * wanted), SAMPLE_BYTES // longest))
     by_size: dict[int, list] = {}
-    for r in chosen:
+    for r in kinds.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(sample).collect():
         by_size.setdefault(len(r["vector"]) // 8, []).append(np.frombuffer(bytes(r["vector"]), np.float64))
-    points = {n: spread(np.stack(x), pivots) for n, x in by_size.items()}
-    index = kinds.select("digest", "label", "vector", "m").mapInArrow(_permute(points, nearest, shared), "digest binary, label string, vector binary, perm binary, lists array<long>, m long")
+    points = {n: spread(np.stack(x), wanted) for n, x in by_size.items()}
+    index = kinds.select("vector", "digest", *OF, "m").mapInArrow(_permute(points, nearest, shared), "vector binary, digest binary, label_id long, label_tag int, size int, m long, perm binary, sketch binary, lists array<long>")
     index = written(index)
-    spots = index.select("digest", F.explode("lists").alias("code"), F.struct("label", F.octet_length("vector").alias("size")).alias("of"))
-    spots = spots.select("digest", "code", F.struct("of", "code").alias("list"))
-    lengths = written(spots.groupBy("list").agg(F.count("*").alias("c")).where("c > 1"))
-    meet = spots.join(lengths, "list").join(index.select("digest", "vector", "perm", "m"), "digest")
-    cells = paired_blocks(meet, "list", F.col("c"), F.col("digest"), block).withColumn("whole", F.expr("cell.low = cell.high"))
-    cells = in_cells(cells.select("cell", "side", "whole", "digest", "code", "vector", "perm", "m"))
+    spots = listed(index.select(*OF, "digest", "perm", "sketch", F.explode("lists").alias("code")), block, "perm", "sketch")
+    gap = math.ceil(math.acos(least) * STEPS / math.pi + 1e-6)
+    spots = written(spots.mapInArrow(_prune(gap, shared), "digest binary, code long").distinct())
+    cells = listed(spots.join(index.select("digest", *OF, "vector", "perm", "m"), "digest"), block, "vector", "perm", "m")
     found = written(cells.mapInArrow(_verify(least, shared), "a binary, b binary, links long"))
     counts = found.where("b is null").groupBy(F.col("a").alias("digest")).agg(F.sum("links").alias("links"))
     linked = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "digest")
