@@ -6,8 +6,7 @@ a cell permutes what it receives. The result is a uniform shuffle with exact siz
 run of cells, so a task permutes a cell, not a shard.
 
 No task or driver holds the matrix: every partition walks down the same seeded binary tree over the partitions, splitting the column
-sums in two at each node, and so draws its own row. Totals of 10^9 and more, which the generator does not take, are split by the
-normal limit law, rounded into the support; the sums stay exact.
+sums in two at each node, and so draws its own row. The draws are exact at any number of rows.
 
 The input must give the same rows in the same order when it is read again, as tables do (``materialize=True`` writes any other one
 down first); a partition that changes its count between the two passes is an error, never a lost row.
@@ -29,23 +28,29 @@ from pyspark.sql import types as T
 
 from .common import written
 
-EXACT = 10**9
+#: Up to this number rows are drawn one by one.
+FEW = 64
 
 
 def split_counts(rng: np.random.Generator, columns: np.ndarray, n: int) -> np.ndarray:
-    """How many of n rows, drawn without replacement, come from each column."""
-    if columns.sum() < EXACT:
-        return rng.multivariate_hypergeometric(columns, n, method="marginals")
-    out, left = np.zeros_like(columns), int(columns.sum())
-    for i, c in enumerate(columns.tolist()):
-        if left < EXACT:
-            out[i:] = rng.multivariate_hypergeometric(columns[i:], n, method="marginals")
-            break
-        mean = n * c / left
-        dev = np.sqrt(max(0.0, mean * (1 - c / left) * (left - n) / max(1, left - 1)))
-        x = int(np.clip(round(rng.normal(mean, dev)), max(0, n - (left - c)), min(c, n)))
-        out[i], n, left = x, n - x, left - c
-    return out
+    """How many of n rows, drawn without replacement, come from each column. Exact at any total.
+
+    Independent binomial counts with one probability follow, given their sum s, the law of s draws without replacement, whatever
+    the probability. If s differs from n, that many of the drawn rows go back, or are drawn from those left, by the same law; the
+    difference is about the root of n, so few rounds are needed.
+    """
+    total = int(columns.sum())
+    if n > total - n:
+        return columns - split_counts(rng, columns, total - n)
+    if n <= FEW:
+        spots: set[int] = set()
+        while len(spots) < n:
+            spots.add(int(rng.integers(total)))
+        at = np.searchsorted(np.cumsum(columns), sorted(spots), "right")
+        return np.bincount(at, minlength=len(columns)).astype(columns.dtype)
+    drawn = rng.binomial(columns, n / total)
+    over = int(drawn.sum()) - n
+    return drawn - split_counts(rng, drawn, over) if over > 0 else drawn + split_counts(rng, columns - drawn, -over)
 
 
 def matrix_row(seed: int, before: np.ndarray, cells: np.ndarray, p: int) -> np.ndarray:
