@@ -36,12 +36,12 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def with_rule(pages: DataFrame, url: str, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """Adds host, path, rule and the rule's verdict (null without one). Of rules of equal length an allow wins."""
+    """Adds host, path, rule and the rule's verdict (null without one). Of rules of equal length an allow wins, then the smallest name."""
     host, path = host_and_path(F.col(url))
     out = pages.withColumns({"host": host, "path": path})
     if len(rules) > INLINE:
         return _joined(out, rules)
-    best = sorted(rules, key=lambda r: (-len(r[0] + r[1]), r[2]))
+    best = sorted(rules, key=lambda r: (-len(r[0] + r[1]), r[2], r[0] + r[1]))
     pick, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for h, p, v in reversed(best):
         fits = ((F.col("host") == h) | F.endswith(F.col("host"), F.lit("." + h))) & F.startswith(F.col("path"), F.lit(p))
