@@ -74,6 +74,26 @@ def test_line_dedup(spark):
     assert "_drop" in found.columns and linededup.dedup_lines(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    line = "a line of more than forty characters in all documents"
+    rows = [(i, f"{line}\nown {i}") for i in range(6)] + [(0, None), (0, f"x\n{line}\n{line}"), (0, f"x\n{line}\n{line}"), (None, None), (None, ""), (None, f"y\n{line}"), (None, f"{line}\nz")]
+    d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).withColumns({"n_lines": F.lit("x"), "_key": F.lit(1), "_n": F.lit(2)})
+    found = [(r["doc_id"], r["text"] or "", r["n_lines"], r["n_dropped"]) for r in linededup.dedup_lines(d).collect()]
+    key = lambda r: (r[0] is not None, r)
+    low = [(-1 if i is None else i, t) for i, t in rows]
+    brute = [(None if i == -1 else i, t, (u or "").count("\n") + 1) for (i, t), (_, u) in zip(lines_brute(low), rows, strict=True)]
+    assert sorted([r[:3] for r in found], key=key) == sorted(brute, key=key)
+    assert sum(r[3] for r in found) == 5 + 4 + 2
+
+
+def test_join_with_hot_keys(spark):
+    rows = spark.range(9000).select(F.when(F.col("id") < 5000, 0).otherwise(F.col("id") % 5000).alias("k"), "id")
+    keys = rows.groupBy("k").agg(F.count("*").alias("n")).where("k % 2 = 0")
+    got = common.join_counted(rows, keys, ["k"], "n", 9000)
+    assert sorted(got.columns) == ["id", "k", "n"]
+    assert sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in rows.where("k % 2 = 0").collect())
+
+
 # Suffixes ---------------------------------------------------------------------------------------------------------------
 
 
@@ -140,6 +160,38 @@ def test_matrix_sums():
     assert out.sum() == 10**9 and (out <= big).all() and abs(out[0] / 10**9 - 0.6) < 1e-3
 
 
+def test_counts_follow_the_hypergeometric_law():
+    from math import comb
+
+    rng, times = np.random.default_rng(11), 40_000
+    for few in (64, 0, 3):  # drawn one by one, by binomial counts alone, by both
+        old, sharding.FEW = sharding.FEW, few
+        try:
+            columns, n = np.array([7, 0, 12, 5]), 9
+            got = np.array([sharding.split_counts(rng, columns, n) for _ in range(times)])
+        finally:
+            sharding.FEW = old
+        assert (got.sum(1) == n).all() and (got <= columns).all() and (got >= 0).all()
+        for j in (0, 2):
+            law = [comb(int(columns[j]), x) * comb(24 - int(columns[j]), n - x) / comb(24, n) for x in range(10)]
+            assert np.abs(np.bincount(got[:, j], minlength=10)[:10] / times - law).max() < 0.012
+    columns, n = np.array([6 * 10**11, 4 * 10**11]), 3 * 10**11  # deviation as that of draws without replacement, below the binomial one
+    x = np.array([sharding.split_counts(rng, columns, n)[0] for _ in range(3000)], float)
+    exact = np.sqrt(n * 0.24 * (10**12 - n) / (10**12 - 1))
+    assert abs(x.mean() - 0.6 * n) < 5 * exact / np.sqrt(3000) and abs(x.std() / exact - 1) < 0.07
+
+
+def test_sharding_is_uniform_and_keeps_odd_rows(spark):
+    d = docs(spark, [*ODD, None, None], [1, 1, None, None, 2, 3, 4, 1, None])
+    rows = sharding.shuffle_shards(d.withColumns({"_cell": F.lit(1), "slot": F.lit("s")}), 4, materialize=True).collect()
+    assert len(rows) == 9 and sorted(r["text"] or "" for r in rows) == sorted([*(t or "" for t in ODD), "", ""])
+    places = np.zeros((12, 4))
+    for seed in range(40):
+        for r in sharding.shuffle_shards(spark.range(12).coalesce(1), 4, seed=seed).collect():
+            places[r["id"], r["shard"]] += 1
+    assert (places.sum(1) == 40).all() and places.max() < 25
+
+
 # MinHash and pivots ------------------------------------------------------------------------------------------------------
 
 
@@ -183,7 +235,7 @@ def test_pivots(spark):
     v = np.concatenate([centre[i % 30] + rng.normal(size=16) * s for i, s in enumerate([0.05, 0.12] * 150)]).reshape(300, 16)
     rows = [(i, x.tolist(), i % 2) for i, x in enumerate(v)] + [(300, v[0].tolist(), 0), (301, None, 0), (302, [0.0] * 16, 0), (303, [float("nan")] + [1.0] * 15, 1), (304, v[0].tolist(), None), (305, [1.0], 0), (306, [], 0)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    good = [r[1] if r[1] and r[2] is not None and pivots.usable(r[1]) is not None else None for r in rows]
+    good = [r[1] if r[1] and r[2] is not None and pivots.usable(np.array(r[1], float)) is not None else None for r in rows]
     links = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if good[i] and good[j] and rows[i][2] == rows[j][2] and len(good[i]) == len(good[j]) and np.dot(good[i], good[j]) / (np.linalg.norm(good[i]) * np.linalg.norm(good[j])) >= 0.98]
     for block in (512, 5):
         found = sorted(pivots.near_vectors(table, pivots=32, block=block).collect(), key=lambda r: r["vec_id"])
@@ -194,6 +246,41 @@ def test_pivots(spark):
         assert all(r["n_links"] == 0 for r in found if r["vec_id"] > 300)
 
 
+VECTORS = "vec_id long, embedding array<double>, label string"
+
+
+def test_pivots_of_odd_vectors(spark):
+    long = "l" * 64
+    rows = [
+        (1, [1.0, 2.0], long + "a"), (2, [1.0, 2.0], long + "b"), (3, [2.0, 4.0], long + "a"), (4, [1e-200, 2e-200], long + "a"), (5, [1e200, 2e200], long + "a"), (6, [5e-324, 5e-324], "t"), (7, [1e308, 1e308], "t"),
+        (8, [1.0, None], "t"), (9, [float("inf"), 1.0], "t"), (10, [1.0, 1.0, 0.0], "t"), (None, [1.0, 1.01], "t"), (None, None, None), (7, [-1.0, -1.0], "t"), (7, [-1.0, -1.0], ""),
+    ]
+    table = spark.createDataFrame(rows, VECTORS).withColumns({"digest": F.lit(1), "code": F.lit(2)})
+    found = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in pivots.near_vectors(table).collect()), key=lambda r: (r[0] or 0, r[1]))
+    assert found == [
+        (None, 0, None, True), (None, 2, None, True), (1, 3, 1, True), (2, 0, 2, True), (3, 3, 1, False), (4, 3, 1, False), (5, 3, 1, False), (6, 2, None, False), (7, 0, 7, True), (7, 0, 7, True), (7, 2, None, False),
+        (8, 0, 8, True), (9, 0, 9, True), (10, 0, 10, True),
+    ]
+    assert pivots.near_vectors(table.limit(0)).count() == 0
+
+
+def test_pivot_recall_in_a_crowded_label(spark):
+    """Production parameters; pairs planted just above the threshold beside clusters of near copies."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(3000, 64))
+    base[2000:] = base[2000:2010].repeat(100, 0) + rng.normal(size=(1000, 64)) * 0.07
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    noise = rng.normal(size=(1000, 64))
+    noise -= (noise * base[:1000]).sum(1, keepdims=True) * base[:1000]
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    v = np.concatenate([base, 0.9805 * base[:1000] + np.sqrt(1 - 0.9805**2) * noise])
+    table = spark.createDataFrame([(i, x.tolist(), "one") for i, x in enumerate(v)], VECTORS)
+    exact = ((v @ v.T) / np.outer(np.linalg.norm(v, axis=1), np.linalg.norm(v, axis=1)) >= 0.98).sum(1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in pivots.near_vectors(table).collect()}
+    n = np.array([got[i] for i in range(len(v))])
+    assert (n <= exact).all() and n.sum() >= 0.99 * exact.sum() and n[3000:].sum() >= 0.99 * exact[3000:].sum() > 900
+
+
 def test_components(spark):
     rng = np.random.default_rng(9)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(400 + i, 401 + i) for i in range(60)] + [(500, 600 + i) for i in range(50)]
@@ -219,6 +306,14 @@ def test_urls(spark):
     assert [found[i][3] for i in (6, 7, 8, 9, 10)] == ["block", "block", "allow", "allow", "allow"]
     assert found[11][3] == "allow" and found[12][3] == "allow"  # an explicit allow in the component goes first
     assert found[13][2:] == (None, "allow") and found[14][2:] == ("org/", "allow")
+    tie = [("x.com", "/", "block"), ("com", "/ab", "block"), ("zz.com", "/", "block")]
+    page = spark.createDataFrame([(1, "http://x.com/ab", None), (1, "http://x.com/ab", None)], "page_id long, url string, html string").withColumns({"host": F.lit(1), "rule_verdict": F.lit(2)})
+    for rules in (tie, tie[::-1], tie + [(f"h{i}.net", "/p", "allow") for i in range(300)]):
+        assert [(r["page_id"], r["host"], r["rule"], r["verdict"]) for r in urlfilter.judge(page, rules).collect()] == [(1, "x.com", "com/ab", "block")] * 2
+    moved = spark.createDataFrame([("http://q.net/new", "http://a.com/de/5"), ("http://q.net/new", None), (None, "x"), ("http://q.net/a", "http://q.net/new")], "source string, target string")
+    one = spark.createDataFrame([(1, "http://q.net/new", None), (2, "http://q.net/a", None), (3, "http://q.net/b", None)], "page_id long, url string, html string")
+    assert {r["page_id"]: (r["verdict"], r["inherited"]) for r in urlfilter.judge(one, redirects=moved).collect()} == {1: ("block", True), 2: ("block", True), 3: ("allow", False)}
+    assert urlfilter.judge(one.limit(0), redirects=moved.limit(0)).count() == 0
     more = [("h%d.net" % i, "/p", "block") for i in range(300)] + urlfilter.RULES
     again = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), more).collect()}
     assert again == found
