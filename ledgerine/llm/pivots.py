@@ -29,6 +29,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,36 +113,39 @@ def canonical(perms: np.ndarray, key: int, k: int) -> np.ndarray:
     return has @ has.T == 0
 
 
-def candidates(sketches: np.ndarray, gap: int) -> np.ndarray:
-    """Pairs whose sketches differ by ``gap`` steps at most everywhere."""
-    near = np.ones((len(sketches), len(sketches)), bool)
-    for angle in sketches.T.astype(np.int16):
-        near &= np.abs(angle[:, None] - angle) <= gap
-    return near
+def first_shared(x: np.ndarray, y: np.ndarray, code: np.ndarray, k: int) -> np.ndarray:
+    """The same for pairs of rows of permutations and the code of each pair's list."""
+    own = np.stack([code >> (16 * i) & 0xFFFF for i in range(k)], axis=1)
+    shared = (x[:, :, None] == y[:, None, :]).any(2)
+    return ~(shared & (x < own[:, -1:]) & ~(x[:, :, None] == own[:, None, :]).any(2)).any(1)
 
 
 def _prune(gap: int, shared: int):
-    """The entries of lists that keep a partner."""
+    """The entries of lists that keep a partner: sketches differ by ``gap`` steps at most everywhere, and the list is the pair's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_cell(batches):
-            start, names, code, side, whole = bounds(table), table["digest"], table["code"].to_numpy(), table["side"].to_numpy(), table["whole"].to_numpy(zero_copy_only=False)
-            sketch, perm = table["sketch"].to_pylist(), table["perm"].to_pylist()
-            found = []
-            for lo, hi in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
-                if hi - lo < 2:
-                    continue
-                near = candidates(np.frombuffer(b"".join(sketch[lo:hi]), np.uint8).reshape(hi - lo, -1), gap)
-                np.fill_diagonal(near, False)
-                if not whole[lo]:
-                    near &= side[lo:hi, None] != side[None, lo:hi]
-                some = np.flatnonzero(near.any(0))
-                if len(some):  # the rest need not be looked at for the order of their pivots
-                    perms = np.frombuffer(b"".join(perm[lo + i] for i in some.tolist()), np.int16).reshape(len(some), -1)
-                    pairs = near[np.ix_(some, some)] & canonical(perms, int(code[lo]), min(shared, perms.shape[1]))
-                    found.append(lo + some[pairs.any(0)])
-            at = np.concatenate([np.zeros(0, np.int64), *found])
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(at)).combine_chunks().cast(pa.binary()), pa.array(code[at])], ["digest", "code"])
+            start, code, side, whole = bounds(table), table["code"].to_numpy(), table["side"].to_numpy(), table["whole"].to_numpy(zero_copy_only=False)
+            end = np.repeat(start[1:], np.diff(start))
+            of_size, raw, perm = pc.binary_length(table["perm"]).to_numpy(), table["sketch"].to_pylist(), table["perm"].to_pylist()
+            keep = np.zeros(len(code), bool)
+            for size in np.unique(of_size).tolist():  # vectors of one length have permutations of one length
+                rows = np.flatnonzero(of_size == size)
+                last, own = np.searchsorted(rows, end[rows]), code[rows]
+                sketch = np.frombuffer(b"".join(raw[i] for i in rows.tolist()), np.uint8).reshape(len(rows), -1).astype(np.int16)
+                perms = np.frombuffer(b"".join(perm[i] for i in rows.tolist()), np.int16).reshape(len(rows), -1)
+                i, step = np.arange(len(rows)), 0
+                while len(i):
+                    step += 1
+                    i = i[i + step < last[i]]
+                    near = i[whole[rows[i]] | (side[rows[i]] != side[rows[np.minimum(i + step, len(rows) - 1)]])]
+                    for lo in range(0, sketch.shape[1], 8):  # most pairs differ in the first angles
+                        near = near[(np.abs(sketch[near, lo : lo + 8] - sketch[near + step, lo : lo + 8]) <= gap).all(1)]
+                    near = near[first_shared(perms[near], perms[near + step], own[near], min(shared, perms.shape[1]))]
+                    keep[rows[near]] = keep[rows[near + step]] = True
+            at = np.flatnonzero(keep)
+            names = table["digest"].take(pa.array(at)).combine_chunks()
+            yield pa.RecordBatch.from_arrays([names.cast(pa.binary()), pa.array(code[at])], ["digest", "code"])
 
     return run
 
@@ -194,7 +198,7 @@ def listed(spots: DataFrame, block: int, *columns: str) -> DataFrame:
     return in_cells(cells.select("cell", "side", "whole", "digest", "code", *columns))
 
 
-def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, pivots: int | None = None, nearest: int = 6, shared: int = 2, block: int = 512) -> DataFrame:
+def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, pivots: int | None = None, nearest: int = 6, shared: int = 2, block: int = 256) -> DataFrame:
     """vec_id, n_links, component_id, kept: a row for each row of ``table``."""
     given = table.select(known_id(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = written(given.mapInArrow(_clean, "id long, label string, vector binary, digest binary"))
