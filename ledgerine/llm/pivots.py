@@ -33,8 +33,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .clusters import bounds, by_cell, in_cells
 from .common import Forest, components, join_counted, known_id, paired_blocks, shown_id, stars, written
-from .minhash import bounds, by_cell, in_cells
 
 
 #: Pivots whose angles make up the sketch, and the steps of an angle from 0 to pi.
