@@ -214,15 +214,56 @@ def test_minhash(spark):
     sets = [set(minhash.shingles((t or "").encode(), 3).tolist()) for t in texts]
     links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if sets[i] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
     expected = components_brute(len(texts), links)
-    for block in (128, 4):
+    for block in (128, 4, 1):
         found = sorted(minhash.near_duplicates(docs(spark, texts), block=block).collect(), key=lambda r: r["doc_id"])
         assert [r["component_id"] for r in found] == expected and [r["n_shingles"] for r in found] == [len(s) for s in sets]
         assert [r["kept"] for r in found] == [i == c for i, c in enumerate(expected)]
     assert minhash.near_duplicates(docs(spark, ["x"]).limit(0)).count() == 0
+    ids = [None if i % 5 == 0 else i // 2 for i in range(len(texts))]
+    low = [-1 if i is None else i for i in ids]
+    groups = {}
+    for i, c in enumerate(expected):
+        groups.setdefault(c, []).append(low[i])
+    found = minhash.near_duplicates(docs(spark, texts, ids).withColumns({"digest": F.lit(1), "row": F.lit(2)}), block=2)
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_shingles"], -1 if r["component_id"] is None else r["component_id"]) for r in found.collect())
+    assert got == sorted((low[i], len(sets[i]), min(groups[expected[i]])) for i in range(len(texts)))
     twice = minhash.near_duplicates(docs(spark, ["a b c d", "a b c d", "q"], [None, 4, 4])).collect()
     assert sorted((r["doc_id"] is None, r["component_id"] is None) for r in twice) == [(False, False), (False, True), (True, True)]
 
 
+def test_minhash_of_trees_that_lists_hold_together(spark):
+    """Chains and families around the threshold, in blocks of few: heads and members of different trees must meet."""
+    rng = np.random.default_rng(31)
+    base, texts = prose(120, 33).split(), []
+    for family in range(4):
+        start = list(base)
+        for j in range(family * 8):
+            start[(j * 7 + family) % 120] = f"f{family}_{j}"
+        for i in range(14):
+            w = list(start)
+            for j in rng.integers(0, 120, int(rng.integers(0, 6))):
+                w[j] = f"v{family}_{i}_{j}"
+            texts.append(" ".join(w))
+    sets = [set(minhash.shingles(t.encode(), 3).tolist()) for t in texts]
+    links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    expected = components_brute(len(texts), links)
+    assert 3 < len(set(expected)) < 50
+    for block in (128, 5, 2):
+        assert [r["component_id"] for r in sorted(minhash.near_duplicates(docs(spark, texts), block=block).collect(), key=lambda r: r["doc_id"])] == expected
+
+
+def test_one_of_each(spark):
+    a, b = prose(60, 50), prose(60, 51)
+    rows = [(1, a), (1, a), (1, a + " x"), (2, a), (2, b), (2, b), (None, b), (None, b), (3, ""), (3, ""), (4, None), (5, prose(60, 52)), (5, prose(60, 53))]
+    d = docs(spark, [t for _, t in rows], [i for i, _ in rows]).withColumns({"_doc": F.lit(1), "m": F.lit(2)})
+    found = minhash.one_of_each(d)
+    assert found.columns == d.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in found.collect()), key=str)
+    first = [x for x in got if x[0] == 1]
+    assert len(first) == 1 and first[0][1] in (a, a + " x")
+    assert [x for x in got if x[0] != 1] == sorted([(None, b), (3, ""), (3, ""), (4, None), rows[-2], rows[-1]], key=str)
+
+
 def test_band_choice():
     for share in (0.8, 0.85):
         r = minhash.band_rows(share)
