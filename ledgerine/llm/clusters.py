@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, paired_blocks, written
+from .common import components, if_small, paired_blocks, written
 
 LINKS = "a binary, b binary"
 
@@ -57,6 +57,11 @@ def links_batch(out: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], ["a", "b"])
 
 
+def parts_of(blocks: Column) -> Column:
+    """A power of two, so that lists of about one length have the same blocks and their links fall together."""
+    return F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(blocks.cast("double"), F.lit(1.0))))).cast("long")
+
+
 def block_of(parts: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64("digest", F.lit(seed)), parts.cast("long")).cast("int")
 
@@ -75,7 +80,7 @@ def across(members: DataFrame) -> DataFrame | None:
         return None
     some = members.join(lists, "list")
     each = F.col("parts") / F.col("c")  # parts for each member
-    some = some.withColumns({"_all": F.greatest(F.lit(1), F.ceil(F.col("n") * each)).cast("int"), "_rest": F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("most")) * each)).cast("int")})
+    some = some.withColumns({"_all": parts_of(F.col("n") * each).cast("int"), "_rest": parts_of((F.col("n") - F.col("most")) * each).cast("int")})
     high = some.withColumns({"low": block_of(F.col("_all"), 17), "high": F.explode(F.expr("sequence(0, _rest - 1)")), "side": F.lit(0)})
     rest = some.where("tree <> largest").withColumns({"low": F.explode(F.expr("sequence(0, _all - 1)")), "high": block_of(F.col("_rest"), 23), "side": F.lit(1)})
     return high.unionByName(rest).select(F.struct("list", "low", "high").alias("cell"), "side", F.lit(False).alias("whole"), "digest", "tree")
@@ -90,7 +95,7 @@ def connect(spots: DataFrame, carried: DataFrame, links: Callable, sketches: Dat
     """
 
     def met(cells: DataFrame) -> DataFrame:
-        return written(in_cells(cells.join(carried, "digest")).mapInArrow(links, LINKS))
+        return written(in_cells(carried.join(if_small(written(cells)), "digest")).mapInArrow(links, LINKS))
 
     own = block_of(F.col("parts"), 17)
     found = met(spots.select(F.struct("list", own.alias("low"), own.alias("high")).alias("cell"), F.lit(0).alias("side"), F.lit(True).alias("whole"), "digest", F.lit(None).cast("binary").alias("tree")))
@@ -110,7 +115,7 @@ def connect(spots: DataFrame, carried: DataFrame, links: Callable, sketches: Dat
     members = written(with_trees(wide, linked).select("list", "c", "parts", "digest", "tree"))
     cells = across(members)
     if cells is not None and sift is not None:
-        some = written(in_cells(cells.join(sketches, "digest")).mapInArrow(sift, "digest binary").distinct())
+        some = written(in_cells(sketches.join(if_small(written(cells)), "digest")).mapInArrow(sift, "digest binary").distinct())
         cells = across(members.join(some, "digest"))
     if cells is None:
         return linked

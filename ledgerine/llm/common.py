@@ -96,6 +96,15 @@ def fields_of(df: DataFrame, *names: str) -> str:
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
 
 
+#: Rows of keys and a few numbers that may be broadcast, about 100 bytes each in memory; longer tables are exchanged.
+SMALL = 400_000
+
+
+def if_small(df: DataFrame) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if it is short."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 #: Keys that may be broadcast for holding many rows: at most this many hold a share of one in HOT or more.
 HOT = 4096
 

@@ -26,15 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .clusters import bounds, by_cell, connect, links_batch
-from .common import Forest, join_counted, known_id, mixed, shown_id, stars, written
+from .clusters import bounds, by_cell, connect, links_batch, parts_of
+from .common import Forest, if_small, join_counted, known_id, mixed, shown_id, stars, written
 
 MINIMA, BITS = 128, 4
 A = mixed(np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 B = mixed(np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 ONES = np.uint64(0x1111111111111111)
-#: Rows of a list of row keys that may be broadcast (about 100 bytes each in memory, or 40 where a key is one number); longer ones are exchanged.
-SMALL = 400_000
+#: Keys of one number, about 40 bytes each in memory, that may be broadcast; more are exchanged.
 SMALL_NUMBERS = 1_500_000
 #: Shingles of one block of sets, about.
 HELD = 2_000_000
@@ -240,13 +239,13 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     signs = classes.select("digest", "sign")
 
     spots = classes.select("digest", F.explode("bands").alias("list"))
-    shared = written(spots.groupBy("list").agg(F.count("*").alias("c")).where("c > 1").withColumn("parts", F.ceil(F.col("c") / block)))
+    shared = written(spots.groupBy("list").agg(F.count("*").alias("c")).where("c > 1").withColumn("parts", parts_of(F.col("c") / block)))
     spots = written(join_counted(spots, shared, ["list"], "c", classes.count() * (MINIMA // band_rows(share))).select("list", "c", "parts", "digest"))
     coarse = written(connect(spots, signs, _screen(least)).select(F.col("node").alias("digest"), F.col("root").alias("list")))
 
-    coarse = written(coarse.join(classes.select("digest", "at", "n"), "digest"))
+    coarse = written(classes.select("digest", "at", "n").join(if_small(coarse), "digest"))
     sizes = coarse.groupBy("list").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
-    sizes = written(sizes.select("list", "c", F.greatest(F.ceil(F.col("c") / block), F.least(F.col("c"), F.ceil(F.col("n") / HELD))).alias("parts")))
+    sizes = written(sizes.select("list", "c", parts_of(F.greatest(F.col("c") / block, F.least(F.col("c").cast("double"), F.col("n") / HELD))).alias("parts")))
     spots = written(coarse.join(sizes, "list").select("list", "c", "parts", "digest"))
     numbers = coarse.select(F.xxhash64("at.doc", "at.row").alias("k"))
     wanted = coarse.count()
@@ -277,14 +276,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows, found = grouped(docs, id_col, text_col, shingle, percent, block)
     own = rows.join(found, "digest").withColumn("stays", (F.col("doc") == F.col("first.doc")) & (F.col("row") == F.col("first.row")))
     own = written(own.groupBy("doc", "row", "stays").agg(F.count("*").alias("m")).where("not stays or m > 1").select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), F.when(F.col("stays"), True).alias("_again")))
-    few = own.count() <= SMALL
     names = docs.columns
     inner = [f"_c{i}" for i in range(len(names))]
     doc, row = row_key(id_col, text_col)
     keyed = docs.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, inner, strict=True)], doc.alias("_doc"), row.alias("_row"))
-    out = keyed.join(F.broadcast(own) if few else own, ["_doc", "_row"], "left_anti").select(*inner)
+    out = keyed.join(if_small(own), ["_doc", "_row"], "left_anti").select(*inner)
     again = own.where("_again").select("_doc", "_row")
     if not again.isEmpty():
-        same = keyed.join(F.broadcast(again) if few else again, ["_doc", "_row"]).groupBy("_doc", "_row")
+        same = keyed.join(if_small(again), ["_doc", "_row"]).groupBy("_doc", "_row")
         out = out.unionByName(same.agg(F.min_by(F.struct(*inner), F.xxhash64(*inner)).alias("_one")).select("_one.*"))
     return out.toDF(*names)
