@@ -1,19 +1,20 @@
-"""Suffix dedup by grouping windows, in place of a depth-limited radix sort: equal groups are the repeated windows.
+"""Suffix dedup: windows dealt out by a minimal string, then ordered by most-significant-digit passes to their full depth.
 
-No suffix is ordered by its digits. Windows of ``window`` bytes are grouped by hashes, only as far as needed to tell which repeat:
+A radix sort of all suffixes moves a row for each byte of text. Here the first pass, which deals suffixes to tasks, is not by
+their first bytes but by a string inside them, so that a run of neighbouring suffixes is one row; the passes after it take the digits
+in order. Equal groups after the last pass are exactly the repeated windows.
 
 1. Minimal string. A window's key is the 48-byte string of smallest hash inside it (leftmost on ties) and where it stands. Equal windows
    have equal keys, and neighbouring windows share one, so a run of them (a block) is a single row of about one per 64 bytes of
    text. Only strings that occur twice go on.
 2. Content: the block's whole content. Blocks that occur twice are settled, all their windows repeat.
-3. Windows, for blocks whose string occurs with other contents: one block of each kind shows its bytes and every window is
-   ordered by offset and content. Kinds that are many are ordered window by window in an aggregation, so no group is bounded by
-   a task.
-
-Sorting each of the n suffixes as a row instead would move 16 bytes or more for each byte of text.
+3. Digits, for blocks whose string occurs with other contents: one block of each kind shows its bytes, and its windows are refined
+   by eight bytes a pass until ``window`` bytes are read. A group that holds one window leaves after each pass. Strings with so
+   many kinds that they would burden a task are refined by an aggregation over hashes of windows instead.
 
 All bytes that a repeated window covers are removed, the first copy too. Matches never cross documents; windows are judged on
-the input. Contents are compared by 64-bit polynomial hashes within groups that agree in another 64-bit hash.
+the input. Steps 1 and 2 compare 64-bit polynomial hashes within groups that agree in another 64-bit hash, step 3 compares bytes.
+Strings and contents that hold a large share of all blocks are broadcast, so no task gathers the copies of a hot passage.
 
 Edge cases: a null text is the empty text; texts below ``window`` bytes stay as they are; texts of any length are cut into overlapping
 runs; rows that repeat an id and a text are copies of each other and lose everything; null ids are ids; an empty table gives an
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_texts, known_id, mixed, written
+from .common import flat_texts, join_counted, known_id, mixed, written
 
 GRAM = 48
 SLICE = 1_000_000
@@ -99,15 +100,12 @@ def _runs(column: pa.Array, window: int):
                     yield np.array([first]), np.array([lo]), part, np.array([0, len(part)])
 
 
-def _blocks(window: int, only_strings: bool):
+def _blocks(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for rows, shift, data, offsets in _runs(batch.column(2), window):
                 text, first, where, n, string, content = blocks_of(data, offsets, window)
-                if only_strings:
-                    yield pa.RecordBatch.from_arrays([pa.array(string.view(np.int64))], ["string"])
-                    continue
                 row = rows[text] if len(text) else text
                 place = tag[row].astype(np.int64) << 47 | (first + (shift[text] if len(text) else 0)) << 16 | where << 8 | n
                 yield pa.RecordBatch.from_arrays([pa.array(string.view(np.int64)), pa.array(content.view(np.int64)), pa.array(key[row]), pa.array(place)], ["string", "content", "key", "place"])
@@ -141,21 +139,43 @@ def _show(out: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["string", "n", "kinds", "key", "place", "body"])
 
 
-def windows_of(batch: pa.RecordBatch, window: int) -> tuple[np.ndarray, ...]:
-    """(row, offset to the string, window hash, window start) of all windows of the shown blocks."""
+def windows_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """(bytes, row, offset to the string, place in the bytes, window start) of all windows of the shown blocks, in runs."""
     bodies = batch.column(batch.schema.get_field_index("body"))
     place = batch.column(batch.schema.get_field_index("place")).to_numpy()
-    rows, offs, found, starts = [], [], [], []
-    for first, last, data, offsets in flat_texts(bodies, SLICE):
+    for first, last, data, offsets in flat_texts(bodies, bodies.nbytes + 1):
         n = place[first:last] & 255
-        h = hashes(data, (window,))[window]
         row = np.repeat(np.arange(last - first), n)
         j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        rows.append(row + first)
-        found.append(h[offsets[:-1][row] + j])
-        offs.append((place[first:last][row] >> 8 & 255) - j)
-        starts.append((place[first:last][row] >> 16 & 0x7FFFFFFF) + j)
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, offs, found, starts))
+        at = place[first:last][row]
+        yield data, row + first, (at >> 8 & 255) - j, offsets[:-1][row] + j, (at >> 16 & 0x7FFFFFFF) + j
+
+
+def radix_repeats(data: np.ndarray, group: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """The windows (places ``at``) whose bytes occur again in their group: passes over digits of eight bytes, most significant first."""
+    words = np.zeros(max(0, len(data) - 7), np.uint64)
+    for k in range(8):
+        words = words << np.uint64(8) | data[k : k + len(words)]
+    left = np.argsort(group, kind="stable")
+    group = group[left]
+    for digit in [None, *range(0, window - 8, 8), window - 8]:
+        key = np.zeros(len(left), np.uint64) if digit is None else words[at[left] + digit]
+        split = (key[1:] != key[:-1]) & (group[1:] == group[:-1])
+        if digit is not None and not split.any():
+            continue
+        number = np.cumsum(np.concatenate([[0], group[1:] != group[:-1]])) if len(left) else group
+        mixed_up = np.zeros(len(left) and number[-1] + 1, bool)
+        mixed_up[number[1:][split]] = True
+        rows = np.flatnonzero(mixed_up[number])  # of groups that hold several digits
+        order = rows[np.lexsort((key[rows], number[rows]))]
+        key[rows], left[rows] = key[order], left[order]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (number[1:] != number[:-1])])[: len(left)]
+        group = np.cumsum(new) - 1
+        several = np.bincount(group, minlength=1)[group] > 1
+        left, group = left[several], group[several]
+        if not len(left):
+            break
+    return np.sort(left)
 
 
 def _spans(key: np.ndarray, place: np.ndarray, row: np.ndarray, start: np.ndarray, window: int) -> pa.RecordBatch:
@@ -185,11 +205,11 @@ def _settle(window: int):
     def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
         batch = table.combine_chunks().to_batches()[0]
         string, key, place, count = (batch.column(batch.schema.get_field_index(x)).to_numpy() for x in ("string", "key", "place", "n"))
-        row, off, h, start = windows_of(batch, window)
-        code = mixed(string[row].view(np.uint64) + mixed(off.astype(np.uint64))) + h
-        _, back, times = np.unique(code, return_inverse=True, return_counts=True)
-        found = np.flatnonzero((times[back] > 1) & (count[row] == 1))
-        yield _spans(key, place, row[found], start[found], window)
+        number = np.cumsum(np.concatenate([[0], string[1:] != string[:-1]]))
+        for data, row, off, at, start in windows_of(batch):
+            found = radix_repeats(data, number[row] * 256 + off, at, window)
+            found = found[count[row[found]] == 1]
+            yield _spans(key, place, row[found], start[found], window)
 
     return run
 
@@ -199,9 +219,10 @@ def _spread(window: int):
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                row, off, h, start = windows_of(part, window)
                 string, key, place, count = (part.column(part.schema.get_field_index(x)).to_numpy() for x in ("string", "key", "place", "n"))
-                yield pa.RecordBatch.from_arrays([pa.array(string[row]), pa.array(off), pa.array(h.view(np.int64)), pa.array(count[row]), pa.array(key[row]), pa.array((place[row] >> 47).astype(np.int32)), pa.array(start << 32 | (start + window))], ["string", "off", "hash", "n", "key", "tag", "span"])
+                for data, row, off, at, start in windows_of(part):
+                    h = hashes(data, (window,))[window][at]
+                    yield pa.RecordBatch.from_arrays([pa.array(string[row]), pa.array(off), pa.array(h.view(np.int64)), pa.array(count[row]), pa.array(key[row]), pa.array((place[row] >> 47).astype(np.int32)), pa.array(start << 32 | (start + window))], ["string", "off", "hash", "n", "key", "tag", "span"])
 
     return run
 
@@ -244,16 +265,15 @@ def repeated_spans(keyed: DataFrame, window: int, many: int = MANY) -> DataFrame
     """(key, tag, spans) for (key, tag, text): the bytes that repeated windows cover."""
     if not GRAM < window <= GRAM + 254:
         raise ValueError(f"window must lie between {GRAM + 1} and {GRAM + 254}")
-    strings = keyed.mapInArrow(_blocks(window, True), "string long")
-    again = written(strings.groupBy("string").agg(F.count("*").alias("c")).where("c > 1").select("string"))
-    blocks = keyed.mapInArrow(_blocks(window, False), "string long, content long, key long, place long")
-    rows = written(blocks.join(again, "string"))
+    blocks = written(keyed.mapInArrow(_blocks(window), "string long, content long, key long, place long"))
+    again = written(blocks.groupBy("string").agg(F.count("*").alias("c")).where("c > 1"))
+    rows = written(join_counted(blocks, again, ["string"], "c", blocks.count()).drop("c"))
     kinds = rows.groupBy("string", "content").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min_by("place", "key").alias("place"))
     several = kinds.groupBy("string").agg(F.count("*").alias("kinds")).where("kinds > 1")
     kinds = written(kinds.join(several, "string", "left").where("n > 1 or kinds > 1"))
     first, n = F.col("place").bitwiseAND(0x7FFFFFFF0000), F.col("place").bitwiseAND(255)
     tag = F.shiftright("place", 47).cast("int").alias("tag")
-    settled = rows.join(kinds.where("n > 1").select("string", "content"), ["string", "content"])
+    settled = join_counted(rows, kinds.where("n > 1").select("string", "content", F.col("n").alias("copies")), ["string", "content"], "copies", rows.count())
     settled = settled.select("key", tag, (F.shiftleft(first, 16) + F.shiftright(first, 16) + n + (window - 1)).alias("span"))
     wanted = kinds.where("kinds > 1").select("key", tag, F.struct("string", "place", "n", "kinds").alias("x")).groupBy("key", "tag").agg(F.collect_list("x").alias("wanted"))
     shown = keyed.join(wanted, ["key", "tag"]).select("key", "tag", "text", "wanted")
