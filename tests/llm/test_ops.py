@@ -125,6 +125,29 @@ def test_suffix(spark, many):
     assert got == repeats_brute(texts, 200)
 
 
+def test_radix_passes_find_the_repeated_windows():
+    rng = np.random.default_rng(4)
+    for window in (49, 56, 200):
+        data = rng.choice(np.frombuffer(b"ab", np.uint8), 4000)
+        data[1500:1900], data[2500:2800] = data[100:500], data[300:600]
+        at = np.arange(len(data) - window + 1)
+        for group in (np.zeros(len(at), np.int64), at % 2):
+            seen = {}
+            for i in at.tolist():
+                seen.setdefault((group[i], data[i : i + window].tobytes()), []).append(i)
+            assert suffix.radix_repeats(data, group, at, window).tolist() == sorted(i for x in seen.values() if len(x) > 1 for i in x)
+    assert suffix.radix_repeats(data[:0], at[:0], at[:0], 200).tolist() == []
+
+
+def test_suffix_with_clashing_columns_and_hot_passages(spark):
+    p = prose(70, 300)
+    texts = [f"{prose(20, 400 + i)} {p} {'=' * 400 if i % 3 else ''}" for i in range(60)] + [p] * 30 + ["=" * 700, None]
+    d = docs(spark, texts).withColumns({x: F.lit(1) for x in ("key", "tag", "spans", "n_bytes", "kept", "_c0", "string")})
+    found = suffix.drop_repeats(d)
+    assert found.columns[:4] == ["doc_id", "lang", "source", "n_chars"] and {"key", "tag", "spans", "_c0"} <= set(found.columns)
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in sorted(found.collect(), key=lambda r: r["doc_id"])] == repeats_brute(texts, 200)
+
+
 def test_suffix_long_and_repeated_rows(spark, monkeypatch):
     big = prose(900, 7)
     assert [x[1] for x in sorted((r["doc_id"], r["n_removed"]) for r in suffix.drop_repeats(docs(spark, ["a" * 10 + big, None], [3, None]).union(docs(spark, ["a" * 10 + big], [3]))).collect() if r["doc_id"] is not None)] == [len(big) + 10] * 2
