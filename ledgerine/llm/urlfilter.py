@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components
+from .common import components, written
 
 #: (host, path prefix, verdict)
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -117,7 +117,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, red
     if links is None:
         out = out.withColumn("_found", F.lit(None).cast("string"))
     else:
-        member = components(links)
+        member = components(written(links))
         own = with_rule(member.select("node", "root"), "node", rules)
         flags = own.groupBy("root").agg(F.min("rule_verdict").alias("_found")).where(F.col("_found").isNotNull())
         found = member.join(flags, "root").select(F.col("node").alias("_name"), "_found")
