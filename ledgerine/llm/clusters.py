@@ -2,8 +2,9 @@
 
 ``connect`` takes lists of members in blocks of bounded size and goes on only with what is still apart:
 
-1. Each block meets in one task: every member is sent once for each list.
-2. Of lists with several blocks, the heads of the trees so far (one member for each tree) meet, block by block.
+1. Each block meets in one task: every member is sent once for each list. The blocks of a long list share a few members, so the
+   trees of its blocks mostly grow together at once.
+2. Where that leaves lists with many trees, the heads of the trees (one member for each) meet, block by block.
 3. Where a list still holds several trees, members outside its largest tree meet all others, block by block; ``sift`` may first tell,
    by a small sketch, which of them can have a partner in another tree.
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, if_small, paired_blocks, written
+from .common import SMALL, components, if_small, paired_blocks, written
 
 LINKS = "a binary, b binary"
 
@@ -71,14 +72,16 @@ def with_trees(spots: DataFrame, linked: DataFrame) -> DataFrame:
     return spots.join(linked.select(F.col("node").alias("digest"), F.col("root").alias("tree")), "digest", "left").withColumn("tree", F.coalesce("tree", "digest"))
 
 
-def across(members: DataFrame) -> DataFrame | None:
-    """Cells in which members outside the largest tree of a list meet all members; None if every list is one tree."""
+def open_lists(members: DataFrame) -> DataFrame:
+    """(list, n, most, largest) of lists that hold several trees: members, those of the largest tree, and its name."""
     trees = members.groupBy("list", "tree").agg(F.count("*").alias("k"))
-    lists = trees.groupBy("list").agg(F.sum("k").alias("n"), F.max("k").alias("most"), F.max_by("tree", F.struct("k", "tree")).alias("largest")).where("n > most")
-    lists = written(lists)
-    if lists.isEmpty():
-        return None
-    some = members.join(lists, "list")
+    lists = trees.groupBy("list").agg(F.sum("k").alias("n"), F.max("k").alias("most"), F.max_by("tree", F.struct("k", "tree")).alias("largest"))
+    return written(lists.where("n > most"))
+
+
+def across(members: DataFrame, lists: DataFrame) -> DataFrame:
+    """Cells in which members outside the largest tree of a list meet all members."""
+    some = members.join(if_small(lists), "list")
     each = F.col("parts") / F.col("c")  # parts for each member
     some = some.withColumns({"_all": parts_of(F.col("n") * each).cast("int"), "_rest": parts_of((F.col("n") - F.col("most")) * each).cast("int")})
     high = some.withColumns({"low": block_of(F.col("_all"), 17), "high": F.explode(F.expr("sequence(0, _rest - 1)")), "side": F.lit(0)})
@@ -86,6 +89,13 @@ def across(members: DataFrame) -> DataFrame | None:
     return high.unionByName(rest).select(F.struct("list", "low", "high").alias("cell"), "side", F.lit(False).alias("whole"), "digest", "tree")
 
 
+def shared_members(wide: DataFrame) -> DataFrame:
+    """Up to six members of each long list."""
+    some = F.array(F.min("digest"), F.max("digest"), *[F.min_by("digest", F.xxhash64("digest", F.lit(k))) for k in range(4)])
+    picked = wide.groupBy("list").agg(F.first("parts").alias("parts"), F.array_distinct(some).alias("digest"))
+    return picked.select("list", "parts", F.explode("digest").alias("digest"))
+
+
 def connect(spots: DataFrame, carried: DataFrame, links: Callable, sketches: DataFrame | None = None, sift: Callable | None = None) -> DataFrame:
     """(node, root) for all members that are linked; root is the smallest one.
 
@@ -95,28 +105,39 @@ def connect(spots: DataFrame, carried: DataFrame, links: Callable, sketches: Dat
     """
 
     def met(cells: DataFrame) -> DataFrame:
-        return written(in_cells(carried.join(if_small(written(cells)), "digest")).mapInArrow(links, LINKS))
+        return written(in_cells(carried.join(cells, "digest")).mapInArrow(links, LINKS))
 
-    own = block_of(F.col("parts"), 17)
-    found = met(spots.select(F.struct("list", own.alias("low"), own.alias("high")).alias("cell"), F.lit(0).alias("side"), F.lit(True).alias("whole"), "digest", F.lit(None).cast("binary").alias("tree")))
-    linked = components(found)
-    wide = spots.where("parts > 1")
+    def with_more(linked: DataFrame, cells: DataFrame) -> DataFrame:
+        return components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(met(if_small(written(cells)))))
+
+    own, wide = block_of(F.col("parts"), 17), spots.where("parts > 1")
+    more = shared_members(wide).withColumn("block", F.explode(F.expr("sequence(0, cast(parts as int) - 1)"))).where(F.col("block") != own)
+    inside = spots.select("list", "digest", own.alias("block")).unionByName(more.select("list", "digest", "block"))
+    cells = inside.select(F.struct("list", F.col("block").alias("low"), F.col("block").alias("high")).alias("cell"), F.lit(0).alias("side"), F.lit(True).alias("whole"), "digest", F.lit(None).cast("binary").alias("tree"))
+    linked = components(met(F.broadcast(cells) if spots.count() <= SMALL else cells))
     if wide.isEmpty():
         return linked
     linked = written(linked)
-    heads = with_trees(wide, linked).groupBy("list", "tree").agg(F.min("digest").alias("digest"), F.first("c").alias("c"), F.first("parts").alias("parts"))
-    heads = written(heads)
-    several = written(heads.groupBy("list").agg(F.count("*").alias("trees")).where("trees > 1"))
-    if several.isEmpty():
-        return linked
-    heads = paired_blocks(heads.join(several, "list"), "list", F.ceil(F.col("trees") * F.col("parts") / F.col("c")), F.col("digest"), 1)
-    found = found.unionByName(met(heads.select("cell", "side", F.expr("cell.low = cell.high").alias("whole"), "digest", "tree")))
-    linked = written(components(found))
     members = written(with_trees(wide, linked).select("list", "c", "parts", "digest", "tree"))
-    cells = across(members)
-    if cells is not None and sift is not None:
-        some = written(in_cells(sketches.join(if_small(written(cells)), "digest")).mapInArrow(sift, "digest binary").distinct())
-        cells = across(members.join(some, "digest"))
-    if cells is None:
+    lists = open_lists(members)
+    sent = members.join(if_small(lists), "list").select("list", "parts", "c", "n", "most").distinct().agg(F.sum(F.col("n") - F.col("most")).alias("rest"), F.sum((F.col("n") - F.col("most")) * F.col("parts")).alias("rows"), F.sum("n").alias("n")).first()
+    if not sent["rest"]:
         return linked
-    return components(found.unionByName(met(cells)))
+    if sent["rows"] > 2 * sent["n"]:
+        heads = members.join(if_small(lists.select("list")), "list").groupBy("list", "tree").agg(F.min("digest").alias("digest"), F.first("c").alias("c"), F.first("parts").alias("parts"))
+        several = heads.groupBy("list").agg(F.count("*").alias("trees"))
+        heads = paired_blocks(heads.join(several, "list"), "list", F.ceil(F.col("trees") * F.col("parts") / F.col("c")), F.col("digest"), 1)
+        linked = written(with_more(linked, heads.select("cell", "side", F.expr("cell.low = cell.high").alias("whole"), "digest", "tree")))
+        members = written(with_trees(wide, linked).select("list", "c", "parts", "digest", "tree"))
+        lists = open_lists(members)
+        if lists.isEmpty():
+            return linked
+    cells = across(members, lists)
+    if sift is not None:
+        some = written(in_cells(sketches.join(if_small(written(cells)), "digest")).mapInArrow(sift, "digest binary").distinct())
+        members = members.join(if_small(some), "digest")
+        lists = open_lists(members)
+        if lists.isEmpty():
+            return linked
+        cells = across(members, lists)
+    return with_more(linked, cells)

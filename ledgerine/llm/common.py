@@ -126,16 +126,16 @@ def components(edges: DataFrame, scratch=written, most_rounds: int = 60) -> Data
     Small-star and large-star steps by turns; the first gathers the many links that one node may have to nodes near each other. Each step is a minimum per node, which is combined before the exchange, and
     an equi-join that the runtime may split when a node is hot, so no task ever holds the neighbours of one node together.
     The minima of a round also show whether all links are stars by now, so links that come as stars cost no round.
-    Self links and nulls are ignored; with no links the result is empty. Only DataFrame operations are used.
+    ``edges`` is read twice, so it should be a written table. Self links and nulls are ignored; with no links the result is empty. Only DataFrame operations are used.
     """
     def small_star(links: DataFrame) -> DataFrame:
         """The smaller neighbours of a node, and the node, linked to the smallest of them."""
-        least = scratch(links.groupBy("a").agg(F.min("b").alias("m")))
+        least = links.groupBy("a").agg(F.min("b").alias("m"))
         rest = links.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         return scratch(rest.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
 
     e = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-    e = small_star(scratch(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
+    e = small_star(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     for _ in range(most_rounds):
         both = e.withColumn("down", F.lit(1)).unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(0).alias("down")))
         low = both.groupBy("a").agg(F.min("b").alias("m"), F.sum("down").alias("downs"), F.count("*").alias("n"))
@@ -143,7 +143,7 @@ def components(edges: DataFrame, scratch=written, most_rounds: int = 60) -> Data
         if low.where("open").isEmpty():  # a node has either one smaller neighbour and no other, or larger ones alone
             break
         large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        e = small_star(scratch(large))
+        e = small_star(large)
     else:
         raise RuntimeError("components did not settle")
     return low.select(F.col("a").alias("node"), F.col("m").alias("root"))
