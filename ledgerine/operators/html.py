@@ -7,7 +7,7 @@ from html import escape
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.formatting import trimmed
@@ -236,11 +236,12 @@ def rows(source: str | None) -> list[tuple]:
             emit[i] = (" ".join(text.split()) if inline else text) + ("\n" if node.kind == "element" and node.tag not in INLINE else "")
         if inside[i]:
             outer[i] = _markup(node, [outer[c] or "" for c in own])
+    place = {id(c): j for n in order for j, c in enumerate(n.children)}
     out = []
     for i, n in enumerate(order):
         parent = number[id(n.parent)] if n.parent is not None else None
         content = "".join(c.data for c in n.children if c.kind == "text") if n.kind == "element" and (leaf[i] or ":" in n.tag) else None
-        sib = n.parent.children.index(n) if n.parent is not None and len(n.parent.children) < 64 else i
+        sib = place.get(id(n), 0)
         kept = emit[i] if leaf[i] or wanted[i] else None
         out.append((i, end[i], parent, depth[id(n)], sib, n.kind, n.tag, n.attrs, n.data, content, leaf[i], parent is not None and leaf[parent], kept, outer[i] if wanted[i] else None))
     return out
@@ -255,6 +256,12 @@ def _markup(node: Node, inner: list[str]) -> str:
     return f"<{node.tag}{attrs}/>" if node.tag in VOID else f"<{node.tag}{attrs}>{''.join(inner)}</{node.tag}>"
 
 
+def dealt(docs: DataFrame) -> DataFrame:
+    """Parsing is the costly step; a table of few splits is dealt out first."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def parse_html(docs: DataFrame, keys: list[str], html_col: str) -> DataFrame:
     """``keys`` and the node columns: the only step that leaves the JVM."""
     fields = [x.split()[0] for x in NODES.replace("map<string,string>", "map").split(", ")]
@@ -283,10 +290,7 @@ def parse_html(docs: DataFrame, keys: list[str], html_col: str) -> DataFrame:
                         heads, out = [[] for _ in keys], []
             yield flush(heads, out, types)
 
-    given = docs.select(*keys, F.col(html_col))
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    if given.rdd.getNumPartitions() < cores:  # parsing is the costly step; a table of few splits is dealt out first
-        given = given.repartition(cores)
+    given = dealt(docs.select(*keys, F.col(html_col)))
     own = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
     return given.mapInArrow(run, f"{own}, {NODES}")
 
@@ -308,6 +312,9 @@ def following_text(nodes: DataFrame, anchors: DataFrame, keys: list[str], budget
     a = anchors.select(*keys, F.col("node_id").alias("anchor"), F.col("subtree_end").alias("_end"), (F.col("depth") - 2).alias("_least"))
     own = nodes.select(*keys, "node_id", "depth", "emit", "parent_is_leaf").where("is_leaf and emit <> ''")
     hits = own.join(a, keys).where("node_id > _end and depth >= _least and not (parent_is_leaf and depth - 1 >= _least)")
+    # Trimming takes white space alone, so behind ``budget`` other bytes nothing is needed: only so much is gathered.
+    before = Window.partitionBy(*keys, "anchor").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
+    hits = hits.withColumn("_seen", F.coalesce(F.sum(F.octet_length(F.regexp_replace("emit", r"\s+", ""))).over(before), F.lit(0))).where(F.col("_seen") < budget)
     gathered = hits.groupBy(*keys, "anchor").agg(F.array_sort(F.collect_list(F.struct("node_id", "emit"))).alias("l"))
     joined = F.aggregate("l", F.lit(""), lambda acc, x: F.when(F.octet_length(trimmed(acc)) < budget, F.concat(acc, x["emit"])).otherwise(acc))
     return gathered.select(*keys, "anchor", trimmed(joined).alias("following"))

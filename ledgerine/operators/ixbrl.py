@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schemas import CONTEXT
+from . import html
+
 KINDS = {"ix:nonfraction": "NonFraction", "ix:nonnumeric": "NonNumeric", "ix:fraction": "Fraction", "xbrli:context": "Context", "xbrli:unit": "Unit"}
 
 
@@ -18,9 +24,8 @@ def tagged(nodes: DataFrame) -> DataFrame:
 
 def facts(nodes: DataFrame, keys: list[str]) -> DataFrame:
     attr = lambda name: F.coalesce(F.col("attrs")[name], F.lit(""))
-    names = {"unit_ref": "unitref", "decimals": "decimals", "name": "name", "format": "format", "scale": "scale", "id": "id", "context_ref": "contextref", "sign": "sign"}
     own = tagged(nodes).where("type in ('NonFraction', 'NonNumeric', 'Fraction')")
-    return own.select(*keys, "node_id", "type", *[attr(v).alias(k) for k, v in names.items()], F.coalesce("content", F.lit("")).alias("content"))
+    return own.select(*keys, "node_id", "type", *[attr(v).alias(k) for k, v in ATTRIBUTES.items()], F.coalesce("content", F.lit("")).alias("content"))
 
 
 def contexts(nodes: DataFrame, keys: list[str]) -> DataFrame:
@@ -45,6 +50,58 @@ def contexts(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return found.select(*keys, F.col("c").alias("node_id"), "id", context.alias("context"))
 
 
+ATTRIBUTES = {"unit_ref": "unitref", "decimals": "decimals", "name": "name", "format": "format", "scale": "scale", "id": "id", "context_ref": "contextref", "sign": "sign"}
+_MEMBERS = pa.list_(pa.struct([("dimension", pa.string()), ("content", pa.string())]))
+_CONTEXT = pa.struct([
+    ("id", pa.string()), ("entity", pa.struct([("identifier", pa.struct([("scheme", pa.string()), ("content", pa.string())])), ("segment", pa.struct([("explicit_members", _MEMBERS), ("typed_members", _MEMBERS)]))])),
+    ("period", pa.struct([("start_date", pa.string()), ("instant", pa.string()), ("end_date", pa.string())])),
+])
+
+
+def facts_of(source: str | None) -> list[dict]:
+    """The facts of one document in its order, each with its context: of contexts that share an id the last, None where there is none."""
+    found = [(i, end, tag, attrs, content or "") for i, end, _, _, _, kind, tag, attrs, _, content, *_ in html.rows(source) if kind == "element" and ":" in tag]
+    contexts, out = {}, []
+    for at, (i, end, tag, attrs, _) in enumerate(found):
+        if tag == "xbrli:context":
+            inner: dict[str, list[tuple[dict, str]]] = {}
+            for j, _, t, a, c in found[at + 1 :]:
+                if j > end:
+                    break
+                inner.setdefault(t, []).append((a, c))
+            last = lambda t: inner[t][-1][1] if t in inner else ""  # noqa: E731, B023
+            many = lambda t: [{"dimension": a.get("dimension", ""), "content": c} for a, c in inner.get(t, ())]  # noqa: E731, B023
+            scheme = max((a["scheme"] for x in inner.values() for a, _ in x if "scheme" in a), default="")
+            contexts[attrs.get("id", "")] = {
+                "id": attrs.get("id", ""), "entity": {"identifier": {"scheme": scheme, "content": last("xbrli:identifier")}, "segment": {"explicit_members": many("xbrldi:explicitmember"), "typed_members": many("xbrldi:typedmember")}},
+                "period": {"start_date": last("xbrli:startdate"), "instant": last("xbrli:instant"), "end_date": last("xbrli:enddate")},
+            }
+    for i, _, tag, attrs, content in found:
+        if KINDS.get(tag) in ("NonFraction", "NonNumeric", "Fraction"):
+            own = {k: attrs.get(v, "") for k, v in ATTRIBUTES.items()}
+            out.append({"node_id": i, "type": KINDS[tag], **own, "content": content, "context": contexts.get(own["context_ref"])})
+    return out
+
+
+def parsed_facts(docs: DataFrame, keys: list[str], html_col: str) -> DataFrame:
+    """The facts of documents with their contexts, like ``with_context(facts(..), contexts(..))``, in one parse and without an exchange."""
+    kinds = {"node_id": pa.int32(), "type": pa.string(), **dict.fromkeys(ATTRIBUTES, pa.string()), "content": pa.string(), "context": _CONTEXT}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = [], []
+            for i, raw in enumerate(batch.column(len(keys)).to_pylist()):
+                own = facts_of(raw.decode(errors="replace") if isinstance(raw, bytes) else raw)
+                at += [i] * len(own)
+                found += own
+            heads = [c.take(pa.array(at, pa.int64())) for c in batch.columns[: len(keys)]]
+            yield pa.RecordBatch.from_arrays([*heads, *(pa.array([x[k] for x in found], t) for k, t in kinds.items())], [*keys, *kinds])
+
+    given = html.dealt(docs.select(*keys, html_col))
+    own = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys), "node_id int, type string", *(f"{k} string" for k in ATTRIBUTES), f"content string, context {CONTEXT}"])
+    return given.mapInArrow(run, own)
+
+
 def with_context(found: DataFrame, ctx: DataFrame, keys: list[str]) -> DataFrame:
     """Left join on the reference; of contexts that share an id the last in the document counts."""
     last = ctx.groupBy(*keys, F.col("id").alias("context_ref")).agg(F.max_by("context", "node_id").alias("context"))

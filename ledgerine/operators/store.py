@@ -27,15 +27,32 @@ def upsert(old: DataFrame, new: DataFrame, *keys: list[str]) -> DataFrame:
     return kept.unionByName(new)
 
 
-def filings_upsert(old: DataFrame, new: DataFrame, order: Column) -> DataFrame:
-    """Replaces on either unique key, the accession number or (cik, form); inside the batch the last wins on both."""
-    new = last_wins(last_wins(new, ["accession_number"], order), ["cik", "form_name"], order)
-    return upsert(old, new, ["accession_number"], ["cik", "form_name"])
+#: The two unique keys of filings.
+FILING_KEYS = (["accession_number"], ["cik", "form_name"])
 
 
-def facts_rows(facts: DataFrame, strict: bool = True) -> DataFrame:
-    """Facts with id and source_type; neither a CIK nor an EIN is an error, or dropped unless ``strict``."""
+def last_of_batch(batch: DataFrame, keys: tuple[list[str], ...], order: Column) -> DataFrame:
+    """Rows that no later row of the whole batch agrees with in any of the keys: what is left if each row replaces those before it."""
+    names = batch.columns
+    rows = batch.dropDuplicates().withColumn("_order", F.struct(order.alias("by"), F.xxhash64(*names).alias("tie")))
+    for key in keys:
+        rows = rows.join(batch.withColumn("_order", F.struct(order.alias("by"), F.xxhash64(*names).alias("tie"))).groupBy(*key).agg(F.max("_order").alias("_last")), key)
+        rows = rows.withColumn("_stays", F.coalesce(F.col("_stays"), F.lit(True)) & (F.col("_order") == F.col("_last")) if "_stays" in rows.columns else F.col("_order") == F.col("_last")).drop("_last")
+    return rows.where("_stays").select(*names)
+
+
+def filings_upsert(old: DataFrame | None, new: DataFrame, order: Column) -> DataFrame:
+    """Rows are replaced on either unique key, one after the other: a row of the batch stays if it is the last on both, an old row if no row of the batch shares a key."""
+    last = last_of_batch(new, FILING_KEYS, order)
+    if old is None:
+        return last
+    return reduce(lambda df, key: df.join(new.select(*key).distinct(), key, "left_anti"), FILING_KEYS, old).select(*new.columns).unionByName(last)
+
+
+def facts_rows(facts: DataFrame, strict: bool = True, now: Column | None = None) -> DataFrame:
+    """Facts with id and source_type; neither a CIK nor an EIN is an error, or dropped unless ``strict``. With ``now``, created_at and updated_at too: a replaced row begins anew."""
     out = facts.withColumn("k", facts_key(F.col("cik"), F.col("ein"))).select("k.*", *facts.columns)
+    out = out if now is None else out.withColumns({"created_at": now, "updated_at": now})
     if not strict:
         return out.where("id is not null")
     return out.withColumn("id", F.coalesce("id", F.raise_error(F.lit("facts need a CIK or an EIN")).cast("string")))
@@ -56,51 +73,89 @@ def ciks(filings: DataFrame) -> DataFrame:
     return filings.select("cik").distinct()
 
 
+def eins(returns: DataFrame) -> DataFrame:
+    return returns.select("ein").distinct().orderBy("ein")
+
+
 def filings_of(filings: DataFrame, cik: str) -> DataFrame:
     return filings.where(F.col("cik") == cik).orderBy(F.desc("filing_date"), "accession_number")
 
 
 class Store:
-    """Tables below a folder. A write makes a new version and then names it, so readers and failed jobs never see half a table."""
+    """Tables below a folder. A write makes a new version and then names it, so readers and failed jobs never see half a table.
+
+    The number of a version is part of its folder's name. A writer that finds, once it is done, that another one has written the same or
+    a later version withdraws its own and raises an error, so no rows are lost silently.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _names(self, table: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return fs, path
+    def _path(self, *parts: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def read(self, table: str) -> DataFrame | None:
-        fs, path = self._names(table)
+    def versions(self, table: str) -> list[str]:
+        fs, path = self._path(table)
         if not fs.exists(path):
-            return None
-        done = sorted(s.getPath().getName() for s in fs.listStatus(path) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+            return []
+        return sorted(n for n in (x.getPath().getName() for x in fs.listStatus(path)) if fs.exists(self._path(table, n, "_SUCCESS")[1]))
+
+    def read(self, table: str) -> DataFrame | None:
+        done = self.versions(table)
         return self.spark.read.parquet(f"{self.root}/{table}/{done[-1]}") if done else None
 
-    def write(self, table: str, df: DataFrame) -> None:
-        old = self.read(table)
-        number = int(old.inputFiles()[0].split(f"/{table}/v")[1][:9]) + 1 if old is not None and old.inputFiles() else 0
+    def write(self, table: str, df: DataFrame, base: str | None = None) -> None:
+        """A new version, made from version ``base`` (the last one unless given)."""
+        base = base or max(self.versions(table), default=None)
+        number = int(base[1:10]) + 1 if base else 0
+        name = f"v{number:09d}-{uuid.uuid4().hex[:8]}"
         writer = df.write
         if TABLES[table][1]:
             writer = writer.partitionBy(TABLES[table][1])
-        writer.parquet(f"{self.root}/{table}/v{number:09d}-{uuid.uuid4().hex[:8]}")
+        writer.parquet(f"{self.root}/{table}/{name}")
+        if [v for v in self.versions(table) if v != name and int(v[1:10]) >= number]:
+            fs, path = self._path(table, name)
+            fs.delete(path, True)
+            raise RuntimeError(f"another writer changed {table}")
 
     def append(self, table: str, df: DataFrame) -> None:
-        old = self.read(table)
-        self.write(table, df if old is None else old.unionByName(df))
+        """Adds rows to the last version; nothing is read or rewritten. Rows that are there already are added again."""
+        done = self.versions(table)
+        if not done:
+            return self.write(table, df)
+        writer = df.write.mode("append")
+        if TABLES[table][1]:
+            writer = writer.partitionBy(TABLES[table][1])
+        return writer.parquet(f"{self.root}/{table}/{done[-1]}")
+
+    def clear(self, table: str) -> None:
+        """An empty version, if there is a table."""
+        if (old := self.read(table)) is not None:
+            self.write(table, old.limit(0))
 
     def store(self, table: str, new: DataFrame, order: Column | None = None) -> None:
-        keys, old = TABLES[table][0], self.read(table)
+        keys, base, old = TABLES[table][0], max(self.versions(table), default=None), self.read(table)
         order = F.lit(0) if order is None else order
         if table == "filings":
-            self.write(table, filings_upsert(old, new, order) if old is not None else last_wins(last_wins(new, keys, order), ["cik", "form_name"], order))
+            out = filings_upsert(old, new, order)
         else:
             new = last_wins(new, keys, order)
-            self.write(table, new if old is None else upsert(old, new, keys))
+            out = new if old is None else upsert(old, new, keys)
+        self.write(table, out, base)
 
     def get(self, table: str, key: str) -> DataFrame:
+        """The row of a key; LookupError without one."""
         found = self.read(table)
-        if found is None:
-            raise LookupError(f"no table {table}")
-        return found.where(F.col(TABLES[table][0][0]) == key)
+        found = None if found is None else found.where(F.col(TABLES[table][0][0]) == key)
+        if found is None or found.isEmpty():
+            raise LookupError(f"{table}: no {key}")
+        return found
+
+    def get_filing(self, cik: str, form: str) -> DataFrame:
+        """The filing of an organisation and form; LookupError without one."""
+        found = self.read("filings")
+        found = None if found is None else found.where((F.col("cik") == cik) & (F.col("form_name") == form))
+        if found is None or found.isEmpty():
+            raise LookupError(f"filings: no {form} of {cik}")
+        return found

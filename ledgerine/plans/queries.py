@@ -224,9 +224,7 @@ def _filing_html(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _own_facts(spark: SparkSession, sf: str) -> DataFrame:
-    keys = ["cik", "doc_ord"]
-    nodes = html.parse_html(_filing_html(spark, sf), keys, "content")
-    return ixbrl.with_context(ixbrl.facts(nodes, keys), ixbrl.contexts(nodes, keys), keys)
+    return ixbrl.parsed_facts(_filing_html(spark, sf), ["cik", "doc_ord"], "content")
 
 
 @query("""
@@ -359,24 +357,24 @@ def sec_facts(spark: SparkSession, sf: str) -> DataFrame:
 # Store -----------------------------------------------------------------------------------------------------------------
 
 
-@query("select user_id, arg_max(event_id, event_id) as event_id, arg_max(event_type, event_id) as event_type from events group by 1")
+@query("""
+with n as (select * from events where event_id % 5 = 0), o as (select * from events where event_id % 2 = 0 and user_id not in (select user_id from n))
+select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type from (select * from n union all select * from o) group by 1""")
 def facts_upsert_last_wins(spark: SparkSession, sf: str) -> DataFrame:
     e = _t(spark, sf, "events").select("user_id", "event_id", "event_type")
-    old, new = e.where("event_id % 2 = 0"), e
+    old, new = e.where("event_id % 2 = 0"), e.where("event_id % 5 = 0")
     return store.upsert(store.last_wins(old, ["user_id"], F.col("event_id")), store.last_wins(new, ["user_id"], F.col("event_id")), ["user_id"])
 
 
 @query("""
 with o as (select 'A' || (o_orderkey % 1000) as accession_number, cast(o_custkey as varchar) as cik, o_orderpriority as form_name, o_orderkey from orders),
-new1 as (select accession_number, max(o_orderkey) as k from o where o_orderkey % 3 = 0 group by 1), new2 as (select o.* from o join new1 on k = o_orderkey),
-new as (select cik, form_name, max(o_orderkey) as o_orderkey from new2 group by 1, 2), n as (select o.* from o join new using (o_orderkey)),
-old1 as (select accession_number, max(o_orderkey) as k from o where o_orderkey % 3 <> 0 group by 1), old2 as (select o.* from o join old1 on k = o_orderkey),
-old3 as (select cik, form_name, max(o_orderkey) as o_orderkey from old2 group by 1, 2), ol as (select o.* from o join old3 using (o_orderkey))
-select * from n union all select * from ol where accession_number not in (select accession_number from n) and (cik, form_name) not in (select (cik, form_name) from n)""")
+last as (select *, max(o_orderkey) over (partition by o_orderkey % 3 = 0, accession_number) = o_orderkey and max(o_orderkey) over (partition by o_orderkey % 3 = 0, cik, form_name) = o_orderkey as stays from o)
+select accession_number, cik, form_name, o_orderkey from last l where stays and (o_orderkey % 3 = 0 or not exists (
+  select 1 from o n where n.o_orderkey % 3 = 0 and n.accession_number = l.accession_number) and not exists (select 1 from o n where n.o_orderkey % 3 = 0 and n.cik = l.cik and n.form_name = l.form_name))""")
 def filings_upsert_two_keys(spark: SparkSession, sf: str) -> DataFrame:
     o = _t(spark, sf, "orders").select(_str("A", F.col("o_orderkey") % 1000).alias("accession_number"), F.col("o_custkey").cast("string").alias("cik"), F.col("o_orderpriority").alias("form_name"), "o_orderkey")
-    order, keys = F.col("o_orderkey"), (["accession_number"], ["cik", "form_name"])
-    old = store.last_wins(store.last_wins(o.where("o_orderkey % 3 <> 0"), keys[0], order), keys[1], order)
+    order = F.col("o_orderkey")
+    old = store.last_of_batch(o.where("o_orderkey % 3 <> 0"), store.FILING_KEYS, order)
     return store.filings_upsert(old, o.where("o_orderkey % 3 = 0"), order)
 
 
@@ -388,7 +386,7 @@ def facts_staleness(spark: SparkSession, sf: str) -> DataFrame:
     now = e.agg(F.max("ts").alias("now"))
     table = e.where("event_id % 3 = 0").select("user_id", F.col("ts").alias("updated_at"))
     ids = e.select("user_id").distinct().join(F.broadcast(now))  # one row
-    return store.stale(ids.select("user_id"), table, "user_id", F.lit(now.first()["now"]), 10)
+    return store.stale(ids, table, "user_id", F.col("now"), 10)
 
 
 @query("select cast(s_suppkey as varchar) as id from supplier where s_nationkey % 2 = 0")
@@ -457,10 +455,10 @@ def search_prefix_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-select c_custkey, '$' || format('{:,}', cast(round_even(c_acctbal, 0) as bigint)) as money, format('{:,}', c_custkey * 1000) as n,
-  case when c_nationkey = 0 then 'N/A' else cast(cast(round_even(c_custkey / c_nationkey, 0) as bigint) as varchar) end as quotient from customer where abs(c_acctbal) >= 1""")
+select c_custkey, case when c_acctbal < 0 and c_acctbal >= -0.5 then '$-0' else '$' || format('{:,}', cast(round_even(c_acctbal, 0) as bigint)) end as money, format('{:,}', c_custkey * 1000) as n,
+  case when c_nationkey = 0 then 'N/A' else cast(cast(round_even(c_custkey / c_nationkey, 0) as bigint) as varchar) end as quotient from customer""")
 def format_currency(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "customer").where(F.abs("c_acctbal") >= 1).select("c_custkey", formatting.currency(F.col("c_acctbal")).alias("money"), formatting.count_text(F.col("c_custkey") * 1000).alias("n"), formatting.quotient(F.col("c_custkey"), F.col("c_nationkey")).alias("quotient"))
+    return _t(spark, sf, "customer").select("c_custkey", formatting.currency(F.col("c_acctbal")).alias("money"), formatting.count_text(F.col("c_custkey") * 1000).alias("n"), formatting.quotient(F.col("c_custkey"), F.col("c_nationkey")).alias("quotient"))
 
 
 @query("""

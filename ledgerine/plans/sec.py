@@ -52,8 +52,7 @@ def facts(documents: DataFrame, names: DataFrame, filing_fields: list[str] | Non
     """documents: cik, doc_ord, content and fields of the filing; names: cik, ticker, company_name. One row per cik of ``documents``."""
     keys = ["cik", "doc_ord"]
     nodes = html.parse_html(documents, keys, "content")
-    own = ixbrl.with_context(ixbrl.facts(nodes, keys), ixbrl.contexts(nodes, keys), keys)
-    found = metrics(own, keys)
+    found = metrics(ixbrl.parsed_facts(documents, keys, "content"), keys)
     grouped = found.groupBy("cik").agg(*[newest_first(F.filter(F.collect_list(F.struct("doc_ord", F.col(c).alias("fact"))), lambda x: x["fact"].isNotNull())).alias(c) for c in CONCEPTS])
     place = F.struct("doc_ord", "node_id")
     ratio = pay_ratios(nodes, keys).groupBy("cik").agg(F.min_by("ratio", place).alias("ceo_pay_ratio"))
