@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL, components, if_small, paired_blocks, written
+from .common import SMALL, components, if_small, paired_blocks, tidy, written
 
 LINKS = "a binary, b binary"
 
@@ -105,7 +105,7 @@ def connect(spots: DataFrame, carried: DataFrame, links: Callable, sketches: Dat
     """
 
     def met(cells: DataFrame) -> DataFrame:
-        return written(in_cells(carried.join(cells, "digest")).mapInArrow(links, LINKS))
+        return written(in_cells(carried.join(cells, "digest")).mapInArrow(tidy(links), LINKS))
 
     def with_more(linked: DataFrame, cells: DataFrame) -> DataFrame:
         return components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(met(if_small(written(cells)))))
@@ -134,7 +134,7 @@ def connect(spots: DataFrame, carried: DataFrame, links: Callable, sketches: Dat
             return linked
     cells = across(members, lists)
     if sift is not None:
-        some = written(in_cells(sketches.join(if_small(written(cells)), "digest")).mapInArrow(sift, "digest binary").distinct())
+        some = written(in_cells(sketches.join(if_small(written(cells)), "digest")).mapInArrow(tidy(sift), "digest binary").distinct())
         members = members.join(if_small(some), "digest")
         lists = open_lists(members)
         if lists.isEmpty():

@@ -9,10 +9,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +44,21 @@ def scratch_dir(spark: SparkSession) -> str:
     return _own_folder()
 
 
+#: Rows that go to Python at once while a table is written, at most: texts are long, and the buffers of a batch lie outside the heap.
+BATCH_ROWS = 2000
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df``, written once to the shared folder and read again."""
-    path = f"{scratch_dir(df.sparkSession)}/ledgerine-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, given = f"{scratch_dir(spark)}/ledgerine-{uuid.uuid4().hex}", int(spark.conf.get(BATCH_CONF))
+    spark.conf.set(BATCH_CONF, min(given, BATCH_ROWS) if given > 0 else BATCH_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_CONF, given)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def known_id(name: str) -> Column:
@@ -92,6 +104,29 @@ def flat_texts(column: pa.Array, most: int):
         first = last
 
 
+@functools.cache
+def _libc():
+    try:
+        found = ctypes.CDLL(None)
+        return found if hasattr(found, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``, giving freed memory back when a task ends: workers outlive tasks and wait while others run."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if (libc := _libc()) is not None:
+                libc.malloc_trim(0)
+
+    return out
+
+
 def fields_of(df: DataFrame, *names: str) -> str:
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
 

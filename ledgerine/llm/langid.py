@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_texts, written
+from .common import flat_texts, tidy, written
 
 SLICE = 500_000
 #: Languages of one model at most, and bytes of its costs (a language that needs more has a model of its own).
@@ -129,7 +129,7 @@ def fit(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str =
         return None
     spot = F.pmod(F.xxhash64(F.coalesce("id", "text"), F.lit(7)), F.lit(1_000_000)) / 1_000_000.0
     chosen = given.join(F.broadcast(spark.createDataFrame(share, "lang string, part double")), "lang").where(spot < F.col("part"))
-    counts = chosen.select("lang", "text").mapInArrow(_count(order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = chosen.select("lang", "text").mapInArrow(tidy(_count(order)), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     languages = sorted(lang for lang, _ in share)
     if len(languages) > TOGETHER:
         counts = written(counts.repartitionByRange("lang").sortWithinPartitions("lang"))
@@ -269,5 +269,5 @@ def predict(docs: DataFrame, model: Models | None, text_col: str = "text") -> Da
     def run(batches):
         yield from _predict(model)(batches)
 
-    out = given.mapInArrow(run, fields)
+    out = given.mapInArrow(tidy(run), fields)
     return out.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)], "lang_pred", "score", "bits")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_counted, known_id, texts_of, written
+from .common import join_counted, known_id, texts_of, tidy, written
 
 STRIPPED = "\x20\x09\x0a\x0b\x0c\x0d"
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -77,7 +77,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     row = F.xxhash64(F.col(text_col)).alias("_row")
     keys = docs.select(known_id(id_col).alias("_doc"), row, F.col(text_col).alias("_text")).where(F.length("_text") >= least_chars)
-    keys = written(keys.mapInArrow(_keys(least_chars), "_doc long, _row long, _key binary"))
+    keys = written(keys.mapInArrow(tidy(_keys(least_chars)), "_doc long, _row long, _key binary"))
     # Equal ids may repeat, so documents are counted as (key, doc) pairs first; both steps combine on the map side.
     counted = keys.groupBy("_key", "_doc").agg(F.count("*").alias("_rows"))
     counted = counted.groupBy("_key").agg(F.count("*").alias("_n"), F.max("_doc").alias("_last"), F.sum("_rows").alias("_rows"))
@@ -88,6 +88,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = docs.select(*[F.col(f"`{n}`").alias(f"_c{i}") for i, n in enumerate(names)], known_id(id_col).alias("_doc"), row)
     marked = marked.join(drops, ["_doc", "_row"], "left").drop("_doc", "_row")
     schema = T.StructType([*[T.StructField(f"_c{i}", docs.schema[i].dataType) for i in range(len(names))], T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())])
-    out = marked.mapInArrow(_rebuild(least_chars, names.index(text_col), schema.names), schema)
+    out = marked.mapInArrow(tidy(_rebuild(least_chars, names.index(text_col), schema.names)), schema)
     own = [n for n in names if n not in ("n_lines", "n_dropped")]
     return out.select(*[F.col(f"_c{names.index(n)}").alias(n) for n in own], F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .clusters import bounds, by_cell, connect, links_batch, parts_of
-from .common import Forest, if_small, join_counted, known_id, mixed, shown_id, stars, written
+from .common import Forest, if_small, join_counted, known_id, mixed, shown_id, stars, tidy, written
 
 MINIMA, BITS = 128, 4
 A = mixed(np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
@@ -233,7 +233,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     share = percent / 100
     least = share - 5 * math.sqrt(share * (1 - share) / MINIMA + 2.0**-BITS / MINIMA)
     given = docs.select(*row_key(id_col, text_col), F.encode(F.col(text_col), "UTF-8").alias("text"))
-    rows = written(given.mapInArrow(_sign(shingle, band_rows(share)), "doc long, row binary, n long, digest binary, sign binary, bands array<long>"))
+    rows = written(given.mapInArrow(tidy(_sign(shingle, band_rows(share))), "doc long, row binary, n long, digest binary, sign binary, bands array<long>"))
     classes = rows.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc", "row")).alias("at"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sign").alias("sign"), F.first("bands").alias("bands"))
     classes = written(classes)
     signs = classes.select("digest", "sign")
@@ -250,7 +250,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     numbers = coarse.select(F.xxhash64("at.doc", "at.row").alias("k"))
     wanted = coarse.count()
     sets = given.join(F.broadcast(numbers) if wanted <= SMALL_NUMBERS else numbers, F.xxhash64("doc", "row") == F.col("k"), "left_semi")
-    sets = written(sets.mapInArrow(_sets(shingle), "digest binary, shingles binary"))
+    sets = written(sets.mapInArrow(tidy(_sets(shingle)), "digest binary, shingles binary"))
     if sets.count() > wanted:  # one row in several tasks, or other rows whose keys collide
         sets = written(sets.dropDuplicates(["digest"]))
     linked = connect(spots, sets, _confirm(percent), signs, _sift(least)).withColumnRenamed("node", "digest")

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 SIDE = 24
 UNIT = SIDE * SIDE
 FPS = 25
@@ -314,7 +316,7 @@ def _media(ids: list, sizes: list, media: list) -> pa.RecordBatch:
 def to_avi(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes (unpadded) and the ``media`` column."""
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col), "UTF-8").alias("data"))
-    return given.mapInArrow(_encode, "doc_id long, n_bytes long, media binary")
+    return given.mapInArrow(tidy(_encode), "doc_id long, n_bytes long, media binary")
 
 
 CLIPS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames long, seconds double, shots array<struct<shot int, start_frame long, end_frame long, start_s double, end_s double, mean double>>, error string"
@@ -345,7 +347,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def decode_avi(media: DataFrame) -> DataFrame:
     """A row per medium: what was read back, its digests, and its shots."""
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_decode, CLIPS)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(tidy(_decode), CLIPS)
 
 
 def clips(decoded: DataFrame) -> DataFrame:

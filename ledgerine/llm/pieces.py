@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLD, known_id, mixed, mixed_int, texts_of
+from .common import GOLD, known_id, mixed, mixed_int, texts_of, tidy
 
 MARK = "▁"
 #: Stands for the mark where a text itself has it; no text holds a lone surrogate.
@@ -315,10 +315,10 @@ def _decode(path: str):
 def encode_sampled(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", power: float = 1.0, seed: int = 8) -> DataFrame:
     """doc_id and the sampled piece ``ids`` of the text. Map-only."""
     given = docs.select(known_id(id_col).alias("key"), F.col(text_col).alias("text"))
-    out = given.mapInArrow(_encode(model, power, seed), "key long, ids array<int>")
+    out = given.mapInArrow(tidy(_encode(model, power, seed)), "key long, ids array<int>")
     return out.select(F.when(F.col("key") != -(2**63), F.col("key")).alias("doc_id"), "ids")
 
 
 def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
     """doc_id, ids and the ``text`` they spell."""
-    return encoded.select("doc_id", "ids").mapInArrow(_decode(model), "doc_id long, ids array<int>, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(_decode(model)), "doc_id long, ids array<int>, text string")

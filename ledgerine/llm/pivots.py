@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .clusters import bounds, by_cell, in_cells
-from .common import Forest, components, join_counted, known_id, paired_blocks, shown_id, stars, written
+from .common import Forest, components, join_counted, known_id, paired_blocks, shown_id, stars, tidy, written
 
 
 #: Pivots whose angles make up the sketch, and the steps of an angle from 0 to pi.
@@ -201,7 +201,7 @@ def listed(spots: DataFrame, block: int, *columns: str) -> DataFrame:
 def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, pivots: int | None = None, nearest: int = 6, shared: int = 2, block: int = 256) -> DataFrame:
     """vec_id, n_links, component_id, kept: a row for each row of ``table``."""
     given = table.select(known_id(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = written(given.mapInArrow(_clean, "id long, label string, vector binary, digest binary"))
+    rows = written(given.mapInArrow(tidy(_clean), "id long, label string, vector binary, digest binary"))
     of = [F.xxhash64("label").alias("label_id"), F.hash("label").alias("label_tag"), F.octet_length("vector").alias("size")]
     kinds = rows.where("digest is not null").select("id", "digest", "vector", *of)
     kinds = written(kinds.groupBy("digest", *OF).agg(F.first("vector").alias("vector"), F.count("*").alias("m"), F.min("id").alias("id")))
@@ -212,13 +212,13 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     for r in kinds.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(sample).collect():
         by_size.setdefault(len(r["vector"]) // 8, []).append(np.frombuffer(bytes(r["vector"]), np.float64))
     points = {n: spread(np.stack(x), wanted) for n, x in by_size.items()}
-    index = kinds.select("vector", "digest", *OF, "m").mapInArrow(_permute(points, nearest, shared), "vector binary, digest binary, label_id long, label_tag int, size int, m long, perm binary, sketch binary, lists array<long>")
+    index = kinds.select("vector", "digest", *OF, "m").mapInArrow(tidy(_permute(points, nearest, shared)), "vector binary, digest binary, label_id long, label_tag int, size int, m long, perm binary, sketch binary, lists array<long>")
     index = written(index)
     spots = listed(index.select(*OF, "digest", "perm", "sketch", F.explode("lists").alias("code")), block, "perm", "sketch")
     gap = math.ceil(math.acos(least) * STEPS / math.pi + 1e-6)
-    spots = written(spots.mapInArrow(_prune(gap, shared), "digest binary, code long").distinct())
+    spots = written(spots.mapInArrow(tidy(_prune(gap, shared)), "digest binary, code long").distinct())
     cells = listed(spots.join(index.select("digest", *OF, "vector", "perm", "m"), "digest"), block, "vector", "perm", "m")
-    found = written(cells.mapInArrow(_verify(least, shared), "a binary, b binary, links long"))
+    found = written(cells.mapInArrow(tidy(_verify(least, shared)), "a binary, b binary, links long"))
     counts = found.where("b is null").groupBy(F.col("a").alias("digest")).agg(F.sum("links").alias("links"))
     linked = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "digest")
     named = kinds.select("digest", "id", "m").join(linked, "digest", "left").join(counts, "digest", "left")

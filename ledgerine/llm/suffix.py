@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_texts, join_counted, known_id, mixed, written
+from .common import flat_texts, join_counted, known_id, mixed, tidy, written
 
 GRAM = 48
 SLICE = 1_000_000
@@ -265,7 +265,7 @@ def repeated_spans(keyed: DataFrame, window: int, many: int = MANY) -> DataFrame
     """(key, tag, spans) for (key, tag, text): the bytes that repeated windows cover."""
     if not GRAM < window <= GRAM + 254:
         raise ValueError(f"window must lie between {GRAM + 1} and {GRAM + 254}")
-    blocks = written(keyed.mapInArrow(_blocks(window), "string long, content long, key long, place long"))
+    blocks = written(keyed.mapInArrow(tidy(_blocks(window)), "string long, content long, key long, place long"))
     again = written(blocks.groupBy("string").agg(F.count("*").alias("c")).where("c > 1"))
     rows = written(join_counted(blocks, again, ["string"], "c", blocks.count()).drop("c"))
     kinds = rows.groupBy("string", "content").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min_by("place", "key").alias("place"))
@@ -277,10 +277,10 @@ def repeated_spans(keyed: DataFrame, window: int, many: int = MANY) -> DataFrame
     settled = settled.select("key", tag, (F.shiftleft(first, 16) + F.shiftright(first, 16) + n + (window - 1)).alias("span"))
     wanted = kinds.where("kinds > 1").select("key", tag, F.struct("string", "place", "n", "kinds").alias("x")).groupBy("key", "tag").agg(F.collect_list("x").alias("wanted"))
     shown = keyed.join(wanted, ["key", "tag"]).select("key", "tag", "text", "wanted")
-    shown = written(shown.mapInArrow(_shown(window), "string long, n long, kinds long, key long, place long, body binary"))
+    shown = written(shown.mapInArrow(tidy(_shown(window)), "string long, n long, kinds long, key long, place long, body binary"))
     few = shown.where(F.col("kinds") <= many).repartition("string").sortWithinPartitions("string")
-    few = few.mapInArrow(_settle(window), "key long, tag int, span long")
-    spread = shown.where(F.col("kinds") > many).mapInArrow(_spread(window), "string long, off long, hash long, n long, key long, tag int, span long")
+    few = few.mapInArrow(tidy(_settle(window)), "key long, tag int, span long")
+    spread = shown.where(F.col("kinds") > many).mapInArrow(tidy(_spread(window)), "string long, off long, hash long, n long, key long, tag int, span long")
     twice = written(spread.groupBy("string", "off", "hash").agg(F.sum("n").alias("c")).where("c > 1").drop("c"))
     big = spread.where("n = 1").join(twice, ["string", "off", "hash"]).select("key", "tag", "span")
     return settled.unionByName(few).unionByName(big).groupBy("key", "tag").agg(F.collect_set("span").alias("spans"))
@@ -297,5 +297,5 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     full = full.join(spans, ["key", "tag"], "left").drop("key", "tag")
     out = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     fields = ", ".join([*(f"_c{i} {docs.schema[n].dataType.simpleString()}" for i, n in enumerate(names)), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", "kept string" if as_text else "kept binary"])
-    cut = full.mapInArrow(_cut([*(f"_c{i}" for i in range(len(names))), *out], len(names), as_text), fields)
+    cut = full.mapInArrow(tidy(_cut([*(f"_c{i}" for i in range(len(names))), *out], len(names), as_text)), fields)
     return cut.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)], *out)
