@@ -543,6 +543,39 @@ def test_piece_distribution():
     assert all(abs(got.get(k, 0) / n - w / total) < 0.02 for k, w in weights.items())
 
 
+def test_digests_of_registered_queries_by_brute_force(spark, tmp_path):
+    """op5 and op10: the columns that the queries derive, worked out again from the texts."""
+    from ledgerine.llm import queries
+
+    texts = [*ODD, "a" * 576, "a" * 577, "plain " * 300, "plain " * 300, None]
+    docs(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") != 4, F.col("doc_id"))).write.parquet(f"{tmp_path}/documents.parquet")
+    ids = {None if i == 4 else i: (t or "").encode() for i, t in enumerate(texts)}
+    for r in queries.op5_sharding(spark, str(tmp_path)).collect():
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(ids[r["doc_id"]]) + 1, zlib.crc32(ids[r["doc_id"]]), "rows", None)
+    found = queries.op10_media_avi(spark, str(tmp_path)).collect()
+    assert len(found) == len(texts) and len({(r["media_sha256"], r["feature"], r["media_bytes"]) for r in found if r["doc_id"] in (9, 10)}) == 1
+    for r in found:
+        data = ids[r["doc_id"]]
+        payload = data + b"\xff" * (max(576, -(-len(data) // 576) * 576) - len(data))
+        media = mjpeg.encode_avi(payload)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest())
+        assert r["feature"].startswith(f"frames={len(payload) // 576};seconds={len(payload) // 576 * 0.04:.2f};shots=")
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op5", "op7", "op8", "op10"])
+def test_empty_tables_and_clashing_columns(spark, name):
+    model = tokenizer_path("piece_bpe_32k.model")
+    d = docs(spark, [None, "a b"], [None, None]).withColumns({x: F.lit(1) for x in ("_doc", "key", "media", "shard", "ids", "length", "score", "vector", "_c0")})
+    run = {
+        "op1": lambda t: packing.pack_binary(t, tokenizer_path("word_bpe_49k.json")), "op2": lambda t: pivots.near_vectors(t.withColumns({"vec_id": F.col("doc_id"), "embedding": F.array(F.lit(1.0)), "label": F.col("lang")})),
+        "op3": lambda t: urlfilter.judge(t.withColumns({"url": F.col("text"), "html": F.col("text")})), "op5": lambda t: sharding.shuffle_shards(t, 4, materialize=True), "op7": lambda t: langid.predict(t, langid.fit(t, F.lit(True))),
+        "op8": lambda t: pieces.encode_sampled(t, model), "op10": lambda t: mjpeg.decode_avi(mjpeg.to_avi(t)),
+    }[name]
+    assert run(d.limit(0)).count() == 0
+    assert {r["doc_id"] if "doc_id" in r else None for r in run(d).collect()} == {None}
+
+
 def test_avi(spark):
     for data in (b"", b"abc", bytes(range(256)) * 9, b"\xff" * 1200, os.urandom(3000)):
         payload = mjpeg.payload_of(data)

@@ -42,3 +42,16 @@ def test_text_of_no_learned_language_goes(spark):
 def test_without_labels_documents_with_letters_stay(spark):
     d = spark.createDataFrame([(1, "some text", None, "s", 9), (2, "漢字", None, "s", 2), (3, "123 !", None, "s", 5), (4, None, None, "s", 0), (5, None, "en", "s", 0)], SCHEMA)
     assert {(r["doc_id"], r["lang"]) for r in corpus_pipeline.keep_languages(spark, d, "").collect()} == {(1, None), (2, None)}
+
+
+def test_run_on_repeated_rows_and_an_empty_table(spark, tmp_path):
+    from test_ops import prose
+
+    rows = [(1, prose(150, 800), "en", "s", 0)] * 3 + [(2, prose(150, 801), "en", "s", 0), (None, prose(150, 802), "en", "s", 0), (None, prose(150, 803), None, "s", 0), (3, None, "en", "s", 0)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    for name, own in (("all", d), ("none", d.limit(0))):
+        own.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        found = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        whole = {(r["doc_id"], r["doc_tokens"]) for r in found if r["start"] == 0}
+        assert len(whole) == (4 if name == "all" else 0)
+        assert all(n > 150 for _, n in whole) and len([r for r in found if r["start"] == 0]) == len(whole)
