@@ -111,7 +111,7 @@ class Store:
         number = int(base[1:10]) + 1 if base else 0
         name = f"v{number:09d}-{uuid.uuid4().hex[:8]}"
         writer = df.write
-        if TABLES[table][1]:
+        if TABLES[table][1] and not df.isEmpty():  # no rows would leave no file, and so no schema
             writer = writer.partitionBy(TABLES[table][1])
         writer.parquet(f"{self.root}/{table}/{name}")
         if [v for v in self.versions(table) if v != name and int(v[1:10]) >= number]:
@@ -122,7 +122,7 @@ class Store:
     def append(self, table: str, df: DataFrame) -> None:
         """Adds rows to the last version; nothing is read or rewritten. Rows that are there already are added again."""
         done = self.versions(table)
-        if not done:
+        if not done or self.read(table).isEmpty():
             return self.write(table, df)
         writer = df.write.mode("append")
         if TABLES[table][1]:

@@ -7,7 +7,7 @@ def session(app: str = "ledgerine", master: str | None = None, **conf: str) -> S
     """Adaptive execution and UTC; sizes of partitions are left to the runtime."""
     builder = SparkSession.builder.appName(app)
     builder = builder.master(master) if master else builder
-    own = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.session.timeZone": "UTC", "spark.ui.showConsoleProgress": "false"}
+    own = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.session.timeZone": "UTC", "spark.ui.showConsoleProgress": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
     for k, v in (own | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
