@@ -237,7 +237,7 @@ def test_minhash(spark):
     sets = [set(minhash.shingles((t or "").encode(), 3).tolist()) for t in texts]
     links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if sets[i] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
     expected = components_brute(len(texts), links)
-    for block in (128, 4, 1):
+    for block in (128, 3):
         found = sorted(minhash.near_duplicates(docs(spark, texts), block=block).collect(), key=lambda r: r["doc_id"])
         assert [r["component_id"] for r in found] == expected and [r["n_shingles"] for r in found] == [len(s) for s in sets]
         assert [r["kept"] for r in found] == [i == c for i, c in enumerate(expected)]
@@ -271,7 +271,7 @@ def test_minhash_of_trees_that_lists_hold_together(spark):
     links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
     expected = components_brute(len(texts), links)
     assert 3 < len(set(expected)) < 50
-    for block in (128, 5, 2):
+    for block in (4,):
         assert [r["component_id"] for r in sorted(minhash.near_duplicates(docs(spark, texts), block=block).collect(), key=lambda r: r["doc_id"])] == expected
 
 
