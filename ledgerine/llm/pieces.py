@@ -2,7 +2,8 @@
 
 A text's lattice falls apart where no piece can cross: before a space mark that follows something else, and around characters that no
 longer piece holds. Each part is filtered forward once (sum over all segmentations up to each place) and kept; sampling runs backward
-for all parts of a batch at once, one edge a step, from the last place to the first. Random numbers are a hash of the row key, the
+for all parts of a batch at once, one edge a step, from the last place to the first; the few longest are walked to their ends one by one.
+Random numbers are a hash of the row key, the
 part's number and the step: the same key and text give the same pieces in any batch, task or order, to the last bit, for parts filtered
 one by one and in blocks go through the same sums in the same order.
 
@@ -11,7 +12,7 @@ Characters without a piece are coded as UTF-8 byte pieces. So is the space mark
 a space and keeps decoding exact.
 
 Edge cases: a null or empty text has no pieces and decodes to the empty text; a null key is a key; rows that repeat a key and a text
-get the same pieces; texts of any length are worked off in runs; an empty table gives an empty result; other columns are ignored.
+get the same pieces; a text of any length is taken whole, in memory of some hundred bytes a character; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,12 +51,12 @@ def spelled(raw: list[bytes], ids: np.ndarray) -> str:
 class Lattices:
     """The vocabulary, and the places and edges of the parts seen so far. ``bound`` of a place's last edge is 1."""
 
-    def __init__(self, path: str, power: float, most_edges: int = 4_000_000):
+    def __init__(self, path: str, power: float, most_edges: int = 4_000_000, few: int = 4):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
-        self.most_edges = most_edges
+        self.most_edges, self.few = most_edges, few
         self.byte_ids = {int(model.id_to_piece(i)[3:5], 16): i for i in range(size) if model.is_byte(i)}
         plain = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         ranked = sorted(plain, key=lambda i: (-model.get_score(i), i))
@@ -214,6 +215,26 @@ class Lattices:
     def split(self, text: str) -> list[str]:
         return self.parts.findall(MARK + text.replace(MARK, LITERAL).replace(" ", MARK))
 
+    @staticmethod
+    def _drawn(seed: np.ndarray, step: np.ndarray) -> np.ndarray:
+        """Numbers in [0, 1) by the seeds of parts and the steps."""
+        return (mixed(seed + (step + np.uint64(1)) * GOLD) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+    def _walk(self, place: int, seed: np.uint64, step: int, bound: np.ndarray, back: np.ndarray, piece: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Pieces of one part from a place back to its start, by the same numbers as all parts at once: 4 bytes a piece."""
+        out, block = array("i"), 4096
+        while place >= 0:
+            for u in self._drawn(np.full(block, seed), np.arange(step, step + block, dtype=np.uint64)).tolist():
+                edge = first[place]
+                while bound[edge] <= u:
+                    edge += 1
+                out.append(piece[edge])
+                place = back[edge]
+                if place < 0:
+                    break
+            step += block
+        return np.frombuffer(out, np.int32)
+
     def sample(self, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
         """Piece ids of each text."""
         if len(self.bound) > self.most_edges:
@@ -233,8 +254,8 @@ class Lattices:
         seed = mixed(keys.astype(np.int64).view(np.uint64)[owner] + mixed(number) * GOLD)
         live, steps = np.arange(len(at)), []
         size = np.zeros(len(at), np.int64)
-        while len(live):
-            u = (mixed(seed[live] + np.uint64((len(steps) + 1) * int(GOLD) % 2**64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+        while len(live) > self.few:
+            u = self._drawn(seed[live], np.array([len(steps)], np.uint64))
             edge = first[at[live]]
             late = np.flatnonzero(bound[edge] <= u)
             while len(late):  # an edge further for those whose number lies beyond; the last edge's bound is beyond all
@@ -244,10 +265,16 @@ class Lattices:
             size[live] += 1
             at[live] = back[edge]
             live = live[at[live] >= 0]
+        tails = [(i, self._walk(int(at[i]), seed[i], len(steps), bound, back, piece, first)) for i in live.tolist()]
+        for i, tail in tails:
+            size[i] += len(tail)
         last = np.cumsum(size)
         out = np.zeros(int(last[-1]), np.int32)
         for step, (which, ids) in enumerate(steps):
             out[last[which] - 1 - step] = ids
+        for i, tail in tails:
+            end = int(last[i]) - len(steps)
+            out[end - len(tail) : end] = tail[::-1]
         del bound, back, piece, first
         cut = np.concatenate([[0], np.cumsum(np.bincount(owner, size, len(texts)).astype(np.int64))])
         return [out[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]

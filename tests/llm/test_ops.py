@@ -522,6 +522,17 @@ def test_piece_draws_do_not_depend_on_the_table():
     assert all(edges(one, p) == edges(two, p) for t in texts[:-1] for p in one.split(t))
 
 
+def test_long_parts_are_walked_to_the_same_pieces():
+    path = tokenizer_path("piece_bpe_32k.model")
+    texts = [prose(5, 40), "漢字仮名" * 1500, "", "a" * 900]
+    found = []
+    for few in (0, 2, 10**9):
+        own = pieces.Lattices(path, 1.0, few=few)
+        found.append([x.tolist() for x in own.sample(texts, np.arange(len(texts)))])
+        assert [own.decode(np.array(x, np.int32)) for x in found[-1]] == texts
+    assert found[0] == found[1] == found[2]
+
+
 def test_piece_distribution():
     own = pieces.Lattices(tokenizer_path("piece_bpe_32k.model"), 1.0)
     word, n = "▁the", 20000
