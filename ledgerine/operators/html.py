@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from html import escape
 from html.parser import HTMLParser
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -19,13 +21,25 @@ RAW = frozenset("script style".split())
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul li dd dt".split())
 INLINE = frozenset("span em strong a br".split())
-SCOPE = frozenset("html table td th caption button object applet marquee template".split())
-#: A start tag closes the open elements of its set, up to one of the second.
-CLOSING = {
-    "li": ({"li"}, {"ul", "ol"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "option": ({"option"}, {"select", "optgroup"}),
-    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}),
-    "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "thead": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}),
-}
+SCOPE = frozenset("html table td th caption object applet marquee template".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks that an inline end tag does not cross.
+SPECIAL = CLOSES_P | HEAD | VOID | frozenset("applet body button caption colgroup frameset head html iframe marquee noembed noframes object select tbody td textarea tfoot th thead tr xmp".split())
+#: Content that is not of a table moves before it from these.
+PARTS = frozenset("table tbody thead tfoot tr".split())
+#: Parts of tables by how deep they stand; those of ``MARKED`` hold content.
+LEVEL = {"table": 0, "caption": 1, "colgroup": 1, "tbody": 1, "thead": 1, "tfoot": 1, "tr": 2, "col": 2, "td": 3, "th": 3}
+MARKED = frozenset("td th caption".split())
+TABLE_LEVELS = PARTS | {"colgroup"}
+P_SCOPE = SCOPE | {"button"}
+LI_SCOPE = SCOPE | {"ul", "ol"}
+#: A start tag closes the innermost open element of its set, if no element of the second lies within.
+CLOSING = {k: (v, SPECIAL - v - {"address", "div", "p"}) for k, v in {"li": frozenset({"li"}), "dd": frozenset({"dd", "dt"}), "dt": frozenset({"dd", "dt"}), "option": frozenset({"option"})}.items()}
+#: Tagged elements that are read as XML.
+DECODED = frozenset("ix:nonfraction ix:nonnumeric ix:fraction xbrli:context xbrli:unit".split())
+#: What XML does not take: characters, and names (one colon at most).
+NO_CHARACTER = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
+NAME = re.compile(r"[^\W\d][\w.\-\u00b7]*(:[\w.\-\u00b7]+)?|:[\w.\-\u00b7]*")
 
 
 class Node:
@@ -39,16 +53,28 @@ class Node:
         self.children.append(child)
         return child
 
+    def place_of(self, child: Node) -> int:
+        """Looked for from the end, where it nearly always is."""
+        return next(i for i in range(len(self.children) - 1, -1, -1) if self.children[i] is child)
+
+    def leave(self) -> None:
+        if self.parent is not None:
+            del self.parent.children[self.parent.place_of(self)]
+
 
 class Builder(HTMLParser):
-    """Tree construction: implied html, head, body and tbody, elements that end others, void and raw-text elements, and formatting elements that stay open across blocks. A slash at the end of an unknown tag does not close it."""
+    """Tree construction by the rules of the HTML standard: implied html, head, body and table parts, elements that end others, void and
+    raw-text elements, formatting elements that stay open across blocks (adoption agency), and content misplaced in a table, which moves
+    before it (foster parenting). A slash at the end of an unknown tag does not close it. A document without a doctype named html is read
+    in quirks mode, where a table does not end a paragraph; public identifiers are not looked at. Frames and select are not special."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("document")
         self.html = self.head = self.body = None
         self.stack: list[Node] = []
-        self.active: list[Node] = []
+        self.active: list[Node | None] = []  # None: a cell or caption began
+        self.quirks = True
 
     def _html(self, attrs: dict | None = None) -> None:
         if self.html is None:
@@ -66,23 +92,128 @@ class Builder(HTMLParser):
             self.body = self.html.add(Node("element", "body", attrs or {}))
             self.stack = [self.html, self.body]
 
+    def _put(self, node: Node, at: Node | None = None) -> Node:
+        """Adds to ``at`` (the current node); where that is a part of a table, before the table. Texts in a row are one node."""
+        at = at or self.stack[-1]
+        before = len(at.children)
+        if at.tag in PARTS:
+            table = next(x for x in reversed(self.stack) if x.tag == "table")
+            at = table.parent
+            before = at.place_of(table)
+        if node.kind == "text" and before and at.children[before - 1].kind == "text":
+            at.children[before - 1].data += node.data
+            return at.children[before - 1]
+        node.parent = at
+        at.children.insert(before, node)
+        return node
+
     def _open(self, tag: str, attrs: dict) -> Node:
+        """A part of a table, at its own place."""
         node = self.stack[-1].add(Node("element", tag, attrs))
         self.stack.append(node)
         return node
 
-    def _close(self, tags: set | frozenset, stops: set | frozenset) -> None:
+    def _cut(self, at: int) -> None:
+        """Closes all elements from a place of the stack on; formatting does not outlive its cell."""
+        for node in self.stack[at:]:
+            if node.tag in MARKED and None in self.active:
+                while self.active.pop() is not None:
+                    pass
+        del self.stack[at:]
+
+    def _found(self, tags: set | frozenset, stops: set | frozenset) -> int:
+        """Place of the innermost open element of ``tags`` within the innermost of ``stops``, else 0."""
         for i in range(len(self.stack) - 1, 1, -1):
             if self.stack[i].tag in tags:
-                del self.stack[i:]
-                return
+                return i
             if self.stack[i].tag in stops:
-                return
+                return 0
+        return 0
+
+    def _close(self, tags: set | frozenset, stops: set | frozenset) -> bool:
+        at = self._found(tags, stops)
+        if at:
+            self._cut(at)
+        return at > 0
+
+    def _formatting(self) -> list[Node]:
+        """Active formatting elements of the current cell, the last one first."""
+        return list(takewhile(lambda x: x is not None, reversed(self.active)))
 
     def _reopen(self) -> None:
-        for i, node in enumerate(self.active):
-            if node not in self.stack:
-                self.active[i] = self._open(node.tag, dict(node.attrs))
+        closed = list(takewhile(lambda x: x not in self.stack, self._formatting()))
+        for i in range(len(self.active) - len(closed), len(self.active)):
+            node = self._put(Node("element", self.active[i].tag, dict(self.active[i].attrs)))
+            self.stack.append(node)
+            self.active[i] = node
+
+    def _adopt(self, tag: str) -> None:
+        """The end of a formatting element: blocks opened inside it leave it, and what is in them is formatted anew."""
+        if self.stack[-1].tag == tag and self.stack[-1] not in self.active:
+            return self._cut(len(self.stack) - 1)
+        for _ in range(8):
+            own = next((x for x in self._formatting() if x.tag == tag), None)
+            if own is None:
+                return self._end_other(tag)
+            if own not in self.stack:
+                return self.active.remove(own)
+            at = self.stack.index(own)
+            if any(x.tag in SCOPE for x in self.stack[at + 1 :]):
+                return None
+            block = next((x for x in self.stack[at + 1 :] if x.tag in SPECIAL), None)
+            if block is None:
+                self.active.remove(own)
+                return self._cut(at)
+            mark, last = self.active.index(own), block
+            for n, node in enumerate(reversed(self.stack[at + 1 : self.stack.index(block)]), 1):
+                if n > 3 and node in self.active:
+                    mark -= self.active.index(node) < mark
+                    self.active.remove(node)
+                if node not in self.active:
+                    self.stack.remove(node)
+                    continue
+                again = Node("element", node.tag, dict(node.attrs))
+                place = self.active.index(node)
+                self.active[place] = self.stack[self.stack.index(node)] = again
+                if last is block:
+                    mark = place + 1
+                last.leave()  # a block; what is made anew has no place yet
+                again.add(last)
+                last = again
+            last.leave()
+            self._put(last, self.stack[at - 1])
+            again = Node("element", tag, dict(own.attrs))
+            inner, block.children = block.children, []
+            for child in inner:
+                again.add(child)
+            block.add(again)
+            mark -= self.active.index(own) < mark
+            self.active.remove(own)
+            self.active.insert(mark, again)
+            self.stack.remove(own)
+            self.stack.insert(self.stack.index(block) + 1, again)
+        return None
+
+    def _table_part(self, tag: str, attrs: dict) -> None:
+        """A start tag of a part of a table ends what is open in its place and implies what is missing; without a table it is ignored."""
+        self._close({"td", "th", "caption"}, {"table"})
+        at = self._found(TABLE_LEVELS, frozenset())
+        if not at:
+            return
+        if self.stack[at].tag == "colgroup" and tag != "col":
+            at -= 1
+        level = {"td": 3, "th": 3, "tr": 2, "col": 2}.get(tag, 1)
+        while self.stack[at].tag != "table" and LEVEL[self.stack[at].tag] >= level:
+            at -= 1
+        self._cut(at + 1)
+        for implied in {"td": ("tbody", "tr"), "th": ("tbody", "tr"), "tr": ("tbody",), "col": ("colgroup",)}.get(tag, ()):
+            if LEVEL[self.stack[-1].tag] < LEVEL[implied]:
+                self._open(implied, {})
+        node = self._open(tag, attrs)
+        if tag == "col":
+            self.stack.pop()
+        elif tag in MARKED:
+            self.active.append(None)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         given: dict[str, str] = {}
@@ -102,28 +233,38 @@ class Builder(HTMLParser):
                 self.stack = [self.html, self.head, node]
             return
         self._body()
-        if tag in CLOSES_P:
-            self._close({"p"}, SCOPE)
+        if tag in LEVEL and tag != "table":
+            self._table_part(tag, given)
+            return
+        if self.stack[-1].tag == "colgroup":
+            self.stack.pop()
+        here = self.stack[-1].tag in PARTS
+        if tag == "table" and self._found(PARTS, MARKED):
+            self._close({"table"}, frozenset())
+            here = False
+        if tag in CLOSES_P and not (tag == "table" and self.quirks):
+            self._close({"p"}, P_SCOPE)
         if tag in CLOSING:
             self._close(*CLOSING[tag])
-        top = self.stack[-1].tag
-        if tag == "tr" and top == "table":
-            self._open("tbody", {})
-        elif tag in ("td", "th") and top in ("table", "tbody", "thead", "tfoot"):
-            if top == "table":
-                self._open("tbody", {})
-            self._open("tr", {})
-        elif tag not in CLOSES_P and tag not in CLOSING:
-            self._reopen()
-        if tag == "a":
-            for node in [x for x in self.active if x.tag == "a"]:
-                self.active.remove(node)
+        if tag in HEADINGS and self.stack[-1].tag in HEADINGS:
+            self.stack.pop()
+        if tag in ("a", "nobr"):
+            for node in [x for x in self._formatting() if x.tag == tag]:
+                self._adopt(tag)
+                if node in self.active:
+                    self.active.remove(node)
                 if node in self.stack:
                     self.stack.remove(node)
-        node = self.stack[-1].add(Node("element", tag, given))
+        if tag not in CLOSES_P and tag not in HEAD:
+            self._reopen()
+        node = Node("element", tag, given)
+        node = self.stack[-1].add(node) if here and (tag in RAW or tag == "template") else self._put(node)
         if tag not in VOID:
             self.stack.append(node)
             if tag in FORMATTING:
+                same = [x for x in self._formatting() if x.tag == tag and x.attrs == given]
+                if len(same) > 2:
+                    self.active.remove(same[-1])
                 self.active.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -131,6 +272,14 @@ class Builder(HTMLParser):
         if tag in RAW and self.stack and self.stack[-1].tag == tag:
             self.handle_endtag(tag)
 
+    def _end_other(self, tag: str) -> None:
+        for i in range(len(self.stack) - 1, 1, -1):
+            if self.stack[i].tag == tag:
+                return self._cut(i)
+            if self.stack[i].tag in SPECIAL:
+                return None
+        return None
+
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
             return self.handle_starttag("br", [])
@@ -141,46 +290,45 @@ class Builder(HTMLParser):
             return None
         if self.body is None:
             return None
-        for i in range(len(self.stack) - 1, 1, -1):
-            node = self.stack[i]
-            if node.tag == tag:
-                if tag in FORMATTING:
-                    if node in self.active:
-                        self.active.remove(node)
-                    inner = self.stack[i + 1 :]
-                    self.stack = self.stack[:i] + ([x for x in inner if x.tag not in FORMATTING] if any(x.tag in CLOSES_P for x in inner) else [])
-                else:
-                    if tag in ("td", "th", "table", "caption"):
-                        gone = self.stack[i:]
-                        self.active = [x for x in self.active if x not in gone]
-                    del self.stack[i:]
-                return None
-            if tag == "p" and node.tag in SCOPE or tag not in FORMATTING and node.tag in ("td", "th", "table") and tag not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot"):
-                break
-        if tag == "p":
-            self.stack[-1].add(Node("element", "p", {}))
+        if tag in LEVEL:
+            self._close({tag}, {"table"})
+        elif tag in FORMATTING:
+            self._adopt(tag)
+        elif tag in HEADINGS:
+            self._close(HEADINGS, SCOPE)
+        elif tag == "p":
+            if not self._close({"p"}, P_SCOPE):
+                self._put(Node("element", "p", {}))
+        elif tag == "li":
+            self._close({"li"}, LI_SCOPE)
+        elif tag in CLOSES_P or tag == "button":
+            self._close({tag}, SCOPE - {tag})
+        else:
+            self._end_other(tag)
         return None
 
     def handle_data(self, data: str) -> None:
+        blank = not data.strip(" \t\n\r\f")
         if self.body is None:
             if self.stack and len(self.stack) == 3:
-                to = self.stack[2]
-            elif not data.strip(" \t\n\r\f"):
+                self._put(Node("text", data=data))
                 return
+            if blank:
+                return
+            self._body()
+            data = data.lstrip(" \t\n\r\f")
+        if self.stack[-1].tag == "colgroup" and not blank:
+            self.stack.pop()
+        if self.stack[-1].tag in PARTS and blank:
+            last = self.stack[-1].children[-1:]
+            if last and last[0].kind == "text":
+                last[0].data += data
             else:
-                self._body()
-                data = data.lstrip(" \t\n\r\f")
-                to = None
-        else:
-            to = None
-        if to is None:
-            if data.strip(" \t\n\r\f"):
-                self._reopen()
-            to = self.stack[-1]
-        if to.children and to.children[-1].kind == "text":
-            to.children[-1].data += data
-        else:
-            to.add(Node("text", data=data))
+                self.stack[-1].add(Node("text", data=data))
+            return
+        if self.stack[-1].tag not in RAW:
+            self._reopen()
+        self._put(Node("text", data=data))
 
     def _note(self, node: Node) -> None:
         (self.stack[-1] if self.stack else self.root).add(node)
@@ -191,6 +339,7 @@ class Builder(HTMLParser):
     def handle_decl(self, decl: str) -> None:
         if self.html is None:
             self.root.add(Node("doctype", data=decl))
+            self.quirks = decl.lower().split()[:2] != ["doctype", "html"]
 
     def handle_pi(self, data: str) -> None:
         self._note(Node("comment", data=f"?{data}"))
@@ -237,16 +386,35 @@ def rows(source: str | None) -> list[tuple]:
         if inside[i]:
             outer[i] = _markup(node, [outer[c] or "" for c in own])
     place = {id(c): j for n in order for j, c in enumerate(n.children)}
+    lost, until, gone = [False] * len(order), -1, -1
+    bad = [0]  # nodes before each that are no XML, inside decoded elements
+    for i, n in enumerate(order):
+        if n.tag in DECODED:
+            until = max(until, end[i])
+        bad.append(bad[i] + (i <= until and not _is_xml(n)))
+    for i, n in enumerate(order if bad[-1] else ()):
+        if i > gone and n.tag in DECODED and bad[end[i] + 1] > bad[i]:
+            gone = end[i]
+        lost[i] = i <= gone
     out = []
     for i, n in enumerate(order):
         parent = number[id(n.parent)] if n.parent is not None else None
         content = "".join(c.data for c in n.children if c.kind == "text") if n.kind == "element" and (leaf[i] or ":" in n.tag) else None
         sib = place.get(id(n), 0)
         kept = emit[i] if leaf[i] or wanted[i] else None
-        out.append((i, end[i], parent, depth[id(n)], sib, n.kind, n.tag, n.attrs, n.data, content, leaf[i], parent is not None and leaf[parent], kept, outer[i] if wanted[i] else None))
+        out.append((i, end[i], parent, depth[id(n)], sib, n.kind, n.tag, n.attrs, n.data, content, leaf[i], parent is not None and leaf[parent], kept, outer[i] if wanted[i] else None, lost[i]))
     return out
 
 
+def _is_xml(node: Node) -> bool:
+    """Whether a node by itself, written out as markup, can be read as XML. Raw text is not escaped there."""
+    if node.kind == "comment":
+        return "--" not in node.data and not node.data.endswith("-")
+    if node.kind == "text":
+        return not NO_CHARACTER.search(node.data) and not (node.parent.tag in RAW and ("<" in node.data or "&" in node.data))
+    return node.kind != "element" or all(NAME.fullmatch(k) for k in (node.tag, *node.attrs)) and not any(NO_CHARACTER.search(v) for v in node.attrs.values())
+
+
 def _markup(node: Node, inner: list[str]) -> str:
     if node.kind == "text":
         return node.data if node.parent is not None and node.parent.tag in RAW else escape(node.data, quote=False)
@@ -265,7 +433,7 @@ def dealt(docs: DataFrame) -> DataFrame:
 def parse_html(docs: DataFrame, keys: list[str], html_col: str) -> DataFrame:
     """``keys`` and the node columns: the only step that leaves the JVM."""
     fields = [x.split()[0] for x in NODES.replace("map<string,string>", "map").split(", ")]
-    kinds = [pa.int32()] * 5 + [pa.string()] * 2 + [pa.map_(pa.string(), pa.string())] + [pa.string()] * 2 + [pa.bool_()] * 2 + [pa.string()] * 2
+    kinds = [pa.int32()] * 5 + [pa.string()] * 2 + [pa.map_(pa.string(), pa.string())] + [pa.string()] * 2 + [pa.bool_()] * 2 + [pa.string()] * 2 + [pa.bool_()]
 
     def flush(heads: list[list], found: list[tuple], types: list) -> pa.RecordBatch:
         columns = zip(*found, strict=True) if found else [[] for _ in kinds]

@@ -15,11 +15,11 @@ KINDS = {"ix:nonfraction": "NonFraction", "ix:nonnumeric": "NonNumeric", "ix:fra
 
 
 def tagged(nodes: DataFrame) -> DataFrame:
-    """Every element with a namespace in its tag; ``type`` is null for those that are not decoded."""
+    """Every element with a namespace in its tag; ``type`` is null for those that are not decoded. One of a known type that cannot be read as XML goes, with all inside it."""
     known = F.lit(None).cast("string")
     for k, v in KINDS.items():
         known = F.when(F.col("tag") == k, F.lit(v)).otherwise(known)
-    return nodes.where("kind = 'element' and contains(tag, ':')").withColumn("type", known)
+    return nodes.where("kind = 'element' and contains(tag, ':') and not lost").withColumn("type", known)
 
 
 def facts(nodes: DataFrame, keys: list[str]) -> DataFrame:
@@ -30,7 +30,7 @@ def facts(nodes: DataFrame, keys: list[str]) -> DataFrame:
 
 def contexts(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, node_id, id, context). What stands inside a context is found by interval, within a document."""
-    outer = nodes.where("tag = 'xbrli:context'").select(*keys, F.col("node_id").alias("c"), F.col("subtree_end").alias("e"), F.coalesce(F.col("attrs")["id"], F.lit("")).alias("id"))
+    outer = nodes.where("tag = 'xbrli:context' and not lost").select(*keys, F.col("node_id").alias("c"), F.col("subtree_end").alias("e"), F.coalesce(F.col("attrs")["id"], F.lit("")).alias("id"))
     tags = ("xbrli:identifier", "xbrldi:explicitmember", "xbrldi:typedmember", "xbrli:startdate", "xbrli:enddate", "xbrli:instant")
     inner = nodes.where(F.col("tag").isin(*tags)).select(*keys, "node_id", "tag", F.coalesce("content", F.lit("")).alias("content"), F.col("attrs")["scheme"].alias("scheme"), F.coalesce(F.col("attrs")["dimension"], F.lit("")).alias("dimension"))
     both = outer.join(inner, keys, "left").where("node_id is null or (node_id > c and node_id <= e)")
@@ -60,7 +60,7 @@ _CONTEXT = pa.struct([
 
 def facts_of(source: str | None) -> list[dict]:
     """The facts of one document in its order, each with its context: of contexts that share an id the last, None where there is none."""
-    found = [(i, end, tag, attrs, content or "") for i, end, _, _, _, kind, tag, attrs, _, content, *_ in html.rows(source) if kind == "element" and ":" in tag]
+    found = [(i, end, tag, attrs, content or "") for i, end, _, _, _, kind, tag, attrs, _, content, *_, lost in html.rows(source) if kind == "element" and ":" in tag and not lost]
     contexts, out = {}, []
     for at, (i, end, tag, attrs, _) in enumerate(found):
         if tag == "xbrli:context":
@@ -109,7 +109,7 @@ def with_context(found: DataFrame, ctx: DataFrame, keys: list[str]) -> DataFrame
 
 
 def units(nodes: DataFrame, keys: list[str]) -> DataFrame:
-    outer = nodes.where("tag = 'xbrli:unit'").select(*keys, F.col("node_id").alias("u"), F.col("subtree_end").alias("e"), F.coalesce(F.col("attrs")["id"], F.lit("")).alias("id"))
+    outer = nodes.where("tag = 'xbrli:unit' and not lost").select(*keys, F.col("node_id").alias("u"), F.col("subtree_end").alias("e"), F.coalesce(F.col("attrs")["id"], F.lit("")).alias("id"))
     inner = nodes.where("tag = 'xbrli:measure'").select(*keys, "node_id", "content")
     return outer.join(inner, keys).where("node_id > u and node_id <= e").groupBy(*keys, "u", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "content"))), lambda x: x["content"]).alias("measures")).drop("u")
 

@@ -18,7 +18,7 @@ RECENT = (
 )
 SUBMISSIONS = f"cik string, name string, tickers array<string>, exchanges array<string>, filings struct<recent:{RECENT}>"
 
-NODES = "node_id int, subtree_end int, parent_id int, depth int, sib int, kind string, tag string, attrs map<string,string>, data string, content string, is_leaf boolean, parent_is_leaf boolean, emit string, outer_html string"
+NODES = "node_id int, subtree_end int, parent_id int, depth int, sib int, kind string, tag string, attrs map<string,string>, data string, content string, is_leaf boolean, parent_is_leaf boolean, emit string, outer_html string, lost boolean"
 
 NAME = "struct<BusinessNameLine1Txt:string,BusinessNameLine2Txt:string>"
 HEADER = f"_returnVersion string, ReturnHeader struct<ReturnTypeCd:string,TaxPeriodBeginDt:string,TaxPeriodEndDt:string,Filer:struct<EIN:string,BusinessName:{NAME}>>"

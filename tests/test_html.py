@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerine.operators import html, ixbrl
@@ -36,6 +37,46 @@ def test_implied_elements_and_intervals():
         assert end >= i and (parent is None or rows[parent][1] >= end and rows[parent][3] == depth - 1)
 
 
+def body(source):
+    def markup(node):
+        if node.kind == "text":
+            return node.data
+        return f"<{node.tag}>" + "".join(map(markup, node.children)) + (f"</{node.tag}>" if node.tag not in html.VOID else "")
+
+    return "".join(map(markup, html.tree(source).children[-1].children[-1].children))
+
+
+@pytest.mark.parametrize(("source", "expected"), [
+    ("<p>1<b>2<i>3</b>4</i>5</p>", "<p>1<b>2<i>3</i></b><i>4</i>5</p>"),
+    ("<b>1<p>2</b>3</p>", "<b>1</b><p><b>2</b>3</p>"),
+    ("<div><a><b><div><div>x</a>", "<div><a><b></b></a><b><div><a></a><div><a>x</a></div></div></b></div>"),
+    ("<a><p>x<a>y</a></p>", "<a></a><p><a>x</a><a>y</a></p>"),
+    ("<font><p>a<font>b</p>c</font>d", "<font><p>a<font>b</font></p><font>c</font>d</font>"),
+    ("<table>loose<tr><td>a", "loose<table><tbody><tr><td>a</td></tr></tbody></table>"),
+    ("<table><b><tr><td>aaa</td></tr>bbb</table>ccc", "<b></b><b>bbb</b><table><tbody><tr><td>aaa</td></tr></tbody></table><b>ccc</b>"),
+    ("A<table><tr> B</tr> </em>C</table>", "A BC<table><tbody><tr></tr> </tbody></table>"),
+    ("<table><ix:x>q</ix:x><tr><td>y", "<ix:x>q</ix:x><table><tbody><tr><td>y</td></tr></tbody></table>"),
+    ("<table><tr><td>x<table><tr><td>y</table>z</table>", "<table><tbody><tr><td>x<table><tbody><tr><td>y</td></tr></tbody></table>z</td></tr></tbody></table>"),
+    ("<table><caption>c<tr><th>h<td>d<tbody><tr><td>q</table>t", "<table><caption>c</caption><tbody><tr><th>h</th><td>d</td></tr></tbody><tbody><tr><td>q</td></tr></tbody></table>t"),
+    ("<table><col><col><tr><td><b>x</td><td>y</table>z", "<table><colgroup><col><col></colgroup><tbody><tr><td><b>x</b></td><td>y</td></tr></tbody></table>z"),
+    ("<td>x</td><div>y</div></p>", "x<div>y</div><p></p>"),
+    ("<ul><li>a<ul><li>b</ul><li>c</ul><h1>a<h2>b</h1>c", "<ul><li>a<ul><li>b</li></ul></li><li>c</li></ul><h1>a</h1><h2>b</h2>c"),
+    ("<!DOCTYPE html><p>a<table></table>", "<p>a</p><table></table>"),
+    ("<p>a<table></table>", "<p>a<table></table></p>"),
+])
+def test_tree_construction(source, expected):
+    assert body(source) == expected
+
+
+def test_elements_that_are_no_xml_go_with_all_inside(spark):
+    f = lambda name, inside: f'<ix:nonNumeric name="{name}">{inside}</ix:nonNumeric>'
+    inner = '<ix:nonFraction name="in" contextRef="c">1</ix:nonFraction><xbrli:context id="c"></xbrli:context>'
+    src = "<div>" + f("script", "<script>a<b</script>" + inner) + f("control", "5\x01") + f("comment", "<!-- a--b -->") + f("name", "<x:y:z>1</x:y:z>") + f("good", "<!-- a-b -->5<b>&lt;</b>") + '<foo:bar a"b="1">' + f("inside unknown", "5") + "</foo:bar></div>"
+    assert [x["name"] for x in ixbrl.facts_of(src)] == ["good", "inside unknown"]
+    nodes = nodes_of(spark, src)
+    assert [r["name"] for r in ixbrl.facts(nodes, ["k"]).orderBy("node_id").collect()] == ["good", "inside unknown"] and ixbrl.contexts(nodes, ["k"]).count() == 0
+
+
 def test_empty_null_and_deep(spark):
     deep = "<div>" * 3000 + "x" + "</div>" * 3000
     counts = {r["k"]: r["n"] for r in nodes_of(spark, "", None, deep).groupBy("k").agg(F.count("*").alias("n")).collect()}
