@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,8 +11,6 @@ from pyspark.sql import functions as F
 
 from .filings import first_by
 
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 K1, B = 1.2, 0.75
 
 
@@ -21,9 +21,20 @@ def organizations(tickers: DataFrame, nonprofits: DataFrame) -> DataFrame:
     return sec.unionByName(first.select(F.col("TAXPAYER_NAME").alias("title"), F.concat(F.lit("/ein/"), "EIN").alias("path"), F.lit("IRS").alias("source_type")))
 
 
+@functools.cache
+def marked_letters() -> tuple[str, str]:
+    """Lower-case letters that stand for a letter with marks, and the letters without them, below U+2000 (Hangul and ideographs have none)."""
+    found = [(c, d[0]) for c in map(chr, range(0x80, 0x2000)) if c.islower() and len(d := unicodedata.normalize("NFD", c)) > 1 and all(map(unicodedata.combining, d[1:]))]
+    return "".join(c for c, _ in found), "".join(d for _, d in found)
+
+
+def folded(text: Column) -> Column:
+    """Lower case without diacritics, whether they are part of a letter or follow it."""
+    return F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), *marked_letters()), r"\p{Mn}+", "")
+
+
 def tokens(text: Column) -> Column:
-    folded = F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN)
-    return F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.filter(F.split(folded(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def postings(corpus: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formatting, identity, numbers
 from ..operators import filings, html, ixbrl, search, store
-from . import irs, report, sec
+from . import irs, report, sec, service
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -289,6 +289,24 @@ def html_tables_match(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("p_partkey", F.regexp_replace("text", r"\n+", "\n").alias("text"))
 
 
+@query("select p_partkey, p_size || chr(10) || 'a ' || p_name || ' b' as text from part")
+def html_text_synth(spark: SparkSession, sf: str) -> DataFrame:
+    """Beside a block no loose text counts; inline elements run on, with white space collapsed."""
+    doc = _str("<table><tr><td>We had <b>", F.col("p_size"), "</b> employees<td>a <em>\n ", F.col("p_name"), "</em> \t b</table>")
+    nodes = html.parse_html(_t(spark, sf, "part").select("p_partkey", doc.alias("h")), ["p_partkey"], "h")
+    return html.tables_where(nodes, lambda t: F.lit(True)).select("p_partkey", F.regexp_replace("text", r"\n+", "\n").alias("text"))
+
+
+@query("select o_orderkey, 'Loose ' || o_custkey as before, cast(o_custkey + 1 as varchar) as inside from orders")
+def html_misplaced(spark: SparkSession, sf: str) -> DataFrame:
+    """What stands in a table but in no cell moves before it."""
+    doc = _str("<div><table>Loose <b>", F.col("o_custkey"), "<tr><td>", F.col("o_custkey") + 1, "</table></div>")
+    nodes = html.parse_html(_t(spark, sf, "orders").select("o_orderkey", doc.alias("h")), ["o_orderkey"], "h")
+    table = nodes.where("tag = 'table'").select("o_orderkey", F.col("node_id").alias("t"), F.trim(F.regexp_replace("emit", r"\s+", " ")).alias("inside"))
+    texts = nodes.where("kind = 'text'").join(table, "o_orderkey").where("node_id < t")
+    return texts.groupBy("o_orderkey", "inside").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "data"))), lambda x: x["data"]), "").alias("before")).select("o_orderkey", "before", "inside")
+
+
 @query("""
 select p_partkey, md5('<table><tbody><tr><td>' || replace(p_name, '&', '&amp;') || ' &amp; co</td><td>$' || p_size || '</td></tr></tbody></table>') as outer_md5 from part""")
 def html_outer(spark: SparkSession, sf: str) -> DataFrame:
@@ -488,3 +506,22 @@ select id, section, ord, period, '$' || format('{:,}', v) as amount, '$' || form
 def report_rows(spark: SparkSession, sf: str) -> DataFrame:
     f = irs.facts(_returns_990(spark, sf)).withColumn("id", F.col("ein"))
     return report.report_rows(f, {"net_income_loss": report.net_label(F.lit("")), "worker_pay": F.lit("Worker Pay")})
+
+
+_PER = """'$' || format('{:,}', v) || ' <span style="color: #666; font-size: 0.9em;">($' || case when v < 0 and v / n >= -0.5 then '-0' else format('{:,}', cast(round_even(v / n, 0) as bigint)) end || '/employee)</span>'"""
+
+
+@query(f"""
+with o as (select o_custkey, count(*) as n, cast(sum(floor(o_totalprice)) as bigint) as revenue, min(strftime(o_orderdate, '%Y-%m-%d')) as start from orders group by 1),
+c as (select cast(c_custkey as varchar) as id, c_name, n, revenue, start, start || ' thru 2024-12-31' as p, cast(floor(c_acctbal) as bigint) as assets from customer join o on c_custkey = o_custkey),
+f as (select id, 'Net Assets' as section, 2 as section_ord, 0 as ord, p as period, assets as v, n from c
+  union all select id, 'Net Revenues', 4, 0, p, revenue - cast(floor(revenue / 3) as bigint), n from c
+  union all select id, 'Worker Pay', 7, 0, p, n * 1000, n from c
+  union all select id, 'Worker Pay', 7, 1, strftime(cast(start as date) - 365, '%Y-%m-%d') || ' thru ' || strftime(cast(start as date) - 1, '%Y-%m-%d'), 0, n from c)
+select id, section, section_ord, ord, period, '$' || format('{{:,}}', v) as amount, {_PER} as per_employee from f
+union all select id, 'Heading', 0, 0, '', c_name || ' (' || id || ')', '' from c
+union all select id, 'Number of employees', 1, 0, '', format('{{:,}}', n), '' from c""")
+def report_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """All sections of the report on returns, but for the markup of pay tables."""
+    facts = irs.facts(_returns_990(spark, sf)).withColumns({"cik": F.lit(""), "ticker": F.lit("")})
+    return report.whole_report(service.record(facts)).where("section <> 'Executive Compensation'")

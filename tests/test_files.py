@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerine.operators import html, ixbrl, store
-from ledgerine.plans import sec
+from ledgerine.plans import report, sec
 from ledgerine.plans.service import Service
-from ledgerine.sources import readers
+from ledgerine.sources import fetch, readers
 from ledgerine.streaming import landing
 
 FILING = """<html><body><xbrli:context id="a"><xbrli:entity><xbrli:identifier scheme="s">7</xbrli:identifier></xbrli:entity><xbrli:period><xbrli:startDate>2023-01-01</xbrli:startDate>
@@ -49,6 +49,41 @@ def test_records_by_identifier(service):
             call(key)
 
 
+def test_report_of_a_filing(service):
+    found = report.whole_report(service.facts_for_cik("7").withColumns({"employees_count": F.lit(2000), "ceo_pay_ratio": F.struct(F.lit("t").alias("text"), F.lit(300.0).alias("ceo"), F.lit(100.0).alias("median"))}))
+    rows = [tuple(r)[1:] for r in found.orderBy("section_ord", "ord").collect()]
+    assert [r[0] for r in rows] == ["Heading", "Number of employees", "CEO Pay Ratio", "CEO Pay Ratio", "CEO Pay Ratio", "Net Profit or Loss", "Executive Compensation"]
+    assert rows[0][4] == "Abc Corp (ABC)" and rows[1][4] == "2,000" and rows[5][3:5] == ("2023-01-01 thru 2023-12-31", "$15,000,000") and "($7,500/employee)" in rows[5][5]
+    assert [r[4:] for r in rows[2:5]] == [("$100", "33%"), ("$300", "100%"), ("3", "")]
+
+
+def test_requests_keep_to_the_rate(spark):
+    now = [0.0]
+    bucket = fetch.Bucket(2.0, 3.0, lambda: now[0], lambda s: now.__setitem__(0, now[0] + s))
+    at = []
+    for _ in range(7):
+        bucket.take()
+        at.append(now[0])
+    assert at == [0.0, 0.0, 0.0, 0.5, 1.0, 1.5, 2.0]
+    now[0] += 100
+    for _ in range(4):
+        bucket.take()
+    assert now[0] == 102.5  # no more than the burst is saved up
+
+    def get(url, timeout):
+        if url == "bad":
+            raise TimeoutError(f"{timeout}")
+        return url.encode()
+
+    rows = spark.createDataFrame([("a",), ("bad",), (None,), ("a",)], "u string")
+    found = fetch.fetched(rows, F.col("u"), get, rate=1000.0, tasks=2).collect()
+    assert sorted((r["url"] or "", bytes(r["content"] or b""), r["error"]) for r in found if r["error"] is None) == [("a", b"a", None)] * 2
+    assert {r["url"]: r["error"] for r in found if r["error"]} == {"bad": "TimeoutError: 30.0", None: "ValueError: no url"}
+    assert fetch.fetched(rows.limit(0), F.col("u"), get).count() == 0
+    with pytest.raises(ValueError, match="rate"):
+        fetch.Bucket(0, 1)
+
+
 def test_return_index_needs_its_columns(spark, tmp_path):
     (tmp_path / "i.csv").write_text("EIN,RETURN_TYPE\n1,990\n")
     with pytest.raises(ValueError, match="RETURN_ID"):

@@ -79,5 +79,7 @@ def test_search(spark):
     corpus = spark.createDataFrame([("New York Times", "/ticker/NYT", "SEC"), ("York New", "/ticker/YN", "SEC"), ("Café Yorkshire New", "/ein/1", "IRS"), ("Other", "/ein/2", "IRS")], "title string, path string, source_type string")
     find = lambda q, k=None: [r["path"] for r in search.search(search.postings(corpus), search.size_of(corpus), q, k).collect()]
     assert set(find("new york")) == {"/ticker/NYT", "/ticker/YN", "/ein/1"}
+    more = spark.createDataFrame([("Žluťoučký Ἀθῆναι", "/a", "IRS"), ("Cafe\u0301 Việt", "/b", "IRS"), ("ŁÓDŹ", "/c", "SEC")], "title string, path string, source_type string")
+    assert [r["t"] for r in more.select(search.tokens(F.col("title")).alias("t")).collect()] == [["zlutoucky", "αθηναι"], ["cafe", "viet"], ["łodz"]]
     assert find("cafe") == ["/ein/1"] and find("  ") == [] and find("york zzz") == []
     assert [search.limit_of(x) for x in (None, "0", "51", "x", "7")] == [10, 10, 10, 10, 7]
