@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import formatting, identity, numbers
 from ..operators import filings, html, ixbrl, search, store
+from ..schemas import return_schema
+from ..sources import readers
 from . import irs, report, sec, service
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -267,6 +269,35 @@ def sec_metrics(spark: SparkSession, sf: str) -> DataFrame:
 # HTML ----------------------------------------------------------------------------------------------------------------
 
 
+_SCHEDULES = (
+    "IRS990ScheduleA.PublicSupportTotal170Amt bigint", "IRS990ScheduleA.PublicSupportCY170Pct double",
+    "IRS990ScheduleJ.RltdOrgOfficerTrstKeyEmplGrp[].PersonNm string", "IRS990ScheduleJ.RltdOrgOfficerTrstKeyEmplGrp[].BaseCompensationFilingOrgAmt bigint",
+    "IRS990ScheduleO.SupplementalInformationDetail[].ExplanationTxt string", "ReturnHeader.Filer.USAddress.CityNm string", "IRS990ScheduleO._documentId string",
+)
+
+
+@query("""
+select o_orderkey, o_custkey as support, cast(o_custkey as double) / 8 as share, cast(3 * o_custkey as bigint) as pay, 'P' || o_orderkey || ' Q' as people, o_orderpriority || '; second' as notes, 'City ' || o_custkey as city, 'D' || o_orderkey as document from orders""")
+def irs_schedules(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields of three schedules and the header that no plan reads."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    person = lambda name, pay: _str("<RltdOrgOfficerTrstKeyEmplGrp><PersonNm>", name, "</PersonNm><BaseCompensationFilingOrgAmt>", pay, "</BaseCompensationFilingOrgAmt></RltdOrgOfficerTrstKeyEmplGrp>")
+    note = lambda text: _str("<SupplementalInformationDetail><ExplanationTxt>", text, "</ExplanationTxt></SupplementalInformationDetail>")
+    xml = _str(
+        "<Return><ReturnHeader><ReturnTypeCd>990</ReturnTypeCd><Filer><USAddress><CityNm>City ", c, "</CityNm></USAddress></Filer></ReturnHeader><ReturnData><IRS990><TotalEmployeeCnt>1</TotalEmployeeCnt></IRS990>",
+        "<IRS990ScheduleA><PublicSupportTotal170Amt>", c, "</PublicSupportTotal170Amt><PublicSupportCY170Pct>", c.cast("double") / 8, "</PublicSupportCY170Pct></IRS990ScheduleA><IRS990ScheduleJ>",
+        person(_str("P", k), c), person(F.lit("Q"), 2 * c), '</IRS990ScheduleJ><IRS990ScheduleO documentId="D', k, '">', note(F.col("o_orderpriority")), note(F.lit("second")), "</IRS990ScheduleO></ReturnData></Return>",
+    )
+    rows = readers.parsed_returns(_t(spark, sf, "orders").select("o_orderkey", xml.alias("xml")), "xml", return_schema(_SCHEDULES)).where("error is null")
+    data = F.col("return.ReturnData")
+    people = data["IRS990ScheduleJ"]["RltdOrgOfficerTrstKeyEmplGrp"]
+    return rows.select(
+        "o_orderkey", data["IRS990ScheduleA"]["PublicSupportTotal170Amt"].alias("support"), data["IRS990ScheduleA"]["PublicSupportCY170Pct"].alias("share"),
+        F.aggregate(people, F.lit(0).cast("long"), lambda a, x: a + x["BaseCompensationFilingOrgAmt"]).alias("pay"), F.array_join(people["PersonNm"], " ").alias("people"),
+        F.array_join(data["IRS990ScheduleO"]["SupplementalInformationDetail"]["ExplanationTxt"], "; ").alias("notes"), F.col("return.ReturnHeader.Filer.USAddress.CityNm").alias("city"), data["IRS990ScheduleO"]["_documentId"].alias("document"),
+    )
+
+
 @query()
 def html_leaf_text(spark: SparkSession, sf: str) -> DataFrame:
     nodes = html.parse_html(_t(spark, sf, "pages"), ["page_id"], "html")

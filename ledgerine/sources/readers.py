@@ -59,7 +59,9 @@ def archive_members(wanted: DataFrame, zip_col: str = "zip_path", member_col: st
 
 
 def parsed_returns(xml: DataFrame, xml_col: str = "xml", schema: str = RETURN) -> DataFrame:
-    """Adds ``return``, ``return_type`` and ``error``: null, "corrupt", "missing return type", "unsupported return type" or "missing body"."""
+    """Adds ``return``, ``return_type`` and ``error``: null, "corrupt", "missing return type", "unsupported return type" or "missing body".
+
+    ``schema``: ``return_schema`` of the fields that are wanted beyond those of the plans."""
     parsed = F.from_xml(F.col(xml_col), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     out = xml.withColumn("return", parsed).withColumn("return_type", F.col("return.ReturnHeader.ReturnTypeCd"))
     body = F.when(F.col("return_type") == "990", F.col("return.ReturnData.IRS990").isNotNull()).when(F.col("return_type") == "990EZ", F.col("return.ReturnData.IRS990EZ").isNotNull()).when(F.col("return_type") == "990PF", F.col("return.ReturnData.IRS990PF").isNotNull())

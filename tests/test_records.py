@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerine import schemas
 from ledgerine.functions import numbers
 from ledgerine.operators import filings, search, store
 from ledgerine.plans import irs
@@ -75,6 +76,14 @@ def test_returns(spark):
         irs.facts(xml.where("ein = '2'"), strict=True).collect()
 
 
+def test_fields_of_a_return():
+    more = schemas.return_schema(["IRS990ScheduleB.X[].Y.Z bigint", "IRS990ScheduleB.X[].A string", "IRS990.TotalEmployeeCnt bigint"])
+    assert "`IRS990ScheduleB`:struct<`X`:array<struct<`Y`:struct<`Z`:bigint>,`A`:string>>>" in more and more.count("TotalEmployeeCnt") == 1
+    for wrong in ("IRS990 string", "IRS990.TotalEmployeeCnt string", "IRS990.Form990PartVIISectionAGrp.PersonNm string", "A.B", "A..B string"):
+        with pytest.raises(ValueError):
+            schemas.return_schema([wrong])
+
+
 def test_search(spark):
     corpus = spark.createDataFrame([("New York Times", "/ticker/NYT", "SEC"), ("York New", "/ticker/YN", "SEC"), ("Café Yorkshire New", "/ein/1", "IRS"), ("Other", "/ein/2", "IRS")], "title string, path string, source_type string")
     find = lambda q, k=None: [r["path"] for r in search.search(search.postings(corpus), search.size_of(corpus), q, k).collect()]
