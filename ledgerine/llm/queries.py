@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, minhash, mjpeg, packing, pieces, pivots, sharding, suffix, urlfilter
+from . import langid, linededup, minhash, mixing, mjpeg, negatives, packing, pieces, pivots, runs, sharding, suffix, urlfilter
 
 
 def tokenizer_path(name: str) -> str:
@@ -70,9 +70,44 @@ def op10_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    id_, label = F.col("vec_id"), F.col("label").cast("long")
+    moved = F.when(id_ % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), id_ % 100 == 0)
+
+
+def repeating(text: Column, doc_id: Column) -> Column:
+    """Every tenth document by hash ends with words that repeat with one period."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(text, r"[ \t-\r]+"), lambda x: x != "")
+    n = F.size(words)
+    start = (g % n).cast("int")
+    period = (1 + F.floor((n - start) / (3 + g % 8))).cast("int")
+    again = F.flatten(F.array_repeat(F.slice(words, start + 1, period), F.ceil((n - start) / period).cast("int")))
+    own = F.concat(F.slice(words, F.lit(1), start), F.slice(again, F.lit(1), n - start))
+    return F.when((h % 10 == 0) & text.rlike(r"[^ \t-\r]"), F.array_join(own, " ")).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", repeating(F.col("text"), F.col("doc_id")).alias("text"))
+    out = runs.collapse_runs(docs)
+    longest = F.get(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("n"), r["start"].alias("start"), r["period"].alias("period")))), F.lit(0))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(F.lit(""))
+    out = out.withColumn("r", longest).withColumns({"start": F.col("r.start"), "length": -F.col("r.n"), "period": F.col("r.period")})
+    digest = lambda c: F.sha2(F.encode(F.coalesce(c, F.lit("")), "UTF-8"), 256)
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "start", "length", "period", F.floor(1000 * F.col("length") / F.col("period")).alias("exponent_milli"), digest(listed).alias("runs_sha256"), digest(F.col("text")).alias("collapsed_sha256"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.rates(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_embedding_dedup, op3_url_filter, op4_suffix_dedup, op5_sharding, op6_minhash_dedup, op7_language_id, op8_piece_sampling, op9_line_dedup, op10_media_avi)
+    for f in (op1_packing, op2_embedding_dedup, op3_url_filter, op4_suffix_dedup, op5_sharding, op6_minhash_dedup, op7_language_id, op8_piece_sampling, op9_line_dedup, op10_media_avi, op11_hard_negatives, op12_periodic_runs, op13_mixing)
 }
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -123,4 +158,27 @@ m as (select k.doc_id, k.i, k.line, o.key is not null and o.last <> k.doc_id as
 select doc_id, count(*) as n_lines, cast(sum(gone::int) as bigint) as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
 from m group by doc_id""",
+    "op11_hard_negatives": """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) as bigint) as score
+  from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id and len(a.q) = len(b.q)),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, cast(row_number() over w as integer) as rank, s.vec_id as negative_id, positive_score, s.score as negative_score
+from p join s using (anchor_id) where not same and 80 * positive_score <= 100 * s.score and 100 * s.score <= 100 * positive_score
+window w as (partition by anchor_id, positive_id order by s.score desc, s.vec_id) qualify row_number() over w <= 5""",
+    # The water level in closed form: sources stop in the order of their bound over their weight.
+    "op13_mixing": """
+with d as (select doc_id, source, text, cast(len(list_filter(str_split_regex(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> '')) as bigint) as size from documents),
+s as (select source, cast(sum(size) as bigint) as n, row_number() over (order by source nulls last) as i from d group by source),
+w as (select *, (i - 1) % 3 + 1 as w, 3 * n / ((i - 1) % 3 + 1) as stop from s),
+c as (select *, (select sum(n) from s) - coalesce(sum(3 * n) over (order by stop, i rows between unbounded preceding and 1 preceding), 0) as rest,
+  sum(w) over (order by stop, i rows between current row and unbounded following) as weights from w),
+first as (select rest, weights from c where rest * w <= 3 * n * weights order by stop, i limit 1),
+t as (select source, n, least(cast(cast(w * (select rest from first) as bigint) as double) / cast((select weights from first) as double), cast(3 * n as double)) as target from w),
+r as (select *, case when n > 0 then least(target / n, 3.0::double) else 0.0::double end as rate from t)
+select doc_id, size, n as source_size, target, size * cast(floor(rate) + (cast(cast('0x' || substr(md5('0/' || coalesce(cast(doc_id as varchar), '') || '/' || coalesce(text, '')), 1, 13) as bigint) as double) / 4503599627370496.0::double < rate - floor(rate))::int as bigint) as taken
+from d join r on d.source is not distinct from r.source""",
 }
