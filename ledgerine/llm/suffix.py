@@ -6,15 +6,17 @@ in order. Equal groups after the last pass are exactly the repeated windows.
 
 1. Minimal string. A window's key is the 48-byte string of smallest hash inside it (leftmost on ties) and where it stands. Equal windows
    have equal keys, and neighbouring windows share one, so a run of them (a block) is a single row of about one per 64 bytes of
-   text. Only strings that occur twice go on.
-2. Content: the block's whole content. Blocks that occur twice are settled, all their windows repeat.
-3. Digits, for blocks whose string occurs with other contents: one block of each kind shows its bytes, and its windows are refined
-   by eight bytes a pass until ``window`` bytes are read. A group that holds one window leaves after each pass. Strings with so
-   many kinds that they would burden a task are refined by an aggregation over hashes of windows instead.
+   text. Neighbouring blocks of the same bytes, as a text of one period has them, are one row with the number of times. Only strings that
+   occur twice go on.
+2. Content: a keyed digest of the block's bytes. Blocks that occur twice are settled, all their windows repeat.
+3. Digits, for blocks whose string occurs with other contents: one block of each kind shows its bytes. While more than ``most`` kinds share
+   a string, they are dealt out anew by more bytes around it: windows in whose front half the string lies share more bytes behind it, the others
+   more bytes before it, so a block goes two ways, and at the ninth step at the latest all 200 bytes of a window are its key.
+   Up to ``most`` kinds are one task's: their windows are refined by eight bytes a pass until ``window`` bytes are read, and a group that
+   holds one window leaves after each pass. Both compare bytes, so where the border lies changes nothing but the tasks.
 
 All bytes that a repeated window covers are removed, the first copy too. Matches never cross documents; windows are judged on
-the input. Steps 1 and 2 compare 64-bit polynomial hashes within groups that agree in another 64-bit hash, step 3 compares bytes.
-Strings and contents that hold a large share of all blocks are broadcast, so no task gathers the copies of a hot passage.
+the input. Strings and contents that hold a large share of all blocks are broadcast, so no task gathers the copies of a hot passage.
 
 Edge cases: a null text is the empty text; texts below ``window`` bytes stay as they are; texts of any length are cut into overlapping
 runs; rows that repeat an id and a text are copies of each other and lose everything; null ids are ids; an empty table gives an
@@ -35,8 +37,8 @@ from .common import flat_texts, join_counted, known_id, mixed, tidy, written
 
 GRAM = 48
 SLICE = 1_000_000
-#: Kinds of one string up to which a task orders them together.
-MANY = 20_000
+#: Kinds of one string that a task orders together; of more, the rest is dealt out by further bytes first.
+MOST = 5000
 BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 STEPS = [0x5851F42D4C957F2D]
 while len(STEPS) < 31:
@@ -69,12 +71,22 @@ def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(low[:m], low[width - size : width - size + m])
 
 
+def same_behind(data: np.ndarray, first: np.ndarray, shift: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the ``length`` bytes from each place on are those ``shift`` places later."""
+    out = np.zeros(len(first), bool)
+    for n in np.unique(shift).tolist():
+        own = np.flatnonzero(shift == n)
+        other = np.concatenate([[0], np.cumsum(data[:-n] != data[n:], dtype=np.int32)])
+        out[own] = other[first[own] + length[own]] == other[first[own]]
+    return out
+
+
 def blocks_of(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """(text, first window start within it, string's place behind that, windows, string hash, content hash) of each block."""
+    """(text, first window start within it, string's place behind that, windows, times, string hash, content digest) of each block."""
     if len(data) < window:
-        return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),) * 2
-    h = hashes(data, (GRAM, window))
-    packed = (h[GRAM] & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h[GRAM]), dtype=np.uint64)
+        return tuple(np.zeros(0, np.int64) for _ in range(7))
+    h = hashes(data, (GRAM,))[GRAM]
+    packed = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     at = (sliding_min(packed, window - GRAM + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(at)]
     start = np.flatnonzero(np.arange(window, len(at) + window) <= offsets[text + 1])
@@ -82,10 +94,20 @@ def blocks_of(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.nd
         return blocks_of(data[:0], offsets[:1], window)
     at, text = at[start], text[start]
     new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])]))
-    first, last = start[new], start[np.append(new[1:] - 1, len(start) - 1)]
-    where, n = at[new] - first, last - first + 1
-    content = mixed(h[window][first] + mixed(h[window][last] ^ np.uint64(0x2545F4914F6CDD1D)) + (where * 1024 + n).astype(np.uint64))
-    return text[new], first - offsets[text[new]], where, n, h[GRAM][at[new]], content
+    first, n = start[new], np.diff(np.append(new, len(start)))
+    where, string, text = at[new] - first, h[at[new]], text[new]
+    again = np.flatnonzero((string[1:] == string[:-1]) & (where[1:] == where[:-1]) & (n[1:] == n[:-1]) & (text[1:] == text[:-1]))
+    again = again[same_behind(data, first[again], n[again], n[again] - 1 + window)]
+    heads = np.ones(len(first), bool)
+    heads[again + 1] = False
+    heads = np.flatnonzero(heads)
+    times = np.diff(np.append(heads, len(first)))
+    first, where, n = first[heads], where[heads], n[heads]
+    raw, content = memoryview(data.tobytes()), []
+    for a, w, m in zip(first.tolist(), where.tolist(), n.tolist(), strict=True):
+        content.append(hashlib.blake2b(raw[a : a + m - 1 + window], digest_size=8, salt=bytes((w, m))).digest())
+    content = np.frombuffer(b"".join(content), np.int64)
+    return text[heads], first - offsets[text[heads]], where, n, times, string[heads].view(np.int64), content
 
 
 def _runs(column: pa.Array, window: int):
@@ -105,10 +127,10 @@ def _blocks(window: int):
         for batch in batches:
             key, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for rows, shift, data, offsets in _runs(batch.column(2), window):
-                text, first, where, n, string, content = blocks_of(data, offsets, window)
+                text, first, where, n, times, string, content = blocks_of(data, offsets, window)
                 row = rows[text] if len(text) else text
                 place = tag[row].astype(np.int64) << 47 | (first + (shift[text] if len(text) else 0)) << 16 | where << 8 | n
-                yield pa.RecordBatch.from_arrays([pa.array(string.view(np.int64)), pa.array(content.view(np.int64)), pa.array(key[row]), pa.array(place)], ["string", "content", "key", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(string), pa.array(content), pa.array(key[row]), pa.array(place), pa.array(times.astype(np.int32))], ["string", "content", "key", "place", "times"])
 
     return run
 
@@ -204,9 +226,11 @@ def _settle(window: int):
 
     def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
         batch = table.combine_chunks().to_batches()[0]
-        string, key, place, count = (batch.column(batch.schema.get_field_index(x)).to_numpy() for x in ("string", "key", "place", "n"))
+        string, key, place, count, low, high = (batch.column(batch.schema.get_field_index(x)).to_numpy() for x in ("string", "key", "place", "n", "low", "high"))
         number = np.cumsum(np.concatenate([[0], string[1:] != string[:-1]]))
         for data, row, off, at, start in windows_of(batch):
+            here = np.flatnonzero((off >= low[row]) & (off <= high[row]))
+            row, off, at, start = row[here], off[here], at[here], start[here]
             found = radix_repeats(data, number[row] * 256 + off, at, window)
             found = found[count[row[found]] == 1]
             yield _spans(key, place, row[found], start[found], window)
@@ -214,15 +238,24 @@ def _settle(window: int):
     return run
 
 
-def _spread(window: int):
+def _deal(window: int):
+    """Each kind by halves of the places at which its string may stand in a window, keyed by the bytes that all windows of a half share."""
+    names = ["string", "n", "key", "place", "body", "low", "high"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                string, key, place, count = (part.column(part.schema.get_field_index(x)).to_numpy() for x in ("string", "key", "place", "n"))
-                for data, row, off, at, start in windows_of(part):
-                    h = hashes(data, (window,))[window][at]
-                    yield pa.RecordBatch.from_arrays([pa.array(string[row]), pa.array(off), pa.array(h.view(np.int64)), pa.array(count[row]), pa.array(key[row]), pa.array((place[row] >> 47).astype(np.int32)), pa.array(start << 32 | (start + window))], ["string", "off", "hash", "n", "key", "tag", "span"])
+            rows, keys, lows, highs = [], [], [], []
+            own = [batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("place", "body", "low", "high")]
+            for i, (place, body, low, high) in enumerate(zip(*own, strict=True)):
+                at, n = place >> 8 & 255, place & 255
+                middle = (low + high) // 2
+                for a, b in ((low, middle), (middle + 1, high)):
+                    if a <= at and at - n + 1 <= b:
+                        key = hashlib.blake2b(body[at - a : at - b + window], digest_size=8, salt=bytes((a, b))).digest()
+                        for to, x in zip((rows, keys, lows, highs), (i, int.from_bytes(key, "little", signed=True), a, b), strict=True):
+                            to.append(x)
+            n, key, place, body = (batch.column(batch.schema.get_field_index(x)).take(pa.array(rows, pa.int64())) for x in ("n", "key", "place", "body"))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), n, key, place, body, pa.array(lows, pa.int32()), pa.array(highs, pa.int32())], names)
 
     return run
 
@@ -261,38 +294,50 @@ def merged(spans: list[int] | None) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_spans(keyed: DataFrame, window: int, many: int = MANY) -> DataFrame:
+def repeated_spans(keyed: DataFrame, window: int, most: int = MOST) -> DataFrame:
     """(key, tag, spans) for (key, tag, text): the bytes that repeated windows cover."""
     if not GRAM < window <= GRAM + 254:
         raise ValueError(f"window must lie between {GRAM + 1} and {GRAM + 254}")
-    blocks = written(keyed.mapInArrow(tidy(_blocks(window)), "string long, content long, key long, place long"))
-    again = written(blocks.groupBy("string").agg(F.count("*").alias("c")).where("c > 1"))
+    blocks = written(keyed.mapInArrow(tidy(_blocks(window)), "string long, content long, key long, place long, times int"))
+    again = written(blocks.groupBy("string").agg(F.count("*").alias("c"), F.sum("times").alias("n")).where("n > 1").drop("n"))
     rows = written(join_counted(blocks, again, ["string"], "c", blocks.count()).drop("c"))
-    kinds = rows.groupBy("string", "content").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min_by("place", "key").alias("place"))
+    kinds = rows.groupBy("string", "content").agg(F.sum("times").alias("n"), F.count("*").alias("copies"), F.min("key").alias("key"), F.min_by("place", "key").alias("place"))
     several = kinds.groupBy("string").agg(F.count("*").alias("kinds")).where("kinds > 1")
     kinds = written(kinds.join(several, "string", "left").where("n > 1 or kinds > 1"))
     first, n = F.col("place").bitwiseAND(0x7FFFFFFF0000), F.col("place").bitwiseAND(255)
     tag = F.shiftright("place", 47).cast("int").alias("tag")
-    settled = join_counted(rows, kinds.where("n > 1").select("string", "content", F.col("n").alias("copies")), ["string", "content"], "copies", rows.count())
-    settled = settled.select("key", tag, (F.shiftleft(first, 16) + F.shiftright(first, 16) + n + (window - 1)).alias("span"))
+    settled = join_counted(rows, kinds.where("n > 1").select("string", "content", "copies"), ["string", "content"], "copies", rows.count())
+    settled = settled.select("key", tag, (F.shiftleft(first, 16) + F.shiftright(first, 16) + n * F.col("times") + (window - 1)).alias("span"))
     wanted = kinds.where("kinds > 1").select("key", tag, F.struct("string", "place", "n", "kinds").alias("x")).groupBy("key", "tag").agg(F.collect_list("x").alias("wanted"))
     shown = keyed.join(wanted, ["key", "tag"]).select("key", "tag", "text", "wanted")
     shown = written(shown.mapInArrow(tidy(_shown(window)), "string long, n long, kinds long, key long, place long, body binary"))
-    few = shown.where(F.col("kinds") <= many).repartition("string").sortWithinPartitions("string")
-    few = few.mapInArrow(tidy(_settle(window)), "key long, tag int, span long")
-    spread = shown.where(F.col("kinds") > many).mapInArrow(tidy(_spread(window)), "string long, off long, hash long, n long, key long, tag int, span long")
-    twice = written(spread.groupBy("string", "off", "hash").agg(F.sum("n").alias("c")).where("c > 1").drop("c"))
-    big = spread.where("n = 1").join(twice, ["string", "off", "hash"]).select("key", "tag", "span")
-    return settled.unionByName(few).unionByName(big).groupBy("key", "tag").agg(F.collect_set("span").alias("spans"))
-
-
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, as_text: bool = False, many: int = MANY) -> DataFrame:
+    left = shown.withColumns({"low": F.lit(0), "high": F.lit(window - GRAM)})
+    spans = settled
+    while True:
+        few = left.where((F.col("kinds") <= most) & (F.col("low") < F.col("high"))).repartition("string").sortWithinPartitions("string")
+        spans = spans.unionByName(few.mapInArrow(tidy(_settle(window)), "key long, tag int, span long"))
+        many = left.where((F.col("kinds") > most) & (F.col("low") < F.col("high")))
+        if many.isEmpty():
+            break
+        dealt = written(many.mapInArrow(tidy(_deal(window)), "string long, n long, key long, place long, body binary, low int, high int"))
+        counts = written(dealt.groupBy("string").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+        left = written(join_counted(dealt, counts, ["string"], "kinds", dealt.count()))
+        whole = left.where("low = high").withColumns({"behind": F.shiftright("place", 8).bitwiseAND(255).cast("int") - F.col("low")})
+        whole = whole.withColumn("bytes", F.col("body").substr(F.col("behind") + 1, F.lit(window)))
+        twice = whole.groupBy("bytes").agg(F.count("*").alias("c")).where("c > 1")
+        start = F.shiftright(first, 16) + F.col("behind")
+        same = join_counted(whole.where("n = 1"), written(twice), ["bytes"], "c", left.count())
+        spans = spans.unionByName(same.select("key", tag, (F.shiftleft(start, 32) + start + window).alias("span")))
+    return spans.groupBy("key", "tag").agg(F.collect_set("span").alias("spans"))
+
+
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, as_text: bool = False, most: int = MOST) -> DataFrame:
     """The columns of ``docs`` but the text, and n_bytes, n_removed, n_spans, kept_sha256, kept: binary, as a cut may split a character, or ``as_text`` without split characters."""
     names = [n for n in docs.columns if n not in (text_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")]
     text = F.encode(F.col(text_col), "UTF-8")
     key, tag = F.xxhash64(known_id(id_col), F.col(text_col)).alias("key"), F.pmod(F.hash(F.col(text_col), known_id(id_col)), F.lit(65536)).alias("tag")
     keyed = docs.select(key, tag, text.alias("text")).where(F.octet_length("text") >= window)
-    spans = repeated_spans(keyed, window, many)
+    spans = repeated_spans(keyed, window, most)
     full = docs.select(key, tag, *[F.col(f"`{n}`").alias(f"_c{i}") for i, n in enumerate(names)], text.alias("text"))
     full = full.join(spans, ["key", "tag"], "left").drop("key", "tag")
     out = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]

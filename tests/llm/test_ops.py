@@ -115,16 +115,39 @@ def repeats_brute(texts, window):
     return out
 
 
-@pytest.mark.parametrize("many", [20_000, 1])
-def test_suffix(spark, many):
+@pytest.mark.parametrize("most", [5000, 1])
+def test_suffix(spark, most):
     p = prose(80, 3)
     q = prose(45, 4)
     texts = [prose(60, 10) + p + prose(50, 11), prose(9, 12) + p[:260], p[100:], p[20:330] + "é" + prose(30, 13), q, q, q + "!", "ab" * 400, "z" * 199, "z" * 200, "y" * 201, p[:199], p[50:249] + "#", *ODD]
-    found = suffix.drop_repeats(docs(spark, texts), many=many).collect()
+    found = suffix.drop_repeats(docs(spark, texts), most=most).collect()
     got = [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in sorted(found, key=lambda r: r["doc_id"])]
     assert got == repeats_brute(texts, 200)
 
 
+def test_suffix_of_many_kinds_of_one_string(spark):
+    rng = np.random.default_rng(8)
+    core, ends = "the one string that all of these texts have in common " * 2, ["".join(rng.choice(list("pqrstuvw"), 90)) for _ in range(6)]
+    texts = ["".join(rng.choice(list("abcdefgh"), 120)) + ends[rng.integers(6)] + core + ends[rng.integers(6)] + "".join(rng.choice(list("abcdefgh"), 120)) for _ in range(900)]
+    got = {most: [tuple(r)[:6] for r in suffix.drop_repeats(docs(spark, texts), most=most).drop("lang", "source", "n_chars", "kept").orderBy("doc_id").collect()] for most in (5000, 40)}
+    assert got[5000] == got[40] == [(i, *r) for i, r in enumerate(repeats_brute(texts, 200))]
+
+
+def test_suffix_of_low_entropy(spark):
+    rng = np.random.default_rng(9)
+    texts = ["z" * 10_000_000, "ab" * 500, "abc" * 300 + "x", "z" * 150 + "q" + "z" * 260, "".join(rng.choice(list("ab"), 3000)), "z" * 200, "0123456789" * 30 + "abc" * 90]
+    found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.drop_repeats(docs(spark, texts)).drop("kept").collect()}
+    assert found.pop(0) == (10_000_000, 10_000_000, 1, hashlib.sha256(b"").hexdigest())
+    assert [found[i] for i in range(1, len(texts))] == repeats_brute(["z" * 500, *texts[1:]], 200)[1:]
+
+
+def test_blocks_of_one_period_are_one_row():
+    for text, most in (("z" * 100_000, 3), ("abcdefg" * 9000, 5)):
+        data = np.frombuffer(text.encode(), np.uint8)
+        _, first, _, n, times, _, _ = suffix.blocks_of(data, np.array([0, len(data)]), 200)
+        assert len(first) <= most and int((n * times).sum()) == len(data) - 199
+
+
 def test_radix_passes_find_the_repeated_windows():
     rng = np.random.default_rng(4)
     for window in (49, 56, 200):
