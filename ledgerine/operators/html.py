@@ -9,7 +9,7 @@ from html.parser import HTMLParser
 from itertools import takewhile
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formatting import trimmed
@@ -424,14 +424,8 @@ def _markup(node: Node, inner: list[str]) -> str:
     return f"<{node.tag}{attrs}/>" if node.tag in VOID else f"<{node.tag}{attrs}>{''.join(inner)}</{node.tag}>"
 
 
-def dealt(docs: DataFrame) -> DataFrame:
-    """Parsing is the costly step; a table of few splits is dealt out first."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
-
-
-def parse_html(docs: DataFrame, keys: list[str], html_col: str) -> DataFrame:
-    """``keys`` and the node columns: the only step that leaves the JVM."""
+def parse_html(docs: DataFrame, keys: list[str], html_col: str, tasks: int | None = None) -> DataFrame:
+    """``keys`` and the node columns: the only step that leaves the JVM. ``tasks``: documents are dealt out first, as parsing is costly and they may come in few partitions."""
     fields = [x.split()[0] for x in NODES.replace("map<string,string>", "map").split(", ")]
     kinds = [pa.int32()] * 5 + [pa.string()] * 2 + [pa.map_(pa.string(), pa.string())] + [pa.string()] * 2 + [pa.bool_()] * 2 + [pa.string()] * 2 + [pa.bool_()]
 
@@ -458,7 +452,8 @@ def parse_html(docs: DataFrame, keys: list[str], html_col: str) -> DataFrame:
                         heads, out = [[] for _ in keys], []
             yield flush(heads, out, types)
 
-    given = dealt(docs.select(*keys, F.col(html_col)))
+    given = docs.select(*keys, F.col(html_col))
+    given = given.repartition(tasks) if tasks else given
     own = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
     return given.mapInArrow(run, f"{own}, {NODES}")
 
@@ -475,14 +470,32 @@ def tables_where(nodes: DataFrame, predicate: Callable[[Column], Column]) -> Dat
     return out.where((F.col("text") != "") & predicate(F.col("text")))
 
 
-def following_text(nodes: DataFrame, anchors: DataFrame, keys: list[str], budget: int) -> DataFrame:
-    """For anchors (keys, node_id, subtree_end, depth): text of the leaves behind each, until ``budget`` bytes are reached."""
-    a = anchors.select(*keys, F.col("node_id").alias("anchor"), F.col("subtree_end").alias("_end"), (F.col("depth") - 2).alias("_least"))
-    own = nodes.select(*keys, "node_id", "depth", "emit", "parent_is_leaf").where("is_leaf and emit <> ''")
-    hits = own.join(a, keys).where("node_id > _end and depth >= _least and not (parent_is_leaf and depth - 1 >= _least)")
-    # Trimming takes white space alone, so behind ``budget`` other bytes nothing is needed: only so much is gathered.
-    before = Window.partitionBy(*keys, "anchor").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
-    hits = hits.withColumn("_seen", F.coalesce(F.sum(F.octet_length(F.regexp_replace("emit", r"\s+", ""))).over(before), F.lit(0))).where(F.col("_seen") < budget)
-    gathered = hits.groupBy(*keys, "anchor").agg(F.array_sort(F.collect_list(F.struct("node_id", "emit"))).alias("l"))
-    joined = F.aggregate("l", F.lit(""), lambda acc, x: F.when(F.octet_length(trimmed(acc)) < budget, F.concat(acc, x["emit"])).otherwise(acc))
-    return gathered.select(*keys, "anchor", trimmed(joined).alias("following"))
+def _escaped(text: Column, quote: bool = False) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), *((('"', "&quot;"), ("'", "&#x27;")) if quote else ())):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def markup(nodes: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, node_id, markup) for nodes of any kind, ``wanted`` (keys, node_id, subtree_end): what stands in their intervals, as ordered openings and closings.
+
+    An element opens at its own number and closes behind the last of its subtree, the deepest of those that end there first. Both sides
+    meet by document; nested ones that are wanted are each written out. A document's own node gives its children.
+    """
+    tags = nodes.select(*keys, F.col("node_id").alias("parent_id"), F.col("tag").alias("_of")).where(F.col("_of").isin(*RAW))
+    own = nodes.select(*keys, "node_id", "subtree_end", "parent_id", "depth", "kind", "tag", "attrs", "data").join(tags, [*keys, "parent_id"], "left")
+    attrs = F.array_join(F.transform(F.map_entries("attrs"), lambda x: F.concat(F.lit(" "), x["key"], F.lit('="'), _escaped(x["value"], True), F.lit('"'))), "")
+    void = F.coalesce(F.col("tag").isin(*VOID), F.lit(False))
+    element = F.col("kind") == "element"
+    opening = (
+        F.when(element, F.concat(F.lit("<"), "tag", F.coalesce(attrs, F.lit("")), F.when(void, F.lit("/>")).otherwise(F.lit(">"))))
+        .when(F.col("kind") == "text", F.when(F.col("_of").isNull(), _escaped(F.col("data"))).otherwise(F.col("data")))
+        .when(F.col("kind") == "comment", F.concat(F.lit("<!--"), "data", F.lit("-->")))
+        .otherwise(F.lit(""))
+    )
+    event = lambda at, last, depth, text: F.struct(at.alias("at"), F.lit(last).alias("last"), depth.alias("depth"), text.alias("text"))
+    none = F.lit(0)
+    events = F.filter(F.array(event(F.col("node_id"), 0, none, opening), F.when(element & ~void, event(F.col("subtree_end"), 1, -F.col("depth"), F.concat(F.lit("</"), "tag", F.lit(">"))))), lambda x: x.isNotNull())
+    parts = own.select(*keys, F.col("node_id").alias("_n"), F.explode(events).alias("e"))
+    inside = wanted.select(*keys, "node_id", F.col("subtree_end").alias("_end")).join(parts, keys).where("_n >= node_id and _n <= _end")
+    return inside.groupBy(*keys, "node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["text"]), "").alias("markup"))

@@ -37,7 +37,7 @@ def contexts(nodes: DataFrame, keys: list[str]) -> DataFrame:
     one = lambda tag: F.coalesce(F.max_by(F.when(F.col("tag") == tag, F.col("content")), F.when(F.col("tag") == tag, F.col("node_id"))), F.lit(""))
     many = lambda tag: F.transform(F.array_sort(F.collect_list(F.when(F.col("tag") == tag, F.struct("node_id", "dimension", "content")))), lambda x: F.struct(x["dimension"].alias("dimension"), x["content"].alias("content")))
     found = both.groupBy(*keys, "c", "id").agg(
-        F.coalesce(F.max("scheme"), F.lit("")).alias("scheme"), one("xbrli:identifier").alias("identifier"), many("xbrldi:explicitmember").alias("explicit_members"),
+        F.coalesce(F.max_by(F.when(F.col("tag") == "xbrli:identifier", F.coalesce("scheme", F.lit(""))), F.when(F.col("tag") == "xbrli:identifier", F.col("node_id"))), F.lit("")).alias("scheme"), one("xbrli:identifier").alias("identifier"), many("xbrldi:explicitmember").alias("explicit_members"),
         many("xbrldi:typedmember").alias("typed_members"), one("xbrli:startdate").alias("start_date"), one("xbrli:instant").alias("instant"), one("xbrli:enddate").alias("end_date"),
     )
     found = outer.select(*keys, "c", "id").join(found, [*keys, "c", "id"], "left")
@@ -58,12 +58,24 @@ _CONTEXT = pa.struct([
 ])
 
 
-def facts_of(source: str | None) -> list[dict]:
-    """The facts of one document in its order, each with its context: of contexts that share an id the last, None where there is none."""
-    found = [(i, end, tag, attrs, content or "") for i, end, _, _, _, kind, tag, attrs, _, content, *_, lost in html.rows(source) if kind == "element" and ":" in tag and not lost]
-    contexts, out = {}, []
-    for at, (i, end, tag, attrs, _) in enumerate(found):
-        if tag == "xbrli:context":
+FACT_TYPES = {"node_id": pa.int32(), "type": pa.string(), **dict.fromkeys(ATTRIBUTES, pa.string()), "content": pa.string(), "context": _CONTEXT}
+
+
+def facts_of(source: str | None, names: frozenset[str] | None = None) -> list[dict]:
+    """The facts of one document in its order (of the concepts ``names``, if given), each with its context: of contexts that share an id the last, None where there is none."""
+    return facts_in(html.rows(source), names)
+
+
+def facts_in(rows: list[tuple], names: frozenset[str] | None = None) -> list[dict]:
+    """The same from the node table. Contexts are read for the facts that are wanted alone."""
+    found = [(i, end, tag, attrs, content or "") for i, end, _, _, _, kind, tag, attrs, _, content, *_, lost in rows if kind == "element" and ":" in tag and not lost]
+    out = []
+    for i, _, tag, attrs, content in found:
+        if KINDS.get(tag) in ("NonFraction", "NonNumeric", "Fraction") and (names is None or attrs.get("name", "") in names):
+            out.append({"node_id": i, "type": KINDS[tag], **{k: attrs.get(v, "") for k, v in ATTRIBUTES.items()}, "content": content})
+    asked, contexts = {x["context_ref"] for x in out}, {}
+    for at, (_, end, tag, attrs, _) in enumerate(found):
+        if tag == "xbrli:context" and attrs.get("id", "") in asked:
             inner: dict[str, list[tuple[dict, str]]] = {}
             for j, _, t, a, c in found[at + 1 :]:
                 if j > end:
@@ -71,33 +83,31 @@ def facts_of(source: str | None) -> list[dict]:
                 inner.setdefault(t, []).append((a, c))
             last = lambda t: inner[t][-1][1] if t in inner else ""  # noqa: E731, B023
             many = lambda t: [{"dimension": a.get("dimension", ""), "content": c} for a, c in inner.get(t, ())]  # noqa: E731, B023
-            scheme = max((a["scheme"] for x in inner.values() for a, _ in x if "scheme" in a), default="")
+            scheme = inner["xbrli:identifier"][-1][0].get("scheme", "") if "xbrli:identifier" in inner else ""
             contexts[attrs.get("id", "")] = {
                 "id": attrs.get("id", ""), "entity": {"identifier": {"scheme": scheme, "content": last("xbrli:identifier")}, "segment": {"explicit_members": many("xbrldi:explicitmember"), "typed_members": many("xbrldi:typedmember")}},
                 "period": {"start_date": last("xbrli:startdate"), "instant": last("xbrli:instant"), "end_date": last("xbrli:enddate")},
             }
-    for i, _, tag, attrs, content in found:
-        if KINDS.get(tag) in ("NonFraction", "NonNumeric", "Fraction"):
-            own = {k: attrs.get(v, "") for k, v in ATTRIBUTES.items()}
-            out.append({"node_id": i, "type": KINDS[tag], **own, "content": content, "context": contexts.get(own["context_ref"])})
+    for x in out:
+        x["context"] = contexts.get(x["context_ref"])
     return out
 
 
-def parsed_facts(docs: DataFrame, keys: list[str], html_col: str) -> DataFrame:
-    """The facts of documents with their contexts, like ``with_context(facts(..), contexts(..))``, in one parse and without an exchange."""
-    kinds = {"node_id": pa.int32(), "type": pa.string(), **dict.fromkeys(ATTRIBUTES, pa.string()), "content": pa.string(), "context": _CONTEXT}
+def parsed_facts(docs: DataFrame, keys: list[str], html_col: str, names: frozenset[str] | None = None, tasks: int | None = None) -> DataFrame:
+    """The facts of documents with their contexts, like ``with_context(facts(..), contexts(..))``, in one parse and without an exchange, but for dealing documents out to ``tasks``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, found = [], []
             for i, raw in enumerate(batch.column(len(keys)).to_pylist()):
-                own = facts_of(raw.decode(errors="replace") if isinstance(raw, bytes) else raw)
+                own = facts_of(raw.decode(errors="replace") if isinstance(raw, bytes) else raw, names)
                 at += [i] * len(own)
                 found += own
             heads = [c.take(pa.array(at, pa.int64())) for c in batch.columns[: len(keys)]]
-            yield pa.RecordBatch.from_arrays([*heads, *(pa.array([x[k] for x in found], t) for k, t in kinds.items())], [*keys, *kinds])
+            yield pa.RecordBatch.from_arrays([*heads, *(pa.array([x[k] for x in found], t) for k, t in FACT_TYPES.items())], [*keys, *FACT_TYPES])
 
-    given = html.dealt(docs.select(*keys, html_col))
+    given = docs.select(*keys, html_col)
+    given = given.repartition(tasks) if tasks else given
     own = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys), "node_id int, type string", *(f"{k} string" for k in ATTRIBUTES), f"content string, context {CONTEXT}"])
     return given.mapInArrow(run, own)
 

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.identity import facts_key
 
-#: The five tables: keys, and the column that partitions the files.
-TABLES = {"submissions": (["cik"], None), "filings": (["accession_number"], "form_name"), "facts": (["id"], "source_type"), "irs_returns": (["ein"], "tax_year"), "search_cache": ([], "source_type")}
+#: The two unique keys of filings.
+FILING_KEYS = (["accession_number"], ["cik", "form_name"])
+#: The five tables and the columns of their keys; a row replaces those that agree in any of them.
+TABLES: dict[str, tuple[list[str], ...]] = {"submissions": (["cik"],), "filings": FILING_KEYS, "facts": (["id"],), "irs_returns": (["ein"],), "search_cache": ()}
 MAX_AGE_DAYS = 30
 
 
@@ -27,10 +32,6 @@ def upsert(old: DataFrame, new: DataFrame, *keys: list[str]) -> DataFrame:
     return kept.unionByName(new)
 
 
-#: The two unique keys of filings.
-FILING_KEYS = (["accession_number"], ["cik", "form_name"])
-
-
 def last_of_batch(batch: DataFrame, keys: tuple[list[str], ...], order: Column) -> DataFrame:
     """Rows that no later row of the whole batch agrees with in any of the keys: what is left if each row replaces those before it."""
     names = batch.columns
@@ -82,80 +83,176 @@ def filings_of(filings: DataFrame, cik: str) -> DataFrame:
 
 
 class Store:
-    """Tables below a folder. A write makes a new version and then names it, so readers and failed jobs never see half a table.
+    """Tables below a folder, in buckets by the hashes of their keys. A version is a file that lists the folders of each bucket.
 
-    The number of a version is part of its folder's name. A writer that finds, once it is done, that another one has written the same or
-    a later version withdraws its own and raises an error, so no rows are lost silently.
+    A write puts its rows beside the others and then creates the next version's file, so readers and failed jobs never see half a
+    write. An upsert rewrites the buckets that its batch touches; the next version lists the others' folders as they are. Tables
+    with two keys have a bucket for each pair of hashes, and a batch touches the rows and the columns of that square. A file is created
+    only where there is none (which the store must grant), so of two writers that began with one version the later fails, and no rows
+    are lost silently. A version remembers the last number of each numbered source of batches; a batch that comes again adds nothing.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
+        if buckets < 1:
+            raise ValueError("a table has a bucket at least")
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
     def _path(self, *parts: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def versions(self, table: str) -> list[str]:
-        fs, path = self._path(table)
-        if not fs.exists(path):
-            return []
-        return sorted(n for n in (x.getPath().getName() for x in fs.listStatus(path)) if fs.exists(self._path(table, n, "_SUCCESS")[1]))
+    def _list(self, *parts: str) -> list[str]:
+        fs, path = self._path(*parts)
+        return sorted(x.getPath().getName() for x in fs.listStatus(path)) if fs.exists(path) else []
 
-    def read(self, table: str) -> DataFrame | None:
-        done = self.versions(table)
-        return self.spark.read.parquet(f"{self.root}/{table}/{done[-1]}") if done else None
+    def _load(self, table: str, name: str) -> dict | None:
+        fs, path = self._path(table, name)
+        stream = fs.open(path)
+        try:
+            return json.loads(bytes(stream.readAllBytes()))
+        except ValueError:  # its writer has not finished it
+            return None
+        finally:
+            stream.close()
+
+    def versions(self, table: str) -> list[str]:
+        """Names of all versions, the last one at the end."""
+        return [n for n in self._list(table) if n.endswith(".json")]
+
+    def _last(self, table: str) -> tuple[str | None, dict | None]:
+        for name in reversed(self.versions(table)):
+            if (found := self._load(table, name)) is not None:
+                return name, found
+        return None, None
+
+    def _commit(self, table: str, base: str | None, version: dict) -> None:
+        name = f"v{int(base[1:10]) + 1 if base else 0:09d}.json"
+        fs, path = self._path(table, name)
+        try:
+            out = fs.create(path, False)
+        except Py4JJavaError as e:
+            raise RuntimeError(f"another writer changed {table}") from e
+        out.write(bytearray(json.dumps(version).encode()))
+        out.close()
+
+    def _buckets(self, table: str, n: int) -> dict[str, Column]:
+        return {f"bucket_{i}": F.pmod(F.xxhash64(*key), F.lit(n)).cast("int") for i, key in enumerate(TABLES[table])} or {"bucket_0": F.lit(0)}
+
+    def _put(self, table: str, df: DataFrame, n: int) -> dict[str, list[str]]:
+        """Writes rows by bucket; the new folder of each bucket that has any."""
+        folder, cells = f"data/{uuid.uuid4().hex}", self._buckets(table, n)
+        df.withColumns(cells).hint("rebalance", *cells).write.partitionBy(*cells).parquet(f"{self.root}/{table}/{folder}")
+        found = [[folder]]
+        for _ in cells:
+            found = [[*p, name] for p in found for name in self._list(table, *p) if name.startswith("bucket_")]
+        return {".".join(x.split("=")[1] for x in p[1:]): ["/".join(p)] for p in found}
+
+    def _rows(self, table: str, version: dict, cells: list[str]) -> DataFrame:
+        schema = StructType.fromJson(version["schema"])
+        paths = [f"{self.root}/{table}/{p}" for c in sorted(cells) for p in version["buckets"].get(c, ())]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def read(self, table: str, name: str | None = None) -> DataFrame | None:
+        """The last version, or the one of a name; None if there is none."""
+        version = self._load(table, name) if name else self._last(table)[1]
+        return None if version is None else self._rows(table, version, list(version["buckets"]))
 
     def write(self, table: str, df: DataFrame, base: str | None = None) -> None:
-        """A new version, made from version ``base`` (the last one unless given)."""
-        base = base or max(self.versions(table), default=None)
-        number = int(base[1:10]) + 1 if base else 0
-        name = f"v{number:09d}-{uuid.uuid4().hex[:8]}"
-        writer = df.write
-        if TABLES[table][1] and not df.isEmpty():  # no rows would leave no file, and so no schema
-            writer = writer.partitionBy(TABLES[table][1])
-        writer.parquet(f"{self.root}/{table}/{name}")
-        if [v for v in self.versions(table) if v != name and int(v[1:10]) >= number]:
-            fs, path = self._path(table, name)
-            fs.delete(path, True)
-            raise RuntimeError(f"another writer changed {table}")
-
-    def append(self, table: str, df: DataFrame) -> None:
-        """Adds rows to the last version; nothing is read or rewritten. Rows that are there already are added again."""
-        done = self.versions(table)
-        if not done or self.read(table).isEmpty():
-            return self.write(table, df)
-        writer = df.write.mode("append")
-        if TABLES[table][1]:
-            writer = writer.partitionBy(TABLES[table][1])
-        return writer.parquet(f"{self.root}/{table}/{done[-1]}")
+        """The whole table anew, made from version ``base`` (the last one unless given)."""
+        last, old = self._last(table)
+        n = old["n"] if old else self.buckets
+        self._commit(table, base or last, {"n": n, "schema": df.schema.jsonValue(), "buckets": self._put(table, df, n), "batches": old["batches"] if old else {}})
+
+    def _seen(self, old: dict | None, batch: tuple[str, int] | None) -> bool:
+        return bool(old and batch and old["batches"].get(batch[0], -1) >= batch[1])
+
+    def append(self, table: str, df: DataFrame, batch: tuple[str, int] | None = None) -> None:
+        """Adds rows; nothing is read or rewritten. Rows that are there already are added again, but for a ``batch`` (source, number) that was added before."""
+        base, old = self._last(table)
+        if self._seen(old, batch):
+            return
+        if old is None:
+            old = {"n": self.buckets, "schema": df.schema.jsonValue(), "buckets": {}, "batches": {}}
+        new = self._put(table, df.select(*StructType.fromJson(old["schema"]).names), old["n"])
+        buckets = {c: [*old["buckets"].get(c, ()), *new.get(c, ())] for c in {*old["buckets"], *new}}
+        self._commit(table, base, old | {"buckets": buckets, "batches": old["batches"] | (dict([batch]) if batch else {})})
 
     def clear(self, table: str) -> None:
         """An empty version, if there is a table."""
-        if (old := self.read(table)) is not None:
-            self.write(table, old.limit(0))
-
-    def store(self, table: str, new: DataFrame, order: Column | None = None) -> None:
-        keys, base, old = TABLES[table][0], max(self.versions(table), default=None), self.read(table)
-        order = F.lit(0) if order is None else order
-        if table == "filings":
-            out = filings_upsert(old, new, order)
+        base, old = self._last(table)
+        if old is not None:
+            self._commit(table, base, old | {"buckets": {}})
+
+    def store(self, table: str, new: DataFrame, order: Column | None = None, batch: tuple[str, int] | None = None) -> None:
+        """Replaces rows by key; of a batch the last by ``order``. Only buckets that the batch touches are read and written."""
+        base, old = self._last(table)
+        if self._seen(old, batch):
+            return
+        keys, order = TABLES[table], F.lit(0) if order is None else order
+        new = last_of_batch(new, keys, order) if len(keys) > 1 else last_wins(new, keys[0], order)
+        if old is None:
+            n, names, gone = self.buckets, new.columns, []
+            out = new
         else:
-            new = last_wins(new, keys, order)
-            out = new if old is None else upsert(old, new, keys)
-        self.write(table, out, base)
+            n, names = old["n"], StructType.fromJson(old["schema"]).names
+            new = new.select(*names)
+            cells = self._buckets(table, n)
+            touched = new.select(*cells.values()).distinct().collect()  # n at most, or its square
+            hit = [{str(r[i]) for r in touched} for i in range(len(cells))]
+            gone = [c for c in old["buckets"] if any(x in h for x, h in zip(c.split("."), hit, strict=True))]
+            out = upsert(self._rows(table, old, gone), new, *keys).select(*names)
+        buckets = {c: p for c, p in (old["buckets"] if old else {}).items() if c not in gone} | self._put(table, out, n)
+        self._commit(table, base, {"n": n, "schema": old["schema"] if old else out.schema.jsonValue(), "buckets": buckets, "batches": (old["batches"] if old else {}) | (dict([batch]) if batch else {})})
+
+    def rebucket(self, table: str, buckets: int) -> None:
+        """The same rows in another number of buckets, as a table grows."""
+        base, old = self._last(table)
+        if old is not None:
+            out = self._put(table, self._rows(table, old, list(old["buckets"])), buckets)
+            self._commit(table, base, old | {"n": buckets, "buckets": out})
+
+    def vacuum(self, table: str, keep: int = 2) -> None:
+        """Removes all but the last ``keep`` versions and the folders that only those removed list. Readers of removed versions fail."""
+        names = self.versions(table)
+        loaded = [(n, self._load(table, n) or {"buckets": {}}) for n in names]
+        folders = lambda found: {"/".join(p.split("/")[:2]) for _, v in found for ps in v["buckets"].values() for p in ps}
+        old, kept = loaded[: max(0, len(names) - max(1, keep))], loaded[max(0, len(names) - max(1, keep)) :]
+        for name, _ in old:
+            fs, path = self._path(table, name)
+            fs.delete(path, False)
+        for folder in folders(old) - folders(kept):
+            fs, path = self._path(table, folder)
+            fs.delete(path, True)
+
+    def _lookup(self, table: str, which: int, values: list[str]) -> DataFrame | None:
+        """Rows of a key, from its bucket alone."""
+        version = self._last(table)[1]
+        if version is None:
+            return None
+        marks = ", ".join(f":k{i}" for i in range(len(values)))
+        own = str(self.spark.sql(f"select pmod(xxhash64({marks}), {int(version['n'])}) as b", args={f"k{i}": v for i, v in enumerate(values)}).first()["b"])
+        rows = self._rows(table, version, [c for c in version["buckets"] if c.split(".")[which] == own])
+        return rows.where(reduce(lambda a, b: a & b, [F.col(c) == v for c, v in zip(TABLES[table][which], values, strict=True)]))
+
+    def matching(self, table: str, keys: DataFrame) -> DataFrame | None:
+        """Rows of the table's first key that ``keys`` holds, a column of the same name; only their buckets are read."""
+        version = self._last(table)[1]
+        if version is None:
+            return None
+        name = TABLES[table][0][0]
+        touched = {str(r[0]) for r in keys.select(F.pmod(F.xxhash64(name), F.lit(version["n"]))).distinct().collect()}  # n at most
+        return self._rows(table, version, [c for c in version["buckets"] if c.split(".")[0] in touched]).join(keys.select(name).distinct(), name, "left_semi")
 
     def get(self, table: str, key: str) -> DataFrame:
         """The row of a key; LookupError without one."""
-        found = self.read(table)
-        found = None if found is None else found.where(F.col(TABLES[table][0][0]) == key)
+        found = self._lookup(table, 0, [key])
         if found is None or found.isEmpty():
             raise LookupError(f"{table}: no {key}")
         return found
 
     def get_filing(self, cik: str, form: str) -> DataFrame:
         """The filing of an organisation and form; LookupError without one."""
-        found = self.read("filings")
-        found = None if found is None else found.where((F.col("cik") == cik) & (F.col("form_name") == form))
+        found = self._lookup("filings", 1, [cik, form])
         if found is None or found.isEmpty():
             raise LookupError(f"filings: no {form} of {cik}")
         return found

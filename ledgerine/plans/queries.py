@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formatting, identity, numbers
-from ..operators import filings, html, ixbrl, search, store
+from ..operators import extract, filings, html, ixbrl, search, store
 from ..schemas import return_schema
 from ..sources import readers
 from . import irs, report, sec, service
@@ -32,6 +32,11 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _tasks(spark: SparkSession) -> int:
+    """The tables come in one file each, and parsing is worth dealing out."""
+    return spark.sparkContext.defaultParallelism
+
+
 def _str(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
@@ -226,7 +231,7 @@ def _filing_html(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _own_facts(spark: SparkSession, sf: str) -> DataFrame:
-    return ixbrl.parsed_facts(_filing_html(spark, sf), ["cik", "doc_ord"], "content")
+    return ixbrl.parsed_facts(_filing_html(spark, sf), ["cik", "doc_ord"], "content", tasks=_tasks(spark))
 
 
 @query("""
@@ -300,13 +305,13 @@ def irs_schedules(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def html_leaf_text(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = html.parse_html(_t(spark, sf, "pages"), ["page_id"], "html")
+    nodes = html.parse_html(_t(spark, sf, "pages"), ["page_id"], "html", _tasks(spark))
     return html.leaf_texts(nodes).select("page_id", "node_id", "tag", "depth", "text")
 
 
 @query("select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) as title from pages where regexp_extract(html, '<title>([^<]*)</title>', 1) <> ''")
 def html_titles(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = html.parse_html(_t(spark, sf, "pages"), ["page_id"], "html")
+    nodes = html.parse_html(_t(spark, sf, "pages"), ["page_id"], "html", _tasks(spark))
     return html.leaf_texts(nodes.where("tag = 'title'")).select("page_id", F.regexp_replace("text", r"\s+", " ").alias("title"))
 
 
@@ -315,7 +320,7 @@ select p_partkey, 'Name' || chr(10) || 'Salary' || chr(10) || p_name || chr(10)
 def html_tables_match(spark: SparkSession, sf: str) -> DataFrame:
     money = F.when(F.col("p_size") % 2 == 0, _str("$", F.col("p_size"))).otherwise(_str(F.col("p_size")))
     doc = _str("<div><p>x</p><table><tr><th>Name</th><th>Salary</th></tr><tr><td>", F.col("p_name"), "<td>", money, "</table></div>")
-    nodes = html.parse_html(_t(spark, sf, "part").select("p_partkey", doc.alias("h")), ["p_partkey"], "h")
+    nodes = html.parse_html(_t(spark, sf, "part").select("p_partkey", doc.alias("h")), ["p_partkey"], "h", _tasks(spark))
     rows = html.tables_where(nodes, lambda t: F.contains(t, F.lit("Name")) & F.contains(t, F.lit("$")) & F.contains(t, F.lit("Salary")))
     return rows.select("p_partkey", F.regexp_replace("text", r"\n+", "\n").alias("text"))
 
@@ -324,7 +329,7 @@ def html_tables_match(spark: SparkSession, sf: str) -> DataFrame:
 def html_text_synth(spark: SparkSession, sf: str) -> DataFrame:
     """Beside a block no loose text counts; inline elements run on, with white space collapsed."""
     doc = _str("<table><tr><td>We had <b>", F.col("p_size"), "</b> employees<td>a <em>\n ", F.col("p_name"), "</em> \t b</table>")
-    nodes = html.parse_html(_t(spark, sf, "part").select("p_partkey", doc.alias("h")), ["p_partkey"], "h")
+    nodes = html.parse_html(_t(spark, sf, "part").select("p_partkey", doc.alias("h")), ["p_partkey"], "h", _tasks(spark))
     return html.tables_where(nodes, lambda t: F.lit(True)).select("p_partkey", F.regexp_replace("text", r"\n+", "\n").alias("text"))
 
 
@@ -332,7 +337,7 @@ def html_text_synth(spark: SparkSession, sf: str) -> DataFrame:
 def html_misplaced(spark: SparkSession, sf: str) -> DataFrame:
     """What stands in a table but in no cell moves before it."""
     doc = _str("<div><table>Loose <b>", F.col("o_custkey"), "<tr><td>", F.col("o_custkey") + 1, "</table></div>")
-    nodes = html.parse_html(_t(spark, sf, "orders").select("o_orderkey", doc.alias("h")), ["o_orderkey"], "h")
+    nodes = html.parse_html(_t(spark, sf, "orders").select("o_orderkey", doc.alias("h")), ["o_orderkey"], "h", _tasks(spark))
     table = nodes.where("tag = 'table'").select("o_orderkey", F.col("node_id").alias("t"), F.trim(F.regexp_replace("emit", r"\s+", " ")).alias("inside"))
     texts = nodes.where("kind = 'text'").join(table, "o_orderkey").where("node_id < t")
     return texts.groupBy("o_orderkey", "inside").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "data"))), lambda x: x["data"]), "").alias("before")).select("o_orderkey", "before", "inside")
@@ -342,7 +347,7 @@ def html_misplaced(spark: SparkSession, sf: str) -> DataFrame:
 select p_partkey, md5('<table><tbody><tr><td>' || replace(p_name, '&', '&amp;') || ' &amp; co</td><td>$' || p_size || '</td></tr></tbody></table>') as outer_md5 from part""")
 def html_outer(spark: SparkSession, sf: str) -> DataFrame:
     doc = _str("<table><tr><td>", F.replace("p_name", F.lit("&"), F.lit("&amp;")), " &amp; co<td>$", F.col("p_size"), "</table>")
-    nodes = html.parse_html(_t(spark, sf, "part").select("p_partkey", doc.alias("h")), ["p_partkey"], "h")
+    nodes = html.parse_html(_t(spark, sf, "part").select("p_partkey", doc.alias("h")), ["p_partkey"], "h", _tasks(spark))
     return nodes.where("tag = 'table'").select("p_partkey", F.md5(F.col("outer_html").cast("binary")).alias("outer_md5"))
 
 
@@ -351,9 +356,22 @@ with t as (select o_orderkey, 'A' || o_orderkey as a, 'B ' || o_orderpriority as
 select o_orderkey, case when length(a) >= 8 then a when length(a || chr(10) || b) >= 8 then a || chr(10) || b else a || chr(10) || b || chr(10) || c end as following from t""")
 def html_following_text(spark: SparkSession, sf: str) -> DataFrame:
     doc = _str("<div><h2>Anchor</h2><p>A", F.col("o_orderkey"), "</p><p>B ", F.col("o_orderpriority"), "</p><p>C", F.col("o_custkey"), "</p></div>")
-    nodes = html.parse_html(_t(spark, sf, "orders").select("o_orderkey", doc.alias("h")), ["o_orderkey"], "h")
-    anchors = html.leaf_texts(nodes, lambda t: F.when(t == "Anchor", t))
-    return html.following_text(nodes, anchors, ["o_orderkey"], 8).select("o_orderkey", "following")
+    docs = _t(spark, sf, "orders").select("o_orderkey", doc.alias("h"))
+    found = extract.extracts(docs, ["o_orderkey"], "h", extract.Wanted(anchor=lambda t: t == "Anchor", budget=8), _tasks(spark))
+    return found.select("o_orderkey", F.explode("anchors.text").alias("following"))
+
+
+@query("""
+with t as (select o_orderkey, o_custkey as c, o_orderpriority as p from orders)
+select o_orderkey, 'first' as anchor, 'in ' || c || chr(10) || 'cell ' || p || chr(10) || 'Anchor second' || chr(10) || 'after' as following from t
+union all select o_orderkey, 'second', 'second' || chr(10) || 'after' from t union all select o_orderkey, 'last', '' from t""")
+def html_following_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """Three anchors: behind the first stand a list, a table in a table, the second and a paragraph; nothing less deep than two levels above an anchor counts."""
+    inner = _str("<table><tr><td><table><tr><td>cell ", F.col("o_orderpriority"), "</td></tr></table></td></tr></table>")
+    doc = _str("<p>before</p><section><div><div><div><h2>Anchor first</h2><ul><li>in ", F.col("o_custkey"), "</li></ul>", inner, "<h3>Anchor <b>second</b></h3><p>after</p></div></div></div></section><p>far</p><i>Anchor last</i>")
+    docs = _t(spark, sf, "orders").select("o_orderkey", doc.alias("h"))
+    found = extract.extracts(docs, ["o_orderkey"], "h", extract.Wanted(anchor=lambda t: t.startswith("Anchor"), budget=200), _tasks(spark))
+    return found.select("o_orderkey", F.posexplode("anchors.text").alias("i", "t")).select("o_orderkey", F.element_at(F.array(F.lit("first"), F.lit("second"), F.lit("last")), F.col("i") + 1).alias("anchor"), F.regexp_replace("t", r"\s*\n\s*", "\n").alias("following"))
 
 
 @query("""
@@ -361,8 +379,8 @@ select c_custkey, cast(greatest(c_custkey * 1000 + 5000, 700 + c_custkey) as dou
 def ceo_pay_ratio(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col("c_custkey")
     doc = _str("<div><p><b>CEO Pay Ratio</b></p><p>Our CEO earned $", F.format_number(c * 1000 + 5000, 0), " and the median employee $", F.format_number(c + 700, 0), ".</p></div>")
-    nodes = html.parse_html(_t(spark, sf, "customer").select("c_custkey", doc.alias("h")), ["c_custkey"], "h")
-    return sec.pay_ratios(nodes, ["c_custkey"]).select("c_custkey", "ratio.ceo", "ratio.median")
+    found = sec.of_documents(_t(spark, sf, "customer").select("c_custkey", doc.alias("h")), ["c_custkey"], "h", tasks=_tasks(spark))
+    return found.select("c_custkey", F.explode("ratios.ratio").alias("r")).select("c_custkey", "r.ceo", "r.median")
 
 
 @query("""
@@ -392,15 +410,47 @@ def only_number(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "part").select("p_partkey", numbers.only_number(F.concat("p_brand", "p_type")).alias("n"))
 
 
+def _annual_html(spark: SparkSession, sf: str) -> DataFrame:
+    """A filing per order with a buyback, net income and cash, a pay ratio, a head-count and a pay table in every other one."""
+    o, key, cust = _t(spark, sf, "orders"), F.col("o_orderkey"), F.col("o_custkey")
+    ctx = _str('<xbrli:context id="c"><xbrli:entity><xbrli:identifier scheme="s">', cust, "</xbrli:identifier></xbrli:entity><xbrli:period><xbrli:startDate>2020-01-01</xbrli:startDate><xbrli:endDate>", F.date_format("o_orderdate", "yyyy-MM-dd"), "</xbrli:endDate></xbrli:period></xbrli:context>")
+    fact = lambda name, value: _str('<ix:nonFraction unitRef="usd" contextRef="c" name="', name, '" scale="3">', value, "</ix:nonFraction>")
+    ratio = _str("<div><p><b>CEO Pay Ratio</b></p><p>Our CEO earned $", F.format_number(cust * 1000 + 5000, 0), " and the median employee $", F.format_number(cust + 700, 0), ".</p></div>")
+    staff = _str("<p>As of December 31, 2024 we had ", F.format_number(key + 1000, 0), " full-time employees</p>")
+    table = F.when(key % 2 == 0, _str("<table><tr><th>Name</th><th>Salary</th></tr><tr><td>P", key, "</td><td>$", cust, "</td></tr></table>")).otherwise("<table><tr><td>Name</td></tr></table>")
+    body = _str("<html><body><div>", ctx, "</div><p>", fact("us-gaap:StockRepurchasedDuringPeriodValue", F.format_number(key, 0)), fact("us-gaap:NetIncomeLoss", cust), fact(sec.CONCEPTS["cash"], "1"), "</p>", F.when(key % 3 == 0, ratio).otherwise("<p>x</p>"), staff, table, "</body></html>")
+    return o.select(cust.cast("string").alias("cik"), key.alias("doc_ord"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("filing_date"), body.alias("content"))
+
+
 @query("""
-with o as (select cast(o_custkey as varchar) as cik, count(*) as n, arg_max('', o_orderkey) as e from orders group by 1)
-select cik, 'T' || cik as ticker, 'Customer ' || cik as company_name, n as filings, n as net_facts, n as cash_facts, cast(0 as bigint) as employees_count from o""")
+with o as (select *, strftime(o_orderdate, '%Y-%m-%d') as day from orders)
+select cast(o_custkey as varchar) as cik, 'T' || o_custkey as ticker, 'Customer ' || o_custkey as company_name, count(*) as filings, string_agg(day, '|' order by o_orderkey) as dates,
+  string_agg(format('{:,}', o_orderkey), '|' order by day desc, o_orderkey) as buybacks, string_agg(day, '|' order by day desc, o_orderkey) as ends, count(*) as net_facts, count(*) as cash_facts,
+  cast(case when count(*) filter (where o_orderkey % 3 = 0) > 0 then greatest(o_custkey * 1000 + 5000, o_custkey + 700) end as double) as ceo, cast(min(o_orderkey) + 1000 as bigint) as employees_count,
+  md5(coalesce(string_agg('<table><tbody><tr><th>Name</th><th>Salary</th></tr><tr><td>P' || o_orderkey || '</td><td>$' || o_custkey || '</td></tr></tbody></table>', '|' order by o_orderkey) filter (where o_orderkey % 2 = 0), '')) as pay_md5
+from o group by o_custkey""")
 def sec_facts(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole path from documents to one record per organisation."""
-    docs = _filing_html(spark, sf)
+    """The whole path from documents to one record per organisation, in one parse of each document."""
+    docs = _annual_html(spark, sf)
     names = docs.select("cik").distinct().select("cik", _str("T", F.col("cik")).alias("ticker"), _str("Customer ", F.col("cik")).alias("company_name"))
-    f = sec.facts(docs, names, filing_fields=[])
-    return f.select("cik", "ticker", "company_name", *[F.size(c).cast("long").alias(n) for c, n in (("filings", "filings"), ("net_income_loss", "net_facts"), ("cash", "cash_facts"))], "employees_count")
+    f = sec.facts(docs, names, tasks=_tasks(spark))
+    listed = lambda c, of: F.array_join(F.transform(c, of), "|")
+    return f.select(
+        "cik", "ticker", "company_name", F.size("filings").cast("long").alias("filings"), listed("filings", lambda x: x["filing_date"]).alias("dates"), listed("buybacks", lambda x: x["content"]).alias("buybacks"),
+        listed("buybacks", lambda x: x["context"]["period"]["end_date"]).alias("ends"), F.size("net_income_loss").cast("long").alias("net_facts"), F.size("cash").cast("long").alias("cash_facts"), F.col("ceo_pay_ratio.ceo").alias("ceo"),
+        "employees_count", F.md5(F.coalesce(F.array_join("exec_compensation_html", "|"), F.lit("")).cast("binary")).alias("pay_md5"),
+    )
+
+
+@query("""
+select o_orderkey, '<div id="d' || o_orderkey || '" title="a &amp; &quot;b&quot;"><p>x &lt; ' || o_custkey || '<br/></p><!--c--><script>if (a<b && c) {}</script></div>' as div, '<p>x &lt; ' || o_custkey || '<br/></p>' as p from orders""")
+def html_markup(spark: SparkSession, sf: str) -> DataFrame:
+    """Markup of nodes that are no tables."""
+    doc = _str('<div id="d', F.col("o_orderkey"), """" title='a &amp; "b"'><p>x &lt; """, F.col("o_custkey"), "<br></p><!--c--><script>if (a<b && c) {}</script></div>")
+    nodes = html.parse_html(_t(spark, sf, "orders").select("o_orderkey", doc.alias("h")), ["o_orderkey"], "h", _tasks(spark))
+    wanted = nodes.where("tag in ('div', 'p')").select("o_orderkey", "node_id", "subtree_end")
+    found = html.markup(nodes, wanted, ["o_orderkey"]).select("o_orderkey", "markup")
+    return found.groupBy("o_orderkey").agg(*[F.max(F.when(F.startswith("markup", F.lit(f"<{t}")), F.col("markup"))).alias(t) for t in ("div", "p")])
 
 
 # Store -----------------------------------------------------------------------------------------------------------------

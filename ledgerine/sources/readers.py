@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,31 +31,42 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def return_index(spark: SparkSession, path: str) -> DataFrame:
-    """The six required columns, found by header name, and the row's order; a missing one is an error."""
+    """The six required columns, found by header name, and ``row_ord``; a missing one is an error.
+
+    ``row_ord`` orders rows by the name of their file, the place of the file's part that a task reads and their place in it, so the order is that
+    of the files whatever sizes they have and however they are dealt to tasks.
+    """
     rows = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
     if missing := [c for c in INDEX_COLUMNS if c not in rows.columns]:
         raise ValueError(f"columns missing: {', '.join(missing)}")
-    return rows.select(*INDEX_COLUMNS).withColumn("row_ord", F.monotonically_increasing_id())
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    return rows.select(*INDEX_COLUMNS, place.alias("row_ord"))
 
 
-def archive_members(wanted: DataFrame, zip_col: str = "zip_path", member_col: str = "member", content_col: str = "archive") -> DataFrame:
-    """(member, content) for rows of archive bytes and a member's name: null content where there is no such member.
+def archive_members(wanted: DataFrame, archives: DataFrame) -> DataFrame:
+    """(zip_path, member, content) for rows of ``wanted`` (zip_path, member): null content where there is no such member.
 
-    Archives come as a column (join with ``documents``), so that stores which only Spark reads will do.
+    For stores that only Spark reads: ``archives`` (path, content) holds whole archives, 2 GB at most, one row for each however many members
+    are wanted. Where ranges can be read, ``ranged.members`` moves no archive.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for name, data in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for path, names, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 try:
-                    with zipfile.ZipFile(io.BytesIO(data.as_py())) as z:
-                        out.append(z.read(name))
-                except (KeyError, TypeError, zipfile.BadZipFile):
-                    out.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["zip_path", "member", "content"])
-
-    return wanted.select(F.col(zip_col).alias("zip_path"), F.col(member_col).alias("member"), F.col(content_col).alias("archive")).mapInArrow(run, "zip_path string, member string, content binary")
+                    archive = zipfile.ZipFile(pa.BufferReader(data.as_buffer())) if data.is_valid else None
+                except zipfile.BadZipFile:
+                    archive = None
+                for name in names:
+                    try:
+                        content = None if archive is None or name is None else archive.read(name)
+                    except (KeyError, zipfile.BadZipFile, zlib.error):
+                        content = None
+                    yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([name], pa.string()), pa.array([content], pa.binary())], ["zip_path", "member", "content"])
+
+    names = wanted.groupBy("zip_path").agg(F.collect_list(F.struct("member")).alias("names")).select("zip_path", F.transform("names", lambda x: x["member"]).alias("names"))
+    met = names.join(archives.select(F.col("path").alias("zip_path"), F.col("content").alias("archive")), "zip_path", "left").select("zip_path", "names", "archive")
+    return met.mapInArrow(run, "zip_path string, member string, content binary")
 
 
 def parsed_returns(xml: DataFrame, xml_col: str = "xml", schema: str = RETURN) -> DataFrame:

@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerine.operators import html, ixbrl, store
+from ledgerine.operators import filings, html, ixbrl, store
 from ledgerine.plans import report, sec
 from ledgerine.plans.service import Service
 from ledgerine.sources import fetch, readers
@@ -23,7 +23,7 @@ def service(spark, tmp_path):
     (tmp_path / "tickers.json").write_text(json.dumps({"0": {"cik_str": 7, "ticker": "ABC", "title": "Abc Corp"}, "1": {"cik_str": 8, "ticker": "NONE", "title": "None"}}))
     recent = {k: ["x", "x"] for k in ("filingDate", "reportDate", "fileNumber", "primaryDocDescription")} | {"accessionNumber": ["0001-24-1", "0001-24-2"], "form": ["8-K", "10-K"], "isXBRL": [1, 1], "isInlineXBRL": [1, 1], "primaryDocument": ["e.htm", "d.htm"]}
     (tmp_path / "subs").mkdir()
-    (tmp_path / "subs" / "7.json").write_text(json.dumps({"cik": "0000000007", "name": "Abc Corp", "tickers": ["ABC"], "exchanges": ["X"], "filings": {"recent": recent}}))
+    (tmp_path / "subs" / "CIK0000000007.json").write_text(json.dumps({"cik": "0000000007", "name": "Abc Corp", "tickers": ["ABC"], "exchanges": ["X"], "filings": {"recent": recent}}))
     doc = tmp_path / "docs" / "7" / "0001242"
     doc.mkdir(parents=True)
     (doc / "d.htm").write_text(FILING)
@@ -49,6 +49,33 @@ def test_records_by_identifier(service):
             call(key)
 
 
+def test_records_by_batch(service, spark):
+    wanted = [("ticker", "ABC"), ("ticker", "abc"), ("cik", "07"), ("ein", "55"), ("ein", "66"), ("ein", "99"), ("cik", "8"), ("ticker", "zzz"), ("other", "1"), ("ein", None), ("ticker", "ABC")]
+    rows = spark.createDataFrame(wanted, "kind string, key string")
+    noted = {}
+
+    def noting(path):
+        with open(f"{path}.read", "a") as f:
+            f.write("x")
+        return open(path, "rb")
+
+    service.opener = noting
+    found, rejects = service.facts_for(rows)
+    assert sorted((r["kind"], r["key"], r["id"]) for r in found.collect()) == [("cik", "07", "7"), ("ein", "55", "55"), ("ticker", "ABC", "7"), ("ticker", "abc", "7")]
+    reasons = {(r["kind"], r["key"]): r["reason"] for r in rejects.collect()}
+    assert len(reasons) == 6 and reasons["ein", "66"] == "no return: no such member" and reasons["ein", "99"] == "no supported return" and reasons["cik", "8"] == "no supported filing" and reasons["ticker", "zzz"] == "no ticker zzz"
+    for path in (f"{service.documents}/7/0001242/d.htm", f"{service.submissions}/CIK0000000007.json"):
+        assert open(f"{path}.read").read() == "x"  # once, for all identifiers and passes
+    again, rejects = service.facts_for(rows)
+    assert sorted(r["updated_at"] for r in again.collect()) == sorted(r["updated_at"] for r in found.collect()) and rejects.count() == 6
+    assert open(f"{service.documents}/7/0001242/d.htm.read").read() == "x" and len(service.kept.versions("facts")) == 1 and not noted
+
+
+def test_many_identifiers_at_once(service, spark):
+    found, rejects = service.facts_for(spark.range(10_000).select(F.when(F.col("id") % 2 == 0, "cik").otherwise("ein").alias("kind"), F.col("id").cast("string").alias("key")))
+    assert sorted(r["id"] for r in found.select("id").collect()) == ["55"] and rejects.count() == 9999  # 7 is odd, and so asked for as an EIN
+
+
 def test_report_of_a_filing(service):
     found = report.whole_report(service.facts_for_cik("7").withColumns({"employees_count": F.lit(2000), "ceo_pay_ratio": F.struct(F.lit("t").alias("text"), F.lit(300.0).alias("ceo"), F.lit(100.0).alias("median"))}))
     rows = [tuple(r)[1:] for r in found.orderBy("section_ord", "ord").collect()]
@@ -90,6 +117,22 @@ def test_return_index_needs_its_columns(spark, tmp_path):
         readers.return_index(spark, f"{tmp_path}/i.csv")
 
 
+def test_order_of_rows_over_files(spark, tmp_path):
+    head = "RETURN_ID,EIN,TAXPAYER_NAME,RETURN_TYPE,XML_BATCH_ID,OBJECT_ID\n"
+    (tmp_path / "b.csv").write_text(head + "".join(f"b{i},{i % 50},{'n' * 60},990,x,o\n" for i in range(3000)))
+    (tmp_path / "a.csv").write_text(head + "a0,7,n,990T,x,o\na1,7,n,990,x,o\n")  # smaller, so it is dealt out later
+    (tmp_path / "c.csv").write_text(head + "c0,7,n,990,x,o\nc1,777,n,990EZ,x,o\n")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")  # many parts of a file
+        index = readers.return_index(spark, str(tmp_path))
+        assert index.rdd.getNumPartitions() > 5
+        want = ["a0", "a1", *(f"b{i}" for i in range(3000)), "c0", "c1"]
+        assert [r["RETURN_ID"] for r in index.orderBy("row_ord").collect()] == want
+        assert filings.first_return(index, "7").first()["RETURN_ID"] == "a1" and filings.first_return(index, "777").first()["RETURN_ID"] == "c1"
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_facts_of_one_parse_equal_the_relational_ones(spark):
     odd = FILING.replace("</body>", '<xbrli:context id="a"><xbrli:segment><xbrldi:explicitMember dimension="d">m</xbrldi:explicitMember><xbrldi:typedMember dimension="t">u</xbrldi:typedMember></xbrli:segment><xbrli:instant>2020-02-02</xbrli:instant></xbrli:context><ix:nonNumeric contextRef="no" name="n">x<b>y</b>z</ix:nonNumeric><ix:fraction id="q"></ix:fraction></body>')
     docs = spark.createDataFrame([(1, FILING), (2, odd), (3, None), (4, "<p>no facts")], "k int, h string")
@@ -121,12 +164,13 @@ def test_store_versions(spark, tmp_path):
         s.get("facts", "1")
     for t in "aab":
         s.append("search_cache", item(t))
-    assert sorted(r["title"] for r in s.read("search_cache").collect()) == ["a", "a", "b"] and len(s.versions("search_cache")) == 1
+    assert sorted(r["title"] for r in s.read("search_cache").collect()) == ["a", "a", "b"] and len(s.versions("search_cache")) == 3
+    assert s.read("search_cache", s.versions("search_cache")[0]).count() == 1  # a version that readers have is not changed
     s.clear("search_cache")
     assert s.read("search_cache").count() == 0
     base = s.versions("search_cache")[-1]
     s.write("search_cache", item("x"), base)
-    with pytest.raises(RuntimeError):
+    with pytest.raises(RuntimeError, match="another writer"):
         s.write("search_cache", item("y"), base)  # made from a version that is no longer the last
     assert [r["title"] for r in s.read("search_cache").collect()] == ["x"]
     f = spark.createDataFrame([("a1", "7", "10-K", "d.htm")], "accession_number string, cik string, form_name string, primary_document string")
@@ -137,6 +181,74 @@ def test_store_versions(spark, tmp_path):
     assert [r["ein"] for r in store.eins(spark.createDataFrame([("2",), ("1",), ("2",)], "ein string")).collect()] == ["1", "2"]
 
 
+def cells(s, table, name=None):
+    version = s._load(table, name or s.versions(table)[-1])
+    return {c: tuple(p) for c, p in version["buckets"].items()}
+
+
+def test_upserts_rewrite_the_buckets_they_touch(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path), 64)
+    rows = lambda ids, v: spark.createDataFrame([(str(i), v) for i in ids], "id string, v int")
+    s.store("facts", rows(range(3000), 0))
+    before = cells(s, "facts")
+    assert len(before) == 64
+    s.store("facts", rows([5, 5, 9999], 1))
+    after = cells(s, "facts")
+    assert sum(after[c] != before[c] for c in before) <= 2
+    assert s.read("facts").groupBy("v").count().orderBy("v").collect() == [(0, 2999), (1, 2)] and s.get("facts", "5").first()["v"] == 1
+    assert s.read("facts", s.versions("facts")[0]).where("v = 1").count() == 0
+    assert sorted(r["id"] for r in s.matching("facts", rows([7, 12345], 0)).collect()) == ["7"]
+    assert len(s._lookup("facts", 0, ["5"]).inputFiles()) <= 2 < len(s.read("facts").inputFiles())
+    s.rebucket("facts", 8)
+    assert len(cells(s, "facts")) == 8 and s.read("facts").count() == 3001 and s.get("facts", "9999").count() == 1
+    s.vacuum("facts", 1)
+    assert len(s.versions("facts")) == 1 and s.read("facts").count() == 3001 and len(s._list("facts", "data")) == 1
+    with pytest.raises(LookupError):
+        s.get("facts", "none")
+
+
+def test_filings_in_a_square_of_buckets(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path), 8)
+    rows = lambda *r: spark.createDataFrame(list(r), "accession_number string, cik string, form_name string, at int")
+    s.store("filings", rows(*[(f"a{i}", f"c{i}", "10-K", 0) for i in range(400)]))
+    before = cells(s, "filings")
+    s.store("filings", rows(("new", "c7", "10-K", 1), ("a9", "other", "10-K", 1)))
+    after = cells(s, "filings")
+    assert sum(after.get(c) != before[c] for c in before) <= 28 < len(before) == 64
+    got = {r["accession_number"]: (r["cik"], r["at"]) for r in s.read("filings").collect()}
+    assert len(got) == 400 and got["new"] == ("c7", 1) and "a7" not in got and got["a9"] == ("other", 1)
+    assert s.get_filing("c7", "10-K").first()["accession_number"] == "new" and s.get("filings", "a8").count() == 1
+
+
+def test_batches_that_come_again_add_nothing(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path))
+    item = lambda t: spark.createDataFrame([(t, "/p", "SEC")], "title string, path string, source_type string")
+    for t, number in (("a", 0), ("a", 0), ("b", 1), ("a", 0), ("b", 1)):
+        s.append("search_cache", item(t), ("x", number))
+    s.append("search_cache", item("c"), ("y", 0))
+    assert sorted(r["title"] for r in s.read("search_cache").collect()) == ["a", "b", "c"] and len(s.versions("search_cache")) == 3
+    with open(f"{tmp_path}/search_cache/v000000003.json", "w") as f:
+        f.write('{"n": 1, "buck')  # a writer that has not finished, or died
+    assert s.read("search_cache").count() == 3
+    with pytest.raises(RuntimeError, match="another writer"):
+        s.append("search_cache", item("d"))
+
+
+def test_landing_appends_once(spark, tmp_path):
+    schema = "title string, path string, source_type string"
+    s = store.Store(spark, f"{tmp_path}/kept")
+    for t in "abc":
+        spark.createDataFrame([(t, "/p", "SEC")], schema).write.mode("append").parquet(f"{tmp_path}/in")
+        landing.land(spark, f"{tmp_path}/in", schema, s, "search_cache", f"{tmp_path}/cp").awaitTermination()
+    assert sorted(r["title"] for r in s.read("search_cache").collect()) == ["a", "b", "c"]
+    import os
+
+    for name in [n for n in os.listdir(f"{tmp_path}/cp/commits") if n.lstrip(".").startswith("2")]:  # as if the stream died before it noted the last batch
+        os.remove(f"{tmp_path}/cp/commits/{name}")
+    landing.land(spark, f"{tmp_path}/in", schema, s, "search_cache", f"{tmp_path}/cp").awaitTermination()
+    assert s.read("search_cache").count() == 3
+
+
 def test_landing(spark, tmp_path):
     schema = "id string, source_type string, updated_at timestamp"
     rows = lambda d: spark.sql(f"select '1' as id, 'SEC' as source_type, timestamp '{d} 00:00:00' as updated_at")

@@ -1,32 +1,66 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerine.operators import html, ixbrl
+from ledgerine.operators import extract, html, ixbrl
 from ledgerine.plans import sec
 
-SMALL = "<div>\n\t<p>First paragraph</p>\n\t<div>\n\t\t<span>Nested <br />span</span>\n\t\t<a>Link text</a>\n\t</div>\n\t<p>Second <span>paragraph</span></p>\n\t<ul>\n\t\t<li>Item 1</li>\n\t\t<li>Item 2</li>\n\t</ul>\n</div>"
+PAGE = "<section>\n<h4>Opening <em>words</em></h4>\n  <article>\n <b>deep</b><br>tail<div>block <i>in</i></div>\n </article><ol><li>uno<li>due</ol>\n<p>closing</section><p>outside</p>"
 
 
 def nodes_of(spark, *sources):
     return html.parse_html(spark.createDataFrame(list(enumerate(sources)), "k int, h string"), ["k"], "h")
 
 
-def text(source):
-    root = html.rows(source)
-    return "".join(r[12] or "" for r in root if r[10] and not r[11]).strip()
-
-
 def test_text_of_blocks():
-    tree = html.tree(SMALL)
+    tree = html.tree(PAGE)
     assert [c.tag for c in tree.children[0].children] == ["head", "body"]
-    found = [r for r in html.rows(SMALL) if r[6] == "li"]
-    assert [r[12] for r in found] == ["Item 1\n", "Item 2\n"]
-
-
-def test_following_text(spark):
-    nodes = nodes_of(spark, SMALL)
-    anchors = html.leaf_texts(nodes, lambda t: F.when(t == "First paragraph", t))
-    assert html.following_text(nodes, anchors, ["k"], 30).first()["following"] == "Nested span\n\t\tLink text\n\t\n\tSecond"
+    found = {r[6]: r[12] for r in html.rows(PAGE) if r[10] and r[5] == "element"}
+    assert (found["li"], found["p"], found["em"], found["b"]) == ("due\n", "outside\n", "words", "deep\n")
+    assert [r[12] for r in html.rows(PAGE) if r[6] == "li"] == ["uno\n", "due\n"]
+
+
+def brute_following(rows, at, budget):
+    """As the rule is worded: texts of leaves one after the other until the trimmed text is long enough."""
+    out = ""
+    for row in rows[at + 1 :]:
+        if row[0] > rows[at][1] and row[10] and row[12] and row[3] >= rows[at][3] - 2 and not (row[11] and row[3] - 1 >= rows[at][3] - 2) and len(out.strip().encode()) < budget:
+            out += row[12]
+    return out.strip()
+
+
+@pytest.mark.parametrize("budget", [0, 1, 5, 9, 20, 700])
+def test_following_text(budget):
+    for source in (PAGE, PAGE.replace("deep", "d\u00e9\u6f22" * 3), "<div><p>\u3000x\xa0</p><p>\u2003</p><p>y</p></div>"):
+        rows = html.rows(source)
+        for at in range(len(rows)):
+            assert extract.following(rows, at, budget) == brute_following(rows, at, budget)
+
+
+def test_one_pass_equals_the_node_table(spark):
+    sources = [PAGE, "<table><tr><td>Name<table><tr><td>Name $</td></tr></table></td></tr></table>", None, "", "<p>Opening</p>"]
+    docs = spark.createDataFrame(list(enumerate(sources)), "k int, h string")
+    wanted = extract.Wanted(leaf=lambda t: "o" in t, anchor=lambda t: "O" in t, budget=30, table=lambda t: "Name" in t)
+    one = extract.extracts(docs.withColumn("facts", F.lit(1)), ["k"], "h", wanted, 3)
+    assert one.count() == 5
+    nodes = html.parse_html(docs, ["k"], "h")
+    flat = lambda c, *names: sorted(tuple(r) for r in one.select("k", F.explode(c).alias("x")).select("k", *[f"x.{n}" for n in names]).collect())
+    assert flat("leaves", "node_id", "text") == sorted(tuple(r) for r in html.leaf_texts(nodes, lambda t: F.when(F.contains(t, F.lit("o")), t)).select("k", "node_id", "text").collect())
+    assert flat("tables", "node_id", "text", "outer_html") == sorted(tuple(r) for r in html.tables_where(nodes, lambda t: F.contains(t, F.lit("Name"))).select("k", "node_id", "text", "outer_html").collect())
+    assert len(flat("tables", "node_id")) == 2 and len(flat("anchors", "text")) == 2
+
+
+def test_markup_of_any_node(spark):
+    odd = "<div a='1&quot;' b=\"it's\"><p>x &amp; y<br><img src=q>z<!-- n --></p><script>a<b&&c</script><table><tr><td>1<td>2</table></div><style>p>q</style>"
+    nodes = nodes_of(spark, PAGE, odd, "", None)
+    wanted = nodes.where("kind = 'element'").select("k", "node_id", "subtree_end", "tag", "outer_html")
+    found = {(r["k"], r["node_id"]): r["markup"] for r in html.markup(nodes, wanted, ["k"]).collect()}
+    assert len(found) == wanted.count()
+    for r in wanted.where("outer_html is not null").collect():
+        assert found[r["k"], r["node_id"]] == r["outer_html"]
+    for k, source in enumerate((PAGE, odd)):  # reading the markup again gives the same tree
+        page = next(found[k, i] for i in range(3) if (k, i) in found)
+        assert page.startswith("<html>") and [r[5:9] for r in html.rows(page)] == [r[5:9] for r in html.rows(source)]
+    assert "<script>a<b&&c</script>" in found[1, 1] or "<script>a<b&&c</script>" in page
 
 
 def test_implied_elements_and_intervals():
@@ -93,7 +127,18 @@ def test_any_namespace_and_last_context(spark):
 
 def test_pay_ratio_and_headcount(spark):
     src = "<div><p><b>CEO Pay Ratio</b></p><p>The pay of our CEO was $74,609,802 and of the median employee $114,738.</p><p>As of December 31, 2024 we had 12,345 full-time employees</p></div>"
-    nodes = nodes_of(spark, src, "<p>nothing</p>")
-    ratio = sec.pay_ratios(nodes, ["k"]).collect()
-    assert [(r["k"], r["ratio"]["ceo"], r["ratio"]["median"]) for r in ratio] == [(0, 74609802.0, 114738.0)]
-    assert [(r["k"], r["employees"]) for r in sec.headcounts(nodes, ["k"]).collect()] == [(0, 12345)]
+    found = sec.of_documents(spark.createDataFrame([(0, src), (1, "<p>nothing</p>"), (2, None)], "k int, h string"), ["k"], "h").orderBy("k").collect()
+    assert [[(x["ratio"]["ceo"], x["ratio"]["median"]) for x in r["ratios"]] for r in found] == [[(74609802.0, 114738.0)], [], []]
+    assert [[x["employees"] for x in r["employees"]] for r in found] == [[12345], [], []] and all(r["buybacks"] is None for r in found)
+
+
+def test_facts_of_organisations(spark):
+    fact = lambda name, v, end: f'<xbrli:context id="c"><xbrli:entity><xbrli:segment><x:y scheme="zz"></x:y></xbrli:segment><xbrli:identifier scheme="s">7</xbrli:identifier></xbrli:entity><xbrli:period><xbrli:endDate>{end}</xbrli:endDate></xbrli:period></xbrli:context><ix:nonFraction name="{name}" contextRef="c">{v}</ix:nonFraction>'
+    net, back = sec.CONCEPTS["net_income_loss"], sec.CONCEPTS["buybacks"]
+    table = "<table><tr><td>Name</td><td>Salary</td><td>$1</td></tr></table>"
+    rows = [("1", 0, fact(net, 5, "2020-01-01") + table, "a"), ("1", 1, fact(net, 6, "2021-01-01") + fact(back, 9, "2021-06-01") + table + table, "b"), ("1", 2, None, "c"), ("2", 0, "<p>December: 1,500 employees", "d")]
+    names = spark.createDataFrame([("1", "T", "N")], "cik string, ticker string, company_name string")
+    found = {r["cik"]: r for r in sec.facts(spark.createDataFrame(rows, "cik string, doc_ord int, content string, form string"), names, tasks=2).collect()}
+    assert [x["content"] for x in found["1"]["net_income_loss"]] == ["6", "5"] and [x["content"] for x in found["1"]["buybacks"]] == ["9"] and found["1"]["cash"] is None
+    assert found["1"]["net_income_loss"][0]["context"]["entity"]["identifier"]["scheme"] == "s" and len(found["1"]["exec_compensation_html"]) == 3
+    assert [x["form"] for x in found["1"]["filings"]] == ["a", "b", "c"] and (found["2"]["employees_count"], found["2"]["company_name"], found["2"]["ceo_pay_ratio"]) == (1500, "", None)
