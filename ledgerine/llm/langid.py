@@ -1,12 +1,14 @@
 """Language ID by prediction by partial matching: per-language variable-order byte context trees under frozen statistics.
 
-Each language has the counts of every byte after every context of up to ``order`` bytes (PPM, escape method C, contexts without
-exclusion). The contexts of all languages form one tree; for each node the code length of each byte in each language is worked out
-once: from the longest context the language has seen, with its escape probabilities down to a uniform order -1. A text's
-code length is the sum over its bytes, so it is exact, does not depend on the batch, and takes one table look-up a byte.
+Each language has the counts of every byte after every context of up to ``order`` bytes (PPM, escape method C, with exclusion): a
+byte that a context has seen has its count over the context's total and number of different bytes; any other has the escape, that number
+over the same sum, times its probability in the next shorter context, in which bytes seen by the longer one do not count. Below the
+empty context all bytes not seen there are equal. The contexts of all languages form one tree; for each node the code length of each
+byte in each language is worked out once. A text's code length is the sum over its bytes, so it is exact, does not depend on
+the batch, and takes one table look-up a byte.
 
 Training reads at most ``sample_rows`` labelled rows a language (about; chosen by the hash of the id), which bounds the model of a
-language at any input size. Every language is learned. Languages are dealt to models of about ``MODEL_BYTES`` and ``TOGETHER``
+language at any input size by the different strings of ``order`` + 1 bytes in so many texts, however long: they go through the driver, those of ``TOGETHER`` languages at a time. Every language is learned. Languages are dealt to models of about ``MODEL_BYTES`` and ``TOGETHER``
 languages at most; with more than one model a task holds one at a time, so memory does not grow with the number of languages, but
 time and the disk for the models do. Bytes that no sampled text holds share one symbol.
 
@@ -32,6 +34,8 @@ SLICE = 500_000
 #: Languages of one model at most, and bytes of its costs (a language that needs more has a model of its own).
 TOGETHER = 16
 MODEL_BYTES = 48_000_000
+#: Contexts whose probabilities are worked out at once.
+NODES = 2048
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
@@ -164,34 +168,42 @@ def build(counts: pd.DataFrame, languages: list[str], order: int = 3) -> Model:
     size = len(kept) + 1
     symbol = np.full(256, size - 1, np.int16)
     symbol[kept] = np.arange(size - 1)
-    shared = max(1, 256 - len(kept))
+    shared = 256 - len(kept)
     parts = [symbol[(gram >> (8 * back)) & 255].astype(np.int64) for back in range(order, -1, -1)]
     L = len(languages)
-    # Order -1: uniform over the 256 bytes. Then order by order: p = (count + distinct * p of the shorter context) / (total + distinct).
-    uniform = np.full(size, 1 / 256)
-    uniform[-1] = shared / 256
-    base = np.broadcast_to(uniform[None, :, None], (1, size, L))
+    held = lower = longest = None  # of the order before: counts, probabilities behind an escape, contexts
     node_of = np.zeros(1, np.int64)  # contexts of the order so far, to nodes
-    probs = [None]
+    costs: list[np.ndarray] = []
     for k in range(order + 1):
         context = np.zeros(len(gram), np.int64)
         for p in parts[order - k : order]:
             context = context * size + p
         found, row = np.unique(context, return_inverse=True)
-        table = np.zeros((len(found), size, L))
-        np.add.at(table, (row, parts[order], lang), n)
-        total, distinct = table.sum(1, keepdims=True), (table > 0).sum(1, keepdims=True)
-        lower = base if k == 0 else probs[-1][node_of[found % size ** (k - 1)]]
-        with np.errstate(invalid="ignore"):
-            own = np.where(total > 0, (table + distinct * lower) / np.maximum(total + distinct, 1), lower)
-        if k == 0:
-            probs.append(own)
-            node_of = np.zeros(1, np.int64)
-            all_probs = [own]
-        elif k == order:
-            first = sum(len(x) for x in all_probs)
-            all_probs.append(own)
-            probs.append(np.concatenate(all_probs))
+        by_row = np.argsort(row, kind="stable")
+        ends = np.searchsorted(row[by_row], np.arange(len(found) + 1))
+        first = sum(len(x) for x in costs)
+        tables, escaped = [], []
+        for lo in range(0, len(found), NODES):
+            hi = min(lo + NODES, len(found))
+            own = by_row[ends[lo] : ends[hi]]
+            table = np.zeros((hi - lo, size, L))
+            np.add.at(table, (row[own] - lo, parts[order][own], lang[own]), n[own])
+            if k:
+                at = np.searchsorted(longest, found[lo:hi] % size ** (k - 1))
+                above, below = held[at], lower[at]
+            else:
+                alike = np.ones((1, size, 1))
+                alike[:, -1] = shared
+                above, below = np.zeros_like(table), alike / np.maximum(256 - (table > 0).sum(1, keepdims=True), 1)
+            known, behind = escapes(table, above, below)
+            with np.errstate(divide="ignore"):  # a symbol that no byte has
+                costs.append(-np.log2(known).astype(np.float32))
+            if k < order:
+                tables.append(table)
+                escaped.append(behind)
+        if k < order:
+            held, lower, longest = np.concatenate(tables), np.concatenate(escaped), found
+        if k == order:
             suffix = found % size ** (k - 1)
             own_rows = np.unique(suffix)
             # A context whose suffix is not seen stands at the suffix's node, one of the shared rows.
@@ -199,16 +211,27 @@ def build(counts: pd.DataFrame, languages: list[str], order: int = 3) -> Model:
             row_of[own_rows] = len(shorter) + np.arange(len(own_rows))
             node = np.repeat(np.concatenate([shorter, node_of[own_rows]])[:, None], size, axis=1)
             node[row_of[suffix], found // size ** (k - 1)] = first + np.arange(len(found))
-        else:
-            first = sum(len(x) for x in all_probs)
+        elif k:
             longer = np.tile(node_of, size)  # a context not seen stands at the node of its longest seen suffix
             longer[found] = first + np.arange(len(found))
             node_of = longer
-            all_probs.append(own)
-            probs.append(np.concatenate(all_probs))
-    cost = -np.log2(probs[-1])
-    cost[:, -1, :] += np.log2(shared)
-    return Model(languages, symbol, row_of.astype(np.int32), node.astype(np.int32), cost.astype(np.float32), order)
+    cost = np.concatenate(costs)
+    cost[:, -1, :] += np.float32(np.log2(max(1, shared)))
+    return Model(languages, symbol, row_of.astype(np.int32), node.astype(np.int32), cost, order)
+
+
+def escapes(table: np.ndarray, above: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities (node, symbol, language) in contexts with counts ``table``, and those behind an escape from them.
+
+    ``above``: counts in the contexts one byte shorter, which have seen all that the longer ones have; ``below``: probabilities behind an escape
+    from those. Behind an escape only symbols count that the longer context has not seen. A context that a language never meets escapes for sure.
+    """
+    seen = table > 0
+    total, distinct = table.sum(1, keepdims=True), seen.sum(1, keepdims=True)
+    rest = np.where(seen, 0, above)
+    total_rest, distinct_rest = rest.sum(1, keepdims=True), (rest > 0).sum(1, keepdims=True)
+    behind = np.where(above > 0, above / np.maximum(total_rest + distinct_rest, 1), np.where(total_rest > 0, distinct_rest / np.maximum(total_rest + distinct_rest, 1), 1) * below)
+    return np.where(seen, table / np.maximum(total + distinct, 1), np.where(total > 0, distinct / np.maximum(total + distinct, 1), 1) * behind), behind
 
 
 def _bits(model: Model, column: pa.Array) -> np.ndarray:

@@ -6,11 +6,12 @@ decisions to names without a rule of their own. In a component an explicit allow
 allowed. A page with a rule always keeps that rule's verdict.
 
 Links come from the pages (``<link rel=canonical>``, ``<meta http-equiv=refresh>``) and, if given, from a table of redirects
-(source, target). All such tags of a page count. Names are URLs without their fragment, with scheme and host in lower case and dot
-segments collapsed.
+(source, target). All such tags of a page count, but not what looks like one inside a comment, a script or another element of raw text,
+a template or the value of an attribute. Names are URLs without their fragment, with scheme and host in lower case and dot segments
+collapsed.
 
-Edge cases: a null URL or one without ``://`` has an empty host and path, fits no rule and is allowed; null html has no links; links to
-itself and null links are ignored; equal pages are separate rows; an empty table gives an empty result; extra columns are
+Edge cases: a null URL or one without ``://`` has an empty host and path, fits no rule, is the alias of nothing and is allowed, whatever
+its page or a redirect says; null html has no links; links to itself and null links are ignored; equal pages are separate rows; an empty table gives an empty result; extra columns are
 carried through, result names replace columns of the same name.
 """
 
@@ -93,15 +94,29 @@ def resolved(base: Column, link: Column) -> Column:
     )
 
 
+#: Comments, and elements whose content is no markup of the page; one that does not end goes on to the end.
+HIDDEN = r"(?is)<!--(?:-?>|.*?(?:--!?>|\z))|<(script|style|textarea|title|xmp|iframe|noembed|noframes|template)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>.*?(?:</\1\b[^>]*>|\z)"
+TAG = r"""(?i)<[a-z](?:"[^"]*"|'[^']*'|[^>"'])*+>"""
+#: Names of attributes with their values, which may hold what looks like others.
+ATTRIBUTE = r"""[^\s"'<>/=]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of the first attribute of a name in a tag; null without one."""
+    own = F.filter(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0)), lambda a: F.lower(F.regexp_extract(a, r"^[^\s=]+", 0)) == name)
+    value = F.regexp_extract(F.get(own, F.lit(0)), r"(?s)^[^=]*=\s*(.*)$", 1)
+    return F.when(value.rlike(r"""^["']"""), F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+
+
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(a, b): names that a page declares to be the same resource."""
-    value = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
-    tags = F.regexp_extract_all(F.col(html), F.lit(r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?[^"'>]*\bcanonical\b)[^>]*>"""), F.lit(0))
-    hrefs = F.transform(tags, lambda tag: F.concat(*[F.regexp_extract(tag, rf"(?is)\bhref{value}", i) for i in (1, 2, 3)]))
-    metas = F.regexp_extract_all(F.col(html), F.lit(r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*>"""), F.lit(0))
-    targets = F.transform(metas, lambda meta: F.regexp_extract(meta, r"""(?is)\burl\s*=\s*["']?([^"'>]+)""", 1))
-    seen = pages.where(F.col(url).isNotNull() & F.col(html).rlike(r"(?i)canonical|http-equiv"))
-    links = seen.select(F.col(url).alias("u"), F.explode(F.concat(hrefs, targets)).alias("l")).where("l <> ''")
+    seen = pages.where(F.contains(F.col(url), F.lit("://")) & F.col(html).rlike(r"(?i)canonical|http-equiv"))
+    tags = F.filter(F.regexp_extract_all(F.regexp_replace(F.col(html), HIDDEN, ""), F.lit(TAG), F.lit(0)), lambda t: t.rlike(r"(?i)^<(?:link|meta)\b"))
+    tag = seen.select(F.col(url).alias("u"), F.explode(tags).alias("t"))
+    rel = F.split(F.lower(F.btrim(attribute(F.col("t"), "rel"))), r"\s+")
+    canonical = F.when(F.col("t").rlike(r"(?i)^<link\b") & F.array_contains(rel, "canonical"), attribute(F.col("t"), "href"))
+    refresh = F.when(F.col("t").rlike(r"(?i)^<meta\b") & (F.lower(F.btrim(attribute(F.col("t"), "http-equiv"))) == "refresh"), F.regexp_extract(attribute(F.col("t"), "content"), r"""(?is)\burl\s*=\s*["']?([^"']+)""", 1))
+    links = tag.select("u", F.coalesce(canonical, refresh).alias("l")).where("l <> ''")
     return links.select(name_of(F.col("u")).alias("a"), name_of(resolved(F.col("u"), F.col("l"))).alias("b")).where("b is not null")
 
 
@@ -110,10 +125,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, red
     rules = RULES if rules is None else rules
     links = page_links(pages, url, html) if html else None
     if redirects is not None:
-        more = redirects.toDF("a", "b").select(name_of(F.col("a")).alias("a"), name_of(F.col("b")).alias("b"))
+        more = redirects.toDF("a", "b").where(F.contains("a", F.lit("://")) & F.contains("b", F.lit("://"))).select(name_of(F.col("a")).alias("a"), name_of(F.col("b")).alias("b"))
         links = more if links is None else links.unionByName(more)
     names = [n for n in pages.columns if n not in (html, "host", "path", "rule", "rule_verdict", "verdict", "inherited", "_name", "_found")]
-    out = with_rule(pages.select(*[F.col(f"`{n}`") for n in names]), url, rules).withColumn("_name", name_of(F.col(url)))
+    out = with_rule(pages.select(*[F.col(f"`{n}`") for n in names]), url, rules).withColumn("_name", F.when(F.contains(F.col(url), F.lit("://")), name_of(F.col(url))))
     if links is None:
         out = out.withColumn("_found", F.lit(None).cast("string"))
     else:

@@ -417,37 +417,91 @@ def test_url_aliases(spark):
     assert found == {i: "allow" if i in (5, 11) else "block" for i in range(1, 12)}
 
 
+def test_links_that_are_none(spark):
+    block, ok = '<link rel="canonical" href="http://a.com/de/1">', '<link rel="canonical" href="http://q.net/ok">'
+    hidden = [
+        f"<!-- {block} -->", f"<script>var x = '{block}';</script>", f"<STYLE a='>'>{block}</style >", f"<textarea>{block}</textarea>", f"<title>{block}</title>", f"<template>{block}</template>", f"<!-- <script> -->{ok}<!-- {block}",
+        f"<script>if (a < b) s = '<!-- ';{block}</script>{ok}", f"<a title='{block}'>x</a>", f"<script>{block}", '<link title="rel=canonical" href="http://a.com/de/1">', '<link rel="canonical-x" href="http://a.com/de/1">',
+        '<meta name=description content="http-equiv=refresh url=http://a.com/de/1">', '<linked rel=canonical href="http://a.com/de/1">', '<link rel=canonical data-href="http://a.com/de/1">', "<link rel=canonical href=''>", '<meta http-equiv="refresh" content="5">',
+    ]
+    shown = [
+        f"<!-->{block}", f"<!-- a --!>{block}", f"<script></script>{block}", f"<SCRIPT src='a>b'>x</sCript >{block}<script>", f"<a title=\"'\">{block}", "<link data-x='>' rel='next  CANONICAL' href = 'http://a.com/de/1'>", "<meta content='0;URL=\"http://a.com/de/1\"' http-equiv=Refresh />",
+        "<link href=http://a.com/de/1 href=http://q.net/ok rel=canonical>", f"<noscript>{block}</noscript>",
+    ]
+    rows = [(i, f"http://q.net/{i}", h) for i, h in enumerate(hidden + shown)] + [(100, "no-scheme", block), (101, None, block), (102, "http://q.net/102", '<link rel=canonical href="">'), (103, "x", block)]
+    moved = spark.createDataFrame([("no-scheme", "http://a.com/de/1"), ("http://a.com/de/1", "x"), ("x", "no-scheme")], "source string, target string")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r["verdict"] for r in urlfilter.judge(pages, redirects=moved).collect()}
+    assert [i for i in range(len(hidden)) if found[i] != "allow"] == [] and [i for i in range(len(hidden), len(hidden + shown)) if found[i] != "block"] == []
+    assert {found[i] for i in (100, 101, 102, 103)} == {"allow"}
+    long = "<p class='" + "x" * 300_000 + "'>" + "<b>y</b>" * 60_000 + "<!--" + "z" * 300_000 + "-->" + block + "<q " + "a" * 200_000 + ">"
+    assert urlfilter.judge(spark.createDataFrame([(1, "http://q.net/1", long)], "page_id long, url string, html string")).first()["verdict"] == "block"
+
+
 # Languages, pieces, media -------------------------------------------------------------------------------------------------
 
 
-def test_language_model_is_exact_ppm():
-    texts = ["abab\nacab", "abba", "zzz", ""]
-    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+def ppm(tables, context, symbol, gone=frozenset()):
+    """Textbook PPM, method C with exclusion, one symbol at a time. ``tables``: context to {symbol: count}."""
+    if context is None:
+        return 1 / (256 - len(gone))
+    shorter = context[1:] if context else None
+    counts = {s: c for s, c in tables.get(context, {}).items() if s not in gone}
+    if not counts:
+        return ppm(tables, shorter, symbol, gone)
+    whole = sum(counts.values()) + len(counts)
+    return counts[symbol] / whole if symbol in counts else len(counts) / whole * ppm(tables, shorter, symbol, gone | counts.keys())
+
+
+def tables_of(texts):
+    out = {}
+    for t in texts:
+        padded = b"\n\n\n" + t
+        for i in range(3, len(padded)):
+            for k in range(4):
+                to = out.setdefault(padded[i - k : i], {})
+                to[padded[i]] = to.get(padded[i], 0) + 1
+    return out
+
+
+@pytest.mark.parametrize("nodes", [2048, 3])
+def test_language_model_is_exact_ppm(nodes, monkeypatch):
     import pandas as pd
 
+    monkeypatch.setattr(langid, "NODES", nodes)
+    texts = [b"abab\nacab", b"abba", b"zzz", b""]
+    tables = tables_of(texts)
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
     g = langid.grams(data, offsets, 3)
     model = langid.build(pd.DataFrame({"lang": "x", "gram": g.astype(np.int64), "n": 1}), ["x"])
-
-    def p(context, symbol):
-        low = 1 / 256 if not context and context is not None else None
-        counts = {}
-        for t in texts:
-            padded = b"\n\n\n" + t.encode()
-            for i in range(3, len(padded)):
-                if padded[i - len(context) : i] == context:
-                    counts[padded[i]] = counts.get(padded[i], 0) + 1
-        low = 1 / 256 if not context else p(context[1:], symbol)
-        return (counts.get(symbol, 0) + len(counts) * low) / (sum(counts.values()) + len(counts)) if counts else low
-
-    probe = b"abzacq"
-    padded = b"\n\n\n" + probe
-    exact = -sum(np.log2(p(padded[i - 3 : i], padded[i])) for i in range(3, len(padded)))
-    assert model.bits(np.frombuffer(probe, np.uint8), np.array([0, len(probe)]))[0, 0] == pytest.approx(exact, rel=1e-5)
+    cost = lambda t: model.bits(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0, 0]
+    for probe in (b"abzacq", b"", b"\nq\n\xff", b"zzzz"):
+        padded = b"\n\n\n" + probe
+        assert cost(probe) == pytest.approx(-sum(np.log2(ppm(tables, padded[i - 3 : i], padded[i])) for i in range(3, len(padded))), rel=1e-5, abs=1e-6)
+    # After "ab", as the first bytes of a text, a byte that was seen there has its count over total and kinds, and no share of the escape.
+    seen = tables[b"\nab"]
+    for s in range(256):
+        p = 2.0 ** -(cost(b"ab" + bytes([s])) - cost(b"ab"))
+        if s in seen:
+            assert p == pytest.approx(seen[s] / (sum(seen.values()) + len(seen)), rel=1e-4)
+        else:
+            assert p == pytest.approx(ppm(tables, b"\nab", s), rel=1e-4)
+    every = [2.0 ** -(cost(b"ab" + bytes([s])) - cost(b"ab")) for s in range(256)]
+    assert sum(every) == pytest.approx(1, rel=1e-4) and sum(p for s, p in enumerate(every) if s not in seen) == pytest.approx(len(seen) / (sum(seen.values()) + len(seen)), rel=1e-4)
     long = np.frombuffer(b"abzac" * 100, np.uint8)
     whole = model.bits(long, np.array([0, len(long)]))
-    langid.SLICE, keep = 37, langid.SLICE
+    monkeypatch.setattr(langid, "SLICE", 37)
     assert langid._long(model, long)[0, 0] == pytest.approx(whole[0, 0], rel=1e-9)
-    langid.SLICE = keep
+
+
+def test_language_model_of_all_bytes():
+    import pandas as pd
+
+    text = np.arange(256, dtype=np.uint8)
+    model = langid.build(pd.DataFrame({"lang": "x", "gram": langid.grams(text, np.array([0, 256]), 3).astype(np.int64), "n": 1}), ["x"])
+    tables = tables_of([text.tobytes()])
+    exact = -sum(np.log2(ppm(tables, b"\n\n\n" + b"q" * i if i < 1 else (b"\n\n\n" + b"qqqq"[:i])[-3:], ord("q"))) for i in range(4))
+    assert model.bits(np.frombuffer(b"qqqq", np.uint8), np.array([0, 4]))[0, 0] == pytest.approx(exact, rel=1e-5)
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
@@ -467,25 +521,13 @@ def test_each_sampled_byte_has_its_symbol():
     texts = {"x": ["".join(map(chr, range(32, 256))), "жзи漢字 кий"], "y": ["жзк字漢 123 789 éàü", "".join(map(chr, range(0x3040, 0x3100)))]}
     frames, tables = [], {}
     for lang, own in texts.items():
-        padded = [b"\n\n\n" + t.encode() for t in own]
         data, offsets = np.frombuffer(b"".join(t.encode() for t in own), np.uint8), np.cumsum([0] + [len(t.encode()) for t in own])
         frames.append(pd.DataFrame({"lang": lang, "gram": langid.grams(data, offsets, 3).astype(np.int64), "n": 1}))
-        tables[lang] = {}
-        for t in padded:
-            for i in range(3, len(t)):
-                for k in range(4):
-                    to = tables[lang].setdefault(t[i - k : i], {})
-                    to[t[i]] = to.get(t[i], 0) + 1
-
-    def p(lang, context, symbol):
-        low = p(lang, context[1:], symbol) if context else 1 / 256
-        counts = tables[lang].get(context)
-        return (counts.get(symbol, 0) + len(counts) * low) / (sum(counts.values()) + len(counts)) if counts else low
-
+        tables[lang] = tables_of([t.encode() for t in own])
     model = langid.build(pd.concat(frames), ["x", "y"])
     for text in ("жзи 字漢 897 ÿéà ひら", "abc\n\x01漢", "Ωx"):
         padded = b"\n\n\n" + text.encode()
-        exact = [-sum(np.log2(p(lang, padded[i - 3 : i], padded[i])) for i in range(3, len(padded))) for lang in ("x", "y")]
+        exact = [-sum(np.log2(ppm(tables[lang], padded[i - 3 : i], padded[i])) for i in range(3, len(padded))) for lang in ("x", "y")]
         data = np.frombuffer(text.encode(), np.uint8)
         assert model.bits(data, np.array([0, len(data)]))[0].tolist() == pytest.approx(exact, rel=1e-5)
     assert len(set(model.symbol.tolist())) > 150
