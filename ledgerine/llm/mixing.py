@@ -29,9 +29,7 @@ DIGITS = 13
 
 def words_in(text: Column) -> Column:
     """Stretches without space, tab, line feed, vertical tab, form feed or return; a null text has none."""
-    ends = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     "), " +", " ")
-    flat = F.btrim(ends)
-    return F.when(flat == "", F.lit(0)).otherwise(F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit(""))) + 1).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^ \t-\r]+")).cast("long")
 
 
 def draw(seed: int, *values: Column) -> Column:
