@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .filings import first_by
+from .store import LETTERS, Store, first_letters
 
 K1, B = 1.2, 0.75
 
@@ -37,6 +38,13 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(folded(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def query_words(query: str) -> list[str]:
+    """The same as ``tokens``, for the words of one query."""
+    bare = unicodedata.normalize("NFC", query).lower().translate(str.maketrans(*marked_letters()))
+    kept = "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in bare if unicodedata.category(c) != "Mn")
+    return kept.split()
+
+
 def postings(corpus: DataFrame) -> DataFrame:
     """(term, path, title, source_type, f, length): all three columns are indexed."""
     words = F.concat(tokens(F.col("title")), tokens(F.col("path")), tokens(F.col("source_type")))
@@ -59,7 +67,7 @@ def search(index: DataFrame, corpus_size: DataFrame, query: str, limit: str | in
     ``corpus_size``: one row (n, mean_length). A blank query finds nothing.
     """
     spark = index.sparkSession
-    words = spark.range(1).select(tokens(F.lit(query)).alias("w")).first()["w"]
+    words = query_words(query)
     empty = spark.createDataFrame([], "title string, path string, score double")
     if not words:
         return empty
@@ -79,3 +87,40 @@ def search(index: DataFrame, corpus_size: DataFrame, query: str, limit: str | in
 def size_of(corpus: DataFrame) -> DataFrame:
     words = F.size(tokens(F.col("title"))) + F.size(tokens(F.col("path"))) + F.size(tokens(F.col("source_type")))
     return corpus.agg(F.count("*").alias("n"), F.avg(words).alias("mean_length"))
+
+
+class Index:
+    """Postings kept in files by the first two characters of their term, in tables of a store that grow by appends.
+
+    A query reads the files of its words alone, those of a prefix of one character all that begin with it. Frequencies are those of the
+    whole corpus, as all postings of a term stand in its files; so the ranking is that of an index made in one go.
+    """
+
+    def __init__(self, store: Store):
+        self.store = store
+
+    def add(self, corpus: DataFrame, batch: tuple[str, int] | None = None) -> None:
+        """Adds organisations that are not there yet; a numbered batch that comes again adds nothing."""
+        self.store.append("postings", postings(corpus), batch)
+        size = F.size(tokens(F.col("title"))) + F.size(tokens(F.col("path"))) + F.size(tokens(F.col("source_type")))
+        self.store.append("corpus_size", corpus.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("words")), batch)
+
+    def clear(self) -> None:
+        self.store.clear("postings")
+        self.store.clear("corpus_size")
+
+    def postings_of(self, words: list[str]) -> DataFrame | None:
+        """Rows of the files in which the postings of the words stand, the last one as a prefix."""
+        heads = [first_letters(w) for w in words[:-1]]
+        last = first_letters(words[-1])
+        wide = len(words[-1]) < LETTERS
+        return self.store.rows_where("postings", lambda cell: cell in heads or (cell.startswith(last) if wide else cell == last))
+
+    def search(self, query: str, limit: str | int | None = None) -> DataFrame:
+        """As ``search``: (title, path, score)."""
+        words = query_words(query)
+        found, sizes = self.postings_of(words) if words else None, self.store.read("corpus_size")
+        if found is None or sizes is None:
+            return self.store.spark.createDataFrame([], "title string, path string, score double")
+        size = sizes.agg(F.sum("n").alias("n"), (F.sum("words") / F.sum("n")).alias("mean_length"))
+        return search(found, size, query, limit)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
@@ -16,8 +17,15 @@ from ..functions.identity import facts_key
 #: The two unique keys of filings.
 FILING_KEYS = (["accession_number"], ["cik", "form_name"])
 #: The five tables and the columns of their keys; a row replaces those that agree in any of them.
-TABLES: dict[str, tuple[list[str], ...]] = {"submissions": (["cik"],), "filings": FILING_KEYS, "facts": (["id"],), "irs_returns": (["ein"],), "search_cache": ()}
+TABLES: dict[str, tuple[list[str], ...]] = {"submissions": (["cik"],), "filings": FILING_KEYS, "facts": (["id"],), "irs_returns": (["ein"],), "search_cache": (), "postings": (), "corpus_size": ()}
 MAX_AGE_DAYS = 30
+#: Characters of a term by which its postings are put into files.
+LETTERS = 2
+
+
+def first_letters(term: str) -> str:
+    """The bucket of a term: its first characters in hexadecimal digits."""
+    return term[:LETTERS].encode().hex().upper()
 
 
 def last_wins(batch: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -136,6 +144,8 @@ class Store:
         out.close()
 
     def _buckets(self, table: str, n: int) -> dict[str, Column]:
+        if table == "postings":
+            return {"bucket_0": F.hex(F.encode(F.substring("term", 1, LETTERS), "UTF-8"))}
         return {f"bucket_{i}": F.pmod(F.xxhash64(*key), F.lit(n)).cast("int") for i, key in enumerate(TABLES[table])} or {"bucket_0": F.lit(0)}
 
     def _put(self, table: str, df: DataFrame, n: int) -> dict[str, list[str]]:
@@ -224,6 +234,11 @@ class Store:
             fs, path = self._path(table, folder)
             fs.delete(path, True)
 
+    def rows_where(self, table: str, wanted: Callable[[str], bool]) -> DataFrame | None:
+        """Rows of the last version in the buckets whose name is wanted; None without a version."""
+        version = self._last(table)[1]
+        return None if version is None else self._rows(table, version, [c for c in version["buckets"] if wanted(c)])
+
     def _lookup(self, table: str, which: int, values: list[str]) -> DataFrame | None:
         """Rows of a key, from its bucket alone."""
         version = self._last(table)[1]

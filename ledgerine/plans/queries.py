@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import formatting, identity, numbers
 from ..operators import extract, filings, html, ixbrl, search, store
+from ..operators.order import placed
 from ..schemas import return_schema
-from ..sources import readers
+from ..session import scratch_path
+from ..sources import catalogue, ranged, readers
 from . import irs, report, sec, service
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,6 +140,41 @@ def irs_zip_path(spark: SparkSession, sf: str) -> DataFrame:
     return _index(spark, sf).select(F.col("row_ord").alias("o_orderkey"), identity.archive_name(F.col("XML_BATCH_ID")).alias("archive"), identity.archive_member(F.col("XML_BATCH_ID"), F.col("OBJECT_ID")).alias("member"))
 
 
+@query("""
+select o_orderkey, case when o_orderkey % 10 < 9 then o_custkey end as employees, case when o_orderkey % 10 = 9 then 'no such member' end as error from orders""")
+def irs_archive_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Returns are written into archives of a folder, then read member by member; every tenth is asked for and not there."""
+    xml = _str("<Return><ReturnHeader><ReturnTypeCd>990</ReturnTypeCd></ReturnHeader><ReturnData><IRS990><TotalEmployeeCnt>", F.col("o_custkey"), "</TotalEmployeeCnt></IRS990></ReturnData></Return>")
+    named = _t(spark, sf, "orders").select("o_orderkey", identity.archive_name(_str("b", F.col("o_orderkey") % 7)).alias("archive"), identity.archive_member(_str("b", F.col("o_orderkey") % 7), F.col("o_orderkey").cast("string")).alias("member"), xml.alias("content"))
+    folder = scratch_path(spark)
+    ranged.write_archives(named.where("o_orderkey % 10 < 9"), folder)
+    found = ranged.members(named, F.concat(F.lit(f"{folder}/"), "archive"), F.col("member"), ["o_orderkey"])
+    parsed = readers.parsed_returns(found.select("o_orderkey", F.decode("content", "UTF-8").alias("xml"), F.col("error").alias("missing")))
+    return parsed.select("o_orderkey", F.col("return.ReturnData.IRS990.TotalEmployeeCnt").alias("employees"), F.col("missing").alias("error"))
+
+
+@query("select 'BATCH' || (o_orderkey % 7) || '.zip' as archive, count(*) as members, cast(sum(length(cast(o_orderkey as varchar))) as bigint) as size from orders group by 1")
+def archive_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """Archives of a folder by stripes of their bytes; members are listed without being read."""
+    folder = scratch_path(spark)
+    rows = _index(spark, sf).select(identity.archive_name(F.col("XML_BATCH_ID")).alias("archive"), F.col("OBJECT_ID").alias("member"), F.col("RETURN_ID").alias("content"))
+    ranged.write_archives(rows, folder)
+    listed = ranged.read_archives(spark, folder, stripeBytes="100000", content="false")
+    return listed.groupBy(F.regexp_extract("archive", r"([^/]+)$", 1).alias("archive")).agg(F.count("*").alias("members"), F.sum("size").alias("size"))
+
+
+@query("""
+select 'E' || o_custkey as "EIN", arg_min('R' || o_orderkey, 1000000000 * (o_orderkey % 5) - o_orderkey) as "RETURN_ID", arg_min(case o_orderstatus when 'F' then '990' else '990EZ' end, 1000000000 * (o_orderkey % 5) - o_orderkey) as "RETURN_TYPE"
+from orders where o_orderstatus in ('F', 'O') group by 1""")
+def irs_first_return(spark: SparkSession, sf: str) -> DataFrame:
+    """The first supported return of each EIN in an index of five files, in each of which keys fall."""
+    folder = scratch_path(spark)
+    rows = _index(spark, sf).withColumn("RETURN_ID", _str("R", F.col("row_ord"))).withColumn("part", F.col("row_ord") % 5)
+    rows.repartition("part").sortWithinPartitions("part", F.desc("row_ord")).drop("row_ord").write.partitionBy("part").option("header", True).csv(folder)
+    index = readers.return_index(spark, folder)
+    return filings.first_by(index, ["EIN"], F.col("row_ord"), filings.supported(F.col("RETURN_TYPE"))).select("EIN", "RETURN_ID", "RETURN_TYPE")
+
+
 @query("""
 select o_orderkey, case when o_orderkey % 5 = 0 then '' else strftime(o_orderdate::date - 365, '%Y-%m-%d') end as start_date,
   case when o_orderkey % 5 = 0 then '' else strftime(o_orderdate::date - 1, '%Y-%m-%d') end as end_date from orders""")
@@ -303,6 +340,21 @@ def irs_schedules(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("""
+with n as (select count(*) as n, count(*) filter (where o_orderkey % 2 = 0) as even from orders), p(path, every, many, repeated, kind) as (values
+  ('ReturnHeader', true, 1, false, null), ('ReturnHeader.ReturnTypeCd', true, 1, false, 'string'), ('ReturnData', true, 1, false, null), ('ReturnData.IRS990', true, 1, false, null),
+  ('ReturnData.IRS990.TotalEmployeeCnt', true, 1, false, 'bigint'), ('ReturnData.IRS990ScheduleA', false, 1, false, null), ('ReturnData.IRS990ScheduleA.PublicSupportCY170Pct', false, 1, false, 'double'),
+  ('ReturnData.IRS990ScheduleO', true, 1, false, null), ('ReturnData.IRS990ScheduleO._documentId', true, 1, false, 'string'), ('ReturnData.IRS990ScheduleO.Note', true, 2, true, null), ('ReturnData.IRS990ScheduleO.Note.ExplanationTxt', true, 2, false, 'string'))
+select path, case when every then n else even end as returns, many * case when every then n else even end as values, repeated, kind from p, n where every or even > 0""")
+def irs_catalogue(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths, types and repetition of all elements of the returns; schedule A is in every other one."""
+    k = F.col("o_orderkey")
+    note = _str("<Note><ExplanationTxt>", F.col("o_orderpriority"), "</ExplanationTxt></Note>")
+    a = F.when(k % 2 == 0, _str("<IRS990ScheduleA><PublicSupportCY170Pct>0.", k, "</PublicSupportCY170Pct></IRS990ScheduleA>")).otherwise("")
+    xml = _str("<Return><ReturnHeader><ReturnTypeCd>990</ReturnTypeCd></ReturnHeader><ReturnData><IRS990><TotalEmployeeCnt>", F.col("o_custkey"), "</TotalEmployeeCnt></IRS990>", a, '<IRS990ScheduleO documentId="', k, '">', note, note, "</IRS990ScheduleO></ReturnData></Return>")
+    return catalogue.catalogue(_t(spark, sf, "orders").select(xml.alias("xml")))
+
+
 @query()
 def html_leaf_text(spark: SparkSession, sf: str) -> DataFrame:
     nodes = html.parse_html(_t(spark, sf, "pages"), ["page_id"], "html", _tasks(spark))
@@ -456,6 +508,19 @@ def html_markup(spark: SparkSession, sf: str) -> DataFrame:
 # Store -----------------------------------------------------------------------------------------------------------------
 
 
+@query("""
+with e as (select event_id, cast(user_id as varchar) as id, event_type from events), n as (select * from e where event_id % 5 = 0), o as (select * from e where event_id % 2 = 0 and id not in (select id from n))
+select id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type from (select * from n union all select * from o) group by 1""")
+def store_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """The same through a store on files: two batches of upserts, the last one twice, then all buckets read back."""
+    e = _t(spark, sf, "events").select(F.col("user_id").cast("string").alias("id"), "event_id", "event_type")
+    kept_ = store.Store(spark, scratch_path(spark))
+    kept_.store("facts", e.where("event_id % 2 = 0"), F.col("event_id"), ("batches", 0))
+    for _ in range(2):
+        kept_.store("facts", e.where("event_id % 5 = 0"), F.col("event_id"), ("batches", 1))
+    return kept_.read("facts")
+
+
 @query("""
 with n as (select * from events where event_id % 5 = 0), o as (select * from events where event_id % 2 = 0 and user_id not in (select user_id from n))
 select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type from (select * from n union all select * from o) group by 1""")
@@ -488,14 +553,14 @@ def facts_staleness(spark: SparkSession, sf: str) -> DataFrame:
     return store.stale(ids, table, "user_id", F.col("now"), 10)
 
 
-@query("select cast(s_suppkey as varchar) as id from supplier where s_nationkey % 2 = 0")
+@query("select cast(s_suppkey as varchar) as id, row_number() over (order by s_name, cast(s_suppkey as varchar)) - 1 as place from supplier where s_nationkey % 2 = 0")
 def list_sec_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return store.ids_of(_facts_table(spark, sf), "SEC")
+    return placed(store.ids_of(_facts_table(spark, sf), "SEC"))
 
 
-@query("select cast(s_suppkey as varchar) as id from supplier where s_nationkey % 2 = 1")
+@query("select cast(s_suppkey as varchar) as id, row_number() over (order by s_name, cast(s_suppkey as varchar)) - 1 as place from supplier where s_nationkey % 2 = 1")
 def list_irs_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return store.ids_of(_facts_table(spark, sf), "IRS")
+    return placed(store.ids_of(_facts_table(spark, sf), "IRS"))
 
 
 def _facts_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -514,9 +579,9 @@ def list_ciks(spark: SparkSession, sf: str) -> DataFrame:
     return store.ciks(filings.filing_rows(_submissions(spark, sf)))
 
 
-@query("select '0001-24-' || o_orderkey as accession_number, strftime(o_orderdate, '%Y-%m-%d') as filing_date from orders where o_custkey = 7")
+@query("select '0001-24-' || o_orderkey as accession_number, strftime(o_orderdate, '%Y-%m-%d') as filing_date, row_number() over (order by strftime(o_orderdate, '%Y-%m-%d') desc, '0001-24-' || o_orderkey) - 1 as place from orders where o_custkey = 7")
 def list_filings_desc(spark: SparkSession, sf: str) -> DataFrame:
-    return store.filings_of(filings.filing_rows(_submissions(spark, sf)), "7").select("accession_number", "filing_date")
+    return placed(store.filings_of(filings.filing_rows(_submissions(spark, sf)), "7").select("accession_number", "filing_date"))
 
 
 # Search and report -------------------------------------------------------------------------------------------------------
@@ -553,6 +618,19 @@ def search_prefix_topk(spark: SparkSession, sf: str) -> DataFrame:
     return search.search(search.postings(corpus), search.size_of(corpus), "Org ur", 25).select("title", "path", F.round("score", 9).alias("score"))
 
 
+_TOPK = SQL["search_prefix_topk"]
+
+
+@query(_TOPK)
+def search_index_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from a stored index that three appends have filled, one of them twice."""
+    corpus, index = _organizations(spark, sf), search.Index(store.Store(spark, scratch_path(spark)))
+    share = F.pmod(F.xxhash64("path"), F.lit(3))
+    for i in (0, 1, 1, 2):
+        index.add(corpus.where(share == i), ("shares", i))
+    return index.search("Org ur", 25).select("title", "path", F.round("score", 9).alias("score"))
+
+
 @query("""
 select c_custkey, case when c_acctbal < 0 and c_acctbal >= -0.5 then '$-0' else '$' || format('{:,}', cast(round_even(c_acctbal, 0) as bigint)) end as money, format('{:,}', c_custkey * 1000) as n,
   case when c_nationkey = 0 then 'N/A' else cast(cast(round_even(c_custkey / c_nationkey, 0) as bigint) as varchar) end as quotient from customer""")

@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from ledgerine import schemas
 from ledgerine.functions import numbers
-from ledgerine.operators import filings, search, store
+from ledgerine.operators import filings, order, search, store
 from ledgerine.plans import irs
-from ledgerine.sources import readers
+from ledgerine.sources import catalogue, readers
 
 
 def value(spark, column):
@@ -84,6 +84,57 @@ def test_fields_of_a_return():
             schemas.return_schema([wrong])
 
 
+def test_catalogue_of_returns(spark):
+    one = '<Return xmlns="urn:x"><ReturnHeader><ReturnTypeCd>990</ReturnTypeCd><Filer><EIN>012</EIN></Filer></ReturnHeader><ReturnData><IRS990><TotalEmployeeCnt>3</TotalEmployeeCnt><A>1</A></IRS990><IRS990ScheduleH documentId="d"><CostPct>1.5</CostPct><P><Nm>x</Nm><Amt>7</Amt></P><P><Nm>y</Nm><Amt>8</Amt></P></IRS990ScheduleH></ReturnData></Return>'
+    two = "<Return><ReturnHeader/><ReturnData><IRS990><A>z</A></IRS990><IRS990ScheduleH><CostPct>2</CostPct><P><Amt/></P></IRS990ScheduleH></ReturnData></Return>"
+    rows = spark.createDataFrame([(one,), (two,), (None,), ("<no",)], "xml string")
+    found = {r["path"]: (r["returns"], r["values"], r["repeated"], r["kind"]) for r in catalogue.catalogue(rows).collect()}
+    assert found["ReturnData.IRS990ScheduleH.P.Amt"] == (2, 3, False, "bigint") and found["ReturnData.IRS990ScheduleH.P"] == (2, 3, True, None)
+    assert found["ReturnData.IRS990.A"][3] == "string" and found["ReturnHeader.Filer.EIN"][3] == "string" and found["ReturnData.IRS990ScheduleH.CostPct"][3] == "double"
+    known = catalogue.Catalogue(catalogue.catalogue(rows).collect())
+    assert known.resolve("IRS990ScheduleH.P.*", "IRS990ScheduleH._documentId") == ["IRS990ScheduleH.P[].Amt bigint", "IRS990ScheduleH.P[].Nm string", "IRS990ScheduleH._documentId string"]
+    assert known.resolve("**.*Pct", "ReturnHeader.Filer.E*") == ["IRS990ScheduleH.CostPct double", "ReturnHeader.Filer.EIN string"]
+    for wrong in ("IRS990ScheduleH.P.Amount", "IRS990ScheduleX.**", "IRS990ScheduleH.P", "ReturnHeader.Nothing"):
+        with pytest.raises(ValueError, match="no return has"):
+            known.resolve(wrong)
+    with pytest.raises(ValueError, match=r"near are .*ScheduleH\.P\.Amt"):
+        known.resolve("IRS990ScheduleH.P.Amnt")
+    parsed = readers.parsed_returns(rows, "xml", known.schema("IRS990ScheduleH.**")).where("error is null").collect()
+    assert [[(p["Nm"], p["Amt"]) for p in r["return"]["ReturnData"]["IRS990ScheduleH"]["P"]] for r in parsed] == [[("x", 7), ("y", 8)]]
+    assert catalogue.catalogue(rows.limit(0)).count() == 0
+
+
+def test_stored_index(spark, tmp_path):
+    words = ["york", "yorkshire", "new", "newark", "times", "times", "org", "\u017du\u0165", "\u6f22\u5b57", "a", "ab", "abc"]
+    corpus = spark.createDataFrame([(f"{words[i % 12]} {words[i * 7 % 11]} {words[i % 5]}", f"/ein/{i}", "IRS") for i in range(300)], "title string, path string, source_type string")
+    index = search.Index(store.Store(spark, str(tmp_path)))
+    assert index.search("york").count() == 0
+    for lo in (0, 100, 100, 200):
+        index.add(corpus.where(F.substring("path", 6, 9).cast("int").between(lo, lo + 99)), ("x", lo))
+    rows, size = search.postings(corpus), search.size_of(corpus)
+    for q in ("york", "new y", "times newar", "\u017dut", "\u6f22", "a", "ab", "org zzz", "ein 7", "", "y", "IRS t"):
+        plain = lambda found: [(r["path"], round(r["score"], 9)) for r in found.collect()]
+        assert plain(index.search(q, 50)) == plain(search.search(rows, size, q, 50)), q
+    read = index.postings_of(["times", "york"])
+    assert {r["t"][:2] for r in read.select(F.col("term").alias("t")).distinct().collect()} == {"ti", "yo"}
+    every = {p.rsplit("/", 2)[1] for p in index.store.read("postings").inputFiles()}
+    assert len({p.rsplit("/", 2)[1] for p in read.inputFiles()}) == 2 < len(every)
+    index.clear()
+    assert index.search("york").count() == 0
+
+
+def test_words_of_a_query(spark):
+    texts = ["New York", "Caf\u00e9-Yorkshire 12", "Cafe\u0301 Vi\u1ec7t", "\u0141\u00d3D\u0179", "a.b_c", " \u00a0\u6f22\u5b57 ", "", "\u1f08\u03b8\u1fc6\u03bd\u03b1\u03b9", "x\u00b2 \u0664"]
+    found = [r["t"] for r in spark.createDataFrame([(t,) for t in texts], "s string").select(search.tokens(F.col("s")).alias("t")).collect()]
+    assert [search.query_words(t) for t in texts] == found
+
+
+def test_places_of_sorted_rows(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("v")).repartition(6)
+    assert [r["place"] for r in order.placed(rows.orderBy("v")).orderBy("v").collect()] == list(range(1000))
+    assert order.placed(rows.limit(0)).count() == 0
+
+
 def test_search(spark):
     corpus = spark.createDataFrame([("New York Times", "/ticker/NYT", "SEC"), ("York New", "/ticker/YN", "SEC"), ("Café Yorkshire New", "/ein/1", "IRS"), ("Other", "/ein/2", "IRS")], "title string, path string, source_type string")
     find = lambda q, k=None: [r["path"] for r in search.search(search.postings(corpus), search.size_of(corpus), q, k).collect()]
