@@ -16,8 +16,8 @@ from ..functions.identity import facts_key
 
 #: The two unique keys of filings.
 FILING_KEYS = (["accession_number"], ["cik", "form_name"])
-#: The five tables and the columns of their keys; a row replaces those that agree in any of them.
-TABLES: dict[str, tuple[list[str], ...]] = {"submissions": (["cik"],), "filings": FILING_KEYS, "facts": (["id"],), "irs_returns": (["ein"],), "search_cache": (), "postings": (), "corpus_size": ()}
+#: The tables and the columns of their keys; a row replaces those that agree in any of them.
+TABLES: dict[str, tuple[list[str], ...]] = {"submissions": (["cik"],), "filings": FILING_KEYS, "facts": (["id"],), "irs_returns": (["ein"],), "answers": (["url"],), "search_cache": (), "postings": (), "corpus_size": ()}
 MAX_AGE_DAYS = 30
 #: Characters of a term by which its postings are put into files.
 LETTERS = 2
