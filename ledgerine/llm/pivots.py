@@ -1,8 +1,9 @@
 """Embedding near-dedup by a pivot-permutation index.
 
-Every vector is described by its nearest pivots in order of nearness. The inverted lists hold, for each label and each ``shared`` pivots
-among a vector's ``nearest`` ones, the vectors that have them all; two vectors meet in a list exactly if at least ``shared`` of their
-pivots agree, and a pair that meets in several lists counts in one: that of its first shared pivots.
+Every vector is described by its nearest pivots in order of nearness. Two vectors share a pivot if it is among the ``nearest`` of both, at
+places ``slack`` apart at most. The inverted lists hold, for each label and each ``shared`` pivots among a vector's ``nearest`` ones, the vectors that
+have them all, with their order; a pair is retrieved exactly if at least ``shared`` pivots are shared, and one that meets in several lists
+counts in one: that of its first shared pivots.
 
 Retrieval takes two passes. The first carries, instead of vectors, the permutation and a sketch of a few bytes: the angles to the
 first ``SKETCH`` pivots. Two angles to one point differ by no more than the angle between the vectors, so a pair whose sketches
@@ -103,24 +104,36 @@ def _permute(pivots: dict[int, np.ndarray], nearest: int, shared: int):
     return run
 
 
-def canonical(perms: np.ndarray, key: int, k: int) -> np.ndarray:
-    """Pairs (i, j) of one list for which it is the list of their first k shared pivots: no other shared one comes before the last."""
+def band(places: int, slack: int) -> np.ndarray:
+    """Whether two places of an order are near enough for a pivot to be shared."""
+    at = np.arange(places)
+    return np.abs(at[:, None] - at[None, :]) <= slack
+
+
+def canonical(perms: np.ndarray, key: int, k: int, slack: int) -> np.ndarray:
+    """Pairs (i, j) of one list for which it is the list of their first k shared pivots: these are shared, and no other shared one comes before the last."""
     own = [key >> (16 * i) & 0xFFFF for i in range(k)]
+    near = band(perms.shape[1], slack).astype(np.float32)
+
+    def shares(pivots: np.ndarray) -> np.ndarray:
+        """How many of the pivots each pair shares."""
+        at = (perms[:, None, :] == pivots[None, :, None]).astype(np.float32)  # row, pivot, place
+        return at.reshape(len(perms), -1) @ (at @ near).reshape(len(perms), -1).T
+
     early = np.array([x for x in np.unique(perms[perms < own[-1]]) if x not in own], perms.dtype)
-    if not len(early):
-        return np.ones((len(perms), len(perms)), bool)
-    has = (perms[:, :, None] == early).any(1).astype(np.float32)
-    return has @ has.T == 0
+    out = shares(np.array(own, perms.dtype)) == k
+    return out & (shares(early) == 0) if len(early) else out
 
 
-def first_shared(x: np.ndarray, y: np.ndarray, code: np.ndarray, k: int) -> np.ndarray:
+def first_shared(x: np.ndarray, y: np.ndarray, code: np.ndarray, k: int, slack: int) -> np.ndarray:
     """The same for pairs of rows of permutations and the code of each pair's list."""
     own = np.stack([code >> (16 * i) & 0xFFFF for i in range(k)], axis=1)
-    shared = (x[:, :, None] == y[:, None, :]).any(2)
-    return ~(shared & (x < own[:, -1:]) & ~(x[:, :, None] == own[:, None, :]).any(2)).any(1)
+    shared = ((x[:, :, None] == y[:, None, :]) & band(x.shape[1], slack)).any(2)
+    mine = (x[:, :, None] == own[:, None, :]).any(2)
+    return ((shared & mine).sum(1) == k) & ~(shared & (x < own[:, -1:]) & ~mine).any(1)
 
 
-def _prune(gap: int, shared: int):
+def _prune(gap: int, shared: int, slack: int):
     """The entries of lists that keep a partner: sketches differ by ``gap`` steps at most everywhere, and the list is the pair's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +154,7 @@ def _prune(gap: int, shared: int):
                     near = i[whole[rows[i]] | (side[rows[i]] != side[rows[np.minimum(i + step, len(rows) - 1)]])]
                     for lo in range(0, sketch.shape[1], 8):  # most pairs differ in the first angles
                         near = near[(np.abs(sketch[near, lo : lo + 8] - sketch[near + step, lo : lo + 8]) <= gap).all(1)]
-                    near = near[first_shared(perms[near], perms[near + step], own[near], min(shared, perms.shape[1]))]
+                    near = near[first_shared(perms[near], perms[near + step], own[near], min(shared, perms.shape[1]), slack)]
                     keep[rows[near]] = keep[rows[near + step]] = True
             at = np.flatnonzero(keep)
             names = table["digest"].take(pa.array(at)).combine_chunks()
@@ -150,7 +163,7 @@ def _prune(gap: int, shared: int):
     return run
 
 
-def _verify(least: float, shared: int):
+def _verify(least: float, shared: int, slack: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_cell(batches):
             start, names, m = bounds(table), table["digest"].to_pylist(), table["m"].to_numpy()
@@ -168,7 +181,7 @@ def _verify(least: float, shared: int):
                 if not near.any():
                     continue
                 perms = np.frombuffer(b"".join(perm[lo:hi]), np.int16).reshape(hi - lo, -1)
-                near &= canonical(perms, int(code[lo]), min(shared, perms.shape[1]))
+                near &= canonical(perms, int(code[lo]), min(shared, perms.shape[1]), slack)
                 count = near @ m[lo:hi]
                 i, j = np.nonzero(np.triu(near))
                 forest = Forest(hi - lo)
@@ -198,7 +211,7 @@ def listed(spots: DataFrame, block: int, *columns: str) -> DataFrame:
     return in_cells(cells.select("cell", "side", "whole", "digest", "code", *columns))
 
 
-def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, pivots: int | None = None, nearest: int = 6, shared: int = 2, block: int = 256) -> DataFrame:
+def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, pivots: int | None = None, nearest: int = 6, shared: int = 2, slack: int = 3, block: int = 256) -> DataFrame:
     """vec_id, n_links, component_id, kept: a row for each row of ``table``."""
     given = table.select(known_id(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = written(given.mapInArrow(tidy(_clean), "id long, label string, vector binary, digest binary"))
@@ -216,9 +229,9 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     index = written(index)
     spots = listed(index.select(*OF, "digest", "perm", "sketch", F.explode("lists").alias("code")), block, "perm", "sketch")
     gap = math.ceil(math.acos(least) * STEPS / math.pi + 1e-6)
-    spots = written(spots.mapInArrow(tidy(_prune(gap, shared)), "digest binary, code long").distinct())
+    spots = written(spots.mapInArrow(tidy(_prune(gap, shared, slack)), "digest binary, code long").distinct())
     cells = listed(spots.join(index.select("digest", *OF, "vector", "perm", "m"), "digest"), block, "vector", "perm", "m")
-    found = written(cells.mapInArrow(tidy(_verify(least, shared)), "a binary, b binary, links long"))
+    found = written(cells.mapInArrow(tidy(_verify(least, shared, slack)), "a binary, b binary, links long"))
     counts = found.where("b is null").groupBy(F.col("a").alias("digest")).agg(F.sum("links").alias("links"))
     linked = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "digest")
     named = kinds.select("digest", "id", "m").join(linked, "digest", "left").join(counts, "digest", "left")

@@ -368,6 +368,24 @@ def test_pivot_recall_in_a_crowded_label(spark):
     assert (n <= exact).all() and n.sum() >= 0.99 * exact.sum() and n[3000:].sum() >= 0.99 * exact[3000:].sum() > 900
 
 
+@pytest.mark.parametrize("slack", [0, 2, 5])
+def test_pairs_of_ordered_pivots_count_in_one_list(slack):
+    rng = np.random.default_rng(slack)
+    perms = np.stack([rng.permutation(9)[:6] for _ in range(40)]).astype(np.int16)
+    shared = [[{p for p in x if p in y and abs(x.index(p) - y.index(p)) <= slack} for y in perms.tolist()] for x in perms.tolist()]
+    counted = np.zeros((40, 40), int)
+    for a, b in itertools.combinations(range(9), 2):
+        rows = np.array([i for i in range(40) if {a, b} <= set(perms[i].tolist())])
+        if len(rows) < 2:
+            continue
+        code = a + (b << 16)
+        own = pivots.canonical(perms[rows], code, 2, slack)
+        counted[np.ix_(rows, rows)] += own
+        i, j = np.triu_indices(len(rows), 1)
+        assert (pivots.first_shared(perms[rows[i]], perms[rows[j]], np.full(len(i), code), 2, slack) == own[i, j]).all()
+    assert (counted == [[int(len(s) >= 2) for s in row] for row in shared]).all()
+
+
 def test_components(spark):
     rng = np.random.default_rng(9)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(400 + i, 401 + i) for i in range(60)] + [(500, 600 + i) for i in range(50)]
