@@ -10,14 +10,23 @@ from functools import reduce
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..functions.identity import facts_key
+from ..functions.records import conformed
+from ..schemas import FACTS, FILING, SUBMISSIONS
 
 #: The two unique keys of filings.
 FILING_KEYS = (["accession_number"], ["cik", "form_name"])
 #: The tables and the columns of their keys; a row replaces those that agree in any of them.
 TABLES: dict[str, tuple[list[str], ...]] = {"submissions": (["cik"],), "filings": FILING_KEYS, "facts": (["id"],), "irs_returns": (["ein"],), "answers": (["url"],), "search_cache": (), "postings": (), "corpus_size": ()}
+#: Columns of the tables that have fixed ones, as ``Store.create`` makes them.
+_TIMES = "created_at timestamp, updated_at timestamp"
+SCHEMAS = {
+    "submissions": f"{SUBMISSIONS}, created_at timestamp", "filings": f"accession_number string, cik string, form_name string, filing {FILING}, document binary, filing_date string, created_at timestamp",
+    "facts": f"id string, source_type string, {FACTS}, {_TIMES}", "irs_returns": f"ein string, return_type string, tax_year int, xml string, {_TIMES}",
+    "answers": "url string, content binary, error string, asked_at timestamp", "search_cache": f"title string, path string, source_type string, {_TIMES}",
+}
 MAX_AGE_DAYS = 30
 #: Characters of a term by which its postings are put into files.
 LETTERS = 2
@@ -167,6 +176,11 @@ class Store:
         version = self._load(table, name) if name else self._last(table)[1]
         return None if version is None else self._rows(table, version, list(version["buckets"]))
 
+    def create(self, table: str) -> None:
+        """An empty table with its fixed columns, unless there is a table. Rows that come later are brought into them; a column that they have not is an error."""
+        if self._last(table)[1] is None:
+            self._commit(table, None, {"n": self.buckets, "schema": _parse_datatype_string(SCHEMAS[table]).jsonValue(), "buckets": {}, "batches": {}})
+
     def write(self, table: str, df: DataFrame, base: str | None = None) -> None:
         """The whole table anew, made from version ``base`` (the last one unless given)."""
         last, old = self._last(table)
@@ -183,7 +197,7 @@ class Store:
             return
         if old is None:
             old = {"n": self.buckets, "schema": df.schema.jsonValue(), "buckets": {}, "batches": {}}
-        new = self._put(table, df.select(*StructType.fromJson(old["schema"]).names), old["n"])
+        new = self._put(table, conformed(df, StructType.fromJson(old["schema"])), old["n"])
         buckets = {c: [*old["buckets"].get(c, ()), *new.get(c, ())] for c in {*old["buckets"], *new}}
         self._commit(table, base, old | {"buckets": buckets, "batches": old["batches"] | (dict([batch]) if batch else {})})
 
@@ -205,7 +219,7 @@ class Store:
             out = new
         else:
             n, names = old["n"], StructType.fromJson(old["schema"]).names
-            new = new.select(*names)
+            new = conformed(new, StructType.fromJson(old["schema"]))
             cells = self._buckets(table, n)
             touched = new.select(*cells.values()).distinct().collect()  # n at most, or its square
             hit = [{str(r[i]) for r in touched} for i in range(len(cells))]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import identity
+from ..functions.records import shaped
 from ..operators import filings, store
 from ..schemas import FACTS, SUBMISSIONS
 from ..session import kept
@@ -21,17 +22,6 @@ from ..sources import ranged, readers
 from . import irs, sec
 
 
-def shaped(value: Column, own: T.DataType, wanted: T.DataType) -> Column:
-    """A value in another type of records: fields by name, those it has not are null."""
-    if isinstance(wanted, T.StructType) and isinstance(own, T.StructType):
-        fields = {f.name: f.dataType for f in own}
-        parts = [(shaped(value[f.name], fields[f.name], f.dataType) if f.name in fields else F.lit(None).cast(f.dataType)).alias(f.name) for f in wanted]
-        return F.when(value.isNotNull(), F.struct(*parts))
-    if isinstance(wanted, T.ArrayType) and isinstance(own, T.ArrayType):
-        return F.transform(value, lambda x: shaped(x, own.elementType, wanted.elementType))
-    return value.cast(wanted)
-
-
 def record(facts: DataFrame) -> DataFrame:
     """Facts of either source in the one schema of records; a figure of a return has its period as its context. What a source has not is null."""
     figure = lambda x: F.struct(x["content"].alias("content"), x["scale"].alias("scale"), F.struct(x["period"].alias("period")).alias("context"))

@@ -220,6 +220,22 @@ def test_filings_in_a_square_of_buckets(spark, tmp_path):
     assert s.get_filing("c7", "10-K").first()["accession_number"] == "new" and s.get("filings", "a8").count() == 1
 
 
+def test_tables_with_fixed_columns(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path))
+    for table in store.SCHEMAS:
+        s.create(table)
+        s.create(table)
+        assert len(s.versions(table)) == 1 and s.read(table).count() == 0 and set(sum(store.TABLES[table], [])) <= set(s.read(table).columns)
+    s.store("irs_returns", spark.createDataFrame([("1", "990", 2024)], "ein string, return_type string, tax_year long"))
+    assert [(r["ein"], r["tax_year"], r["xml"]) for r in s.read("irs_returns").collect()] == [("1", 2024, None)]
+    s.append("search_cache", spark.createDataFrame([("t", "/p")], "title string, path string"))
+    assert s.read("search_cache").first()["source_type"] is None
+    s.store("facts", spark.createDataFrame([("9", "SEC", {"text": "t", "ceo": 1.0})], "id string, source_type string, ceo_pay_ratio struct<text:string,ceo:double>"))
+    assert s.get("facts", "9").first()["ceo_pay_ratio"]["median"] is None
+    with pytest.raises(ValueError, match="no such columns: note"):
+        s.append("search_cache", spark.createDataFrame([("t", "x")], "title string, note string"))
+
+
 def test_batches_that_come_again_add_nothing(spark, tmp_path):
     s = store.Store(spark, str(tmp_path))
     item = lambda t: spark.createDataFrame([(t, "/p", "SEC")], "title string, path string, source_type string")
