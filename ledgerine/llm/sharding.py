@@ -12,7 +12,8 @@ The input must give the same rows in the same order when it is read again, as ta
 down first); a partition that changes its count between the two passes is an error, never a lost row.
 
 Edge cases: null texts and ids are rows like others; equal rows are separate rows; an empty table gives an empty result; names that
-clash with the result's are replaced. Equal texts are not kept together: the law is on rows.
+clash with the result's are replaced. Equal texts are not kept together: under the
+law on rows a group of equal texts is dealt out like any rows, and its members may stand in several shards.
 """
 
 from __future__ import annotations

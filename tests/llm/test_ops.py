@@ -670,6 +670,41 @@ def test_empty_tables_and_clashing_columns(spark, name):
     assert {r["doc_id"] if "doc_id" in r else None for r in run(d).collect()} == {None}
 
 
+def shots_brute(frames, window=12, factor=3, floor=0.15):
+    """The rule as its docstring words it, in whole numbers and fractions."""
+    from fractions import Fraction
+
+    def histogram(frame):
+        out = [0] * 16
+        for x in frame:
+            out[x // 16] += 1
+        return out
+
+    held = [histogram(f.tolist()) for f in frames]
+    far = [Fraction(sum(abs(a - b) for a, b in zip(x, y, strict=True)), 2 * frames.shape[1]) for x, y in itertools.pairwise(held)]
+    out = []
+    for i, d in enumerate(far):
+        before = far[max(0, i - window) : i]
+        mean = sum(before) / len(before) if before else 0
+        spread = sum((x - mean) ** 2 for x in before) / len(before) if before else 0
+        if d > Fraction(floor) and d > mean and (d - mean) ** 2 > factor**2 * spread:
+            out.append(i + 1)
+    return out
+
+
+@pytest.mark.parametrize("units", [40, 576])
+def test_shots_by_the_rule(units):
+    rng = np.random.default_rng(units)
+    frames = []
+    for _ in range(40):  # scenes of one level each, with noise, some of one frame
+        level, noise = rng.integers(0, 250), rng.integers(1, 60)
+        frames += [np.clip(level + rng.integers(-noise, noise + 1, units), 0, 255) for _ in range(rng.choice([1, 2, 5, 20]))]
+    frames = np.stack(frames).astype(np.uint8)
+    found = mjpeg.cuts(frames)
+    assert found == shots_brute(frames) and len(found) > 10
+    assert mjpeg.cuts(frames[:1]) == [] and mjpeg.cuts(np.repeat(frames[:1], 30, 0)) == []
+
+
 def test_avi(spark):
     for data in (b"", b"abc", bytes(range(256)) * 9, b"\xff" * 1200, os.urandom(3000)):
         payload = mjpeg.payload_of(data)

@@ -30,6 +30,51 @@ def test_stages(spark, tmp_path):
     assert suffix.GRAM == 48
 
 
+def test_run_against_brute_force(spark, tmp_path):
+    """All stages in a row, each done again in plain Python on what the one before left."""
+    import itertools
+    import zlib
+
+    import numpy as np
+    from ledgerine.llm.queries import tokenizer_path
+    from test_ops import lines_brute, prose
+    from tokenizers import Tokenizer
+
+    own = [prose(90, 300 + i) for i in range(30)]
+    line, passage = "a line of more than forty characters that six documents hold", prose(60, 400)
+    texts = [f"{t}\n{line}" for t in own[:6]] + [own[6], own[6] + " more", own[6].replace(" ", "  "), own[7] + " the end of it", own[7]] + [f"{a} {passage} {b}" for a, b in itertools.pairwise(own[8:14])] + own[14:] + ["12 34", None, own[20]]
+    rows = [(3 * i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+
+    left = [(i, t) for i, t, *_ in rows if t and any(map(str.isalpha, t))]
+    left = lines_brute(left)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.lower().split() for _, t in left)]
+    first = list(range(len(left)))
+    for i, j in itertools.combinations(range(len(left)), 2):
+        if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            first[j] = min(first[j], first[i])
+    left = [left[i] for i in range(len(left)) if first[i] == i]
+    assert len(left) == len(rows) - 2 - 4
+    data, count = [t.encode() for _, t in left], {}
+    for d in data:
+        for i in range(len(d) - 199):
+            count[d[i : i + 200]] = count.get(d[i : i + 200], 0) + 1
+    want, tok = [], Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    for (doc, _), d in zip(left, data, strict=True):
+        gone = bytearray(len(d))
+        for i in range(len(d) - 199):
+            if count[d[i : i + 200]] > 1:
+                gone[i : i + 200] = b"\1" * 200
+        ids = np.array([*tok.encode(bytes(b for b, g in zip(d, gone, strict=True) if not g).decode(), add_special_tokens=False).ids, 2], "<u4")
+        at = 0
+        for bit in range(12, -1, -1):
+            while len(ids) - at >= 1 << bit:
+                want.append((doc, at, 1 << bit, zlib.crc32(ids[at : at + (1 << bit)].tobytes())))
+                at += 1 << bit
+    assert found == sorted(want) and sum(n > 1 for n in count.values()) > 100
+
+
 def test_text_of_no_learned_language_goes(spark):
     from test_ops import prose
 
