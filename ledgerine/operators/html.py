@@ -37,6 +37,27 @@ LI_SCOPE = SCOPE | {"ul", "ol"}
 CLOSING = {k: (v, SPECIAL - v - {"address", "div", "p"}) for k, v in {"li": frozenset({"li"}), "dd": frozenset({"dd", "dt"}), "dt": frozenset({"dd", "dt"}), "option": frozenset({"option"})}.items()}
 #: Tagged elements that are read as XML.
 DECODED = frozenset("ix:nonfraction ix:nonnumeric ix:fraction xbrli:context xbrli:unit".split())
+#: Elements that may stand in a select, and those that end it.
+IN_SELECT, ENDS_SELECT = frozenset("option optgroup script template hr".split()), frozenset("input keygen textarea".split())
+# Public identifiers of doctypes, as they begin, that put a document into quirks mode (HTML standard), in lower case.
+QUIRKY = (
+    "+//silmaril//dtd html pro v0r11 19970101//", "-//as//dtd html 3.0 aswedit + extensions//", "-//advasoft ltd//dtd html 3.0 aswedit + extensions//",
+    "-//ietf//dtd html 2.0 level 1//", "-//ietf//dtd html 2.0 level 2//", "-//ietf//dtd html 2.0 strict level 1//", "-//ietf//dtd html 2.0 strict level 2//", "-//ietf//dtd html 2.0 strict//", "-//ietf//dtd html 2.0//",
+    "-//ietf//dtd html 2.1e//", "-//ietf//dtd html 3.0//", "-//ietf//dtd html 3.2 final//", "-//ietf//dtd html 3.2//", "-//ietf//dtd html 3//", "-//ietf//dtd html level 0//", "-//ietf//dtd html level 1//",
+    "-//ietf//dtd html level 2//", "-//ietf//dtd html level 3//", "-//ietf//dtd html strict level 0//", "-//ietf//dtd html strict level 1//", "-//ietf//dtd html strict level 2//", "-//ietf//dtd html strict level 3//",
+    "-//ietf//dtd html strict//", "-//ietf//dtd html//", "-//metrius//dtd metrius presentational//", "-//microsoft//dtd internet explorer 2.0 html strict//", "-//microsoft//dtd internet explorer 2.0 html//",
+    "-//microsoft//dtd internet explorer 2.0 tables//", "-//microsoft//dtd internet explorer 3.0 html strict//", "-//microsoft//dtd internet explorer 3.0 html//", "-//microsoft//dtd internet explorer 3.0 tables//",
+    "-//netscape comm. corp.//dtd html//", "-//netscape comm. corp.//dtd strict html//", "-//o'reilly and associates//dtd html 2.0//", "-//o'reilly and associates//dtd html extended 1.0//",
+    "-//o'reilly and associates//dtd html extended relaxed 1.0//", "-//sq//dtd html 2.0 hotmetal + extensions//", "-//softquad software//dtd hotmetal pro 6.0::19990601::extensions to html 4.0//",
+    "-//softquad//dtd hotmetal pro 4.0::19971010::extensions to html 4.0//", "-//spyglass//dtd html 2.0 extended//", "-//sun microsystems corp.//dtd hotjava html//", "-//sun microsystems corp.//dtd hotjava strict html//",
+    "-//w3c//dtd html 3 1995-03-24//", "-//w3c//dtd html 3.2 draft//", "-//w3c//dtd html 3.2 final//", "-//w3c//dtd html 3.2//", "-//w3c//dtd html 3.2s draft//", "-//w3c//dtd html 4.0 frameset//",
+    "-//w3c//dtd html 4.0 transitional//", "-//w3c//dtd html experimental 19960712//", "-//w3c//dtd html experimental 970421//", "-//w3c//dtd w3 html//", "-//w3o//dtd w3 html 3.0//", "-//webtechs//dtd mozilla html 2.0//",
+    "-//webtechs//dtd mozilla html//",
+)
+QUIRKY_WHOLE = ("-//w3o//dtd w3 html strict 3.0//en//", "-/w3c/dtd html 4.0 transitional/en", "html")
+#: Those that do so only without a system identifier.
+QUIRKY_ALONE = ("-//w3c//dtd html 4.01 frameset//", "-//w3c//dtd html 4.01 transitional//")
+DOCTYPE = re.compile(r"""doctype\s+([^\s>]+)(?:\s+(?:public\s*(?:"([^"]*)"|'([^']*)')(?:\s*(?:"([^"]*)"|'([^']*)'))?|system\s*(?:"([^"]*)"|'([^']*)')))?""", re.IGNORECASE)
 #: What XML does not take: characters, and names (one colon at most).
 NO_CHARACTER = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
 NAME = re.compile(r"[^\W\d][\w.\-\u00b7]*(:[\w.\-\u00b7]+)?|:[\w.\-\u00b7]*")
@@ -62,11 +83,24 @@ class Node:
             del self.parent.children[self.parent.place_of(self)]
 
 
+def is_quirky(decl: str) -> bool:
+    """Whether a doctype puts its document into quirks mode."""
+    found = DOCTYPE.match(decl)
+    if found is None or found[1].lower() != "html":
+        return True
+    public = next((x for x in found.group(2, 3) if x is not None), None)
+    system = next((x for x in found.group(4, 5, 6, 7) if x is not None), None)
+    if system is not None and system.lower() == "http://www.ibm.com/data/dtd/v11/ibmxhtml1-transitional.dtd":
+        return True
+    return public is not None and (public.lower() in QUIRKY_WHOLE or public.lower().startswith(QUIRKY) or system is None and public.lower().startswith(QUIRKY_ALONE))
+
+
 class Builder(HTMLParser):
     """Tree construction by the rules of the HTML standard: implied html, head, body and table parts, elements that end others, void and
     raw-text elements, formatting elements that stay open across blocks (adoption agency), and content misplaced in a table, which moves
     before it (foster parenting). A slash at the end of an unknown tag does not close it. A document without a doctype named html is read
-    in quirks mode, where a table does not end a paragraph; public identifiers are not looked at. Frames and select are not special."""
+    in quirks mode, and so is one with a public identifier of old; there a table does not end a paragraph. In a select only options and their groups
+    are elements. Frames are not special."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -75,6 +109,7 @@ class Builder(HTMLParser):
         self.stack: list[Node] = []
         self.active: list[Node | None] = []  # None: a cell or caption began
         self.quirks = True
+        self.selects = 0  # how many there are so far
 
     def _html(self, attrs: dict | None = None) -> None:
         if self.html is None:
@@ -215,6 +250,24 @@ class Builder(HTMLParser):
         elif tag in MARKED:
             self.active.append(None)
 
+    def _select(self) -> int:
+        """Place of the open select, else 0."""
+        return self._found({"select"}, {"template"}) if self.selects else 0
+
+    def _stays_in_select(self, at: int, tag: str) -> bool:
+        """Whether a start tag within a select is to be taken. What cannot stand in it is passed over; some tags end the select first."""
+        if tag in LEVEL or tag in ENDS_SELECT:
+            self._cut(at)
+            return True
+        if tag == "select":
+            self._cut(at)
+            return False
+        if tag in ("option", "optgroup", "hr") and self.stack[-1].tag == "option":
+            self.stack.pop()
+        if tag in ("optgroup", "hr") and self.stack[-1].tag == "optgroup":
+            self.stack.pop()
+        return tag in IN_SELECT
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         given: dict[str, str] = {}
         for k, v in attrs:
@@ -233,6 +286,8 @@ class Builder(HTMLParser):
                 self.stack = [self.html, self.head, node]
             return
         self._body()
+        if (at := self._select()) and not self._stays_in_select(at, tag):
+            return
         if tag in LEVEL and tag != "table":
             self._table_part(tag, given)
             return
@@ -261,6 +316,7 @@ class Builder(HTMLParser):
         node = self.stack[-1].add(node) if here and (tag in RAW or tag == "template") else self._put(node)
         if tag not in VOID:
             self.stack.append(node)
+            self.selects += tag == "select"
             if tag in FORMATTING:
                 same = [x for x in self._formatting() if x.tag == tag and x.attrs == given]
                 if len(same) > 2:
@@ -280,6 +336,14 @@ class Builder(HTMLParser):
                 return None
         return None
 
+    def _end_in_select(self, at: int, tag: str) -> None:
+        if tag == "select":
+            self._cut(at)
+        elif tag == "optgroup" and self.stack[-1].tag == "option" and self.stack[-2].tag == "optgroup":
+            del self.stack[-2:]
+        elif tag in IN_SELECT and self.stack[-1].tag == tag:
+            self.stack.pop()
+
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
             return self.handle_starttag("br", [])
@@ -290,6 +354,11 @@ class Builder(HTMLParser):
             return None
         if self.body is None:
             return None
+        if at := self._select():
+            if tag in LEVEL:
+                self._cut(at)
+            else:
+                return self._end_in_select(at, tag)
         if tag in LEVEL:
             self._close({tag}, {"table"})
         elif tag in FORMATTING:
@@ -326,7 +395,7 @@ class Builder(HTMLParser):
             else:
                 self.stack[-1].add(Node("text", data=data))
             return
-        if self.stack[-1].tag not in RAW:
+        if self.stack[-1].tag not in RAW and not self._select():
             self._reopen()
         self._put(Node("text", data=data))
 
@@ -339,7 +408,7 @@ class Builder(HTMLParser):
     def handle_decl(self, decl: str) -> None:
         if self.html is None:
             self.root.add(Node("doctype", data=decl))
-            self.quirks = decl.lower().split()[:2] != ["doctype", "html"]
+            self.quirks = is_quirky(decl)
 
     def handle_pi(self, data: str) -> None:
         self._note(Node("comment", data=f"?{data}"))

@@ -175,6 +175,26 @@ def irs_first_return(spark: SparkSession, sf: str) -> DataFrame:
     return filings.first_by(index, ["EIN"], F.col("row_ord"), filings.supported(F.col("RETURN_TYPE"))).select("EIN", "RETURN_ID", "RETURN_TYPE")
 
 
+@query("""
+with o as (select o_custkey, count(*) as n, cast(sum(floor(o_totalprice)) as bigint) as revenue from orders group by 1)
+select cast(c_custkey as varchar) as key, case when n is not null then c_name end as company_name, cast(n as bigint) as employees, cast(revenue - cast(floor(revenue / 3) as bigint) as varchar) as net,
+  case when n is null then 'no supported return' end as reason from customer left join o on o_custkey = c_custkey""")
+def irs_records(spark: SparkSession, sf: str) -> DataFrame:
+    """From identifiers to records in one batch: an index of files, archives of returns, the store; customers without orders have no return."""
+    folder, returns = scratch_path(spark), _returns_990(spark, sf)
+    batch = _str("b", F.col("ein").cast("long") % 5)
+    index = returns.select(_str("R", F.col("ein")).alias("RETURN_ID"), F.col("ein").alias("EIN"), F.lit("n").alias("TAXPAYER_NAME"), F.lit("990").alias("RETURN_TYPE"), batch.alias("XML_BATCH_ID"), _str("o", F.col("ein")).alias("OBJECT_ID"))
+    index.write.option("header", True).csv(f"{folder}/index")
+    ranged.write_archives(returns.select(identity.archive_name(batch).alias("archive"), identity.archive_member(batch, _str("o", F.col("ein"))).alias("member"), F.col("xml").alias("content")), f"{folder}/archives")
+    first = _tickers(spark, sf).where("ord = 1").select(F.to_json(F.create_map(F.lit("0"), F.struct(F.col("cik").alias("cik_str"), "ticker", "title"))).alias("value"))
+    first.write.text(f"{folder}/tickers")
+    kept_ = store.Store(spark, f"{folder}/kept")
+    entry = service.Service(spark, f"{folder}/tickers", f"{folder}/none", f"{folder}/none", f"{folder}/index", f"{folder}/archives", kept_)
+    found, rejects = entry.facts_for(_t(spark, sf, "customer").select(F.lit("ein").alias("kind"), F.col("c_custkey").cast("string").alias("key")))
+    found = found.select("key", "company_name", F.col("employees_count").alias("employees"), F.col("net_income_loss")[0]["content"].alias("net"), F.lit(None).cast("string").alias("reason"))
+    return found.unionByName(rejects.select("key", "reason"), allowMissingColumns=True)
+
+
 @query("""
 select o_orderkey, case when o_orderkey % 5 = 0 then '' else strftime(o_orderdate::date - 365, '%Y-%m-%d') end as start_date,
   case when o_orderkey % 5 = 0 then '' else strftime(o_orderdate::date - 1, '%Y-%m-%d') end as end_date from orders""")

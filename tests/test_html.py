@@ -96,6 +96,18 @@ def body(source):
     ("<td>x</td><div>y</div></p>", "x<div>y</div><p></p>"),
     ("<ul><li>a<ul><li>b</ul><li>c</ul><h1>a<h2>b</h1>c", "<ul><li>a<ul><li>b</li></ul></li><li>c</li></ul><h1>a</h1><h2>b</h2>c"),
     ("<!DOCTYPE html><p>a<table></table>", "<p>a</p><table></table>"),
+    ("<!DOCTYPE HTML PUBLIC '-//W3C//DTD HTML 3.2//EN'><p>a<table></table>", "<p>a<table></table></p>"),
+    ('<!DOCTYPE html PUBLIC "-//W3C//DTD HTML 4.01 Transitional//EN"><p>a<table></table>', "<p>a<table></table></p>"),
+    ('<!DOCTYPE html PUBLIC "-//W3C//DTD HTML 4.01 Transitional//EN" "http://www.w3.org/TR/html4/loose.dtd"><p>a<table></table>', "<p>a</p><table></table>"),
+    ('<!DOCTYPE html PUBLIC "-//W3C//DTD XHTML 1.0 Strict//EN" "x"><p>a<table></table>', "<p>a</p><table></table>"),
+    ('<!DOCTYPE html SYSTEM "about:legacy-compat"><p>a<table></table>', "<p>a</p><table></table>"),
+    ("<!DOCTYPE note><p>a<table></table>", "<p>a<table></table></p>"),
+    ("<select><div>a<option>b<option>c<b>d</select>e", "<select>a<option>b</option><option>cd</option></select>e"),
+    ("<select><optgroup><option>a<optgroup><option>b</optgroup>c<hr>d</select>", "<select><optgroup><option>a</option></optgroup><optgroup><option>b</option></optgroup>c<hr>d</select>"),
+    ("<p><select><option>a<input>b", "<p><select><option>a</option></select><input>b</p>"),
+    ("<select><option>a<select>b", "<select><option>a</option></select>b"),
+    ("<table><tr><td><select><option>a<td>b</table>c", "<table><tbody><tr><td><select><option>a</option></select></td><td>b</td></tr></tbody></table>c"),
+    ("<b>x<select><option>y</b>z</select>w", "<b>x<select><option>yz</option></select>w</b>"),
     ("<p>a<table></table>", "<p>a<table></table></p>"),
 ])
 def test_tree_construction(source, expected):
