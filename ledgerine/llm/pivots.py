@@ -13,7 +13,8 @@ a link to the smallest member of each tree is emitted. Equal vectors are one mem
 
 Pivots: as many as the root of the number of vectors, from 128 to 4096, so that lists stay short as the table grows. They are
 spread by farthest-first choice over a sample (those of smallest hash) of four times as many and 2048 at least, of 64 MB at most; all
-vectors are indexed. Recall against brute force is measured in the tests.
+vectors are indexed. Each of the ``LENGTHS`` most frequent lengths of vectors has its share of the sample and pivots of its own; vectors of
+other lengths go to one list for each label, in which all that have one length meet. Recall against brute force is measured in the tests.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components, and those with a null label, link with
 nothing; others are scaled by a power of two, so that no norm over- or underflows; vectors of different lengths never link; null
@@ -31,7 +32,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .clusters import bounds, by_cell, in_cells
@@ -41,6 +42,8 @@ from .common import Forest, components, join_counted, known_id, paired_blocks, s
 #: Pivots whose angles make up the sketch, and the steps of an angle from 0 to pi.
 SKETCH, STEPS = 32, 255
 SAMPLE_BYTES = 64_000_000
+#: Lengths of vectors that have pivots.
+LENGTHS = 16
 
 
 def pivot_count(vectors: int) -> int:
@@ -219,10 +222,11 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     kinds = rows.where("digest is not null").select("id", "digest", "vector", *of)
     kinds = written(kinds.groupBy("digest", *OF).agg(F.first("vector").alias("vector"), F.count("*").alias("m"), F.min("id").alias("id")))
     wanted = pivots or pivot_count(kinds.count())
-    longest = kinds.agg(F.max("size")).first()[0] or 8
-    sample = max(1, min(max(2048, 4 * wanted), SAMPLE_BYTES // longest))
+    lengths = [r["size"] for r in kinds.groupBy("size").count().orderBy(F.desc("count"), "size").limit(LENGTHS).collect()]
+    sample = max(1, min(max(2048, 4 * wanted), SAMPLE_BYTES // max([*lengths, 8])) // max(1, len(lengths)))
     by_size: dict[int, list] = {}
-    for r in kinds.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(sample).collect():
+    rank = F.row_number().over(Window.partitionBy("size").orderBy(F.xxhash64("vector"), "vector"))
+    for r in kinds.where(F.col("size").isin(lengths)).select("vector", rank.alias("n")).where(F.col("n") <= sample).collect():
         by_size.setdefault(len(r["vector"]) // 8, []).append(np.frombuffer(bytes(r["vector"]), np.float64))
     points = {n: spread(np.stack(x), wanted) for n, x in by_size.items()}
     index = kinds.select("vector", "digest", *OF, "m").mapInArrow(tidy(_permute(points, nearest, shared)), "vector binary, digest binary, label_id long, label_tag int, size int, m long, perm binary, sketch binary, lists array<long>")

@@ -81,7 +81,7 @@ def repeating(text: Column, doc_id: Column) -> Column:
     h = F.crc32(doc_id.cast("string").cast("binary"))
     g = F.floor(h / 10)
     words = F.filter(F.split(text, r"[ \t-\r]+"), lambda x: x != "")
-    n = F.size(words)
+    n = F.greatest(F.size(words), F.lit(1))  # a text without words is left alone below
     start = (g % n).cast("int")
     period = (1 + F.floor((n - start) / (3 + g % 8))).cast("int")
     again = F.flatten(F.array_repeat(F.slice(words, start + 1, period), F.ceil((n - start) / period).cast("int")))

@@ -386,6 +386,18 @@ def test_pairs_of_ordered_pivots_count_in_one_list(slack):
     assert (counted == [[int(len(s) >= 2) for s in row] for row in shared]).all()
 
 
+def test_vectors_of_many_lengths(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "LENGTHS", 2)
+    rng = np.random.default_rng(6)
+    rows = []
+    for n, count in ((16, 400), (24, 60), (8, 40)):
+        for i in range(count // 2):
+            x = rng.normal(size=n)
+            rows += [(len(rows), x.tolist(), "a"), (len(rows) + 1, (x + rng.normal(size=n) * 0.02).tolist(), "a")]
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pivots.near_vectors(spark.createDataFrame(rows, VECTORS)).collect()}
+    assert np.mean([found[i] == (1, i - i % 2) for i in range(len(rows))]) > 0.99 and all(found[i][0] == 1 for i in range(460, 500))
+
+
 def test_components(spark):
     rng = np.random.default_rng(9)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(400 + i, 401 + i) for i in range(60)] + [(500, 600 + i) for i in range(50)]
