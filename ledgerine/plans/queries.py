@@ -309,13 +309,20 @@ def ixbrl_context_join(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-@query("select o_orderkey as doc_ord, 2 as n, 1 as texts, 5 as contexts_and_facts_min from orders")
+@query("""
+with f as (
+  select o_orderkey, 'NonFraction' as type, 'us-gaap:NetIncomeLoss' as name, floor(o_totalprice) * 1000.0 as v, format('{:,}', cast(floor(o_totalprice) as bigint)) as content from orders union all select o_orderkey, 'NonFraction', 'us-gaap:NetIncomeLoss', 7.0, '7' from orders
+  union all select o_orderkey, 'NonFraction', 'cash', o_orderkey * 1e6, cast(o_orderkey as varchar) from orders union all select o_orderkey, 'NonFraction', 'other', 1.0, '1' from orders union all select o_orderkey, 'NonNumeric', 'text', 0.0, o_orderpriority from orders)
+select o_orderkey as doc_ord, count(*) filter (where type = 'NonFraction' and v > 1.5e8) as large, count(*) filter (where type = 'NonFraction' and name = 'us-gaap:NetIncomeLoss' and v > 1.5e8) as large_net,
+  min(content) filter (where type = 'NonNumeric' and content < '3') as urgent from f group by 1 having large > 0 or urgent is not null""")
 def ixbrl_filter_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All facts that a predicate on their kind, name, content and value fits."""
     f = _own_facts(spark, sf)
-    net = ixbrl.all_where(f, "NonFraction", F.col("name") == "us-gaap:NetIncomeLoss").groupBy("doc_ord").agg(F.count("*").cast("int").alias("n"))
-    text = ixbrl.all_where(f, "NonNumeric", F.lit(True)).groupBy("doc_ord").agg(F.count("*").cast("int").alias("texts"))
-    every = f.groupBy("doc_ord").agg(F.count("*").cast("int").alias("contexts_and_facts_min"))
-    return net.join(text, "doc_ord").join(every, "doc_ord")
+    large = numbers.scaled_number(F.col("content"), F.col("scale")) > 1.5e8
+    net = F.col("name") == "us-gaap:NetIncomeLoss"
+    found = ixbrl.all_where(f, "NonFraction", large).select("doc_ord", F.lit(1).alias("large"), net.cast("int").alias("large_net"), F.lit(None).cast("string").alias("urgent"))
+    texts = ixbrl.all_where(f, "NonNumeric", F.col("content") < "3").select("doc_ord", F.lit(0).alias("large"), F.lit(0).alias("large_net"), F.col("content").alias("urgent"))
+    return found.unionByName(texts).groupBy("doc_ord").agg(F.sum("large").alias("large"), F.sum("large_net").alias("large_net"), F.min("urgent").alias("urgent"))
 
 
 @query("""
@@ -397,6 +404,20 @@ def html_tables_match(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("p_partkey", F.regexp_replace("text", r"\n+", "\n").alias("text"))
 
 
+@query("""
+with t as (select p_partkey, p_size, '<table><tbody><tr><td>Name</td><td>Salary</td><td>$' || p_size || '</td></tr></tbody></table>' as inside from part),
+u as (select p_partkey, 0 as place, '<table><tbody><tr><td>' || case when p_size % 3 = 0 then 'x' else inside end || '</td><td>$ Name</td><td>Salary</td></tr></tbody></table>' as markup from t union all select p_partkey, 1, inside from t where p_size % 3 > 0)
+select p_partkey, count(*) as tables, md5(string_agg(markup, '|' order by place)) as markup_md5 from u group by 1""")
+def html_nested_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables in cells of tables: all whose text fits, the outer one first."""
+    inside = F.when(F.col("p_size") % 3 == 0, "x").otherwise(_str("<table><tr><td>Name<td>Salary<td>$", F.col("p_size"), "</table>"))
+    doc = _str("<p>Name $ Salary</p><table><tr><td>", inside, "</td><td>$ Name<td>Salary</table><table><tr><td>Name</table>")
+    nodes = html.parse_html(_t(spark, sf, "part").select("p_partkey", doc.alias("h")), ["p_partkey"], "h", _tasks(spark))
+    rows = html.tables_where(nodes, lambda t: F.contains(t, F.lit("Name")) & F.contains(t, F.lit("$")) & F.contains(t, F.lit("Salary")))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "outer_html"))), lambda x: x["outer_html"]), "|")
+    return rows.groupBy("p_partkey").agg(F.count("*").alias("tables"), F.md5(listed.cast("binary")).alias("markup_md5"))
+
+
 @query("select p_partkey, p_size || chr(10) || 'a ' || p_name || ' b' as text from part")
 def html_text_synth(spark: SparkSession, sf: str) -> DataFrame:
     """Beside a block no loose text counts; inline elements run on, with white space collapsed."""
