@@ -15,12 +15,13 @@ from ledgerine.llm.queries import tokenizer_path
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document goes if no language is recognised or the best one holds less than this share of the likelihood.
 LEAST_SCORE = 0.5
-#: Or if its best language needs more bits a byte than bytes take without any model. Rows of sf0.1 need 2 at the median, 7.1 at most.
-MOST_BITS = 8.0
+#: Or if its best language needs more bits a byte than this. Bytes take 8 without any model; a byte that a language never has costs it the escapes besides,
+#: so text in no learned language needs 12 and more, while documents of sf0.1 need 2 at the median, and a short one that is half a key at most 9.
+MOST_BITS = 10.0
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; a missing label is filled in. Text in no learned language goes, as its best one does not shorten it.
+    """Documents whose language is recognised; a missing label is filled in. Text in no learned language goes, as even its best one is at a loss.
 
     If no row has both a text and a label, nothing can be learned: documents with a letter stay, their label null.
     """
