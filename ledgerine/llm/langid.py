@@ -118,8 +118,18 @@ class Models:
     def each(self) -> Iterator[Model]:
         for part in self.parts:
             yield part.value
-            if len(self.parts) > 1 and getattr(part, "_path", None):
-                part.__dict__.pop("_value", None)  # read again from the task's local file for the next batch
+            if len(self.parts) > 1:
+                self._let_go(part)
+
+    def let_go(self) -> None:
+        """At the end of a task: its worker may wait idle while other stages run, and the next task reads the models again."""
+        for part in self.parts:
+            self._let_go(part)
+
+    @staticmethod
+    def _let_go(part: Broadcast) -> None:
+        if getattr(part, "_path", None):
+            part.__dict__.pop("_value", None)  # read again from the worker's local file
 
 
 def fit(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 600, order: int = 3) -> Models | None:
@@ -290,7 +300,11 @@ def predict(docs: DataFrame, model: Models | None, text_col: str = "text") -> Da
     fields = ", ".join([*(f"_c{i} {docs.schema[n].dataType.simpleString()}" for i, n in enumerate(names)), "lang_pred string, score double, bits double"])
 
     def run(batches):
-        yield from _predict(model)(batches)
+        try:
+            yield from _predict(model)(batches)
+        finally:
+            if model is not None:
+                model.let_go()
 
     out = given.mapInArrow(tidy(run), fields)
     return out.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)], "lang_pred", "score", "bits")

@@ -589,6 +589,18 @@ def test_models_by_language_give_the_bits_of_one(spark, monkeypatch):
         assert a["lang_pred"] == b["lang_pred"] and a["bits"] == pytest.approx(b["bits"], rel=1e-5) and a["score"] == pytest.approx(b["score"], rel=1e-3)
 
 
+def test_models_are_let_go_and_read_again(spark):
+    d = spark.createDataFrame([(i, prose(40, 950 + i) + " " + x * 20, x, "s", 0) for i, x in enumerate("pq" * 3)], SCHEMA)
+    models = langid.fit(d, F.lit(True))
+    batch = pa.RecordBatch.from_arrays([pa.array(["p" * 30, "", None])], ["_text"])
+    run = langid._predict(models)
+    one = [b.to_pylist() for b in run(iter([batch]))]
+    assert all("_value" in x.__dict__ for x in models.parts)
+    models.let_go()
+    assert not any("_value" in x.__dict__ for x in models.parts)
+    assert [b.to_pylist() for b in run(iter([batch]))] == one and [r["lang_pred"] for r in one[0]] == ["p", "und", "und"]
+
+
 def test_pieces(spark):
     model = tokenizer_path("piece_bpe_32k.model")
     texts = [*ODD, prose(300, 40), "...a,b. .c", "▁▁ ▁", " lead", "two  spaces "]
