@@ -82,3 +82,25 @@ def test_whole_archives_are_opened_once(spark, tmp_path):
     found = readers.archive_members(wanted, files)
     assert "binary" not in [t for c, t in wanted.dtypes] and found.count() == 62
     assert sorted((r["member"] or "", bytes(r["content"]).decode()) for r in found.where("content is not null").collect()) == sorted((f"m{i}", str(i)) for i in range(50))
+
+
+def test_directories_are_streamed(spark, tmp_path):
+    """A listing reads each directory once, whatever the stripes, and no member of it is kept."""
+    rows = spark.range(3000).select(F.format_string("a%d.zip", F.col("id") % 3).alias("archive"), F.format_string("f/é%04d.txt", "id").alias("member"), F.col("id").cast("string").alias("content"))
+    ranged.write_archives(rows, f"{tmp_path}/out")
+    listed = ranged.read_archives(spark, f"{tmp_path}/out", stripeBytes="1000", content="false")
+    assert listed.rdd.getNumPartitions() == 3 and listed.count() == 3000
+    assert ranged.read_archives(spark, f"{tmp_path}/out", stripeBytes="1").rdd.getNumPartitions() <= 3 * (ranged.STRIPES + 1)
+    with zipfile.ZipFile(tmp_path / "out" / "a1.zip") as own, open(tmp_path / "out" / "a1.zip", "rb") as f:
+        assert own.testzip() is None and [x[:2] for x in ranged._records(f)] == [(x.filename, x.header_offset) for x in own.infolist()]
+
+
+def test_the_last_member_of_a_name_and_every_method(spark, tmp_path):
+    for k, method in enumerate((zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2, zipfile.ZIP_LZMA)):
+        archive(tmp_path / f"{k}.zip", [("x", b"first"), ("é", b"y" * 100), ("x", b"last")], method)
+    data = bytearray((tmp_path / "0.zip").read_bytes())
+    data[31 + 0] ^= 1  # the first byte of a member that no name leads to
+    (tmp_path / "0.zip").write_bytes(data)
+    wanted = spark.createDataFrame([(f"{tmp_path}/{k}.zip", m) for k in range(4) for m in ("x", "é", "x")], "a string, m string")
+    found = [bytes(r["content"]) for r in ranged.members(wanted, F.col("a"), F.col("m"), []).collect()]
+    assert sorted(found) == [b"last"] * 8 + [b"y" * 100] * 4
