@@ -84,7 +84,7 @@ class Service:
         """(id, ein, archive, member, xml, error) of EINs (id), compared without case: the first return of a supported type in the order of the index; no row without one."""
         index = readers.return_index(self.spark, self.index).where(filings.supported(F.col("RETURN_TYPE")))
         met = index.withColumn("_e", F.lower("EIN")).join(eins.select("id", F.lower("id").alias("_e")), "_e")
-        first = filings.first_by(met.select("id", "EIN", "XML_BATCH_ID", "OBJECT_ID", "row_ord"), ["id"], F.col("row_ord"))
+        first = kept(filings.first_by(met.select("id", "EIN", "XML_BATCH_ID", "OBJECT_ID", "row_ord"), ["id"], F.col("row_ord")).drop("row_ord"))
         archive = F.concat(F.lit(f"{self.archives}/"), identity.archive_name(F.col("XML_BATCH_ID")))
         found = ranged.members(first.withColumnRenamed("EIN", "ein"), archive, identity.archive_member(F.col("XML_BATCH_ID"), F.col("OBJECT_ID")), ["id", "ein"], self.opener)
         return found.select("id", "ein", "archive", "member", F.decode("content", "UTF-8").alias("xml"), "error")
