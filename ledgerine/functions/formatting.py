@@ -17,8 +17,14 @@ FORM_TEXTS = {
 }
 
 
+#: From here on a double is a whole number, and the digits that name it are not all of its digits.
+WHOLE = 2.0**53
+
+
 def count_text(x: Column) -> Column:
-    return F.format_number(x.cast("double"), 0)
+    """All digits of a number, in groups; large whole numbers go by no double."""
+    near = F.format_number(x.cast("double"), 0)
+    return F.when(F.abs(x.cast("double")) < WHOLE, near).otherwise(F.coalesce(F.format_number(x.try_cast("bigint"), 0), near))
 
 
 def currency(x: Column) -> Column:
@@ -31,7 +37,7 @@ def percent_of(a: Column, b: Column) -> Column:
 
 
 def quotient(a: Column, b: Column) -> Column:
-    return F.coalesce(F.replace(F.format_number(F.when(b != 0, a.cast("double") / b.cast("double")), 0), F.lit(","), F.lit("")), F.lit("N/A"))
+    return F.coalesce(F.replace(count_text(F.when(b != 0, a.cast("double") / b.cast("double"))), F.lit(","), F.lit("")), F.lit("N/A"))
 
 
 def per_employee(amount: Column, employees: Column) -> Column:

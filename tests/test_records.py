@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerine import schemas
-from ledgerine.functions import numbers
+from ledgerine.functions import formatting, numbers
 from ledgerine.operators import filings, order, search, store
 from ledgerine.plans import irs
 from ledgerine.sources import catalogue, readers
@@ -143,3 +143,16 @@ def test_search(spark):
     assert [r["t"] for r in more.select(search.tokens(F.col("title")).alias("t")).collect()] == [["zlutoucky", "αθηναι"], ["cafe", "viet"], ["łodz"]]
     assert find("cafe") == ["/ein/1"] and find("  ") == [] and find("york zzz") == []
     assert [search.limit_of(x) for x in (None, "0", "51", "x", "7")] == [10, 10, 10, 10, 7]
+
+
+def test_large_numbers_keep_all_digits(spark):
+    rows = spark.createDataFrame([(9_007_199_254_740_993, 1), (12_345_678_901_234_567, 3), (5, 2)], "a bigint, b int")
+    found = rows.select(formatting.count_text(F.col("a")), formatting.quotient(F.col("a"), F.col("b"))).collect()
+    assert [tuple(x) for x in found] == [("9,007,199,254,740,993", "9007199254740992"), ("12,345,678,901,234,567", str(round(12_345_678_901_234_567 / 3))), ("5", "2")]
+
+
+def test_a_return_is_parsed_once(spark):
+    from ledgerine.sources.readers import parsed_returns
+
+    plan = parsed_returns(spark.createDataFrame([("<Return/>",)], "xml string")).where("error is null").select("return.ReturnHeader", "return_type")
+    assert plan._jdf.queryExecution().executedPlan().toString().count("from_xml(") == 1
