@@ -1,4 +1,4 @@
-"""All that a plan wants of a document in one parse: tagged facts, leaves, text behind anchors, tables.
+"""All that a plan wants of a document in one parse: tagged facts, leaves, text behind anchors, tables, markup.
 
 A row a document comes back, so nothing has to be joined or gathered by document again. Predicates say in Python what is worth
 sending; numbers are read from the texts by expressions, as everywhere.
@@ -23,13 +23,14 @@ Test = Callable[[str], bool]
 @dataclass(frozen=True)
 class Wanted:
     """``facts``: names of concepts, None for all, empty for none. ``leaf``, ``anchor``, ``table``: which texts of leaves, leaves with following
-    text (of ``budget`` bytes) and tables are sent; None: none."""
+    text (of ``budget`` bytes) and tables are sent; None: none. ``markup``: tags of elements whose markup is sent."""
 
     facts: frozenset[str] | None = frozenset()
     leaf: Test | None = None
     anchor: Test | None = None
     budget: int = 700
     table: Test | None = None
+    markup: frozenset[str] = frozenset()
 
 
 def following(rows: list[tuple], at: int, budget: int) -> str:
@@ -44,12 +45,13 @@ def following(rows: list[tuple], at: int, budget: int) -> str:
     return text.strip(WHITE)
 
 
-def of_document(source: str | None, wanted: Wanted) -> tuple[list[dict], list[dict], list[dict], list[dict]]:
-    """(facts, leaves, anchors, tables), each in document order."""
-    rows = html.rows(source)
-    facts = [] if wanted.facts is not None and not wanted.facts else ixbrl.facts_in(rows, wanted.facts)
+def of_document(source: str | None, wanted: Wanted) -> tuple[list[dict], list[dict], list[dict], list[dict], list[dict]]:
+    """(facts, leaves, anchors, tables, markup), each in document order."""
+    own, values = html.layout(source)
+    facts = [] if wanted.facts is not None and not wanted.facts else ixbrl.facts_in(own, values, wanted.facts)
+    rows = own.rows(values, wanted.markup | html.TABLES) if wanted.leaf or wanted.anchor or wanted.table or wanted.markup else []
     leaves, anchors, tables = [], [], []
-    for row in rows if wanted.leaf or wanted.anchor or wanted.table else ():
+    for row in rows:
         if row[10] and not row[11] and row[12] and (text := row[12].strip(WHITE)):
             if wanted.leaf and wanted.leaf(text):
                 leaves.append({"node_id": row[0], "text": text})
@@ -57,19 +59,19 @@ def of_document(source: str | None, wanted: Wanted) -> tuple[list[dict], list[di
                 anchors.append({"node_id": row[0], "text": following(rows, row[0], wanted.budget)})
         if wanted.table and row[5] == "element" and row[6] == "table" and (text := row[12].strip(WHITE)) and wanted.table(text):
             tables.append({"node_id": row[0], "text": text, "outer_html": row[13]})
-    return facts, leaves, anchors, tables
+    return facts, leaves, anchors, tables, [{"node_id": row[0], "tag": row[6], "outer_html": row[13]} for row in rows if row[6] in wanted.markup]
 
 
 _TEXT = [("node_id", pa.int32()), ("text", pa.string())]
 _KINDS = {
     "facts": pa.list_(pa.struct(list(ixbrl.FACT_TYPES.items()))), "leaves": pa.list_(pa.struct(_TEXT)), "anchors": pa.list_(pa.struct(_TEXT)),
-    "tables": pa.list_(pa.struct([*_TEXT, ("outer_html", pa.string())])),
+    "tables": pa.list_(pa.struct([*_TEXT, ("outer_html", pa.string())])), "markup": pa.list_(pa.struct([("node_id", pa.int32()), ("tag", pa.string()), ("outer_html", pa.string())])),
 }
-_DDL = f"facts array<struct<node_id:int,type:string,{','.join(f'{k}:string' for k in ixbrl.ATTRIBUTES)},content:string,context:{CONTEXT}>>, leaves array<struct<node_id:int,text:string>>, anchors array<struct<node_id:int,text:string>>, tables array<struct<node_id:int,text:string,outer_html:string>>"
+_DDL = f"facts array<struct<node_id:int,type:string,{','.join(f'{k}:string' for k in ixbrl.ATTRIBUTES)},content:string,context:{CONTEXT}>>, leaves array<struct<node_id:int,text:string>>, anchors array<struct<node_id:int,text:string>>, tables array<struct<node_id:int,text:string,outer_html:string>>, markup array<struct<node_id:int,tag:string,outer_html:string>>"
 
 
 def extracts(docs: DataFrame, keys: list[str], html_col: str, wanted: Wanted, tasks: int | None = None) -> DataFrame:
-    """``keys``, facts, leaves, anchors and tables: a row for each document. ``tasks``: documents are dealt out first, where they come in few partitions."""
+    """``keys``, facts, leaves, anchors, tables and markup: a row for each document. ``tasks``: documents are dealt out first, where they come in few partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -63,34 +63,63 @@ FACT_TYPES = {"node_id": pa.int32(), "type": pa.string(), **dict.fromkeys(ATTRIB
 
 def facts_of(source: str | None, names: frozenset[str] | None = None) -> list[dict]:
     """The facts of one document in its order (of the concepts ``names``, if given), each with its context: of contexts that share an id the last, None where there is none."""
-    return facts_in(html.rows(source), names)
-
-
-def facts_in(rows: list[tuple], names: frozenset[str] | None = None) -> list[dict]:
-    """The same from the node table. Contexts are read for the facts that are wanted alone."""
-    found = [(i, end, tag, attrs, content or "") for i, end, _, _, _, kind, tag, attrs, _, content, *_, lost in rows if kind == "element" and ":" in tag and not lost]
-    out = []
-    for i, _, tag, attrs, content in found:
-        if KINDS.get(tag) in ("NonFraction", "NonNumeric", "Fraction") and (names is None or attrs.get("name", "") in names):
-            out.append({"node_id": i, "type": KINDS[tag], **{k: attrs.get(v, "") for k, v in ATTRIBUTES.items()}, "content": content})
-    asked, contexts = {x["context_ref"] for x in out}, {}
-    for at, (_, end, tag, attrs, _) in enumerate(found):
+    return facts_in(*html.layout(source), names)
+
+
+def facts_in(own: html.Layout, values: list[str] | None, names: frozenset[str] | None = None) -> list[dict]:
+    """The same from a layout and the texts of its slots. Contexts are read for the facts that are wanted alone."""
+    found, contexts = _found(own, values, names)
+    return [{"node_id": i, "type": kind, **dict(zip(ATTRIBUTES, attrs, strict=True)), "content": content, "context": None if at is None else _context(contexts[at])} for i, kind, attrs, content, at in found]
+
+
+def _plan(own: html.Layout, names: frozenset[str] | None) -> tuple[list, list]:
+    """Where a layout has facts and the contexts that they refer to: all but the texts."""
+    texts = dict(own.contents)
+    found = [(i, x[1], x[6], x[7], texts[i]) for i, x in enumerate(own.fixed) if x[5] == "element" and ":" in x[6] and not own.lost[i]]
+    wanted = [(i, KINDS[tag], attrs, at) for i, _, tag, attrs, at in found if KINDS.get(tag) in ("NonFraction", "NonNumeric", "Fraction") and (names is None or attrs.get("name", "") in names)]
+    asked, contexts = {attrs.get("contextref", "") for _, _, attrs, _ in wanted}, {}
+    for k, (_, end, tag, attrs, _) in enumerate(found):
         if tag == "xbrli:context" and attrs.get("id", "") in asked:
-            inner: dict[str, list[tuple[dict, str]]] = {}
-            for j, _, t, a, c in found[at + 1 :]:
+            inner: dict[str, list[tuple[dict, list[int]]]] = {}
+            for j, _, t, a, at in found[k + 1 :]:
                 if j > end:
                     break
-                inner.setdefault(t, []).append((a, c))
-            last = lambda t: inner[t][-1][1] if t in inner else ""  # noqa: E731, B023
-            many = lambda t: [{"dimension": a.get("dimension", ""), "content": c} for a, c in inner.get(t, ())]  # noqa: E731, B023
+                inner.setdefault(t, []).append((a, at))
+            last = lambda t: inner[t][-1][1] if t in inner else []  # noqa: E731, B023
+            many = lambda t: [(a.get("dimension", ""), at) for a, at in inner.get(t, ())]  # noqa: E731, B023
             scheme = inner["xbrli:identifier"][-1][0].get("scheme", "") if "xbrli:identifier" in inner else ""
-            contexts[attrs.get("id", "")] = {
-                "id": attrs.get("id", ""), "entity": {"identifier": {"scheme": scheme, "content": last("xbrli:identifier")}, "segment": {"explicit_members": many("xbrldi:explicitmember"), "typed_members": many("xbrldi:typedmember")}},
-                "period": {"start_date": last("xbrli:startdate"), "instant": last("xbrli:instant"), "end_date": last("xbrli:enddate")},
-            }
-    for x in out:
-        x["context"] = contexts.get(x["context_ref"])
-    return out
+            contexts[attrs.get("id", "")] = (attrs.get("id", ""), scheme, last("xbrli:identifier"), many("xbrldi:explicitmember"), many("xbrldi:typedmember"), last("xbrli:startdate"), last("xbrli:instant"), last("xbrli:enddate"))
+    order = {ref: n for n, ref in enumerate(contexts)}
+    return [(i, kind, tuple(attrs.get(v, "") for v in ATTRIBUTES.values()), at, order.get(attrs.get("contextref", ""))) for i, kind, attrs, at in wanted], list(contexts.values())
+
+
+def _found(own: html.Layout, values: list[str] | None, names: frozenset[str] | None) -> tuple[list[tuple], list[tuple]]:
+    """Facts (node_id, type, attributes, content, place of the context) and contexts (id, scheme, identifier, explicit, typed, start, instant, end)."""
+    if ("facts", names) not in own.plans:
+        own.plans["facts", names] = _plan(own, names)
+    facts, contexts = own.plans["facts", names]
+    texts = own.data(values) if facts else []
+    text = lambda at: texts[at[0]] if len(at) == 1 else "".join([texts[c] for c in at])
+    many = lambda all_: [{"dimension": d, "content": text(at)} for d, at in all_]
+    return (
+        [(i, kind, attrs, text(at), c) for i, kind, attrs, at, c in facts],
+        [(id_, scheme, text(who), many(explicit), many(typed), text(start), text(instant), text(end)) for id_, scheme, who, explicit, typed, start, instant, end in contexts],
+    )
+
+
+def _context(x: tuple) -> dict:
+    id_, scheme, who, explicit, typed, start, instant, end = x
+    return {"id": id_, "entity": {"identifier": {"scheme": scheme, "content": who}, "segment": {"explicit_members": explicit, "typed_members": typed}}, "period": {"start_date": start, "instant": instant, "end_date": end}}
+
+
+def _contexts(rows: list[tuple]) -> pa.StructArray:
+    """The same as a column."""
+    id_, scheme, who, explicit, typed, start, instant, end = zip(*rows, strict=True) if rows else [()] * 8
+    text = lambda x: pa.array(x, pa.string())
+    struct = lambda **of: pa.StructArray.from_arrays(list(of.values()), list(of))
+    segment = struct(explicit_members=pa.array(explicit, _MEMBERS), typed_members=pa.array(typed, _MEMBERS))
+    entity = struct(identifier=struct(scheme=text(scheme), content=text(who)), segment=segment)
+    return struct(id=text(id_), entity=entity, period=struct(start_date=text(start), instant=text(instant), end_date=text(end)))
 
 
 def parsed_facts(docs: DataFrame, keys: list[str], html_col: str, names: frozenset[str] | None = None, tasks: int | None = None) -> DataFrame:
@@ -98,13 +127,17 @@ def parsed_facts(docs: DataFrame, keys: list[str], html_col: str, names: frozens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, found = [], []
+            at, found, contexts = [], [], []
             for i, raw in enumerate(batch.column(len(keys)).to_pylist()):
-                own = facts_of(raw.decode(errors="replace") if isinstance(raw, bytes) else raw, names)
-                at += [i] * len(own)
-                found += own
+                facts, own = _found(*html.layout(raw.decode(errors="replace") if isinstance(raw, bytes) else raw), names)
+                at += [i] * len(facts)
+                found += [(*x[:4], None if x[4] is None else x[4] + len(contexts)) for x in facts]
+                contexts += own
             heads = [c.take(pa.array(at, pa.int64())) for c in batch.columns[: len(keys)]]
-            yield pa.RecordBatch.from_arrays([*heads, *(pa.array([x[k] for x in found], t) for k, t in FACT_TYPES.items())], [*keys, *FACT_TYPES])
+            node, kind, attrs, content, place = zip(*found, strict=True) if found else [()] * 5
+            attrs = zip(*attrs, strict=True) if found else [()] * len(ATTRIBUTES)
+            own = [pa.array(node, pa.int32()), pa.array(kind, pa.string()), *(pa.array(x, pa.string()) for x in attrs), pa.array(content, pa.string()), _contexts(contexts).take(pa.array(place, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*heads, *own], [*keys, *FACT_TYPES])
 
     given = docs.select(*keys, html_col)
     given = given.repartition(tasks) if tasks else given
@@ -128,6 +161,14 @@ def all_where(found: DataFrame, kind: str, predicate: Column) -> DataFrame:
     return found.where((F.col("type") == kind) & predicate)
 
 
+def any_where(found: DataFrame, predicates: dict[str, Column]) -> DataFrame:
+    """What fits the predicate of its kind, for several kinds in one pass: a union of ``all_where`` would parse each document once for each."""
+    fits = F.lit(False)
+    for kind, predicate in predicates.items():
+        fits = F.when(F.col("type") == kind, predicate).otherwise(fits)
+    return found.where(fits)
+
+
 def first_where(found: DataFrame, keys: list[str], kind: str, predicate: Column, no_segment: bool = False) -> DataFrame:
     """The first match of each document. Facts with dimensions count unless ``no_segment``."""
     out = all_where(found, kind, predicate)

@@ -154,3 +154,20 @@ def test_facts_of_organisations(spark):
     assert [x["content"] for x in found["1"]["net_income_loss"]] == ["6", "5"] and [x["content"] for x in found["1"]["buybacks"]] == ["9"] and found["1"]["cash"] is None
     assert found["1"]["net_income_loss"][0]["context"]["entity"]["identifier"]["scheme"] == "s" and len(found["1"]["exec_compensation_html"]) == 3
     assert [x["form"] for x in found["1"]["filings"]] == ["a", "b", "c"] and (found["2"]["employees_count"], found["2"]["company_name"], found["2"]["ceo_pay_ratio"]) == (1500, "", None)
+
+
+def test_documents_of_one_template_are_parsed_once(monkeypatch):
+    parsed = []
+    monkeypatch.setattr(html, "tree", lambda source, own=html.tree: parsed.append(source) or own(source))
+    page = '<div id="d%d"><p title="a">  x &amp; %s<br><b>%s</b></p><table>%s<tr><td>%s</table><ix:nonFraction name="n" contextRef="c">%d</ix:nonFraction></div><script>a<b</script>'
+    own = [page % (i, "&lt" * (i % 2) + str(i), "é" * (i + 1), i, " " if i % 3 else i, i) for i in range(30)]
+    found = [html.rows(x) for x in own]
+    assert len(parsed) == 2  # with a blank cell and without
+    assert found == [html.Layout(html.tree(x)).rows(None) for x in own]
+
+
+@pytest.mark.parametrize("source", ['<p>a<a title="x>y">b</p>', "<p>a<a title='x>%s'>b</p>", "<p>&#32;%s</p>", "<script>%s", "<!-- > -->%s<!--", "<textarea><p>%s", "a < b %s", '<b id="k">1<p>%s</b>', "\U000f0001%s"])
+def test_what_layouts_cannot_tell_is_parsed_by_itself(source):
+    for text in ("x", "&amp;", " "):
+        own = source.replace("%s", text)
+        assert html.rows(own) == html.Layout(html.tree(own)).rows(None)
