@@ -74,7 +74,8 @@ def parsed_returns(xml: DataFrame, xml_col: str = "xml", schema: str = RETURN) -
 
     ``schema``: ``return_schema`` of the fields that are wanted beyond those of the plans."""
     parsed = F.from_xml(F.col(xml_col), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    out = xml.withColumn("return", parsed).withColumn("return_type", F.col("return.ReturnHeader.ReturnTypeCd"))
+    once = xml.select("*", F.explode(F.array(parsed)).alias("return"))  # as a plain column it would be parsed again for each field and filter
+    out = once.withColumn("return_type", F.col("return.ReturnHeader.ReturnTypeCd"))
     body = F.when(F.col("return_type") == "990", F.col("return.ReturnData.IRS990").isNotNull()).when(F.col("return_type") == "990EZ", F.col("return.ReturnData.IRS990EZ").isNotNull()).when(F.col("return_type") == "990PF", F.col("return.ReturnData.IRS990PF").isNotNull())
     error = (
         F.when(F.col("return").isNull() | F.col("return._corrupt_record").isNotNull(), "corrupt")
