@@ -208,12 +208,16 @@ def _spans(key: np.ndarray, place: np.ndarray, row: np.ndarray, start: np.ndarra
     return pa.RecordBatch.from_arrays([pa.array(key[row[new]]), pa.array((place[row[new]] >> 47).astype(np.int32)), pa.array(span)], ["key", "tag", "span"])
 
 
+#: Rows whose windows are compared at once, unless one string has more: a window takes some hundred bytes, and a row has many.
+AT_ONCE = 2048
+
+
 def _settle(window: int):
     """Input sorted by string; every string's kinds come to one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: pa.Table | None = None
-        for batch in batches:
+        for batch in (batch.slice(lo, AT_ONCE) for batch in batches for lo in range(0, batch.num_rows, AT_ONCE)):
             table = pa.Table.from_batches([batch])
             left = table if left is None else pa.concat_tables([left, table])
             string = left["string"].to_numpy()

@@ -240,3 +240,16 @@ def test_targets_of_many_sources_that_stop_one_after_the_other(spark):
     found = mixing.targets(mixing.numbered(rows, "source"), F.element_at(F.array(F.lit(1), F.lit(2), F.lit(3)), (F.col("ord") % 3 + 1).cast("int"))).collect()
     want = targets_brute(sizes)
     assert sorted(r["ord"] for r in found) == list(range(30)) and all(math.isclose(r["target"], want[r["source"]]) for r in found)
+
+
+def test_repeats_are_settled_by_parts_of_a_batch(monkeypatch):
+    import pyarrow as pa
+
+    from ledgerine.llm import suffix
+
+    met = []
+    monkeypatch.setattr(suffix, "windows_of", lambda batch: iter(met.append(batch.num_rows) or ()))
+    n = 10_000
+    own = {k: pa.array([1] * n, pa.int64()) for k in ("n", "key", "place", "low", "high")} | {"string": pa.array([i // 3 for i in range(n)], pa.int64()), "body": pa.array([b"x"] * n)}
+    assert not list(suffix._settle(200)(iter([pa.RecordBatch.from_pydict(own)])))
+    assert sum(met) == n and max(met) <= 2 * suffix.AT_ONCE
