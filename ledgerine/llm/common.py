@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import functools
+import re
 import shutil
 import tempfile
 import uuid
@@ -44,20 +45,25 @@ def scratch_dir(spark: SparkSession) -> str:
     return _own_folder()
 
 
-#: Rows that go to Python at once while a table is written, at most: texts are long, and the buffers of a batch lie outside the heap.
-BATCH_ROWS = 2000
-BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bounds of what is in hand at once, by setting: texts are long, and buffers of batches, most of them outside the heap, double as they grow.
+#: Rows and bytes that go to Python together, and rows that are read from Parquet together.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 4_000_000, "spark.sql.parquet.columnarReaderBatchSize": 1024}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keeps batches of the session within ``BATCHES`` from now on. Batches are made when the caller runs what an operator returns, so this must outlast the call. Smaller settings stay, and no result depends on them."""
+    for name, most in BATCHES.items():
+        given = re.fullmatch(r"(\d+)b?", spark.conf.get(name))  # other units are those of large sizes
+        if not given or not 0 < int(given[1]) <= most:
+            spark.conf.set(name, most)
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df``, written once to the shared folder and read again."""
     spark = df.sparkSession
-    path, given = f"{scratch_dir(spark)}/ledgerine-{uuid.uuid4().hex}", int(spark.conf.get(BATCH_CONF))
-    spark.conf.set(BATCH_CONF, min(given, BATCH_ROWS) if given > 0 else BATCH_ROWS)
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(BATCH_CONF, given)
+    small_batches(spark)
+    path = f"{scratch_dir(spark)}/ledgerine-{uuid.uuid4().hex}"
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_texts, tidy, written
+from .common import flat_texts, small_batches, tidy, written
 
 SLICE = 500_000
 #: Languages of one model at most, and bytes of its costs (a language that needs more has a model of its own).
@@ -137,6 +137,7 @@ def fit(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str =
     if order != 3:
         raise ValueError("counts are kept in 32 bits: order must be 3")
     spark = docs.sparkSession
+    small_batches(spark)
     given = docs.where(where & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).cast("string").alias("id"))
     share = [(r["lang"], min(1.0, sample_rows / r["n"])) for r in given.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()]
     if not share:
@@ -295,6 +296,7 @@ def has_letter(text: str) -> bool:
 
 def predict(docs: DataFrame, model: Models | None, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` and ``lang_pred``, ``score`` (share of the likelihood that the best language holds), ``bits``. Map-only; the models are sent to the executors."""
+    small_batches(docs.sparkSession)
     names = [n for n in docs.columns if n not in ("lang_pred", "score", "bits")]
     given = docs.select(F.col(text_col).alias("_text"), *[F.col(f"`{n}`").alias(f"_c{i}") for i, n in enumerate(names)])
     fields = ", ".join([*(f"_c{i} {docs.schema[n].dataType.simpleString()}" for i, n in enumerate(names)), "lang_pred string, score double, bits double"])

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of, tidy
+from .common import small_batches, texts_of, tidy
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long, bucket int"
 #: Bits of a sequence id: bucket, partition, number within bucket and partition.
@@ -177,6 +177,7 @@ def pack_binary(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (always 0), bucket (log2 of the length), and the token ``ids`` on request. Map-only: nothing is exchanged."""
     if most < 1 or most & (most - 1):
         raise ValueError("most must be a power of two")
+    small_batches(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return given.mapInArrow(tidy(_pack(tokenizer, end_id, most, keep_ids)), SCHEMA + (", ids array<int>" if keep_ids else ""))
 

@@ -100,3 +100,39 @@ def test_run_on_repeated_rows_and_an_empty_table(spark, tmp_path):
         whole = {(r["doc_id"], r["doc_tokens"]) for r in found if r["start"] == 0}
         assert len(whole) == (4 if name == "all" else 0)
         assert all(n > 150 for _, n in whole) and len([r for r in found if r["start"] == 0]) == len(whole)
+
+
+def test_batches_are_small_when_the_caller_runs_a_stage(spark, tmp_path, monkeypatch):
+    """The caller writes what a stage returns, under its own settings: batches of 10,000 long texts would take hundreds of MB beside the heap."""
+    from ledgerine.llm import common, langid, linededup, minhash, packing
+    from test_ops import prose
+
+    def watched(run):
+        def out(batches):
+            def seen():
+                for batch in batches:
+                    if batch.num_rows > 2000 or batch.nbytes > 5_000_000:
+                        raise ValueError(f"a batch of {batch.num_rows} rows, {batch.nbytes} bytes")
+                    yield batch
+
+            return run(seen())
+
+        return out
+
+    for module in (langid, linededup, minhash, suffix, packing):
+        monkeypatch.setattr(module, "tidy", watched)
+    given = {k: spark.conf.get(k) for k in common.BATCHES}
+    own = [prose(60, 900 + i) for i in range(40)]
+    rows = [(i, f"{own[i % 40]} {i}\n" + f"{i} " * (2000 if i < 1200 else 1), "en", "s", 0) for i in range(3400)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/0")
+    try:
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            for name, n in zip(common.BATCHES, (10_000, 256 << 20, 4096), strict=True):
+                spark.conf.set(name, n)
+            stage(spark, spark.read.parquet(f"{tmp_path}/{k}"), "").write.parquet(f"{tmp_path}/{k + 1}")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+        common.small_batches(spark)
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "7"
+    finally:
+        for name, value in given.items():
+            spark.conf.set(name, value)
