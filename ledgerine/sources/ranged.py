@@ -317,7 +317,7 @@ def members(rows: DataFrame, archive: Column, member: Column, keys: list[str], o
     heads = kept(_checked(given.select("archive").where("archive is not null").distinct().repartition(tasks), opener))
     listed = _listed(heads.where("_bad is null").select("archive").repartition(tasks), opener)
     last = listed.groupBy("archive", "member").agg(F.max(F.struct("_at", *_PLACE)).alias("_p")).select("archive", "member", *[F.col(f"_p.{k}").alias(k) for k in _PLACE])
-    met = given.join(heads.where("_bad is not null"), "archive", "left").join(last, ["archive", "member"], "left").select(*keys, "archive", "member", "_bad", *_PLACE)
+    met = given.join(heads.where("_bad is not null"), "archive", "left").join(last.hint("merge"), ["archive", "member"], "left").select(*keys, "archive", "member", "_bad", *_PLACE)  # the directories are thought as small as the list of archives, and would be broadcast
     part = F.coalesce(F.floor(F.col("place") / (spread << 20)), F.pmod(F.xxhash64("member"), F.lit(1024)))
     dealt = met.withColumn("_part", part).repartition("archive", "_part").sortWithinPartitions("archive", "place").drop("_part")
     return dealt.mapInArrow(run, _named(keys, [rows.schema[k].dataType.simpleString() for k in keys], "archive string, member string, content binary, error string"))

@@ -104,3 +104,14 @@ def test_the_last_member_of_a_name_and_every_method(spark, tmp_path):
     wanted = spark.createDataFrame([(f"{tmp_path}/{k}.zip", m) for k in range(4) for m in ("x", "é", "x")], "a string, m string")
     found = [bytes(r["content"]) for r in ranged.members(wanted, F.col("a"), F.col("m"), []).collect()]
     assert sorted(found) == [b"last"] * 8 + [b"y" * 100] * 4
+
+
+def test_directories_are_not_broadcast(spark, tmp_path):
+    """What meets the rows grows with the archives' members, so it passes by no driver."""
+    archive(tmp_path / "a.zip", [(f"m{i}", str(i)) for i in range(50)])
+    rows = spark.createDataFrame([(i, f"{tmp_path}/a.zip", f"m{i}") for i in range(60)], "id int, a string, m string")
+    found = ranged.members(rows, F.col("a"), F.col("m"), ["id"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [archive" in plan and plan.count("BroadcastExchange") == 1  # archives that cannot be read
+    got = {r["id"]: (r["content"], r["error"]) for r in found.collect()}
+    assert got == {i: (str(i).encode(), None) if i < 50 else (None, "no such member") for i in range(60)}
