@@ -37,7 +37,8 @@ def percent_of(a: Column, b: Column) -> Column:
 
 
 def quotient(a: Column, b: Column) -> Column:
-    return F.coalesce(F.replace(count_text(F.when(b != 0, a.cast("double") / b.cast("double"))), F.lit(","), F.lit("")), F.lit("N/A"))
+    """N/A for b = 0, null where either is unknown."""
+    return F.when(b == 0, "N/A").otherwise(F.replace(count_text(F.try_divide(a.cast("double"), b.cast("double"))), F.lit(","), F.lit("")))
 
 
 def per_employee(amount: Column, employees: Column) -> Column:

@@ -49,7 +49,7 @@ def whole_report(records: DataFrame) -> DataFrame:
         (F.lit("CEO Pay Ratio"), F.when(ratio.isNotNull(), F.array(
             row(F.lit("Median employee compensation"), currency(ratio["median"]), F.concat(percent_of(ratio["median"], ratio["ceo"]), F.lit("%"))),
             row(F.lit("CEO compensation"), currency(ratio["ceo"]), F.lit("100%")),
-            row(F.lit("Workers at the median salary"), quotient(ratio["ceo"], ratio["median"]), empty),
+            row(F.lit("Workers at the median salary"), F.coalesce(quotient(ratio["ceo"], ratio["median"]), F.lit("N/A")), empty),
         ))),
         (net_label(ticker), figures(F.col("net_income_loss"))),
         (F.lit("Stock Buybacks"), figures(F.col("buybacks"))),

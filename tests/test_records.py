@@ -156,3 +156,14 @@ def test_a_return_is_parsed_once(spark):
 
     plan = parsed_returns(spark.createDataFrame([("<Return/>",)], "xml string")).where("error is null").select("return.ReturnHeader", "return_type")
     assert plan._jdf.queryExecution().executedPlan().toString().count("from_xml(") == 1
+
+
+def test_unknown_numbers_and_signs_of_zero(spark, tmp_path):
+    """What the SQL of the query gives: null stays null unless the divisor is 0, and a quotient has no signed zero."""
+    from ledgerine.plans import queries
+
+    rows = [(1, 0, -0.0), (2, None, -0.4), (None, 3, None), (None, 0, -0.6), (-1, 4, 0.5), (0, -5, -1234.5), (1, -2, -0.5), (-7, 2, 0.0), (900_000, 24, 9999.5)]
+    spark.createDataFrame(rows, "c_custkey bigint, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    found = queries.format_currency(spark, str(tmp_path)).collect()
+    want = [(1, "$0", "1,000", "N/A"), (2, "$-0", "2,000", None), (None, None, None, None), (None, "$-1", None, "N/A"), (-1, "$0", "-1,000", "0"), (0, "$-1,234", "0", "0"), (1, "$-0", "1,000", "0"), (-7, "$0", "-7,000", "-4"), (900_000, "$10,000", "900,000,000", "37500")]
+    assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
